@@ -1,0 +1,39 @@
+"""Connected components of an edge table by contraction; nothing is gathered on the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sedge.llm.common import written
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(a, b) -> (node, component), component being the smallest node reachable. Nodes without edges are not listed.
+
+    Each round points every node to its smallest neighbour, follows the pointers to their roots, and contracts the graph
+    to the roots; at least half of the nodes of each component with edges go in a round. Each step is written, so lineage stays short.
+    """
+    edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    members = None
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        points = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")), "cc-points")
+        while True:  # pointer jumping
+            up = points.select(F.col("node").alias("to"), F.col("to").alias("up"))
+            jumped = written(points.join(up, "to").select("node", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")), "cc-jump")
+            points = jumped.select("node", "to")
+            if jumped.filter("moved").isEmpty():
+                break
+        if members is None:
+            members = points
+        else:
+            up = points.select(F.col("node").alias("to"), F.col("to").alias("up"))
+            members = written(members.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("to")), "cc-members")
+        at_a = points.select(F.col("node").alias("a"), F.col("to").alias("ra"))
+        at_b = points.select(F.col("node").alias("b"), F.col("to").alias("rb"))
+        moved = edges.join(at_a, "a").join(at_b, "b").filter("ra <> rb")
+        edges = written(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+    if members is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return members.select("node", F.col("to").alias("component"))
