@@ -145,7 +145,7 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "id", "start", "ids_crc32"], ascending=[False, True, True, True])
         number, offset = best_fit_decreasing(group["length"].to_numpy(), window)
-        group["sequence_id"] = (group["_group"].astype("int64") << 32) + number
+        group["sequence_id"] = group["_group"].astype("int64") * (1 << 32) + number
         group["offset"] = offset
         return group.drop(columns="_group")
 

@@ -69,8 +69,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT DISTINCT a AS id, a AS to FROM g UNION SELECT r.id, g.b FROM r JOIN g ON g.a = r.to),
-m AS (SELECT id, min(to) AS c FROM r GROUP BY id)
+r AS (SELECT DISTINCT a AS id, a AS seen FROM g UNION SELECT r.id, g.b FROM r JOIN g ON g.a = r.seen),
+m AS (SELECT id, min(seen) AS c FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id, d.doc_id = coalesce(m.c, d.doc_id) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = d.doc_id
 """
