@@ -111,5 +111,60 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_url_filter, op4_mixing, op6_near_dedup, op8_token_counts, op9_line_dedup, op10_packing)}
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op6_near_dedup": OP6_SQL, "op9_line_dedup": OP9_SQL}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedge.llm.toxicity import fit, toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    net = fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    out = toxicity(docs, net).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedge.llm.quality import quality_scores
+
+    out = quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedge.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def mixing_sql(fills: int = 3, miss: float = 0.002) -> str:
+    """The same plan with whole-table windows."""
+    fill = ""
+    for i in range(fills):
+        fill += f"""
+m{i} AS (SELECT key, any_value(target) AS target, max(rest) - sum(extra * size) AS missing FROM c{i} GROUP BY key),
+f{i} AS (SELECT c.key, c.doc_id, sum(c.size) OVER (PARTITION BY c.key ORDER BY u, c.size, c.doc_id) <= m.missing AS fits
+         FROM c{i} c JOIN m{i} m USING (key) WHERE extra = 0 AND c.size > 0 AND m.missing > {miss} * m.target AND c.size <= m.missing),
+c{i + 1} AS (SELECT c.* REPLACE (CASE WHEN f.fits THEN 1 ELSE extra END AS extra) FROM c{i} c LEFT JOIN f{i} f USING (doc_id)),"""
+    return f"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key, md5('7:' || doc_id) AS u,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT key, sum(size)::BIGINT AS source_size, 1.0::DOUBLE + (row_number() OVER (ORDER BY key) - 1) % 3 AS weight FROM d GROUP BY key),
+r AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / weight AS ratio, (SELECT sum(source_size) FROM s)::DOUBLE AS total FROM s),
+l AS (SELECT ratio, (total - coalesce(sum(cap) OVER (ORDER BY ratio, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY ratio, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT key, source_size, least(cap, weight * (SELECT level FROM l WHERE level <= ratio ORDER BY ratio LIMIT 1)) AS target FROM r),
+t2 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+t3 AS (SELECT *, greatest(0, target - whole * source_size) AS rest FROM t2),
+c0 AS (SELECT d.*, source_size, target, whole, rest,
+              CASE WHEN sum(size) OVER (PARTITION BY key ORDER BY u, size, doc_id) <= rest THEN 1 ELSE 0 END AS extra FROM d JOIN t3 USING (key)),{fill}
+m AS (SELECT key, max(rest) - sum(extra * size) AS missing FROM c{fills} GROUP BY key),
+p AS (SELECT arg_min(doc_id, (abs(c.size - missing), u, c.size, doc_id)) AS doc_id FROM c{fills} c JOIN m USING (key)
+      WHERE extra = 0 AND c.size > 0 AND abs(c.size - missing) < missing GROUP BY key)
+SELECT c.doc_id, c.size::BIGINT AS size, c.source_size, c.target, ((whole + extra + CASE WHEN p.doc_id IS NULL THEN 0 ELSE 1 END) * c.size)::BIGINT AS taken
+FROM c{fills} c LEFT JOIN p USING (doc_id)
+"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_toxicity, op3_url_filter, op4_mixing, op5_quality, op6_near_dedup, op7_ann, op8_token_counts, op9_line_dedup, op10_packing)
+}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op4_mixing": mixing_sql(), "op6_near_dedup": OP6_SQL, "op9_line_dedup": OP9_SQL}
