@@ -12,9 +12,14 @@ documents share is last in that order and generates only between documents that
 
 What lists hold is linked in rounds: each list's members meet one hub (a row per member, never all pairs), links are
 confirmed on full shingle sets, and components contract. What hubs leave - members that lie outside their list's largest
-component - then meets every member of other components, so no link between components is lost, while members that are already
+component - then meets the members of other components, so no link between components is lost, while members that are already
 connected are not compared again.
 
+A member x that no hub took is first held against the hub h nearest to it, on full sets. A partner y needs at least
+t / (1 + t) * (|x| + |y|) common shingles; where |x and h| is less, x and y must share a shingle outside h. So x meets, over the
+lists, only members small enough to do with what x has in common with h, and otherwise only those that hold one of the few
+shingles in x but not in h. Thousands of copies that each differ from one text in other places give no pairs of copies this way.
+
 Defined cases: a text with fewer words than a shingle is one shingle; null, empty or blank texts have no shingles and are linked
 with nothing; rows that share an id but not a text are linked by the texts of all of them; rows with a null id get the
 component of their text's class if the class has an id, else null, and are not kept; repeated rows give repeated results; an empty table gives an empty one;
@@ -40,7 +45,7 @@ from sedge.llm.textarrays import ascii_words, mixed, powers, slices
 BROADCAST_IDS = 1_000_000
 #: Lists up to this length are paired out at once: at most PAIR_LIST / 2 pairs per member.
 PAIR_LIST = 8
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 SIGMAS = 5.5
 
 
@@ -136,10 +141,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, *, width: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            each = [s.tobytes() for s in shingle_sets(part.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(each, pa.binary())], names=["id", "shingles"])
+            each = list(shingle_sets(part.column("text"), width))
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each), pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), values], names=["id", "shingles"])
 
-    return some.mapInArrow(sets, "id long, shingles binary")
+    return some.mapInArrow(sets, "id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
@@ -149,7 +156,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                p, q = x.values.to_numpy(), y.values.to_numpy()
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
@@ -178,6 +185,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("id", F.col("n").alias("n_shingles"), "class_id", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def _by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """Semi or anti join on ids; they are broadcast while there are at most BROADCAST_IDS of them."""
+    named = ids.select(F.col("id").alias(id_col))
+    return docs.join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, id_col, how)
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the least id. Rows with a null id stay."""
+    verdict = written(near_duplicates(docs, id_col=id_col, **options).select("id", "kept").filter("id IS NOT NULL"), "near-verdict")
+    dropped = written(verdict.filter("NOT kept").select("id").distinct(), "near-dropped")
+    twice = written(verdict.filter("kept").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "near-twice")
+    out = _by_ids(docs, dropped, id_col, "left_anti").select(docs.columns)
+    if twice.isEmpty():
+        return out
+    once = _by_ids(docs, twice, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
+    return _by_ids(out, twice, id_col, "left_anti").select(docs.columns).unionByName(once)
+
+
 def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int) -> DataFrame:
     """Confirmed links (a, b) between representatives whose components are those of all links."""
     threshold = percent / 100
@@ -198,7 +223,7 @@ def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int
     other = small.select("value", F.col("id").alias("b"), F.col("n").alias("nb"))
     pairs = small.withColumnRenamed("id", "a").join(other, "value").filter("a < b").filter(_size_fits("n", "nb", threshold)).select("a", "b")
     hub = F.min(F.struct("id", "n"))
-    hubs = large.groupBy("value").agg(hub.alias("h")).select("value", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"))
+    hubs = written(large.groupBy("value").agg(hub.alias("h")).select("value", F.col("h.id").alias("hub"), F.col("h.n").alias("hn")), "hubs")
     edges = written(verified(pairs.unionByName(with_hub(large, hubs))), "links")
     if large.isEmpty():
         return edges
@@ -211,14 +236,47 @@ def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int
         open_lists = written(members.join(most, "value").withColumn("outside", F.col("component") != F.col("top")), "open-lists")
         outside = open_lists.filter("outside")
         if outside.isEmpty():
-            break
+            return edges
         if turn < HUB_ROUNDS:
             by_turn = F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "n", "component")
             chosen = outside.groupBy("value").agg(F.min(by_turn).alias("h")).select("value", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.component").alias("hc"))
+            chosen = written(chosen, "hubs")
             pairs = with_hub(open_lists.join(chosen.select("value", "hc"), "value").filter("component <> hc"), chosen.drop("hc"))
+            hubs = hubs.unionByName(chosen.drop("hc"))
         else:
-            left = outside.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            pairs = left.join(open_lists.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")), "value")
-            pairs = pairs.filter("ca <> cb").filter(_size_fits("na", "nb", threshold)).select("a", "b")
+            pairs = _left_over(open_lists, outside, hubs.select("value", "hub").distinct(), active, sets, percent=percent)
         edges = written(edges.unionByName(verified(pairs)).distinct(), "links")
     return edges
+
+
+def _left_over(open_lists: DataFrame, outside: DataFrame, hubs: DataFrame, active: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
+    """Pairs (a, b) that may still link members outside their lists' largest component to others; see the module's text."""
+    threshold = percent / 100
+    sketch_of = active.select("id", "sketch")
+    tried = outside.select("value", "id").join(hubs, "value").filter("id <> hub").select("id", "hub").distinct()
+    near = tried.join(sketch_of, "id").join(sketch_of.select(F.col("id").alias("hub"), F.col("sketch").alias("hs")), "hub")
+    near = near.select("id", "hub", F.size(F.array_intersect("sketch", "hs")).alias("both")).groupBy("id").agg(F.max_by("hub", F.struct("both", -F.col("hub"))).alias("hub"))
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common, rest = [], []
+            for x, h in zip(batch.column("x"), batch.column("h"), strict=True):
+                p = x.values.to_numpy()
+                apart = np.setdiff1d(p, h.values.to_numpy(), assume_unique=True)
+                common.append(len(p) - len(apart))
+                rest.append(apart)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(common, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["id", "common", "rest"])
+
+    held = near.join(sets.select("id", F.col("shingles").alias("x")), "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("h")), "hub")
+    held = written(held.select("id", "x", "h").mapInArrow(beside, "id long, common long, rest array<long>"), "beside-hubs")
+    of_all = open_lists.select("id", "n", "component").distinct()
+    x = outside.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    x = x.join(held.select(F.col("id").alias("a"), "common"), "a", "left").withColumn("common", F.coalesce("common", "na"))
+    y = open_lists.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    enough = F.col("common") * (100 + percent) >= F.lit(percent) * (F.col("na") + F.col("nb"))
+    over_lists = x.join(y, "value").filter("ca <> cb").filter(_size_fits("na", "nb", threshold)).filter(enough).select("a", "b")
+    # A set is a candidate of x by each shingle that x has beside its hub.
+    dx = held.select(F.col("id").alias("a"), F.explode("rest").alias("value")).join(of_all.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), "a")
+    dy = sets.join(of_all, "id").select(F.explode("shingles").alias("value"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    beside_hubs = dx.join(dy, "value").filter("ca <> cb").filter(_size_fits("na", "nb", threshold)).select("a", "b")
+    return over_lists.unionByName(beside_hubs)
