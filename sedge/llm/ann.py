@@ -181,7 +181,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
         blocks = written(with_rank(blocks, [F.col("block"), F.col("deal")], "nth"), "ann-blocks")
         n_blocks, n_short = blocks.count(), short.count()
         again = blocks.select("table", "block", "deal", F.lit(max(1, -(-n_short // query_block))).alias("q_deals"))
-        each = short.withColumn("nth", F.explode(F.sequence(F.lit(1), F.lit(n_blocks))).cast("long")).join(blocks, "nth")
+        each = short.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_blocks).cast("long")))).join(blocks, "nth")
         all_visits = each.select("table", "block", "deal", "id", F.lit(None).cast("array<long>").alias("cells"))
         more = _top(_search(*with_groups(all_visits, again), k), k)
         top = top.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)

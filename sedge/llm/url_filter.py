@@ -4,7 +4,7 @@ Per host the tree's nodes are path prefixes. Level by level, segments become wil
 hexadecimal runs, dates, identifiers), the children of a node with so many different segments for its rows that they must
 be values, and siblings whose labelled share of rejected pages does not differ from that of their siblings together
 (two-proportion z test). Each template gets its smoothed share of rejected labelled pages,
-(bad + prior_weight * prior) / (labelled + prior_weight), and templates at or over ``max_bad`` are rejected. Explicit rules
+(bad + prior_weight * prior) / (labelled + prior_weight), and templates over ``max_bad`` are rejected. Explicit rules
 (host and path prefix, the longest wins) go before templates.
 
 Pages are first summed to distinct (host, shape, label) rows with partial aggregation; the levels work on those sums
@@ -91,7 +91,7 @@ def url_templates(pages: DataFrame, *, url_col: str = "url", label_col: str = "b
         grown = written(_merged_level(grown, level, min_values=min_values, value_share=value_share, z=z), "url-level")
     sums = grown.groupBy("host", "template").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     purity = (F.col("bad") + prior_weight * prior) / (F.col("labelled") + prior_weight)
-    sums = sums.withColumn("purity", purity).withColumn("rejected", F.col("purity") >= max_bad)
+    sums = sums.withColumn("purity", purity).withColumn("rejected", F.col("purity") > max_bad)
     return grown.select("host", "shape", "template").join(sums, ["host", "template"])
 
 
