@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 
 from sedge.llm.common import fresh_path, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: RocksDB state; it must not reserve megabytes of disk for each of many small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def _located(df: DataFrame, id_col: str, text_col: str, normalise) -> DataFrame:
@@ -39,8 +44,7 @@ def fold_into_state(spark: SparkSession, path: str, *, id_col: str, text_col: st
     """
     checkpoint = checkpoint or fresh_path(spark, "dedup-state")
     changes = f"{checkpoint}/changes"
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
+    before = {k: spark.conf.get(k, None) for k in STATE}
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -50,11 +54,13 @@ def fold_into_state(spark: SparkSession, path: str, *, id_col: str, text_col: st
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")  # the same rows again if the batch is run again
 
-    spark.conf.set(provider, ROCKSDB)
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         seen.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest string, anchor struct<id: bigint, file: string, row: bigint>, n bigint, batch int"
     try:
         log = spark.read.schema(schema).parquet(changes)
