@@ -21,7 +21,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column, strip: str = BLANKS) -> Column:
-    return F.translate(F.btrim(line, F.lit(strip)), UPPER, LOWER)
+    bare = F.btrim(line, F.lit(strip))
+    # For ASCII lines lower() does the same and is far cheaper than translate().
+    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 def hash128(c: Column) -> Column:
