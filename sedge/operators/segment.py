@@ -232,3 +232,44 @@ def telemetry(chunks: DataFrame, *, category: str, risk: str, tokens: str, faile
     """Counts, failures and tokens per category, per risk level and in total (grouping sets)."""
     return chunks.groupingSets([[F.col(category)], [F.col(risk)], []], F.col(category), F.col(risk)).agg(
         F.count("*").alias("n_chunks"), F.count_if(F.col(failed)).alias("n_failed"), F.sum(tokens).alias("n_tokens"), F.round(F.avg(tokens), 6).alias("mean_tokens"), F.count_if(F.col(tokens) > 1000).alias("n_long"), F.grouping_id().alias("set_id"))
+
+
+def fallback_sections(df: DataFrame, *, id: str = "doc_id", text: str = "text", caps: str = r"^[A-Z][A-Z ,&'-]{4,}$", numbered: str = r"^([0-9]+)(?:\.[0-9]+)*[.)]? ", least_caps: int = 3, least_numbered: int = 5) -> DataFrame:
+    """Documents with enough all-caps lines are cut there, else those with enough numbered lines where the first number changes; others give nothing.
+
+    id, mode, section_no, char_start, char_end, n_lines.
+    """
+    rows = lines(df, id=id, text=text).withColumn("_c", F.col("line").rlike(caps)).withColumn("_n", F.nullif(F.regexp_extract("line", numbered, 1), F.lit("")))
+    every = Window.partitionBy(id)
+    w = every.orderBy("line_no")
+    rows = rows.withColumn("_nc", F.sum(F.col("_c").cast("int")).over(every)).withColumn("_nn", F.count("_n").over(every))
+    mode = F.when(F.col("_nc") >= least_caps, "caps").when(F.col("_nn") >= least_numbered, "numbered")
+    last = F.last("_n", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("mode") == "caps", F.col("_c")).otherwise(F.col("_n").isNotNull() & ~F.col("_n").eqNullSafe(last))
+    rows = rows.withColumn("mode", mode).filter("mode IS NOT NULL").withColumn("_b", begins.cast("int")).withColumn("section_no", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.filter("section_no > 0").groupBy(id, "mode", "section_no").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.count("*").alias("n_lines"))
+
+
+def word_similarity(a: Column, b: Column) -> Column:
+    """Share of common words of two sentences (Jaccard)."""
+    wa, wb = (F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+")) for c in (a, b))
+    return F.size(F.array_intersect(wa, wb)) / F.size(F.array_union(wa, wb))
+
+
+def semantic_chunks(sents: DataFrame, *, id: str, order: str, text: str, similarity: Column | None = None, close_below: float = 0.7, target: int = 1000) -> DataFrame:
+    """Chunks of consecutive sentences: closed where the similarity to the one before is low and the chunk is over half the target, or where it is over the target.
+
+    ``similarity`` compares a sentence with the one before it; by default their words. The greedy state is folded over a document's sentences in the row.
+    """
+    w = Window.partitionBy(id).orderBy(order)
+    near = similarity if similarity is not None else F.coalesce(word_similarity(F.lag(text).over(w), F.col(text)), F.lit(1.0))
+    rows = sents.withColumn("_sim", near).groupBy(id).agg(F.array_sort(F.collect_list(F.struct(order, F.length(text).cast("long").alias("size"), F.col("_sim").alias("sim")))).alias("_s"))
+    zero = F.struct(F.expr("cast(array() as array<struct<n: bigint, size: bigint>>)").alias("out"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size"))
+
+    def step(a: Column, x: Column) -> Column:
+        close = (a["n"] > 0) & (((x["sim"] < close_below) & (a["size"] > target / 2)) | (a["size"] > target))
+        done = F.concat(a["out"], F.array(F.struct(a["n"].alias("n"), a["size"].alias("size"))))
+        return F.struct(F.when(close, done).otherwise(a["out"]).alias("out"), F.when(close, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), F.when(close, x["size"]).otherwise(a["size"] + x["size"]).alias("size"))
+
+    folded = F.aggregate("_s", zero, step, lambda a: F.concat(a["out"], F.array(F.struct(a["n"].alias("n"), a["size"].alias("size")))))
+    return rows.select(id, F.posexplode(folded).alias("chunk_no", "c")).select(id, "chunk_no", F.col("c.n").alias("n_sentences"), F.col("c.size").alias("n_chars"))

@@ -54,3 +54,10 @@ def rollups(cells_df: DataFrame, *, id: str) -> DataFrame:
     rows = cells_df.withColumn("_x", F.when(number > 0, number))
     vacant = F.lower("value").isin("", "vacant", "available", "empty", "tbd", "n/a")
     return rows.groupBy(id, "block_no").agg(F.sum("_x").cast("double").alias("total"), F.round(F.avg(F.col("_x").cast("double")), 6).alias("mean"), F.count_if(vacant).alias("n_vacant"), F.count("*").alias("n_cells"))
+
+
+def tables_as_clauses(tables: DataFrame, clauses: DataFrame, *, doc: str, key: str, confidence: str, more_than: int = 5) -> DataFrame:
+    """One clause row per table (kind, score, block_no) of documents with more than ``more_than`` clauses, under the clauses' columns."""
+    many = clauses.groupBy(doc).agg(F.count("*").alias("_n")).filter(F.col("_n") > more_than).select(doc)
+    rows = tables.join(many, doc, "left_semi").select(doc, F.concat_ws("_", F.lit("table"), "kind", F.col("block_no").cast("string")).alias(key), F.col("score").alias(confidence), (F.col("score") < 0.5).alias("needs_review"))
+    return clauses.select(doc, key, confidence, (F.col(confidence) < 0.5).alias("needs_review")).unionByName(rows)

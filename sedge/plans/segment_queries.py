@@ -227,3 +227,18 @@ def chunk_telemetry(spark, sf):
     size = F.length("text")
     rows = t(spark, sf, "documents").select(F.col("lang").alias("category"), F.when(size > 5000, "high").when(size > 1500, "medium").otherwise("low").alias("risk"), segment.token_estimate(F.col("text")).alias("tokens"), F.contains(F.col("text"), F.lit("!!")).alias("failed"))
     return segment.telemetry(rows, category="category", risk="risk", tokens="tokens", failed="failed").drop("set_id")
+
+
+@query("allcaps_numbered_fallback", rf"""WITH {LINES_SQL},
+f AS (SELECT *, regexp_matches(line, '^[^ ]+ [^ ]+\.$') AS c, nullif(regexp_extract(line, '^([A-Z])[a-z]+', 1), '') AS n FROM lines),
+m AS (SELECT *, CASE WHEN sum(c::INT) OVER (PARTITION BY doc_id) >= 2 THEN 'caps' WHEN count(n) OVER (PARTITION BY doc_id) >= 5 THEN 'numbered' END AS mode, last_value(n IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM f),
+s AS (SELECT *, sum(CASE WHEN mode = 'caps' THEN c::INT ELSE (n IS NOT NULL AND n IS DISTINCT FROM last)::INT END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS section_no FROM m WHERE mode IS NOT NULL)
+SELECT doc_id, mode, section_no, min(char_start) AS char_start, max(char_start + length(line)) AS char_end, count(*) AS n_lines FROM s WHERE section_no > 0 GROUP BY 1, 2, 3""")
+def allcaps_numbered_fallback(spark, sf):
+    """Two-word lines stand for headings in capitals, a line's first letter for its number."""
+    return segment.fallback_sections(docs(spark, sf), caps=r"^[^ ]+ [^ ]+\.$", numbered="^([A-Z])[a-z]+", least_caps=2)
+
+
+@query("semantic_chunks")
+def semantic_chunks(spark, sf):
+    return segment.semantic_chunks(segment.sentences(docs(spark, sf)), id="doc_id", order="sent_no", text="sentence", close_below=0.05)

@@ -250,3 +250,13 @@ def table_dedup_topk(spark, sf):
 SELECT doc_id, block_no::INT AS block_no, sum(CASE WHEN x > 0 THEN x END)::DOUBLE AS total, round(avg(CASE WHEN x > 0 THEN x::DOUBLE END), 6) AS mean, count(*) FILTER (lower(value) IN ('', 'vacant', 'available', 'empty', 'tbd', 'n/a')) AS n_vacant, count(*) AS n_cells FROM x GROUP BY 1, 2""")
 def table_rollups(spark, sf):
     return texttables.rollups(all_cells(spark, sf), id="doc_id")
+
+
+@query("tables_to_clauses", f"""WITH {BLOCK_SQL}, cl AS (SELECT source AS doc, 'doc_' || doc_id AS key, 0.9::DOUBLE AS confidence FROM documents), m AS (SELECT doc FROM cl GROUP BY 1 HAVING count(*) > 5),
+x AS (SELECT DISTINCT source AS doc, 'table_pipe_' || doc_id AS key, (length(line) % 10 / 10.0)::DOUBLE AS confidence FROM b JOIN documents USING (doc_id) WHERE block_no = 1 AND row_no = 0)
+SELECT doc, key, confidence, confidence < 0.5 AS needs_review FROM cl UNION ALL SELECT doc, key, confidence, confidence < 0.5 FROM x WHERE doc IN (SELECT doc FROM m)""")
+def tables_to_clauses(spark, sf):
+    docs = t(spark, sf, "documents").select("doc_id", F.col("source").alias("doc"))
+    found = blocks(spark, sf).filter("block_no = 1 AND row_no = 0").join(docs, "doc_id").select("doc", F.lit("pipe").alias("kind"), F.col("doc_id").alias("block_no"), (F.length("line") % 10 / 10).alias("score"))
+    clauses = docs.select("doc", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("key"), F.lit(0.9).alias("confidence"))
+    return texttables.tables_as_clauses(found, clauses, doc="doc", key="key", confidence="confidence")

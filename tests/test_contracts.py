@@ -108,3 +108,22 @@ def test_responses(spark):
     raw = [(1, '{"category": "x", "confidence": 0.5, "risk_flags": []}'), (2, "say {\"category\": \"x\", \"confidence\": 2, \"risk_flags\": []} ok"), (3, "{cut"), (4, None), (5, "")]
     out = tables.validate_responses(tables.parse_responses(spark.createDataFrame(raw, "id long, raw string"), raw="raw")).collect()
     assert {r.id: r.reject_reason for r in out} == {1: None, 2: "confidence range", 3: "not json", 4: "not json", 5: "not json"}
+
+
+def test_catalogues(spark):
+    from sedge.functions.catalogues import CATALOGUES
+
+    text = (
+        "This lease is between Elm Holdings LLC (the \"Landlord\") and Blue Bakery Inc. (\"Tenant\"). The premises located at 12 Elm Street, Springfield.\n"
+        "The term shall be 60 months, commencing on March 1, 2024 and expiring on February 28, 2029. Base rent shall be $2,500.00 per month, increased by 3% each year.\n"
+        "Tenant may renew with 90 days notice; there are two (2) options to extend. Tenant shall cure any default within 10 days. If rent is late, then a fee is due. Right of first refusal applies.\n"
+        "Percentage rent of 6% of gross sales above $500,000. Triple net; common area costs are estimated at $4.50. Security deposit of $5,000."
+    )
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = {(name, r.field): r.value for name, rules in CATALOGUES.items() for r in facts.extract_facts(df, rules, id="doc_id", text="text", mode="first", least_chars=1).collect()}
+    want = {
+        ("rent", "rent_amount"): "2,500.00", ("rent", "escalation"): "3", ("percentage_rent", "percentage"): "6", ("percentage_rent", "breakpoint"): "500,000", ("shared_costs", "structure"): "Triple net",
+        ("critical_dates", "start_date"): "March 1, 2024", ("critical_dates", "end_date"): "February 28, 2029", ("notice", "cure_period"): "10 days", ("conditions", "condition"): "rent is late",
+        ("options", "renewal_options"): "two", ("options", "first_refusal"): "Right of first refusal", ("parties", "landlord"): "Elm Holdings LLC", ("parties", "term"): "60 months", ("parties", "deposit"): "5,000",
+    }
+    assert {k: got.get(k) for k in want} == want
