@@ -95,26 +95,34 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 0))
 
 
-def best_of_block(queries: pa.Table, block: pa.Table, k: int, at_once: int = 1024) -> pa.Table:
-    """The k best candidates of each query among the block's vectors in its cells (``cells`` null: in all)."""
-    vecs, vids, cells = _matrix(block.column("v")), block.column("id").to_numpy(), block.column("cell").to_numpy()
-    known, which = np.unique(cells, return_inverse=True)
+def best_of_block(queries: pa.Table, block: pa.Table, k: int, at_once: int = 256) -> pa.Table:
+    """The k best candidates of each query among the block's vectors in its cells (``cells`` null: in all). Vectors of one id are one candidate."""
+    vids = block.column("id").to_numpy()
+    order = np.argsort(vids, kind="stable")
+    vids, vecs = vids[order], _matrix(block.column("v"))[order]
+    known, which = np.unique(block.column("cell").to_numpy()[order], return_inverse=True)
+    ids, first, size = np.unique(vids, return_index=True, return_counts=True)
     out = []
     for part in (queries.slice(i, at_once) for i in range(0, queries.num_rows, at_once)):
         qs, qids = _matrix(part.column("v")), part.column("id").to_numpy()
         open_cells = np.zeros((len(qids), len(known)), bool)
         for i, visited in enumerate(part.column("cells")):
             open_cells[i] = True if not visited.is_valid else np.isin(known, visited.values.to_numpy())
-        score = qs @ vecs.T
-        score[~open_cells[:, which] | (qids[:, None] == vids[None])] = -np.inf
+        seen = open_cells[:, which] & (qids[:, None] != vids[None])
+        score = np.where(seen, qs @ vecs.T, -np.inf)
+        if len(ids) < len(vids):
+            score = np.maximum.reduceat(score, first, axis=1)
         least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(qids), -np.inf)
         row, col = np.nonzero((score >= least[:, None] - 1e-9 * np.maximum(1, np.abs(least[:, None]))) & np.isfinite(score))
-        exact = (qs[row] * vecs[col]).sum(axis=1)
-        order = np.lexsort((vids[col], -exact, row))
+        n = size[col]
+        starts = np.cumsum(n) - n
+        rows, cols = np.repeat(row, n), np.repeat(first[col], n) + np.arange(int(n.sum())) - np.repeat(starts, n)
+        exact = np.where(seen[rows, cols], (qs[rows] * vecs[cols]).sum(axis=1), -np.inf)
+        exact = np.maximum.reduceat(exact, starts) if len(starts) else exact
+        order = np.lexsort((ids[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
-        first = np.searchsorted(row, row)
-        keep = np.arange(len(row)) - first < 2 * k  # ids may repeat; the merge cuts to k
-        out.append(pa.table({"query_id": pa.array(qids[row[keep]], pa.int64()), "vec_id": pa.array(vids[col[keep]], pa.int64()), "score": pa.array(exact[keep], pa.float64())}))
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append(pa.table({"query_id": pa.array(qids[row[keep]], pa.int64()), "vec_id": pa.array(ids[col[keep]], pa.int64()), "score": pa.array(exact[keep], pa.float64())}))
     return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
 
@@ -133,7 +141,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, tables: int = 2, hashes: int = 3, width: float = 1.0, probes: int = 64, block: int = 4096, query_block: int = 8192, seed: int = 3) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, tables: int = 2, hashes: int = 3, width: float = 1.0, probes: int = 64, block: int = 16_384, query_block: int = 8192, seed: int = 3) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found for each row that ``is_query`` (a condition on the id as ``id``) names."""
     rows = usable(vectors, id_col, vec_col)
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("sq")).orderBy(F.desc("n"), "d").first()
