@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.common import table, written
+from sedge.llm.common import table, with_text_batches, written
 from sedge.llm.line_dedup import line_dedup
 from sedge.llm.mixing import mix
 from sedge.llm.near_dedup import deduplicated
@@ -20,24 +20,29 @@ from sedge.llm.queries import vocabulary
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    with_text_batches(spark)
+    return docs.select(*COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return resampled(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    return resampled(_documents(spark, docs), table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return line_dedup(_documents(spark, docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicated(docs.select(*COLUMNS))
+    return deduplicated(_documents(spark, docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs.select(*COLUMNS))
+    return mix(_documents(spark, docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, vocabulary("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+    return pack(_documents(spark, docs), vocabulary("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

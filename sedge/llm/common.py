@@ -39,7 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are large rows: hand them to Python in smaller Arrow batches than the default of 10,000 rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "documents":
+        with_text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

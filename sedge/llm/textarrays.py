@@ -6,6 +6,7 @@ texts are never cut), so memory in a Python worker does not grow with the input.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
@@ -29,6 +30,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers are used again, and what one task freed is not what the next needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
