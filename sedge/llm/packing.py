@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from sedge.llm.common import written
 from sedge.llm.textarrays import buffers, runs_of, slices
-from sedge.llm.token_counts import buffers_of_binary
 
 PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -36,11 +35,31 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _ends_word(after: np.ndarray, first: np.ndarray, blank: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the run of marks first .. after - 1 ends its word: a blank or the text's end comes next."""
+    text_end = at[np.searchsorted(at, first, side="right")]
+    return (after >= text_end) | np.append(blank, True)[np.minimum(after, len(blank))]
+
+
 def word_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words between ASCII blanks as a binary array, and the index of each text's first word (n + 1 entries)."""
+    """Words between ASCII blanks as a binary array, and the index of each text's first word (n + 1 entries).
+
+    A-Z is lower-cased and the ASCII marks that end a word after an ASCII letter are a word of their own: the vocabulary's own
+    normaliser and pre-tokeniser do the same, and far fewer distinct words are left. Texts with the mark of a special token stay as they are.
+    """
     raw, at = buffers(texts)
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    start, length = runs_of(~blank, at)
+    breaks = at
+    if b"<|" not in raw.tobytes():
+        raw = raw + (((raw >= 65) & (raw <= 90)).astype(np.uint8) << 5)
+        letter = (raw >= 97) & (raw <= 122)
+        mark = (raw > 32) & (raw < 127) & ~letter & ~((raw >= 48) & (raw <= 57))
+        other = np.flatnonzero(~mark)
+        after = np.append(other, len(raw))[np.searchsorted(other, np.arange(len(raw)))] if len(raw) else other
+        first = np.flatnonzero(mark & np.concatenate(([False], letter[:-1])))
+        stop = first[_ends_word(after[first], first, blank, at)]
+        breaks = np.union1d(at, stop)
+    start, length = runs_of(~blank, breaks)
     first = np.searchsorted(start, at)
     if not len(start):
         return pa.array([], pa.large_binary()), first
@@ -49,23 +68,49 @@ def word_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(inside))]), first
 
 
+class WordIds:
+    """Token ids of words by the library, remembered in the worker for at most ``limit`` words."""
+
+    def __init__(self, path: str, limit: int = 400_000):
+        self.path, self.limit = path, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.flat, self.start = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of each word, all ids, bounds of the indexed words)."""
+        if len(self.place) > self.limit:
+            self.clear()
+        new = [w for w in words if w not in self.place]
+        if new:
+            lists = [e.ids for e in tokenizer(self.path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+            size = np.array([len(x) for x in lists], np.int64)
+            self.flat = np.concatenate((self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))))
+            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(size)))
+            n = len(self.place)
+            self.place.update(zip(new, range(n, n + len(new)), strict=True))
+        return np.array([self.place[w] for w in words], np.int64), self.flat, self.start
+
+
+@lru_cache(4)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, offsets). The vocabulary must drop blanks, so that a text's ids are those of its words in turn."""
     words, first = word_texts(texts)
     if len(words) == 0:
         return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
     coded = words.dictionary_encode()
-    data, ends = buffers_of_binary(coded.dictionary)
-    distinct = coded.dictionary.cast(pa.large_string()).to_pylist()
-    lists = [e.ids for e in tokenizer(path).encode_batch_fast(distinct, add_special_tokens=False)]
-    size = np.array([len(x) for x in lists], np.int64)
-    flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-    start = np.cumsum(size) - size
-    which = coded.indices.to_numpy()
-    n = size[which]
+    index, flat, bounds = word_ids(path).of(coded.dictionary.to_pylist())
+    which = index[coded.indices.to_numpy()]
+    n = bounds[which + 1] - bounds[which]
     ends = np.cumsum(n)
     within = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
-    ids = flat[np.repeat(start[which], n) + within]
+    ids = flat[np.repeat(bounds[which], n) + within]
     return ids, np.concatenate(([0], ends))[first]
 
 
