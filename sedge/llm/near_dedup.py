@@ -5,8 +5,8 @@ Documents with equal sets form a class first, and only the classes' representati
 row each however many they are.
 
 Candidates come from inverted lists of retained values. Two sets with Jaccard similarity of at least t share at least
-``need(n)`` of the values they retain (all they must share if the sketch is the whole set; t * k less SIGMAS standard deviations of a
-hypergeometric draw otherwise). So with one order of the values, rarest first, both must share one of their first
+``need(n)`` of the values they retain (all they must share if both sketches are whole sets, which holds for n / t <= k; where one of
+them may be cut, t * k less SIGMAS standard deviations of a hypergeometric draw, and the smaller of both bounds for n <= k < n / t). So with one order of the values, rarest first, both must share one of their first
 kept - need + 1 values; only these generate, and values held by a single representative cannot. A passage that very many
 documents share is last in that order and generates only between documents that consist of it for the most part.
 
@@ -91,19 +91,24 @@ def sketches(docs: DataFrame, *, width: int, k: int) -> DataFrame:
     return docs.mapInArrow(sketch, "id long, n long, set_hash binary, sketch array<long>")
 
 
-def need(n: Column, kept: Column, threshold: float) -> Column:
-    """Least number of retained values that a partner of similarity ``threshold`` shares with a set of size n."""
-    spread = F.lit(SIGMAS) * F.sqrt(kept * threshold * (1 - threshold))
-    return F.greatest(F.lit(1), F.when(n <= kept, F.ceil(kept * threshold)).otherwise(F.floor(kept * threshold - spread))).cast("int")
+def need(n: Column, threshold: float, k: int) -> Column:
+    """Least number of retained values that a partner of similarity ``threshold`` shares with a set of size n.
 
+    A partner has up to n / threshold shingles and retains k of them at most, so a set that is retained whole may still meet a cut one.
+    """
+    whole = F.ceil(n * threshold)
+    cut = F.floor(F.lit(k * threshold - SIGMAS * math.sqrt(k * threshold * (1 - threshold))))
+    least = F.when(n <= threshold * k, whole).when(n <= k, F.least(whole, cut)).otherwise(cut)
+    return F.greatest(F.lit(1), least).cast("int")
 
-def generating(reps: DataFrame, *, threshold: float) -> DataFrame:
+
+def generating(reps: DataFrame, *, threshold: float, k: int) -> DataFrame:
     """(value, id, n): the values of each representative that generate candidates."""
     postings = reps.select("id", "set_hash", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     lists = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     held = postings.join(lists, "value")
     per_set = held.groupBy("id", "set_hash").agg(F.max("n").alias("n"), F.max("kept").alias("kept"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
-    first = F.col("kept") - need(F.col("n"), F.col("kept"), threshold) + 1  # so many values, of which the unshared ones come first
+    first = F.col("kept") - need(F.col("n"), threshold, k) + 1  # so many values, of which the unshared ones come first
     some = per_set.withColumn("take", first - (F.col("kept") - F.size("v"))).filter("take > 0")
     return some.select("id", "n", F.explode(F.slice("v", F.lit(1), F.col("take"))).alias("p")).select("p.value", "id", "n").distinct()
 
@@ -206,7 +211,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataF
 def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int) -> DataFrame:
     """Confirmed links (a, b) between representatives whose components are those of all links."""
     threshold = percent / 100
-    lists = written(generating(reps, threshold=threshold), "lists")
+    lists = written(generating(reps, threshold=threshold, k=k), "lists")
     sizes = lists.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1")
     lists = written(lists.join(sizes, "value"), "lists-shared")
     ids = written(lists.select("id").distinct(), "list-ids")

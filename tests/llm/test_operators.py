@@ -98,6 +98,20 @@ def test_near_duplicates_of_many_edited_copies(spark):
     assert got == brute.near_components([(i, t) for i, t, _ in rows])
 
 
+def test_near_duplicates_of_whole_and_cut_sketches(spark):
+    """Cuttings of 118-128 shingles, retained whole, out of texts of 150-170, of which a part is retained."""
+    from sedge.llm.near_dedup import near_duplicates
+
+    rng = random.Random(9)
+    rows = []
+    for n, m in [(128, 170), (126, 168), (124, 165), (121, 160), (118, 150), (118, 158)] * 25:
+        text = prose(rng, m + 4).split(" ")
+        at = rng.randint(0, m - n)
+        rows += [(len(rows), " ".join(text), "s"), (len(rows) + 1, " ".join(text[at : at + n + 4]), "s")]
+    got = {r.id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.near_components([(i, t) for i, t, _ in rows])
+
+
 def test_line_dedup(spark, odd_rows):
     from sedge.llm.line_dedup import line_dedup
 
