@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions.storage import saved
 from sedge.operators.graph import components
 
+#: Rows of a block; each block meets each other one in a task of its own.
+BLOCK = 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -37,6 +41,39 @@ def trigram_vectors(df: DataFrame, *, id: str, text: str, dim: int = 384) -> Dat
     return sparse.select(F.col(id).alias("id"), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("len")).alias("v"))
 
 
+def _blocks(vectors: DataFrame) -> int:
+    return max(1, -(-vectors.count() // BLOCK))
+
+
+def _block_of(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+
+
+def _products(placed: DataFrame, least: float) -> DataFrame:
+    """(a, b, i, j, similarity) of all side-0 and side-1 rows (id, v) of a block pair (i, j) with cosine of at least ``least``."""
+    kind = placed.schema["id"].dataType.simpleString()
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        dim, i, j = (k.as_py() for k in key)
+        sides = [table.filter(pc.equal(table["side"], s)) for s in (0, 1)]
+        left, right = (pc.list_flatten(t["v"]).to_numpy().reshape(t.num_rows, dim) for t in sides)
+        at, to, score = [], [], []
+        for start in range(0, len(left), 256):
+            cosine = left[start : start + 256] @ right.T
+            x, y = np.nonzero(cosine >= least - 1e-6)
+            at.append(x + start)
+            to.append(y)
+            score.append(cosine[x, y])
+        flat = [np.concatenate(p) if p else np.empty(0, t) for p, t in ((at, np.int64), (to, np.int64), (score, np.float64))]
+        n = len(flat[0])
+        a, b = (t["id"].combine_chunks().take(pa.array(p)) for t, p in zip(sides, flat[:2], strict=True))
+        return pa.table({"a": a, "b": b, "i": pa.array(np.full(n, i), pa.int32()), "j": pa.array(np.full(n, j), pa.int32()), "similarity": flat[2]})
+
+    rows = placed.withColumn("dim", F.size("v")).select("dim", "i", "j", "side", "id", "v")
+    out = rows.groupBy("dim", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, i int, j int, similarity double")
+    return out.withColumn("similarity", F.round("similarity", 6)).filter(F.col("similarity") >= least)
+
+
 def similar(df: DataFrame, query: DataFrame, *, id: str, vector: str, k: int = 5, least: float = 0.7) -> DataFrame:
     """Best k rows with cosine of at least ``least`` to one query vector (a one-row table of the same columns)."""
     q = normalised(query, id=id, vector=vector).select(F.col("id").alias("_q"), F.col("v").alias("_qv")).limit(1)
@@ -54,29 +91,43 @@ def outliers(df: DataFrame, *, id: str, vector: str, contamination: float = 0.1,
     return scored.join(F.broadcast(cut)).filter((F.col("n") >= least_rows) & (F.col("mean_similarity") <= F.col("cut"))).select("id", "mean_similarity")
 
 
-def similar_pairs(df: DataFrame, *, id: str, vector: str, least: float, tables: int = 24, bits: int = 12, seed: int = 17, bucket: int = 2000) -> DataFrame:
-    """Pairs (a < b, similarity) with cosine of at least ``least``: sign bits of random projections give candidates, the exact cosine decides.
-
-    Buckets over ``bucket`` rows are split by more bits. Recall falls with ``least``; at .9 a pair is missed with probability under 1e-3.
-    """
+def _vector_classes(df: DataFrame, *, id: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """(id, rep) of all rows and (id, v) of representatives: rows of equal unit vectors are one class, its least id stands for it."""
     unit = saved(normalised(df, id=id, vector=vector), "unit-vectors")
+    reps = saved(unit.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "vector-classes")
+    members = unit.join(reps.withColumnRenamed("id", "rep"), "v").select("id", "rep")
+    return saved(members, "class-members"), reps
+
 
-    @F.arrow_udf("array<struct<h: bigint, more: bigint>>")
-    def codes(vectors: pa.Array) -> pa.Array:
-        n = len(vectors)
-        matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 1))
-        signs = np.random.default_rng(seed).standard_normal((matrix.shape[1], tables, 2, bits))
-        hit = np.einsum("nd,dtkb->ntkb", matrix, signs) > 0
-        value = (hit << np.arange(bits)).sum(axis=3).reshape(-1, 2)
-        pair = pa.StructArray.from_arrays([pa.array(value[:, 0], pa.int64()), pa.array(value[:, 1], pa.int64())], names=["h", "more"])
-        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * tables, pa.int32()), pair)
-
-    keyed = unit.select("id", F.posexplode(codes("v")).alias("t", "c")).select("id", "t", "c.h", "c.more")
-    sizes = keyed.groupBy("t", "h").agg(F.count("*").alias("n"))
-    keyed = keyed.join(sizes, ["t", "h"]).withColumn("h2", F.when(F.col("n") > bucket, F.col("more")).otherwise(0)).select("t", "h", "h2", "id")
-    pairs = keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), ["t", "h", "h2"]).filter("a < b").select("a", "b").distinct()
-    va, vb = unit.select(F.col("id").alias("a"), F.col("v").alias("va")), unit.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    return pairs.join(va, "a").join(vb, "b").withColumn("similarity", F.round(dot(F.col("va"), F.col("vb")), 6)).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+def _rep_pairs(reps: DataFrame, least: float) -> DataFrame:
+    blocks = _blocks(reps)
+    every = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("_own", j).alias("i"), F.greatest("_own", j).alias("j"), (F.col("_own") > j).cast("int").alias("side")))
+    own = F.array(F.struct(F.col("_own").alias("i"), F.col("_own").alias("j"), F.lit(1).alias("side")))  # a block meets itself: both sides
+    placed = reps.withColumn("_own", _block_of(blocks)).select("id", "v", F.inline(F.concat(every, own)))
+    pairs = _products(placed, least).filter("a <> b AND (i <> j OR a < b)")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+
+
+def similar_pairs(df: DataFrame, *, id: str, vector: str, least: float) -> DataFrame:
+    """All pairs (a < b, similarity) with cosine of at least ``least``; one vector per id.
+
+    Every block of class representatives is compared with every other, so no pair is missed and the work grows with the square of the
+    number of distinct vectors.
+    """
+    members, reps = _vector_classes(df, id=id, vector=vector)
+    found = saved(_rep_pairs(reps, least), "class-pairs")
+    ma, mb = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
+    across = found.join(ma, "a").join(mb, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    self = reps.select(F.col("id").alias("a"), F.round(dot(F.col("v"), F.col("v")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    inside = self.join(ma, "a").join(mb.withColumnRenamed("b", "a"), "a").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), "similarity")
+    return across.unionByName(inside)
+
+
+def similar_links(df: DataFrame, *, id: str, vector: str, least: float) -> DataFrame:
+    """Pairs (a, b) with the components of ``similar_pairs``: of equal vectors each meets its representative only."""
+    members, reps = _vector_classes(df, id=id, vector=vector)
+    equal = reps.filter(F.round(dot(F.col("v"), F.col("v")), 6) >= least).select(F.col("id").alias("rep"))
+    return _rep_pairs(reps, least).select("a", "b").unionByName(members.filter("id <> rep").join(equal, "rep", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 @query("similar_topk", f"SELECT b.vec_id AS id, round({COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 7 AND b.vec_id <> 7 AND round({COS}, 6) >= 0.2 ORDER BY 2 DESC, 1 LIMIT 5")
 def similar_topk(spark, sf):
     e = t(spark, sf, "embeddings")
-    return similarity.similar(e, e.filter("vec_id = 7"), id="vec_id", vector="embedding", k=5, least=0.2)
+    return similarity.similar(e, e.filter("vec_id = 7"), id="vec_id", vector="embedding", k=5, least=0.2).select("id", "similarity")
 
 
 @query("outliers", """
@@ -174,19 +174,19 @@ def outliers(spark, sf):
 
 @query("near_dup_groups")
 def near_dup_groups(spark, sf):
-    return similarity.duplicate_groups(similarity.similar_pairs(t(spark, sf, "embeddings"), id="vec_id", vector="embedding", least=0.4, bits=6, tables=48))
+    return similarity.duplicate_groups(similarity.similar_links(t(spark, sf, "embeddings"), id="vec_id", vector="embedding", least=0.4))
 
 
 @query("xdoc_similarity")
 def xdoc_similarity(spark, sf):
-    pairs = similarity.similar_pairs(t(spark, sf, "embeddings"), id="vec_id", vector="embedding", least=0.3, bits=6, tables=48)
+    pairs = similarity.similar_pairs(t(spark, sf, "embeddings"), id="vec_id", vector="embedding", least=0.3)
     return pairs.filter(F.col("a") % 20 != F.col("b") % 20).orderBy(F.desc("similarity"), "a", "b")
 
 
 @query("standard_clauses")
 def standard_clauses(spark, sf):
     e = t(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 20).alias("doc"))
-    return similarity.boilerplate_groups(similarity.similar_pairs(e, id="vec_id", vector="embedding", least=0.3, bits=6, tables=48), e, id="vec_id", doc="doc")
+    return similarity.boilerplate_groups(similarity.similar_pairs(e, id="vec_id", vector="embedding", least=0.3), e, id="vec_id", doc="doc")
 
 
 @query("common_types", "SELECT event_type, count(DISTINCT user_id) AS n_docs FROM events GROUP BY 1 HAVING count(DISTINCT user_id) = (SELECT count(DISTINCT user_id) FROM events)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,23 @@ def test_vectors(spark):
     assert sorted((r.leader, r.id) for r in led.collect()) == [(1, 1), (1, 2), (5, 5), (5, 6)]
 
 
+def test_similar_pairs_are_all_found(spark, monkeypatch):
+    """Against brute force, over several blocks, with a large group of equal vectors."""
+    monkeypatch.setattr(similarity, "BLOCK", 300, raising=False)
+    rng = np.random.default_rng(1)
+    data = rng.standard_normal((1000, 32))
+    data[100:160] = data[100]
+    unit = data / np.sqrt((data * data).sum(axis=1, keepdims=True))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, v array<double>")
+    a, b = np.nonzero(np.triu(np.round(unit @ unit.T, 6) >= 0.4, 1))
+    want = set(zip(a.tolist(), b.tolist(), strict=True))
+    got = [(r.a, r.b) for r in similarity.similar_pairs(df, id="id", vector="v", least=0.4).collect()]
+    assert len(got) == len(want) and set(got) == want
+    links = similarity.similar_links(df, id="id", vector="v", least=0.4)
+    groups = {r.id: r.group_id for r in similarity.duplicate_groups(links).collect()}
+    assert groups == {r.node: r.component for r in graph.components(spark.createDataFrame(got, "src long, dst long")).collect()}
+
+
 def test_responses(spark):
     raw = [(1, '{"category": "x", "confidence": 0.5, "risk_flags": []}'), (2, "say {\"category\": \"x\", \"confidence\": 2, \"risk_flags\": []} ok"), (3, "{cut"), (4, None), (5, "")]
     out = tables.validate_responses(tables.parse_responses(spark.createDataFrame(raw, "id long, raw string"), raw="raw")).collect()
