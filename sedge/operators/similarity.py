@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions.storage import saved
@@ -75,10 +75,14 @@ def _products(placed: DataFrame, least: float) -> DataFrame:
 
 
 def similar(df: DataFrame, query: DataFrame, *, id: str, vector: str, k: int = 5, least: float = 0.7) -> DataFrame:
-    """Best k rows with cosine of at least ``least`` to one query vector (a one-row table of the same columns)."""
-    q = normalised(query, id=id, vector=vector).select(F.col("id").alias("_q"), F.col("v").alias("_qv")).limit(1)
-    scored = normalised(df, id=id, vector=vector).join(F.broadcast(q), F.col("id") != F.col("_q")).withColumn("similarity", F.round(dot(F.col("v"), F.col("_qv")), 6))
-    return scored.filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(k).select("id", "similarity")
+    """(query_id, id, similarity): for each row of ``query`` (the same columns) the best k other rows with cosine of at least ``least``."""
+    rows, asked = saved(normalised(df, id=id, vector=vector), "unit-vectors"), saved(normalised(query, id=id, vector=vector), "query-vectors")
+    n, m = _blocks(asked), _blocks(rows)
+    left = asked.select("id", "v", _block_of(n).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"), F.lit(0).alias("side"))
+    right = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), _block_of(m).alias("j"), F.lit(1).alias("side"))
+    scored = _products(left.unionByName(right), least).filter("a <> b")
+    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+    return scored.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= k).select(F.col("a").alias("query_id"), F.col("b").alias("id"), "similarity")
 
 
 def outliers(df: DataFrame, *, id: str, vector: str, contamination: float = 0.1, least_rows: int = 10) -> DataFrame:

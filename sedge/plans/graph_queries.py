@@ -163,6 +163,12 @@ def similar_topk(spark, sf):
     return similarity.similar(e, e.filter("vec_id = 7"), id="vec_id", vector="embedding", k=5, least=0.2).select("id", "similarity")
 
 
+@query("similar_topk_all", f"SELECT query_id, id, similarity FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 6) DESC, b.vec_id) AS nth FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id AND round({COS}, 6) >= 0.2) WHERE nth <= 5")
+def similar_topk_all(spark, sf):
+    e = t(spark, sf, "embeddings")
+    return similarity.similar(e, e.filter("vec_id % 100 = 0"), id="vec_id", vector="embedding", k=5, least=0.2)
+
+
 @query("outliers", """
 WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
 c AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(v[i]) AS m FROM (SELECT v, unnest(range(1, 65)) AS i FROM u) GROUP BY i)),

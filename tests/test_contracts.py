@@ -105,6 +105,12 @@ def test_vectors(spark):
     assert sorted((r.leader, r.id) for r in led.collect()) == [(1, 1), (1, 2), (5, 5), (5, 6)]
 
 
+def test_similar_answers_every_query(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.1, 0.9]), (5, [0.0, 0.0])], "id long, v array<double>")
+    out = similarity.similar(df, df.filter("id IN (1, 3, 5)"), id="id", vector="v", k=1, least=0.5).collect()
+    assert sorted((r.query_id, r.id) for r in out) == [(1, 2), (3, 4)]
+
+
 def test_similar_pairs_are_all_found(spark, monkeypatch):
     """Against brute force, over several blocks, with a large group of equal vectors."""
     monkeypatch.setattr(similarity, "BLOCK", 300, raising=False)
