@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions.storage import saved
 
+#: Up to so many nodes and edges that are left, one task peels them.
+SMALL_REST = 200_000
+
 
 def reference_edges(clauses: DataFrame, *, doc: str, src: str, text: str, number: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """Edges (doc, src, dst, rel_type) from phrases: ``rules`` are (pattern with one group, type); the target is the document's clause of that number."""
@@ -112,20 +117,56 @@ def conflicts(df: DataFrame, *, keys: Sequence[str], order: str, differ: Sequenc
     return a.join(b, list(keys)).filter("a < b").withColumn("reason", reason).filter("reason IS NOT NULL").select(*keys, "a", "b", "reason")
 
 
-def topo_levels(edges: DataFrame, *, src: str = "src", dst: str = "dst", most: int = 1000) -> DataFrame:
-    """(node, level): longest path from a node without predecessors, peeled round by round; nodes on or behind a cycle get level -1."""
+def _peel_rest(left: DataFrame, edges: DataFrame, level: int) -> DataFrame:
+    """(node, level) of a rest of bounded size, peeled in one task."""
+
+    def peel(table: pa.Table) -> pa.Table:
+        into, out, start = {}, {}, level
+        for s, d in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True):
+            into.setdefault(s, 0)
+            if d is not None:
+                into[d] = into.get(d, 0) + 1
+                out.setdefault(s, []).append(d)
+        found, free = dict.fromkeys(into, -1), [n for n, k in into.items() if k == 0]
+        while free:
+            found |= dict.fromkeys(free, start)
+            start += 1
+            after = []
+            for d in (d for n in free for d in out.get(n, ())):
+                into[d] -= 1
+                if into[d] == 0:
+                    after.append(d)
+            free = after
+        return pa.table({"node": pa.array(found.keys(), table.schema.field("src").type), "level": pa.array(found.values(), pa.int32())})
+
+    kind = left.schema["node"].dataType.simpleString()
+    rows = left.select(F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst")).unionByName(edges)
+    return rows.groupBy().applyInArrow(peel, f"node {kind}, level int")
+
+
+def topo_levels(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, level): longest path from a node without predecessors; nodes on or behind a cycle get level -1.
+
+    Peeled round by round until no node is free; once nodes and edges left are SMALL_REST at most, one task peels the rest.
+    """
     e = saved(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "topo-edges")
-    left = saved(degrees(e).select("node"), "topo-nodes")
+    left = saved(degrees(e).select("node").filter("node IS NOT NULL"), "topo-nodes")
+    e = saved(e.filter("src IS NOT NULL AND dst IS NOT NULL"), "topo-edges")
     done = None
-    for level in range(most):
+    for level in itertools.count():
+        if left.count() + e.count() <= SMALL_REST:
+            rest = _peel_rest(left, e, level)
+            break
         entered = e.select(F.col("dst").alias("node")).distinct()
         free = saved(left.join(entered, "node", "left_anti").withColumn("level", F.lit(level)), "topo-free")
         if free.isEmpty():
+            rest = left.withColumn("level", F.lit(-1))
             break
         done = free if done is None else done.unionByName(free)
+        if level % 50 == 49:
+            done = saved(done, "topo-done")
         left = saved(left.join(free.select("node"), "node", "left_anti"), "topo-nodes")
         e = saved(e.join(free.select(F.col("node").alias("src")), "src", "left_anti"), "topo-edges")
-    rest = left.withColumn("level", F.lit(-1))
     return rest if done is None else done.unionByName(rest)
 
 

@@ -86,6 +86,15 @@ def test_references_and_order(spark):
     assert graph.pagerank(e.filter("false")).count() == 0
 
 
+def test_levels_of_a_long_path(spark, monkeypatch):
+    path = [(i, i + 1) for i in range(1200)] + [(2000, 2001), (2001, 2000), (2001, 2002)]
+    want = {**{i: i for i in range(1201)}, 2000: -1, 2001: -1, 2002: -1}
+    edges = spark.createDataFrame(path, "src long, dst long")
+    assert {r.node: r.level for r in graph.topo_levels(edges).collect()} == want
+    monkeypatch.setattr(graph, "SMALL_REST", 2396, raising=False)  # some rounds first
+    assert {r.node: r.level for r in graph.topo_levels(edges).collect()} == want
+
+
 def test_state_as_of_the_end_is_the_current_state(spark):
     log = spark.createDataFrame([("b", "rent", "10", 1), ("b", "rent", "12", 3), ("b", "term", "5", 2)], "base string, key string, value string, seq int")
     now = changelog.current_state(log, base="base", key="key", value="value", order=F.col("seq"))
