@@ -64,11 +64,22 @@ def coverage(docs: DataFrame, facts: DataFrame, *, id: str, by: str) -> DataFram
     return out.withColumn("share", F.round(F.col("n_with") / F.col("n_docs"), 6))
 
 
+def _word_list(c: Column | str) -> Column:
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def resolve_terms(df: DataFrame, terms: DataFrame, *, id: str, text: str, term: str, definition: str) -> DataFrame:
-    """(id, term, definition) of the terms contained in a text: tokens are joined to single-word terms, so the dictionary may be large."""
-    tokens = df.select(id, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("_w"))
-    dim = terms.select(F.lower(term).alias("_w"), F.col(term), F.col(definition))
-    return tokens.join(dim, "_w").select(id, term, definition)
+    """(id, term, definition) of the terms contained in a text: runs of as many words as terms have are joined to them, so the dictionary may be large."""
+    dim = terms.select(F.array_join(_word_list(term), " ").alias("_w"), F.size(_word_list(term)).alias("_k"), F.col(term), F.col(definition)).filter("_k > 0")
+    lengths = sorted(r["_k"] for r in dim.select("_k").distinct().collect())
+
+    def runs_of(k: int) -> Column:
+        run = lambda i: F.array_join(F.slice("_t", i, F.lit(k)), " ")
+        return F.when(F.size("_t") >= k, F.transform(F.sequence(F.lit(1), F.size("_t") - (k - 1)), run)).otherwise(F.array().cast("array<string>"))
+
+    every = F.flatten(F.array(*map(runs_of, lengths))) if lengths else F.array().cast("array<string>")
+    tokens = df.select(id, _word_list(text).alias("_t")).select(id, F.explode(F.array_distinct(every)).alias("_w"))
+    return tokens.join(dim.drop("_k"), "_w").select(id, term, definition)
 
 
 def deadline(base: Column, n: Column, unit: Column, sign: int = 1) -> Column:

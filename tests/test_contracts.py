@@ -53,6 +53,13 @@ def test_facts(docs):
     assert sorted((r.field, r.value, r.confidence) for r in out) == [("notice", "90 days", 0.8), ("rent", "2,500", 0.9)]
 
 
+def test_terms_of_several_words(spark):
+    texts = spark.createDataFrame([(1, "The Base  Rent (and base rent) of the premises"), (2, "base, then rent; additional base-rent charge"), (3, ""), (4, None)], "id long, text string")
+    terms = spark.createDataFrame([("Base Rent", "a"), ("Premises", "b"), ("Additional Base Rent Charge", "c"), ("", "d")], "term string, definition string")
+    out = facts.resolve_terms(texts, terms, id="id", text="text", term="term", definition="definition").collect()
+    assert sorted((r.id, r.definition) for r in out) == [(1, "a"), (1, "b"), (2, "a"), (2, "c")]
+
+
 def test_rules_with_gate_and_unless(docs):
     rules = RuleSet([Rule("a", "rent", name="late rent", gate="late", unless="grace"), Rule("b", "sublet", name="sublet")])
     hits = docs.select("doc_id", F.explode(rules.hits(F.lower("text"))).alias("h")).collect()
