@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.functions.storage import saved
+from sedge.functions.storage import forget, saved, saved_with
 
 #: Up to so many nodes and edges that are left, one task peels them.
 SMALL_REST = 200_000
@@ -63,22 +63,36 @@ def hubs(edges: DataFrame, *, top_n: int = 10, **options) -> DataFrame:
 
 
 def components(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component): the smallest node reachable, by contraction of the graph round by round."""
-    e = saved(edges.filter(F.col(src) != F.col(dst)).select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct(), "cc-edges")
+    """(node, component): the smallest node reachable. Nodes without edges to others are not listed.
+
+    Each round points every node to its smallest neighbour, follows the pointers to their roots and contracts the graph to
+    the roots; at least half of the nodes of each component with edges go in a round. Each step is a table, so lineage stays short.
+    """
+    n_rows = F.count(F.lit(1))
+    e, left = saved_with(edges.filter(F.col(src) != F.col(dst)).select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct(), "cc-edges", n_rows)
     members = None
-    while not e.isEmpty():
+    while left:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")), "cc-to")
-        while True:
+        moved = 1
+        while moved:
             up = to.select(F.col("node").alias("to"), F.col("to").alias("up"))
-            jumped = saved(to.join(up, "to").select("node", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")), "cc-jump")
-            to = jumped.select("node", "to")
-            if jumped.filter("moved").isEmpty():
-                break
-        up = to.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        members = to if members is None else saved(members.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("to")), "cc-members")
-        ends = e.join(to.select(F.col("node").alias("a"), F.col("to").alias("ra")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("rb")), "b").filter("ra <> rb")
-        e = saved(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+            jump = to.join(up, "to").select("node", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved"))
+            jumped, moved = saved_with(jump, "cc-jump", F.count_if("moved"))
+            forget(to)
+            to = jumped
+        to_root = to.select("node", "to")
+        up = to_root.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        ends = e.join(to_root.select(F.col("node").alias("a"), F.col("to").alias("ra")), "a").join(to_root.select(F.col("node").alias("b"), F.col("to").alias("rb")), "b").filter("ra <> rb")
+        fewer, left = saved_with(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges", n_rows)
+        forget(e)
+        e = fewer
+        if members is None:
+            members = to
+        else:
+            next_members = saved(members.select("node", "to").join(up, "to", "left").select("node", F.coalesce("up", "to").alias("to")), "cc-members")
+            forget(members, to)
+            members = next_members
     if members is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.select("node", F.col("to").alias("component"))
