@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.common import table, with_text_batches, written
+from sedge.functions.storage import saved
+from sedge.llm.common import table, with_text_batches
 from sedge.llm.line_dedup import line_dedup
 from sedge.llm.mixing import mix
 from sedge.llm.near_dedup import deduplicated
@@ -59,7 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, "stage")
+            docs = saved(docs, "stage")
     return docs
 
 
