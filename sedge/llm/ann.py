@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.common import written
+from sedge.functions.storage import saved
 from sedge.llm.ranks import with_rank
 
 REACH, SPAN = 3, 512
@@ -165,15 +165,15 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(ids), pa.array(codes[t].ravel())], names=["table", "id", "cell"])
 
-    indexed = written(rows.mapInArrow(place, "table int, cell long, id long, v array<double>"), "ann-index")
-    asked = written(rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
+    indexed = saved(rows.mapInArrow(place, "table int, cell long, id long, v array<double>"), "ann-index")
+    asked = saved(rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
     cells = indexed.groupBy("table", "cell").agg(F.count("*").alias("n"))
     running = Window.partitionBy("table").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(running), F.lit(0))
-    cells = written(cells.withColumn("block", F.floor(start / block)).withColumn("deals", F.ceil(F.col("n") / block).cast("int")), "ann-cells")
+    cells = saved(cells.withColumn("block", F.floor(start / block)).withColumn("deals", F.ceil(F.col("n") / block).cast("int")), "ann-cells")
     visits = asked.mapInArrow(visit, "table int, id long, cell long").join(cells, ["table", "cell"])
     visits = visits.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).groupBy("table", "block", "deal", "id").agg(F.collect_list("cell").alias("cells"))
-    visits = written(visits, "ann-visits")
+    visits = saved(visits, "ann-visits")
     dealt = visits.groupBy("table", "block", "deal").agg(F.ceil(F.count("*") / query_block).cast("int").alias("q_deals"))
 
     def with_groups(visits: DataFrame, dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,11 +182,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
         d = d.withColumn("q_deal", F.explode(F.sequence(F.lit(0), F.col("q_deals") - 1))).select("table", "block", "deal", "q_deal", "id", "v", "cell")
         return q, d
 
-    top = written(_top(_search(*with_groups(visits, dealt), k), k), "ann-found")
+    top = saved(_top(_search(*with_groups(visits, dealt), k), k), "ann-found")
     short = asked.select("id").join(top.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("id")
     if not short.isEmpty():
         blocks = cells.filter("table = 0").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("table", "block", "deal").distinct()
-        blocks = written(with_rank(blocks, [F.col("block"), F.col("deal")], "nth"), "ann-blocks")
+        blocks = saved(with_rank(blocks, [F.col("block"), F.col("deal")], "nth"), "ann-blocks")
         n_blocks, n_short = blocks.count(), short.count()
         again = blocks.select("table", "block", "deal", F.lit(max(1, -(-n_short // query_block))).alias("q_deals"))
         each = short.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_blocks).cast("long")))).join(blocks, "nth")

@@ -2,41 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests, a laptop) a local folder is used.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        made = spark.sparkContext.getCheckpointDir()
-        if made:
-            named = made
-        else:
-            named = "file://" + tempfile.mkdtemp(prefix="sedge-")
-            spark.sparkContext.setCheckpointDir(named)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sedge/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key is hot if it holds more than one in HOT of all rows that are joined; so fewer than HOT keys are, whatever the number of rows.
+HOT = 1000
 
 
 def with_text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -52,3 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def salted_join(rows: DataFrame, keys: DataFrame, on: str, *, size: str, salt: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``on`` to ``keys``, which has a row per key and the number of its rows in ``size``; the column ``size`` stays.
+
+    The rows of a hot key are dealt by a hash of the columns ``salt``, and the key's row is repeated as often: no task holds more than about
+    one in HOT of the rows by one key. The table of hot keys is broadcast; it has fewer than HOT rows. Null keys are dealt as well.
+    ``keys`` is read twice and should be a table.
+    """
+    total = keys.agg(F.sum(size).alias("n")).first()["n"] or 0
+    hot = keys.filter(F.col(size) * HOT > total).select(on, F.ceil(F.col(size) * HOT / F.lit(max(total, 1))).cast("int").alias("_deals"))
+    with_deals = rows.join(F.broadcast(hot), on, "left")
+    deals = F.when(F.col(on).isNull(), HOT).otherwise(F.coalesce("_deals", F.lit(1)))
+    dealt = with_deals.withColumn("_salt", F.when(deals > 1, F.pmod(F.xxhash64(*salt), deals).cast("int")).otherwise(0)).drop("_deals")
+    spread = keys.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    return dealt.join(spread, [on, "_salt"], how).drop("_salt")
+
+
+def safe_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, ..., which clash with no name used here, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

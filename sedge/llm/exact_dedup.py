@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.common import fresh_path, written
+from sedge.functions.storage import fresh_path, saved
 
 #: RocksDB state; it must not reserve megabytes of disk for each of many small stores.
 STATE = {
@@ -76,11 +76,11 @@ def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
 
     ``normalise`` maps the text column before it is hashed and compared.
     """
-    state = written(fold_into_state(spark, path, id_col=id_col, text_col=text_col, normalise=normalise, checkpoint=checkpoint, max_files=max_files), "dedup-anchors")
+    state = saved(fold_into_state(spark, path, id_col=id_col, text_col=text_col, normalise=normalise, checkpoint=checkpoint, max_files=max_files), "dedup-anchors")
     rows = _located(spark.read.parquet(path), id_col, text_col, normalise)
     texts = rows.groupBy("digest", "text").agg(_anchor().alias("t_anchor"), F.count("*").alias("t_n")).drop("text")
     confirmed = texts.groupBy("digest").agg(F.count("*").alias("n_texts"), F.sum("t_n").alias("n_rows"))
-    checked = written(state.join(confirmed, "digest").select("digest", "anchor", "n", (F.col("n_texts") == 1).alias("same")), "dedup-checked")
+    checked = saved(state.join(confirmed, "digest").select("digest", "anchor", "n", (F.col("n_texts") == 1).alias("same")), "dedup-checked")
     columns = ["id", "file", "row", "digest", "anchor", "n"]
     out = rows.select("id", "file", "row", "digest").join(checked.filter("same"), "digest").select(columns)
     clashes = checked.filter("NOT same").select("digest")

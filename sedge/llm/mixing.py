@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.common import written
+from sedge.functions.storage import saved
 from sedge.llm.ranks import with_rank
 
 SLOTS = 1 << 16
@@ -60,24 +60,24 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
         word_count(F.col(text_col)).alias("size"), seeded_order(id_col, seed).alias("u"),
     )
     rows = rows.withColumn("key", F.struct(F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("name")))
-    rows = written(rows.withColumn("slot", F.conv(F.substring("u", 1, 4), 16, 10).cast("int")), "mix-sizes")
+    rows = saved(rows.withColumn("slot", F.conv(F.substring("u", 1, 4), 16, 10).cast("int")), "mix-sizes")
     slots = rows.groupBy("key", "slot").agg(F.sum("size").alias("in_slot"))
     ranked = with_rank(slots.groupBy("key").agg(F.sum("in_slot").alias("size")), [F.col("key")], "nth")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("nth") - 1, F.lit(len(weights))) + 1).cast("int"))
-    sources = written(ranked.select("key", "size", weight.alias("weight"), (F.col("size") * float(max_epochs)).alias("cap")), "mix-sources")
+    sources = saved(ranked.select("key", "size", weight.alias("weight"), (F.col("size") * float(max_epochs)).alias("cap")), "mix-sources")
     targets = water_level(sources).select("key", F.col("size").alias("source_size"), "target")
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     chosen = _taken_in_order(rows, targets.select("key", F.col("rest").alias("room")))
     for _ in range(FILLS):
-        chosen = written(chosen, "mix-chosen")
+        chosen = saved(chosen, "mix-chosen")
         short = _missing(chosen, targets).filter(F.col("missing") > MISS * F.col("target"))
         if short.isEmpty():
             break
         fits = chosen.filter("extra = 0 AND size > 0").join(short, "key").filter("size <= missing").select(rows.columns)
         more = _taken_in_order(fits, short.select("key", F.col("missing").alias("room"))).filter("extra = 1").select("key", "u", "size", "id", F.lit(1).alias("added")).distinct()
         chosen = chosen.alias("c").join(more.alias("m"), _same_row("c", "m"), "left").select(*[F.col(f"c.{c}") for c in rows.columns], F.coalesce(F.col("m.added"), F.col("c.extra")).cast("long").alias("extra"))
-    chosen = written(chosen, "mix-chosen")
+    chosen = saved(chosen, "mix-chosen")
     # One more document per source: of those left, the one nearest to what is missing.
     missing = _missing(chosen, targets)
     off = F.abs(F.col("size") - F.col("missing"))

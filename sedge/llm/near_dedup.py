@@ -10,15 +10,16 @@ them may be cut, t * k less SIGMAS standard deviations of a hypergeometric draw,
 kept - need + 1 values; only these generate, and values held by a single representative cannot. A passage that very many
 documents share is last in that order and generates only between documents that consist of it for the most part.
 
-What lists hold is linked in rounds: each list's members meet one hub (a row per member, never all pairs), links are
-confirmed on full shingle sets, and components contract. What hubs leave - members that lie outside their list's largest
-component - then meets the members of other components, so no link between components is lost, while members that are already
-connected are not compared again.
+What lists hold is linked in rounds: each list's members meet one hub (a row per member, never all pairs), the member with the
+largest share of values that others hold too; links are confirmed on full shingle sets, and components contract. What hubs leave -
+members that lie outside their list's largest component - then meets the members of other components over exact prefixes of
+the full sets, so no link between components is lost, while members that are already connected are not compared again.
 
-A member x that no hub took is first held against the hub h nearest to it, on full sets. A partner y needs at least
-t / (1 + t) * (|x| + |y|) common shingles; where |x and h| is less, x and y must share a shingle outside h. So x meets, over the
-lists, only members small enough to do with what x has in common with h, and otherwise only those that hold one of the few
-shingles in x but not in h. Thousands of copies that each differ from one text in other places give no pairs of copies this way.
+In that last step a shingle at place p of a set of n, rarest first, is the first one shared with a partner only if the partner's
+size is at most (1 + t) / t * (n - p) - n, since no more than n - p shingles can be common. Each shingle so carries a window of
+sizes, and two sets meet over it only if each lies in the other's window. Sets that hold many shingles of their own
+lose all the windows that reach their own size, so thousands of copies that each differ from one text in other places
+give next to no pairs of copies, whatever their list's length.
 
 Defined cases: a text with fewer words than a shingle is one shingle; null, empty or blank texts have no shingles and are linked
 with nothing; rows that share an id but not a text are linked by the texts of all of them; rows with a null id get the
@@ -37,9 +38,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import written
-from sedge.llm.components import connected_components
+from sedge.functions.storage import forget, saved
+from sedge.llm.common import HOT, salted_join
 from sedge.llm.textarrays import ascii_words, mixed, powers, slices
+from sedge.operators.graph import components
 
 #: Broadcast at most so many candidate ids (8 bytes each); beyond it they meet the texts in a shuffled join.
 BROADCAST_IDS = 1_000_000
@@ -47,6 +49,8 @@ BROADCAST_IDS = 1_000_000
 PAIR_LIST = 8
 HUB_ROUNDS = 2
 SIGMAS = 5.5
+#: Sizes in one bin differ by a factor of at most this.
+SIZE_BIN = 1.03
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,14 +107,15 @@ def need(n: Column, threshold: float, k: int) -> Column:
 
 
 def generating(reps: DataFrame, *, threshold: float, k: int) -> DataFrame:
-    """(value, id, n): the values of each representative that generate candidates."""
+    """(value, id, n, core): the values of each representative that generate candidates, and its share of values that others hold too."""
     postings = reps.select("id", "set_hash", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
-    lists = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    held = postings.join(lists, "value")
+    lists = saved(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "list-sizes")
+    held = salted_join(postings, lists, "value", size="df", salt=["id"])
     per_set = held.groupBy("id", "set_hash").agg(F.max("n").alias("n"), F.max("kept").alias("kept"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     first = F.col("kept") - need(F.col("n"), threshold, k) + 1  # so many values, of which the unshared ones come first
     some = per_set.withColumn("take", first - (F.col("kept") - F.size("v"))).filter("take > 0")
-    return some.select("id", "n", F.explode(F.slice("v", F.lit(1), F.col("take"))).alias("p")).select("p.value", "id", "n").distinct()
+    core = (F.size("v") / F.col("kept")).alias("core")
+    return some.select("id", "n", core, F.explode(F.slice("v", F.lit(1), F.col("take"))).alias("p")).select("p.value", "id", "n", "core").distinct()
 
 
 def _size_fits(a: str, b: str, threshold: float) -> Column:
@@ -178,13 +183,13 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 128) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_id (least id with the same set), component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    made = written(sketches(texts, width=width, k=k), "sketches")
-    classes = made.filter("n > 0").groupBy("set_hash").agg(F.min("id").alias("class_id"))
+    made = saved(sketches(texts, width=width, k=k), "sketches")
+    classes = saved(made.filter("n > 0").groupBy("set_hash").agg(F.min("id").alias("class_id"), F.count("*").alias("rows")), "classes")
     first = classes.filter("class_id IS NOT NULL").select(F.col("class_id").alias("id"), "set_hash")
     # A class may hold its least id twice; either row's sketch will do.
-    reps = written(made.join(first, ["id", "set_hash"]).dropDuplicates(["id", "set_hash"]).select("id", "set_hash", "n", "sketch"), "representatives")
-    parts = connected_components(links(reps, texts, percent=percent, width=width, k=k))
-    named = made.select("id", "n", "set_hash").join(classes, "set_hash", "left")
+    reps = saved(made.join(first, ["id", "set_hash"]).dropDuplicates(["id", "set_hash"]).select("id", "set_hash", "n", "sketch"), "representatives")
+    parts = components(links(reps, texts, percent=percent, width=width, k=k), src="a", dst="b")
+    named = salted_join(made.select("id", "n", "set_hash"), classes, "set_hash", size="rows", salt=["id"], how="left")
     out = named.join(parts.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     component = F.coalesce("component", "class_id", "id")
     return out.select("id", F.col("n").alias("n_shingles"), "class_id", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
@@ -198,9 +203,9 @@ def _by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the least id. Rows with a null id stay."""
-    verdict = written(near_duplicates(docs, id_col=id_col, **options).select("id", "kept").filter("id IS NOT NULL"), "near-verdict")
-    dropped = written(verdict.filter("NOT kept").select("id").distinct(), "near-dropped")
-    twice = written(verdict.filter("kept").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "near-twice")
+    verdict = saved(near_duplicates(docs, id_col=id_col, **options).select("id", "kept").filter("id IS NOT NULL"), "near-verdict")
+    dropped = saved(verdict.filter("NOT kept").select("id").distinct(), "near-dropped")
+    twice = saved(verdict.filter("kept").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "near-twice")
     out = _by_ids(docs, dropped, id_col, "left_anti").select(docs.columns)
     if twice.isEmpty():
         return out
@@ -211,77 +216,89 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataF
 def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int) -> DataFrame:
     """Confirmed links (a, b) between representatives whose components are those of all links."""
     threshold = percent / 100
-    lists = written(generating(reps, threshold=threshold, k=k), "lists")
-    sizes = lists.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1")
-    lists = written(lists.join(sizes, "value"), "lists-shared")
-    ids = written(lists.select("id").distinct(), "list-ids")
-    active = written(reps.join(ids, "id", "left_semi"), "active")
-    sets = written(full_sets(texts, ids, width=width), "full-sets")
+    made = saved(generating(reps, threshold=threshold, k=k), "lists")
+    sizes = saved(made.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1"), "list-sizes")
+    lists = saved(salted_join(made, sizes, "value", size="m", salt=["id"]), "lists-shared")
+    ids = saved(lists.select("id").distinct(), "list-ids")
+    active = saved(reps.join(ids, "id", "left_semi"), "active")
+    sets = saved(full_sets(texts, ids, width=width), "full-sets")
+    forget(made, sizes, ids)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return confirmed(filtered(written(_ordered(pairs), "pairs"), active, threshold=threshold, k=k), sets, percent=percent)
+        candidates = saved(_ordered(pairs), "pairs")
+        likely = saved(filtered(candidates, active, threshold=threshold, k=k), "likely-pairs")
+        good = saved(confirmed(likely, sets, percent=percent), "good-pairs")
+        forget(candidates, likely)
+        return good
 
     def with_hub(members: DataFrame, hubs: DataFrame) -> DataFrame:
-        return members.join(hubs, "value").filter(_size_fits("n", "hn", threshold)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+        met = salted_join(members.drop("m"), hubs, "value", size="m", salt=["id"]).filter("component <> hc")
+        return met.filter(_size_fits("n", "hn", threshold)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+
+    def hubs_of(members: DataFrame) -> DataFrame:
+        central = F.min(F.struct(-F.col("core"), "id", "n", "component")).alias("h")
+        chosen = members.groupBy("value").agg(central, F.max("m").alias("m"))
+        return saved(chosen.select("value", "m", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.component").alias("hc")), "hubs")
 
     small, large = lists.filter(F.col("m") <= PAIR_LIST), lists.filter(F.col("m") > PAIR_LIST)
     other = small.select("value", F.col("id").alias("b"), F.col("n").alias("nb"))
     pairs = small.withColumnRenamed("id", "a").join(other, "value").filter("a < b").filter(_size_fits("n", "nb", threshold)).select("a", "b")
-    hub = F.min(F.struct("id", "n"))
-    hubs = written(large.groupBy("value").agg(hub.alias("h")).select("value", F.col("h.id").alias("hub"), F.col("h.n").alias("hn")), "hubs")
-    edges = written(verified(pairs.unionByName(with_hub(large, hubs))), "links")
-    if large.isEmpty():
-        return edges
+    alone = large.withColumn("component", F.col("id"))
+    hubs = hubs_of(alone)
+    edges = verified(pairs.unionByName(with_hub(alone, hubs)))
+    forget(hubs)
     for turn in range(HUB_ROUNDS + 1):
-        parts = connected_components(edges)
+        parts = components(edges, src="a", dst="b")
         members = large.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        members = written(members, "members")
+        members = saved(members, "members")
         sums = members.groupBy("value", "component").agg(F.count("*").alias("c"))
-        most = sums.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("value", F.col("top.component").alias("top"))
-        open_lists = written(members.join(most, "value").withColumn("outside", F.col("component") != F.col("top")), "open-lists")
+        most = sums.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+        most = saved(most.select("value", "m", F.col("top.component").alias("top")), "list-tops")
+        open_lists = saved(salted_join(members.drop("m"), most, "value", size="m", salt=["id"]).withColumn("outside", F.col("component") != F.col("top")), "open-lists")
+        forget(members, most)
         outside = open_lists.filter("outside")
         if outside.isEmpty():
-            return edges
+            forget(open_lists)
+            break
         if turn < HUB_ROUNDS:
-            by_turn = F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "n", "component")
-            chosen = outside.groupBy("value").agg(F.min(by_turn).alias("h")).select("value", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.component").alias("hc"))
-            chosen = written(chosen, "hubs")
-            pairs = with_hub(open_lists.join(chosen.select("value", "hc"), "value").filter("component <> hc"), chosen.drop("hc"))
-            hubs = hubs.unionByName(chosen.drop("hc"))
+            hubs = hubs_of(outside)
+            more = verified(with_hub(open_lists, hubs))
+            forget(hubs)
         else:
-            pairs = _left_over(open_lists, outside, hubs.select("value", "hub").distinct(), active, sets, percent=percent)
-        edges = written(edges.unionByName(verified(pairs)).distinct(), "links")
+            more = verified(_left_over(open_lists, sets, percent=percent))
+        forget(open_lists)
+        both = saved(edges.unionByName(more).distinct(), "links")
+        forget(edges, more)
+        edges = both
+    forget(lists, active, sets)
     return edges
 
 
-def _left_over(open_lists: DataFrame, outside: DataFrame, hubs: DataFrame, active: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
-    """Pairs (a, b) that may still link members outside their lists' largest component to others; see the module's text."""
-    threshold = percent / 100
-    sketch_of = active.select("id", "sketch")
-    tried = outside.select("value", "id").join(hubs, "value").filter("id <> hub").select("id", "hub").distinct()
-    near = tried.join(sketch_of, "id").join(sketch_of.select(F.col("id").alias("hub"), F.col("sketch").alias("hs")), "hub")
-    near = near.select("id", "hub", F.size(F.array_intersect("sketch", "hs")).alias("both")).groupBy("id").agg(F.max_by("hub", F.struct("both", -F.col("hub"))).alias("hub"))
+def size_window(percent: int) -> tuple[Column, Column]:
+    """Least and largest size of a partner whose first common shingle is one after which ``left`` of a set's ``n`` shingles come (itself counted)."""
+    n, left = F.col("n"), F.col("left")
+    least = F.ceil(n * percent / F.lit(100))
+    most = F.least(F.floor(n * 100 / F.lit(percent)), F.floor((left * (100 + percent) - n * percent) / F.lit(percent)))
+    return least.cast("long"), most.cast("long")
 
-    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            common, rest = [], []
-            for x, h in zip(batch.column("x"), batch.column("h"), strict=True):
-                p = x.values.to_numpy()
-                apart = np.setdiff1d(p, h.values.to_numpy(), assume_unique=True)
-                common.append(len(p) - len(apart))
-                rest.append(apart)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(common, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["id", "common", "rest"])
-
-    held = near.join(sets.select("id", F.col("shingles").alias("x")), "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("h")), "hub")
-    held = written(held.select("id", "x", "h").mapInArrow(beside, "id long, common long, rest array<long>"), "beside-hubs")
-    of_all = open_lists.select("id", "n", "component").distinct()
-    x = outside.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    x = x.join(held.select(F.col("id").alias("a"), "common"), "a", "left").withColumn("common", F.coalesce("common", "na"))
-    y = open_lists.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    enough = F.col("common") * (100 + percent) >= F.lit(percent) * (F.col("na") + F.col("nb"))
-    over_lists = x.join(y, "value").filter("ca <> cb").filter(_size_fits("na", "nb", threshold)).filter(enough).select("a", "b")
-    # A set is a candidate of x by each shingle that x has beside its hub.
-    dx = held.select(F.col("id").alias("a"), F.explode("rest").alias("value")).join(of_all.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), "a")
-    dy = sets.join(of_all, "id").select(F.explode("shingles").alias("value"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    beside_hubs = dx.join(dy, "value").filter("ca <> cb").filter(_size_fits("na", "nb", threshold)).select("a", "b")
-    return over_lists.unionByName(beside_hubs)
+
+def size_bin(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(SIZE_BIN)).cast("int")
+
+
+def _left_over(open_lists: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
+    """Pairs (a, b) that may still link members outside their lists' largest component to others; see the module's text."""
+    who = saved(open_lists.groupBy("id").agg(F.max("n").alias("n"), F.max("component").alias("component"), F.max("outside").alias("outside")), "open-members")
+    postings = sets.join(who.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("value"))
+    often = saved(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "shingle-sizes")
+    shared = salted_join(postings, often, "value", size="df", salt=["id"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    places = shared.select("id", F.size("v").alias("size"), F.posexplode("v").alias("at", "p")).select("id", F.col("p.value").alias("value"), (F.col("size") - F.col("at")).cast("long").alias("left"))
+    least, most = size_window(percent)
+    placed = places.join(who, "id").withColumn("least", least).withColumn("most", most).filter("most >= least")
+    placed = saved(placed.select("value", "id", "n", "component", "outside", "least", "most"), "placed")
+    # Of a pair the smaller set must lie in the larger one's window, up to its own size, and the larger one in the smaller one's.
+    lower = placed.filter("most >= n").select("value", size_bin(F.col("n")).alias("bin"), *[F.col(c).alias(f"l_{c}") for c in ("id", "n", "component", "outside", "most")])
+    upper = placed.withColumn("to", F.least("most", "n")).withColumn("bin", F.explode(F.sequence(size_bin(F.col("least")), size_bin(F.col("to")))))
+    fits = F.col("l_n").between(F.col("least"), F.col("to")) & (F.col("n") <= F.col("l_most"))
+    met = lower.join(upper, ["value", "bin"]).filter(fits & (F.col("outside") | F.col("l_outside")) & (F.col("component") != F.col("l_component")))
+    return met.select(F.col("l_id").alias("a"), F.col("id").alias("b"))

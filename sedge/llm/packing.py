@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import written
+from sedge.functions.storage import saved
 from sedge.llm.textarrays import buffers, runs_of, slices
 
 PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -184,7 +184,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, end_id: int = 2, group_size: int = 50_000) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = written(cut_pieces(docs, vocabulary, id_col=id_col, text_col=text_col, window=window, end_id=end_id), "pack-pieces")
+    pieces = saved(cut_pieces(docs, vocabulary, id_col=id_col, text_col=text_col, window=window, end_id=end_id), "pack-pieces")
     groups = max(1, -(-pieces.count() // group_size))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.common import written
+from sedge.functions.storage import saved
 from sedge.llm.textarrays import mixed, run_hashes, slices, tokens
 
 BUCKETS = 1 << 12
@@ -181,7 +181,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     check = F.broadcast(checks[0].unionByName(checks[1]).groupBy(F.col("id").alias("_check")).agg(F.min("good").alias("_good")))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(check, F.col("_id") == F.col("_check"), "left")
     every = Selection(model, 0.0, 0, 0.0, scale, seed)
-    scored = written(every.columns(rows, id_col="_id", text_col="_text").select("_good", F.col("_log_weight").alias("weight"), F.col("_key").alias("key")), "quality-scores")
+    scored = saved(every.columns(rows, id_col="_id", text_col="_text").select("_good", F.col("_log_weight").alias("weight"), F.col("_key").alias("key")), "quality-scores")
     fold_rows = scored.filter("_good IS NOT NULL AND weight IS NOT NULL").select("_good", "weight").toPandas()  # bounded by max_calibration
     values, good = fold_rows["weight"].to_numpy(float), fold_rows["_good"].to_numpy(int)
     cut = best_cut(values[good == 1], values[good == 0])

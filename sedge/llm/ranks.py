@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.common import written
+from sedge.functions.storage import saved
 
 
 def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -13,7 +13,7 @@ def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
     Only one row per part meets in one task. ``order`` should be a total order; equal rows get ranks in any order.
     """
-    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    parts = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))

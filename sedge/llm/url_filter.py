@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import written
+from sedge.functions.storage import saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WILD = "*"
@@ -82,13 +82,13 @@ def url_templates(pages: DataFrame, *, url_col: str = "url", label_col: str = "b
     """(host, shape) -> template with its counts, purity (smoothed share of rejected labels) and rejected."""
     bad = F.col(label_col).cast("int")
     rows = with_url_parts(pages.select(url_col, label_col), url_col).select("host", path_shape(F.col("path"), depth).alias("shape"), bad.alias("_bad"))
-    nodes = written(rows.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count("_bad").alias("labelled"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")), "url-shapes")
+    nodes = saved(rows.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count("_bad").alias("labelled"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")), "url-shapes")
     overall = nodes.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n")).first()
     prior = (overall["b"] or 0) / overall["n"] if overall["n"] else 0.0
     grown = nodes.withColumn("template", F.lit(""))
     deepest = nodes.agg(F.max(F.size("shape")).alias("d")).first()["d"] or 0
     for level in range(deepest):
-        grown = written(_merged_level(grown, level, min_values=min_values, value_share=value_share, z=z), "url-level")
+        grown = saved(_merged_level(grown, level, min_values=min_values, value_share=value_share, z=z), "url-level")
     sums = grown.groupBy("host", "template").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     purity = (F.col("bad") + prior_weight * prior) / (F.col("labelled") + prior_weight)
     sums = sums.withColumn("purity", purity).withColumn("rejected", F.col("purity") > max_bad)
