@@ -35,14 +35,8 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _ends_word(after: np.ndarray, first: np.ndarray, blank: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the run of marks first .. after - 1 ends its word: a blank or the text's end comes next."""
-    text_end = at[np.searchsorted(at, first, side="right")]
-    return (after >= text_end) | np.append(blank, True)[np.minimum(after, len(blank))]
-
-
-def word_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words between ASCII blanks as a binary array, and the index of each text's first word (n + 1 entries).
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words between ASCII blanks: (bytes, start, length, index of each text's first word (n + 1 entries)).
 
     A-Z is lower-cased and the ASCII marks that end a word after an ASCII letter are a word of their own: the vocabulary's own
     normaliser and pre-tokeniser do the same, and far fewer distinct words are left. Texts with the mark of a special token stay as they are.
@@ -54,44 +48,104 @@ def word_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         raw = raw + (((raw >= 65) & (raw <= 90)).astype(np.uint8) << 5)
         letter = (raw >= 97) & (raw <= 122)
         mark = (raw > 32) & (raw < 127) & ~letter & ~((raw >= 48) & (raw <= 57))
-        other = np.flatnonzero(~mark)
-        after = np.append(other, len(raw))[np.searchsorted(other, np.arange(len(raw)))] if len(raw) else other
-        first = np.flatnonzero(mark & np.concatenate(([False], letter[:-1])))
-        stop = first[_ends_word(after[first], first, blank, at)]
-        breaks = np.union1d(at, stop)
+        first = np.flatnonzero(mark[1:] & letter[:-1]) + 1
+        other = np.append(np.flatnonzero(~mark), len(raw))
+        after = other[np.searchsorted(other, first)]  # where the run of marks that starts here ends
+        text_end = at[np.searchsorted(at, first, side="right")]
+        breaks = np.union1d(at, first[(after >= text_end) | np.append(blank, True)[after]])
     start, length = runs_of(~blank, breaks)
-    first = np.searchsorted(start, at)
-    if not len(start):
-        return pa.array([], pa.large_binary()), first
-    inside = raw[~blank]
-    offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(inside))]), first
+    return raw, start, length, np.searchsorted(start, at)
+
+
+#: Words of at most so many bytes are compared as two 64-bit numbers.
+SHORT = 16
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9], np.uint64)
 
 
 class WordIds:
-    """Token ids of words by the library, remembered in the worker for at most ``limit`` words."""
+    """Token ids of words by the library, remembered in the worker for at most about ``limit`` words.
+
+    Short words lie in an open-addressed table of numpy arrays that holds their very bytes, so a whole slice is looked up at once;
+    longer ones, which are few, in a dictionary.
+    """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         self.path, self.limit = path, limit
+        self.bits = (4 * limit).bit_length()
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.low, self.high, self.size = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.long: dict[bytes, int] = {}
         self.flat, self.start = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of each word, all ids, bounds of the indexed words)."""
-        if len(self.place) > self.limit:
+    def _slot(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = low * _MIX[0] ^ (high * _MIX[1] + size.astype(np.uint64) * _MIX[2])
+        h = (h ^ (h >> np.uint64(29))) * _MIX[3]
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Index of each word, -1 where it is not known."""
+        out = np.full(len(low), -1, np.int64)
+        slot, open_ = self._slot(low, high, size), np.arange(len(low))
+        while len(open_):
+            there = self.slots[slot].astype(np.int64)
+            held = there >= 0
+            open_, slot, there = open_[held], slot[held], there[held]
+            same = (self.low[there] == low[open_]) & (self.high[there] == high[open_]) & (self.size[there] == size[open_])
+            out[open_[same]] = there[same]
+            open_, slot = open_[~same], (slot[~same] + 1) & (len(self.slots) - 1)
+        return out
+
+    def _insert(self, index: np.ndarray) -> None:
+        slot = self._slot(self.low[index], self.high[index], self.size[index])
+        while len(index):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = index[free]
+            placed = self.slots[slot] == index
+            index, slot = index[~placed], (slot[~placed] + 1) & (len(self.slots) - 1)
+
+    def _add(self, words: list[bytes], low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        first = len(self.start) - 1
+        lists = [e.ids for e in tokenizer(self.path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        n = np.array([len(x) for x in lists], np.int64)
+        self.flat = np.concatenate((self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(n.sum()))))
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(n)))
+        self.low, self.high, self.size = np.concatenate((self.low, low)), np.concatenate((self.high, high)), np.concatenate((self.size, size))
+        return np.arange(first, first + len(words))
+
+    def of(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Index of each word raw[start : start + length] in the bounds ``start`` of ``flat``."""
+        if len(self.start) > self.limit:
             self.clear()
-        new = [w for w in words if w not in self.place]
-        if new:
-            lists = [e.ids for e in tokenizer(self.path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            size = np.array([len(x) for x in lists], np.int64)
-            self.flat = np.concatenate((self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))))
-            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(size)))
-            n = len(self.place)
-            self.place.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.array([self.place[w] for w in words], np.int64), self.flat, self.start
+        padded = np.concatenate((raw, np.zeros(SHORT, np.uint8)))
+        eights = np.ndarray(len(raw) + 9, "<u8", padded, strides=(1,))
+        low = eights[start] & _MASKS[np.minimum(length, 8)]
+        high = eights[start + 8] & _MASKS[np.clip(length - 8, 0, 8)]
+        out = self._find(low, high, length)
+        wide = length > SHORT
+        out[wide] = -1
+        new = np.flatnonzero((out < 0) & ~wide)
+        if len(new):
+            order = new[np.lexsort((length[new], high[new], low[new]))]
+            differs = np.ones(len(order), bool)
+            differs[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]]) | (length[order[1:]] != length[order[:-1]])
+            one = order[differs]
+            words = [raw[a : a + n].tobytes() for a, n in zip(start[one].tolist(), length[one].tolist(), strict=True)]
+            made = self._add(words, low[one], high[one], length[one])
+            self._insert(made)
+            out[order] = made[np.cumsum(differs) - 1]
+        wide = np.flatnonzero(wide)
+        if len(wide):
+            words = [raw[a : a + n].tobytes() for a, n in zip(start[wide].tolist(), length[wide].tolist(), strict=True)]
+            unknown = list(dict.fromkeys(w for w in words if w not in self.long))
+            if unknown:
+                none = np.zeros(len(unknown), np.uint64)
+                self.long.update(zip(unknown, self._add(unknown, none, none, none.astype(np.int64)).tolist(), strict=True))
+            out[wide] = [self.long[w] for w in words]
+        return out
 
 
 @lru_cache(4)
@@ -101,16 +155,15 @@ def word_ids(path: str) -> WordIds:
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, offsets). The vocabulary must drop blanks, so that a text's ids are those of its words in turn."""
-    words, first = word_texts(texts)
-    if len(words) == 0:
+    raw, start, length, first = words_of(texts)
+    if len(start) == 0:
         return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-    coded = words.dictionary_encode()
-    index, flat, bounds = word_ids(path).of(coded.dictionary.to_pylist())
-    which = index[coded.indices.to_numpy()]
-    n = bounds[which + 1] - bounds[which]
+    known = word_ids(path)
+    which = known.of(raw, start, length)
+    from_ = known.start[which]
+    n = known.start[which + 1] - from_
     ends = np.cumsum(n)
-    within = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
-    ids = flat[np.repeat(bounds[which], n) + within]
+    ids = known.flat[np.repeat(from_ - (ends - n), n) + np.arange(int(ends[-1]))]
     return ids, np.concatenate(([0], ends))[first]
 
 
