@@ -8,24 +8,62 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def delimited_blocks(lines: DataFrame, *, id: str, least_lines: int = 3, delimiter: str = "|") -> DataFrame:
-    """Lines of runs with equal, positive delimiter counts: id, block_no, row_no (0 = header), line_no, line."""
-    n = F.length("line") - F.length(F.replace("line", F.lit(delimiter), F.lit("")))
+def delimited_blocks(lines: DataFrame, *, id: str, least_lines: int = 3, delimiters: Sequence[str] = ("\t", "|")) -> DataFrame:
+    """Lines of runs with equal, positive counts of one delimiter: id, block_no, row_no (0 = header), line_no, line, delimiter.
+
+    A line's delimiter is the first of ``delimiters`` that it holds.
+    """
+    count = lambda d: F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))
+    kind = F.coalesce(*[F.when(count(d) > 0, F.struct(F.lit(d).alias("delimiter"), count(d).alias("n"))) for d in delimiters])
     w = Window.partitionBy(id).orderBy("line_no")
-    rows = lines.withColumn("_n", n).withColumn("_new", F.when(F.lag("_n").over(w).eqNullSafe(F.col("_n")), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w)).filter("_n > 0")
+    rows = lines.withColumn("_k", kind).withColumn("_new", F.when(F.lag("_k").over(w).eqNullSafe(F.col("_k")), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w)).filter("_k IS NOT NULL")
     run = Window.partitionBy(id, "_run")
     rows = rows.withColumn("_size", F.count("*").over(run)).filter(F.col("_size") >= least_lines)
-    return rows.select(id, F.dense_rank().over(Window.partitionBy(id).orderBy("_run")).alias("block_no"), (F.row_number().over(run.orderBy("line_no")) - 1).alias("row_no"), "line_no", "line")
+    number = F.dense_rank().over(Window.partitionBy(id).orderBy("_run")).alias("block_no")
+    return rows.select(id, number, (F.row_number().over(run.orderBy("line_no")) - 1).alias("row_no"), "line_no", "line", F.col("_k.delimiter").alias("delimiter"))
+
+
+#: A line of dashes, colons and blanks between pipes.
+RULER = r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t\r]*$"
 
 
-def cells(blocks: DataFrame, *, id: str, delimiter: str = "|") -> DataFrame:
-    """(id, block_no, row_no, col_no, header, value): trimmed cells under the block's first line."""
-    parts = F.transform(F.split("line", F.concat(F.lit("\\Q"), F.lit(delimiter), F.lit("\\E"))), lambda c: F.btrim(c, F.lit(" \t\r")))
+def markdown_blocks(lines: DataFrame, *, id: str) -> DataFrame:
+    """Tables of a pipe line, a ruler and pipe lines: id, block_no, row_no (0 = header), line_no, values.
+
+    Blank cells go; a row stays if it has as many cells as the header, and a table if any row stays.
+    """
+    w = Window.partitionBy(id).orderBy("line_no")
+    pipe = F.contains("line", F.lit("|"))
+    ruler = pipe & F.col("line").rlike(RULER)
+    values = F.filter(F.transform(F.split("line", r"\|"), lambda c: F.btrim(c, F.lit(" \t\r"))), lambda c: c != "")
+    rows = lines.withColumn("_pipe", pipe).withColumn("_ruler", ruler).withColumn("_head", F.col("_pipe") & ~F.col("_ruler") & F.coalesce(F.lead("_ruler").over(w), F.lit(False)))
+    rows = rows.withColumn("_run", F.sum((F.col("_head") | ~F.col("_pipe")).cast("int")).over(w)).filter("_pipe").withColumn("values", values)
+    run = Window.partitionBy(id, "_run").orderBy("line_no")
+    rows = rows.withColumn("_headed", F.first("_head").over(run)).withColumn("_n", F.first(F.size("values")).over(run)).withColumn("_at", F.row_number().over(run))
+    rows = rows.filter(F.col("_headed") & (F.col("_at") != 2) & (F.size("values") == F.col("_n")))
+    rows = rows.withColumn("_size", F.count("*").over(Window.partitionBy(id, "_run"))).filter("_size > 1")
+    number = F.dense_rank().over(Window.partitionBy(id).orderBy("_run")).alias("block_no")
+    return rows.select(id, number, (F.row_number().over(run) - 1).alias("row_no"), "line_no", "values")
+
+
+def cells(blocks: DataFrame, *, id: str) -> DataFrame:
+    """(id, block_no, row_no, col_no, header, value): trimmed cells under the block's first line. ``blocks`` is of either kind."""
+    if "values" in blocks.columns:
+        parts = F.col("values")
+    else:
+        parts = F.transform(F.split("line", F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E"))), lambda c: F.btrim(c, F.lit(" \t\r")))
     long = blocks.select(id, "block_no", "row_no", F.posexplode(parts).alias("col_no", "value"))
     head = long.filter("row_no = 0").select(id, "block_no", "col_no", F.col("value").alias("header"))
     return long.filter("row_no > 0").join(head, [id, "block_no", "col_no"])
 
 
+def dedup_tables(cells_df: DataFrame, *, id: str) -> DataFrame:
+    """(id, block_no, n_copies, digest): the first table of each group with the same headers and rows in a document."""
+    content = F.array_sort(F.collect_list(F.struct("row_no", "col_no", "header", "value")))
+    tables = cells_df.groupBy(id, "block_no").agg(F.sha2(F.to_json(content), 256).alias("digest"))
+    return tables.groupBy(id, "digest").agg(F.min("block_no").alias("block_no"), F.count("*").alias("n_copies"))
+
+
 def type_score(cells_df: DataFrame, kinds: Sequence[tuple[str, Sequence[str], Sequence[str]]], *, id: str) -> DataFrame:
     """(id, block_no, kind, score): .6 x share of a kind's header words found + .4 x share of its content words in the first rows; the best, ties to the first."""
     heads = F.lower(F.concat_ws(" ", F.array_sort(F.collect_set("header"))))
@@ -48,11 +86,15 @@ def top_tables(tables: DataFrame, *, id: str, score: str, k: int = 10) -> DataFr
     return tables.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k)
 
 
-def rollups(cells_df: DataFrame, *, id: str) -> DataFrame:
+#: Words that mark a cell as vacant.
+VACANT = ("", "vacant", "available", "empty", "tbd", "n/a")
+
+
+def rollups(cells_df: DataFrame, *, id: str, vacant_words: Sequence[str] = VACANT) -> DataFrame:
     """Per block: sum and mean of the positive numbers in its cells, and cells that are vacant."""
     number = F.expr(r"try_cast(regexp_replace(value, '[^0-9.-]', '') as decimal(38, 6))")
     rows = cells_df.withColumn("_x", F.when(number > 0, number))
-    vacant = F.lower("value").isin("", "vacant", "available", "empty", "tbd", "n/a")
+    vacant = F.lower("value").isin(*vacant_words)
     return rows.groupBy(id, "block_no").agg(F.sum("_x").cast("double").alias("total"), F.round(F.avg(F.col("_x").cast("double")), 6).alias("mean"), F.count_if(vacant).alias("n_vacant"), F.count("*").alias("n_cells"))
 
 

@@ -109,9 +109,9 @@ def sink_flat_export(spark, sf):
 
 
 @query("sink_markdown", """
-SELECT conv_id, CASE WHEN count(*) < 5 THEN '# Limited report' ELSE '# Report' END || chr(10) || string_agg('## ' || role || chr(10) || left(text, 40), chr(10) ORDER BY turn) AS report FROM conversations GROUP BY 1""")
+SELECT conv_id, CASE WHEN count(*) < 5 THEN '# Limited report' ELSE '# Report' END || chr(10) || string_agg('## ' || role || chr(10) || text, chr(10) ORDER BY turn) AS report FROM conversations GROUP BY 1""")
 def sink_markdown(spark, sf):
-    rows = t(spark, sf, "conversations").select("conv_id", "turn", "role", F.left("text", F.lit(40)).alias("body"))
+    rows = t(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("body"))
     return tables.report_markdown(rows, doc="conv_id", title="role", body="body", order="turn")
 
 
@@ -201,62 +201,102 @@ def total_cost_calc(spark, sf):
     return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(sub, 4).alias("subtotal"), F.round(year, 4).alias("annual"))
 
 
-BLOCK_SQL = """
-ls AS (SELECT doc_id, list_zip(range(len(string_split(text, chr(10)))), string_split(text, chr(10))) AS z FROM documents), ln AS (SELECT doc_id, u[1] AS line_no, u[2] AS line FROM (SELECT doc_id, unnest(z) AS u FROM ls)),
-c AS (SELECT *, length(line) - length(replace(line, '|', '')) AS n FROM ln), r AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN lag(n) OVER (PARTITION BY doc_id ORDER BY line_no) IS NOT DISTINCT FROM n THEN 0 ELSE 1 END AS nw FROM c)),
-b AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY run) AS block_no, row_number() OVER (PARTITION BY doc_id, run ORDER BY line_no) - 1 AS row_no, line_no, line FROM r WHERE n > 0),
-ce AS (SELECT doc_id, block_no, row_no, i - 1 AS col_no, trim(string_split(line, '|')[i], ' ' || chr(9) || chr(13)) AS value FROM (SELECT *, unnest(range(1, len(string_split(line, '|')) + 1)) AS i FROM b))"""
+#: Texts with tables: the documents, a pipe table per order and, for every third order, a tab table with the same lines twice.
+TABLE_TEXTS = """
+ln0 AS (SELECT l_orderkey, CAST(l_linenumber AS STRING) || '|' || CAST(l_partkey AS STRING) || '|' || CAST(CAST(floor(l_quantity) AS INT) AS STRING) || '|' || CASE WHEN l_linenumber % 3 = 0 THEN 'n/a' ELSE l_returnflag END AS line FROM lineitem),
+ln1 AS (SELECT l_orderkey, array_to_string(array_sort(array_agg(line)), chr(10)) AS body FROM ln0 GROUP BY l_orderkey),
+tx AS (SELECT doc_id, text FROM documents UNION ALL SELECT 1000000000 + l_orderkey, 'Order' || chr(10) || 'line|part|qty|flag' || chr(10) || body || chr(10) || 'end'
+  || CASE WHEN l_orderkey % 3 = 0 THEN chr(10) || replace('line|part|qty|flag' || chr(10) || body, '|', chr(9)) || chr(10) || chr(10) || 'line|part|qty|flag' || chr(10) || body ELSE '' END FROM ln1)"""
+BLOCK_SQL = TABLE_TEXTS.replace("array_to_string(array_sort(array_agg(line)), chr(10))", "string_agg(line, chr(10) ORDER BY line)") + """,
+ls AS (SELECT doc_id, list_zip(range(len(string_split(text, chr(10)))), string_split(text, chr(10))) AS z FROM tx), ln AS (SELECT doc_id, u[1] AS line_no, u[2] AS line FROM (SELECT doc_id, unnest(z) AS u FROM ls)),
+c AS (SELECT *, CASE WHEN contains(line, chr(9)) THEN chr(9) WHEN contains(line, '|') THEN '|' END AS sep FROM ln), c2 AS (SELECT *, sep || (length(line) - length(replace(line, sep, ''))) AS n FROM c),
+r AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN lag(n) OVER (PARTITION BY doc_id ORDER BY line_no) IS NOT DISTINCT FROM n THEN 0 ELSE 1 END AS nw FROM c2)),
+r2 AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS size FROM r WHERE n IS NOT NULL),
+b AS (SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY run))::INT AS block_no, (row_number() OVER (PARTITION BY doc_id, run ORDER BY line_no) - 1)::INT AS row_no, line_no, line, sep FROM r2 WHERE size >= 2),
+ce0 AS (SELECT doc_id, block_no, row_no, (i - 1)::INT AS col_no, trim(string_split(line, sep)[i], ' ' || chr(9) || chr(13)) AS value FROM (SELECT *, unnest(range(1, len(string_split(line, sep)) + 1)) AS i FROM b)),
+ce AS (SELECT d.*, h.value AS header FROM ce0 d JOIN ce0 h ON h.doc_id = d.doc_id AND h.block_no = d.block_no AND h.col_no = d.col_no AND h.row_no = 0 WHERE d.row_no > 0)"""
+
+
+def table_texts(spark, sf):
+    for name in ("documents", "lineitem"):
+        t(spark, sf, name).createOrReplaceTempView(f"_sedge_{name}")
+    sql = TABLE_TEXTS.replace("array_to_string(", "array_join(").replace("FROM documents", "FROM _sedge_documents").replace("FROM lineitem", "FROM _sedge_lineitem")
+    return spark.sql(f"WITH {sql} SELECT doc_id, text FROM tx")
 
 
 def blocks(spark, sf):
-    return texttables.delimited_blocks(segment.lines(t(spark, sf, "documents")), id="doc_id", least_lines=1)
+    return texttables.delimited_blocks(segment.lines(table_texts(spark, sf)), id="doc_id", least_lines=2)
+
+
+def all_cells(spark, sf):
+    return texttables.cells(blocks(spark, sf), id="doc_id")
 
 
-@query("delimited_blocks", f"WITH {BLOCK_SQL} SELECT doc_id, block_no::INT AS block_no, row_no::INT AS row_no, line_no::INT AS line_no FROM b")
+@query("delimited_blocks", f"WITH {BLOCK_SQL} SELECT doc_id, block_no, row_no, line_no::INT AS line_no, sep = chr(9) AS tabs FROM b")
 def delimited_blocks(spark, sf):
-    return blocks(spark, sf).select("doc_id", "block_no", "row_no", "line_no")
+    return blocks(spark, sf).select("doc_id", "block_no", "row_no", "line_no", (F.col("delimiter") == "\t").alias("tabs"))
 
 
-def all_cells(spark, sf):
-    """The driver texts hold one-line tables, so the line is its own header and its only row."""
-    return texttables.cells(blocks(spark, sf).filter("row_no = 0").withColumn("row_no", F.explode(F.array(F.lit(0), F.lit(1)))), id="doc_id")
+MARKDOWN = """
+m0 AS (SELECT o_custkey, o_orderkey, '| ' || CAST(o_orderkey AS STRING) || ' | ' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END || ' | ' || o_orderpriority || ' |' AS line FROM orders),
+m1 AS (SELECT o_custkey, array_to_string(array_sort(array_agg(line)), chr(10)) AS body FROM m0 GROUP BY o_custkey),
+md AS (SELECT o_custkey, 'Customer | notes' || chr(10) || '| order | status | priority |' || chr(10) || CASE o_custkey % 3 WHEN 0 THEN '|---|:-:|---|' WHEN 1 THEN '--- | --- | ---:' ELSE '| dashes - | no | ruler |' END || chr(10) || body || chr(10) || 'end' AS text FROM m1)"""
+MARKDOWN_SQL = MARKDOWN.replace("array_to_string(array_sort(array_agg(line)), chr(10))", "string_agg(line, chr(10) ORDER BY line)")
+
+
+@query("markdown_blocks", f"""WITH {MARKDOWN_SQL}, ls AS (SELECT o_custkey, string_split(text, chr(10)) AS z FROM md), ln AS (SELECT o_custkey, i - 1 AS line_no, z[i] AS line FROM (SELECT *, unnest(range(1, len(z) + 1)) AS i FROM ls)),
+ok AS (SELECT o_custkey, line_no, list_filter(list_transform(string_split(line, '|'), lambda c: trim(c)), lambda c: c <> '') AS v FROM ln WHERE o_custkey % 3 < 2 AND line_no <> 2 AND line_no > 0 AND contains(line, '|')),
+k AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS size FROM ok WHERE len(v) = 3)
+SELECT o_custkey, 1 AS block_no, (row_number() OVER (PARTITION BY o_custkey ORDER BY line_no) - 1)::INT AS row_no, line_no::INT AS line_no, array_to_string(v, '~') AS row_text FROM k WHERE size > 1""")
+def markdown_blocks(spark, sf):
+    t(spark, sf, "orders").createOrReplaceTempView("_sedge_orders")
+    texts = spark.sql("WITH " + MARKDOWN.replace("array_to_string(", "array_join(").replace("FROM orders", "FROM _sedge_orders") + " SELECT o_custkey, text FROM md")
+    found = texttables.markdown_blocks(segment.lines(texts, id="o_custkey"), id="o_custkey")
+    return found.select("o_custkey", "block_no", "row_no", "line_no", F.array_join("values", "~").alias("row_text"))
 
 
-@query("table_cells", f"WITH {BLOCK_SQL} SELECT doc_id, block_no::INT AS block_no, col_no::INT AS col_no, value FROM ce WHERE row_no = 0")
+@query("table_cells", f"WITH {BLOCK_SQL} SELECT doc_id, block_no, row_no, col_no, header, value FROM ce")
 def table_cells(spark, sf):
-    return all_cells(spark, sf).select("doc_id", "block_no", "col_no", "value")
+    return all_cells(spark, sf).select("doc_id", "block_no", "row_no", "col_no", "header", "value")
 
 
-@query("table_validate", f"WITH {BLOCK_SQL} SELECT doc_id, block_no::INT AS block_no, 1::BIGINT AS n_rows, count(DISTINCT col_no) AS n_cols, false AS valid FROM ce WHERE row_no = 0 GROUP BY 1, 2")
+@query("table_validate", f"""WITH {BLOCK_SQL}, v AS (SELECT doc_id, block_no, max(row_no)::BIGINT AS n_rows, count(DISTINCT col_no) AS n_cols, count(DISTINCT header) AS h, avg((value <> '')::INT) AS f FROM ce GROUP BY 1, 2)
+SELECT doc_id, block_no, n_rows, n_cols, n_rows >= 2 AND n_cols >= 2 AND h >= 0.8 * n_cols AND f >= 0.3 AS valid FROM v""")
 def table_validate(spark, sf):
     return texttables.validate(all_cells(spark, sf), id="doc_id")
 
 
-@query("table_type_score", f"""WITH {BLOCK_SQL}, s AS (SELECT doc_id, block_no, lower(string_agg(DISTINCT value, ' ' ORDER BY value)) AS v FROM ce WHERE row_no = 0 GROUP BY 1, 2),
-k AS (SELECT *, round(0.6 * (contains(v, 'th')::INT + contains(v, 'er')::INT) / 2 + 0.4 * contains(v, 'and')::INT, 6) AS a, round(0.6 * contains(v, 'ung')::INT + 0.4 * contains(v, 'sch')::INT, 6) AS b FROM s)
-SELECT doc_id, block_no::INT AS block_no, CASE WHEN a >= b THEN 'english' ELSE 'german' END AS kind, greatest(a, b)::DOUBLE AS score FROM k""")
+KINDS_OF_TABLES = (("order lines", ("line", "qty", "flag"), ("a", "7")), ("prose", ("the", "er", "ung"), ("and", "sch")))
+_SHARES = ", ".join(f"round(0.6 * ({' + '.join(f'contains(h, {w!r})::INT' for w in heads)}) / {len(heads)} + 0.4 * ({' + '.join(f'contains(v, {w!r})::INT' for w in words)}) / {len(words)}, 6) AS k{i}" for i, (_, heads, words) in enumerate(KINDS_OF_TABLES))
+
+
+@query("table_type_score", f"""WITH {BLOCK_SQL}, s AS (SELECT doc_id, block_no, lower(string_agg(DISTINCT header, ' ' ORDER BY header)) AS h, lower(coalesce(string_agg(DISTINCT value, ' ' ORDER BY value) FILTER (row_no <= 3), '')) AS v FROM ce GROUP BY 1, 2),
+k AS (SELECT *, {_SHARES} FROM s) SELECT doc_id, block_no, CASE WHEN k0 >= k1 THEN 'order lines' ELSE 'prose' END AS kind, greatest(k0, k1)::DOUBLE AS score FROM k""")
 def table_type_score(spark, sf):
-    return texttables.type_score(all_cells(spark, sf), [("english", ["th", "er"], ["and"]), ("german", ["ung"], ["sch"])], id="doc_id")
+    return texttables.type_score(all_cells(spark, sf), KINDS_OF_TABLES, id="doc_id")
 
 
-@query("table_dedup_topk", f"""WITH {BLOCK_SQL}, d AS (SELECT source, b.doc_id AS block_no, min(length(line)) AS score FROM b JOIN documents USING (doc_id) GROUP BY 1, 2)
-SELECT source, block_no, score, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, block_no) AS nth FROM d) WHERE nth <= 2""")
+@query("table_dedup_topk", f"""WITH {BLOCK_SQL}, x AS (SELECT doc_id, block_no, string_agg(row_no || ':' || col_no || ':' || header || ':' || value, chr(10) ORDER BY row_no, col_no) AS c, count(*) AS score FROM ce GROUP BY 1, 2),
+d AS (SELECT doc_id, c, min(block_no) AS block_no, count(*) AS n_copies, any_value(score) AS score FROM x GROUP BY 1, 2)
+SELECT doc_id, block_no, n_copies, score, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, block_no) AS nth FROM d) WHERE nth <= 2""")
 def table_dedup_topk(spark, sf):
-    rows = blocks(spark, sf).join(t(spark, sf, "documents").select("doc_id", "source"), "doc_id").groupBy("source", F.col("doc_id").alias("block_no")).agg(F.min(F.length("line")).alias("score"))
-    return texttables.top_tables(rows, id="source", score="score", k=2)
+    rows = all_cells(spark, sf)
+    distinct = texttables.dedup_tables(rows, id="doc_id").join(rows.groupBy("doc_id", "block_no").agg(F.count("*").alias("score")), ["doc_id", "block_no"])
+    return texttables.top_tables(distinct, id="doc_id", score="score", k=2).select("doc_id", "block_no", "n_copies", "score", "nth")
 
 
-@query("table_rollups", f"""WITH {BLOCK_SQL}, x AS (SELECT *, try_cast(regexp_replace(value, '[^0-9.-]', '', 'g') AS DECIMAL(38,6)) AS x FROM ce WHERE row_no = 0)
-SELECT doc_id, block_no::INT AS block_no, sum(CASE WHEN x > 0 THEN x END)::DOUBLE AS total, round(avg(CASE WHEN x > 0 THEN x::DOUBLE END), 6) AS mean, count(*) FILTER (lower(value) IN ('', 'vacant', 'available', 'empty', 'tbd', 'n/a')) AS n_vacant, count(*) AS n_cells FROM x GROUP BY 1, 2""")
+@query("table_rollups", f"""WITH {BLOCK_SQL}, x AS (SELECT *, try_cast(regexp_replace(value, '[^0-9.-]', '', 'g') AS DECIMAL(38,6)) AS x FROM ce)
+SELECT doc_id, block_no, sum(CASE WHEN x > 0 THEN x END)::DOUBLE AS total, round(avg(CASE WHEN x > 0 THEN x::DOUBLE END), 6) AS mean, count(*) FILTER (lower(value) IN ('', 'vacant', 'available', 'empty', 'tbd', 'n/a')) AS n_vacant, count(*) AS n_cells FROM x GROUP BY 1, 2""")
 def table_rollups(spark, sf):
     return texttables.rollups(all_cells(spark, sf), id="doc_id")
 
 
-@query("tables_to_clauses", f"""WITH {BLOCK_SQL}, cl AS (SELECT source AS doc, 'doc_' || doc_id AS key, 0.9::DOUBLE AS confidence FROM documents), m AS (SELECT doc FROM cl GROUP BY 1 HAVING count(*) > 5),
-x AS (SELECT DISTINCT source AS doc, 'table_pipe_' || doc_id AS key, (length(line) % 10 / 10.0)::DOUBLE AS confidence FROM b JOIN documents USING (doc_id) WHERE block_no = 1 AND row_no = 0)
+@query("tables_to_clauses", f"""WITH {BLOCK_SQL}, src AS (SELECT doc_id, source FROM documents), cl AS (SELECT source AS doc, 'doc_' || doc_id AS key, 0.9::DOUBLE AS confidence FROM src), m AS (SELECT doc FROM cl GROUP BY 1 HAVING count(*) > 5),
+x AS (SELECT source AS doc, 'table_pipe_' || (1000 * doc_id + block_no) AS key, (count(*) % 10 / 10.0)::DOUBLE AS confidence FROM b JOIN src USING (doc_id) GROUP BY source, doc_id, block_no)
 SELECT doc, key, confidence, confidence < 0.5 AS needs_review FROM cl UNION ALL SELECT doc, key, confidence, confidence < 0.5 FROM x WHERE doc IN (SELECT doc FROM m)""")
 def tables_to_clauses(spark, sf):
     docs = t(spark, sf, "documents").select("doc_id", F.col("source").alias("doc"))
-    found = blocks(spark, sf).filter("block_no = 1 AND row_no = 0").join(docs, "doc_id").select("doc", F.lit("pipe").alias("kind"), F.col("doc_id").alias("block_no"), (F.length("line") % 10 / 10).alias("score"))
+    found = blocks(spark, sf).groupBy("doc_id", "block_no").agg((F.count("*") % 10 / 10).alias("score")).join(docs, "doc_id")
+    found = found.select("doc", F.lit("pipe").alias("kind"), (1000 * F.col("doc_id") + F.col("block_no")).alias("block_no"), "score")
     clauses = docs.select("doc", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("key"), F.lit(0.9).alias("confidence"))
     return texttables.tables_as_clauses(found, clauses, doc="doc", key="key", confidence="confidence")
