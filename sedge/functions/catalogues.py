@@ -64,6 +64,29 @@ PARTIES = (
     FactRule("use", r"(?i)(?:used? (?:solely |only )?(?:as|for)) ([^.\n]{3,80})", 1, 0.7),
 )
 
+#: Patterns of two groups: pairs that belong together.
+PAIRS = {
+    "percentage_breaks": r"([0-9]+(?:\.[0-9]+)?) ?% of (?i:gross sales) (?i:over|above|exceeding|in excess of) \$ ?([0-9][0-9,]*(?:\.[0-9]{2})?)",
+    "conditions": r"(?i)\bif ([^.;\n]{3,200}?),? then ([^.;\n]+)",
+    "notice_periods": r"(?i)\b([0-9]+) (business days?|days?|months?|years?)[^.\n]{0,30}notice",
+    "escalations": r"(?i)increas\w*[^.%\n]{0,80}?([0-9]+(?:\.[0-9]+)?) ?%[^.\n]{0,40}?(annually|per year|every year|each year|monthly|quarterly)",
+}
+
+#: Risk tags that texts may carry: (tag, level, pattern).
+RISK_TAGS = (
+    ("no_notice", "high", r"(?i)without (?:any |prior )?(?:written )?notice"),
+    ("sole_discretion", "medium", r"(?i)\b(?:sole|absolute|unfettered) discretion\b"),
+    ("unlimited_liability", "high", r"(?i)\b(?:unlimited|uncapped) (?:liability|indemnity|guaranty)\b"),
+    ("waiver", "medium", r"(?i)\bwaives? (?:all|any) (?:rights?|claims?|defen[cs]es?)\b"),
+    ("acceleration", "high", r"(?i)\b(?:accelerat\w+ (?:all |the )?rent|rent[^.\n]{0,40}immediately due)\b"),
+    ("relocation", "medium", r"(?i)\brelocat\w+[^.\n]{0,40}\b(?:tenant|lessee|premises)\b"),
+    ("automatic_renewal", "medium", r"(?i)\b(?:automatic(?:ally)?) (?:renew\w*|extend\w*)\b"),
+    ("as_is", "low", r"(?i)\bas[- ]is\b"),
+    ("personal_guaranty", "high", r"(?i)\bpersonal(?:ly)? guarant\w+"),
+    ("penalty", "medium", r"(?i)\b(?:late fee|penalty|liquidated damages)\b"),
+    ("placeholder", "medium", r"(?i)\[(?:insert|tbd|amount|date|name)[^\]\n]{0,40}\]|_{4,}|\bTBD\b"),
+)
+
 #: Extractor factory: name -> catalogue.
 CATALOGUES = {
     "rent": RENT, "percentage_rent": PERCENTAGE_RENT, "shared_costs": SHARED_COSTS, "critical_dates": CRITICAL_DATES,

@@ -44,6 +44,48 @@ def extract_facts(df: DataFrame, rules: Sequence[FactRule], *, id: str, text: st
     return best.select(id, "field", "b.value", "b.ordinal", "b.rule_id", "b.confidence")
 
 
+def extract_pairs(df: DataFrame, pattern: str, *, id: str, text: str, names: tuple[str, str] = ("first", "second")) -> DataFrame:
+    """(id, ordinal, first, second): both groups of every match of a pattern with two, such as percentage and threshold or condition and consequence."""
+    groups = [F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(g)), _clean) for g in (1, 2)]
+    rows = df.select(id, F.posexplode(F.arrays_zip(groups[0].alias(names[0]), groups[1].alias(names[1]))).alias("ordinal", "p"))
+    return rows.select(id, "ordinal", f"p.{names[0]}", f"p.{names[1]}")
+
+
+def iso_date(value: Column) -> Column:
+    """m/d/y dates as Y-m-d, two-digit years in the 2000s; month names likewise; what is no such date stays as it is."""
+    parts = F.split(value, "/")
+    year = F.when(F.length(parts[2]) == 2, F.concat(F.lit("20"), parts[2])).otherwise(parts[2])
+    numeric = F.concat_ws("-", year, F.lpad(parts[0], 2, "0"), F.lpad(parts[1], 2, "0"))
+    named = F.try_to_timestamp(value, F.lit("MMMM d, yyyy"))
+    is_named = value.rlike(r"^[A-Z][a-z]+ [0-9]{1,2}, [0-9]{4}$")
+    return F.when(value.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/([0-9]{2}|[0-9]{4})$"), numeric).when(is_named & named.isNotNull(), F.date_format(named, "yyyy-MM-dd")).otherwise(value)
+
+
+#: Number words.
+NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
+
+
+def count_of(value: Column) -> Column:
+    """A number in digits or in words up to ten; null for anything else."""
+    out = F.expr("cast(null as int)")
+    for i, w in enumerate(NUMBER_WORDS):
+        out = F.when(F.lower(value) == w, i + 1).otherwise(out)
+    return F.when(value.rlike("^[0-9]{1,3}$"), value.cast("int")).otherwise(out)
+
+
+def option_rows(facts: DataFrame, *, id: str, number: str = "renewal_options", term: str = "option_term", most: int = 100) -> DataFrame:
+    """(id, option_no, term): one row per renewal option of a text, each with the text's option term; more than ``most`` are taken for a misreading."""
+    first = lambda field: F.min_by(F.when(F.col("field") == field, F.col("value")), F.when(F.col("field") == field, F.struct("rule_id", "ordinal")))
+    rows = facts.groupBy(id).agg(count_of(first(number)).alias("_n"), first(term).alias("term")).filter(F.col("_n").between(1, most))
+    return rows.select(id, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("option_no"), "term")
+
+
+def list_items(facts: DataFrame, *, id: str, field: str) -> DataFrame:
+    """(id, field, item_no, item): values that are lists, split at commas, semicolons and a last "and"."""
+    items = F.filter(F.transform(F.split("value", r",\s*and\s+|\s+and\s+|[,;]"), lambda c: F.btrim(c, F.lit(" "))), lambda c: c != "")
+    return facts.filter(F.col("field") == field).select(id, "field", F.posexplode(items).alias("item_no", "item"))
+
+
 def merge_facts(primary: DataFrame, secondary: DataFrame, *, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Per key the primary value, else the secondary one (full outer join)."""
     a = primary.select(*keys, F.col(value).alias("_a"))

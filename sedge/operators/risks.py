@@ -16,6 +16,24 @@ def clause_risks(df: DataFrame, rules: RuleSet, *, text: Column, keep: Sequence[
     return hits.select(*keep, F.col("_h.name").alias("rule"), F.col("_h.level").alias("level"), F.col("_h.message").alias("message"), F.col("_h.ordinal").alias("ordinal"))
 
 
+def pattern_tags(df: DataFrame, tags: Sequence[tuple[str, str, str]], *, id: str, texts: Sequence[str]) -> DataFrame:
+    """(id, tag, level): the tags whose pattern fires on any of the text columns, each once per row. ``tags`` are (tag, level, pattern)."""
+    fires = lambda pattern: F.array_contains(F.array(*[F.coalesce(F.col(c).rlike(pattern), F.lit(False)) for c in texts]), True)
+    found = F.array_compact(F.array(*[F.when(fires(p), F.struct(F.lit(tag).alias("tag"), F.lit(level).alias("level"))) for tag, level, p in tags]))
+    return df.select(id, F.inline(F.array_distinct(found)))
+
+
+def flag_rows(df: DataFrame, *, keep: Sequence[str], tags: str, text: str, chars: int = 100) -> DataFrame:
+    """One row per stored tag (struct of name and level): the kept columns, level (medium if null), rule, evidence (the text's beginning)."""
+    rows = df.select(*keep, F.left(text, F.lit(chars)).alias("evidence"), F.explode(tags).alias("_t"))
+    return rows.select(*keep, F.coalesce("_t.level", F.lit("medium")).alias("level"), F.col("_t.name").alias("rule"), "evidence")
+
+
+def risk_class(df: DataFrame, classes: DataFrame, *, category: str, default: str = "low") -> DataFrame:
+    """``df`` with risk_class from a small dimension (category, risk_class); categories that are not in it get ``default``."""
+    return df.join(classes, category, "left").withColumn("risk_class", F.coalesce("risk_class", F.lit(default)))
+
+
 def typed_risks(df: DataFrame, by_type: dict[str, RuleSet], *, kind: str, text: Column, keep: Sequence[str]) -> DataFrame:
     """Like clause_risks, with the rule set chosen by a column."""
     out = None
@@ -42,9 +60,16 @@ def dedup_risks(df: DataFrame, *, keys: Sequence[str], ordinal: str) -> DataFram
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def missing(df: DataFrame, essential: DataFrame, *, doc: str, kind: str) -> DataFrame:
-    """Essential kinds a document lacks. Each document carries the short list; what it holds is taken away by an anti-join."""
-    wanted = [r[0] for r in essential.select(kind).distinct().limit(1000).collect()]
+def missing(df: DataFrame, essential: DataFrame, *, doc: str, kind: str, most: int = 10_000) -> DataFrame:
+    """Essential kinds a document lacks. Each document carries the short list; what it holds is taken away by an anti-join.
+
+    A list of more than ``most`` kinds is refused.
+    """
+    wanted = [r[0] for r in essential.select(kind).filter(F.col(kind).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(wanted) > most:
+        raise ValueError(f"more than {most} essential kinds")
+    if not wanted:
+        return df.select(doc, kind).limit(0)
     every = df.select(doc).distinct().withColumn(kind, F.explode(F.array(*[F.lit(w) for w in sorted(wanted)])))
     return every.join(df.select(doc, kind).distinct(), [doc, kind], "left_anti")
 
