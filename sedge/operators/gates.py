@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedge.functions.joins import containment_join
 from sedge.functions.rules import RuleSet, contains_any, present
 
 BLANK = r"[ \t\r\n\f\x0b]"
@@ -87,12 +88,12 @@ def doc_profile(df: DataFrame, *, text: str = "text") -> DataFrame:
 def categorise(df: DataFrame, aliases: DataFrame, *, name: str, category: str = "category", alias: str = "alias", ordinal: str = "ordinal") -> DataFrame:
     """Add category: the one named exactly (lower case, blanks as underscores), else the first by ordinal with an alias inside the name.
 
-    ``aliases`` is a dimension; the containment join is a broadcast nested loop while Spark's broadcast threshold holds it.
+    Distinct names meet the aliases once.
     """
     dim = aliases.select(F.col(category).alias("_cat"), F.col(alias).alias("_alias"), F.col(ordinal).alias("_ord"))
     low = F.lower(F.col(name))
     names = df.select(F.col(name).alias("_name")).distinct().withColumn("_low", F.lower("_name"))
-    inside = names.join(dim, F.contains(F.col("_low"), F.col("_alias"))).groupBy("_name").agg(F.min_by("_cat", "_ord").alias("_inside"))
+    inside = containment_join(names, dim, text="_low", phrase="_alias").groupBy("_name").agg(F.min_by("_cat", "_ord").alias("_inside"))
     exact = dim.select(F.col("_cat").alias("_exact")).distinct()
     out = df.join(exact, F.replace(low, F.lit(" "), F.lit("_")) == F.col("_exact"), "left").join(inside, F.col(name) == F.col("_name"), "left")
     return out.withColumn("category", F.coalesce("_exact", "_inside")).drop("_exact", "_name", "_inside")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedge.functions.joins import containment_join
 from sedge.functions.storage import forget, saved, saved_with
 
 #: Up to so many nodes and edges that are left, one task peels them.
@@ -26,13 +27,27 @@ def reference_edges(clauses: DataFrame, *, doc: str, src: str, text: str, number
 
 
 def title_edges(refs: DataFrame, docs: DataFrame, *, phrase: str, id: str, title: str, ordinal: str) -> DataFrame:
-    """Resolve each distinct phrase to the first document whose title contains it (dimension join)."""
-    phrases = refs.select(phrase).distinct()
-    hits = phrases.join(docs.select(id, F.lower(title).alias("_t"), ordinal), F.contains(F.col("_t"), F.lower(phrase)))
+    """Resolve each distinct phrase to the first document whose title contains it."""
+    phrases = refs.select(phrase, F.lower(phrase).alias("_p")).distinct()
+    hits = containment_join(docs.select(id, F.lower(title).alias("_t"), ordinal), phrases, text="_t", phrase="_p")
     best = hits.groupBy(phrase).agg(F.min_by(id, ordinal).alias("target"))
     return refs.join(best, phrase, "left").withColumn("resolved", F.col("target").isNotNull())
 
 
+def unresolved_refs(refs: DataFrame, docs: DataFrame, *, doc: str, phrase: str, id: str, title: str, ordinal: str) -> DataFrame:
+    """(doc, phrase, issue_type, severity): references of a document that name no document there is."""
+    resolved = title_edges(refs.select(doc, phrase).distinct(), docs, phrase=phrase, id=id, title=title, ordinal=ordinal)
+    return resolved.filter("NOT resolved").select(doc, phrase, F.lit("unresolved_reference").alias("issue_type"), F.lit("medium").alias("severity"))
+
+
+def relations(nodes: DataFrame, rels: DataFrame, *, doc: str, node: str, target: str, kind: str | None = None) -> DataFrame:
+    """Per (document, node) its related nodes in order (with the type, if ``kind`` names its column), where both ends exist."""
+    ends = nodes.select(doc, node).distinct()
+    ok = rels.join(ends, [doc, node], "left_semi").join(ends.withColumnRenamed(node, target), [doc, target], "left_semi")
+    item = F.col(target) if kind is None else F.struct(target, kind)
+    return ok.groupBy(doc, node).agg(F.array_sort(F.collect_list(item)).alias("related"))
+
+
 def degrees(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataFrame:
     ends = edges.select(F.col(src).alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col(dst).alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
@@ -121,7 +136,10 @@ def dependency_closure(edges: DataFrame, *, src: str = "src", dst: str = "dst",
 
 
 def conflicts(df: DataFrame, *, keys: Sequence[str], order: str, differ: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pairs i < j of a key whose values differ: the first of ``differ`` (column, reason) that does."""
+    """Pairs i < j of a key whose values differ: the first of ``differ`` (column, reason) that does.
+
+    The result is the pairs, so it grows with the square of a key's rows; ``conflict_groups`` says the same in one row per value.
+    """
     a = df.select(*keys, F.col(order).alias("a"), *[F.col(c).alias(f"a_{c}") for c, _ in differ])
     b = df.select(*keys, F.col(order).alias("b"), *[F.col(c).alias(f"b_{c}") for c, _ in differ])
     reason = None
@@ -131,6 +149,13 @@ def conflicts(df: DataFrame, *, keys: Sequence[str], order: str, differ: Sequenc
     return a.join(b, list(keys)).filter("a < b").withColumn("reason", reason).filter("reason IS NOT NULL").select(*keys, "a", "b", "reason")
 
 
+def conflict_groups(df: DataFrame, *, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
+    """(keys, values, n_rows, first, n_groups) of keys whose rows do not agree: two rows conflict exactly if they lie in different groups of their key."""
+    groups = df.groupBy(*keys, *values).agg(F.count("*").alias("n_rows"), F.min(order).alias("first"))
+    n = groups.groupBy(*keys).agg(F.count("*").alias("n_groups")).filter("n_groups > 1")
+    return groups.join(n, list(keys))
+
+
 def _peel_rest(left: DataFrame, edges: DataFrame, level: int) -> DataFrame:
     """(node, level) of a rest of bounded size, peeled in one task."""
 

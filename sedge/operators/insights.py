@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedge.functions.joins import containment_join, percentiles
+
 
 def complexity(df: DataFrame, *, doc: str, xref: Column, conditional: Column, financial: Column, table: Column) -> DataFrame:
     """min(n/2, 30) + min(2 xrefs, 20) + min(5 conditions, 20) + min(3 financial, 20) + min(5 tables, 10), at most 100."""
@@ -33,7 +35,10 @@ def export_slice(events: DataFrame, *, ts: str, start: str, end: str) -> DataFra
 
 
 def latency(events: DataFrame, *, operation: str, ms: str) -> DataFrame:
-    return events.groupBy(operation).agg(F.count("*").alias("n"), F.round(F.avg(ms), 6).alias("mean_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), F.round(F.sum(F.col(ms).cast("decimal(18,4)")).cast("double"), 4).alias("total_ms"), F.round(F.expr(f"percentile({ms}, 0.95)"), 6).alias("p95_ms"))
+    """Per operation: number, mean, least, largest, total and 95th percentile."""
+    sums = events.groupBy(operation).agg(F.count("*").alias("n"), F.round(F.avg(ms), 6).alias("mean_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), F.round(F.sum(F.col(ms).cast("decimal(18,4)")).cast("double"), 4).alias("total_ms"))
+    high = percentiles(events, by=[operation], value=ms, p=0.95).select(operation, F.round("percentile", 6).alias("p95_ms"))
+    return sums.join(high, operation, "left")
 
 
 def pair_spans(events: DataFrame, *, entity: str, ts: str, id: str, is_start: Column, is_end: Column) -> DataFrame:
@@ -45,8 +50,10 @@ def pair_spans(events: DataFrame, *, entity: str, ts: str, id: str, is_start: Co
     return marked.filter(~F.col("_s")).select(entity, F.when(hit, F.col("_prev_id")).alias("start_id"), F.col(id).alias("end_id"), seconds.alias("seconds"))
 
 
-def last_n(df: DataFrame, *, key: str, order: Sequence[str], n: int) -> DataFrame:
-    """The last n rows per key, numbered in ascending order."""
+def last_n(df: DataFrame, *, key: str, order: Sequence[str], n: int | None = None) -> DataFrame:
+    """The last n rows per key (all, if n is None), numbered in ascending order."""
+    if n is None:
+        return df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     down = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     up = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(down)).filter(F.col("_r") <= n).withColumn("nth", F.row_number().over(up)).drop("_r")
@@ -67,10 +74,10 @@ def apply_corrections(df: DataFrame, *, doc: str, text: str, corrections: DataFr
 
 
 def first_contained(left: DataFrame, right: DataFrame, *, text: str, name: str, ordinal: str, id: str) -> DataFrame:
-    """Theta join: for each row of ``left`` the first row of ``right`` (a dimension) whose name lies in the text."""
+    """For each row of ``left`` the first row of ``right`` whose name lies in the text."""
     dim = right.select(F.lower(name).alias("_n"), F.col(name).alias("_name"), F.col(ordinal).alias("_o"))
     texts = left.select(id, F.lower(text).alias("_t"))
-    return texts.join(dim, F.contains(F.col("_t"), F.col("_n"))).groupBy(id).agg(F.min_by("_name", "_o").alias("matched"))
+    return containment_join(texts, dim, text="_t", phrase="_n").groupBy(id).agg(F.min_by("_name", "_o").alias("matched"))
 
 
 def error_rates(feedback: DataFrame, items: DataFrame, *, key: str, confidence: str) -> DataFrame:
@@ -80,6 +87,70 @@ def error_rates(feedback: DataFrame, items: DataFrame, *, key: str, confidence:
     return i.join(f, key, "left").withColumn("n_feedback", F.coalesce("n_feedback", F.lit(0)).cast("long")).withColumn("rate", F.round(F.try_divide("n_feedback", "n_items"), 6))
 
 
+def structure_flags(df: DataFrame, *, doc: str, flags: dict[str, Column], kinds: Sequence[tuple[str, Column]], otherwise: str = "other") -> DataFrame:
+    """Per document: each flag (does any clause fulfil it), the number of clauses, and the first kind that any clause fulfils."""
+    kind = F.lit(otherwise)
+    for name, condition in reversed(kinds):
+        kind = F.when(F.bool_or(condition), name).otherwise(kind)
+    return df.groupBy(doc).agg(*[F.bool_or(c).alias(k) for k, c in flags.items()], F.count("*").alias("n"), kind.alias("kind"))
+
+
+def financial_summary(df: DataFrame, *, doc: str, order: str, amount: str, extra: str, is_extra: Column) -> DataFrame:
+    """Per document: the last amount, the sum of all, and the extra charges in order."""
+    extras = F.transform(F.array_sort(F.collect_list(F.when(is_extra, F.struct(order, extra)))), lambda x: x[extra])
+    total = F.sum(F.col(amount).cast("decimal(18,2)")).cast("double").alias("total")
+    return df.groupBy(doc).agg(F.max_by(amount, order).alias("last_price"), total, F.nullif(F.array_join(extras, "|"), F.lit("")).alias("extras"))
+
+
+def date_timeline(df: DataFrame, *, doc: str, date: str, ties: Sequence[str]) -> DataFrame:
+    """``df`` with d (the date) and nth, its place among the document's dates; ties go by ``ties``. Rows without a date are left out."""
+    w = Window.partitionBy(doc).orderBy(date, *ties)
+    return df.filter(F.col(date).isNotNull()).withColumn("d", F.to_date(date)).withColumn("nth", F.row_number().over(w))
+
+
+def section_rollup(df: DataFrame, *, by: Sequence[str], size: str, present: dict[str, Column]) -> DataFrame:
+    """Per section: items, their size and whether any shows each feature."""
+    return df.groupBy(*by).agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_chars"), *[F.bool_or(c).alias(k) for k, c in present.items()])
+
+
+def executive(df: DataFrame, *, keep: Sequence[str], text: str, flags: Column, levels: Sequence[str] = ("high", "medium"), chars: int = 100) -> DataFrame:
+    """One row per flag of one of ``levels``: the kept columns, its rule and the text's beginning in place of the text."""
+    rows = df.select(*keep, F.left(text, F.lit(chars)).alias("excerpt"), F.explode(F.filter(flags, lambda h: h["level"].isin(*levels))).alias("_f"))
+    return rows.select(*keep, F.col("_f.name").alias("rule"), "excerpt")
+
+
+def select_sections(df: DataFrame, sections: DataFrame, *, id: str, text: str, section: str = "section", keyword: str = "keyword") -> DataFrame:
+    """(id, section): the sections of which a keyword lies in the text."""
+    return containment_join(df.select(id, text), sections.select(section, keyword), text=text, phrase=keyword).select(id, section).distinct()
+
+
+def validation_events(issues: DataFrame, *, doc: str, is_issue: Column, is_high: Column, each: int = 5) -> DataFrame:
+    """Per document: issues, high ones, and a score of 100 less ``each`` per issue, 0 at least."""
+    n = F.count_if(is_issue)
+    return issues.groupBy(doc).agg(n.alias("n_issues"), F.count_if(is_issue & is_high).alias("n_high"), F.greatest(F.lit(0), 100 - each * n).alias("score"))
+
+
+def document_card(df: DataFrame, *, doc: str, order: str, first: dict[str, str], last: dict[str, str]) -> DataFrame:
+    """Per document: the first value of some columns and the last of others, as {new name: column}; nulls are passed over."""
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
+    return df.groupBy(doc).agg(*[F.min_by(c, at(c)).alias(k) for k, c in first.items()], *[F.max_by(c, at(c)).alias(k) for k, c in last.items()])
+
+
+def run_card(runs: DataFrame, *parts: DataFrame, key: str) -> DataFrame:
+    """``runs`` with the counts of each part (one row per key, its other columns numbers), 0 where a part has no row."""
+    out = runs
+    for part in parts:
+        names = [c for c in part.columns if c != key]
+        out = out.join(part, key, "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in names})
+    return out
+
+
+def derive_events(decisions: DataFrame, risks: DataFrame, *, id: str, decision: tuple[str, Column], risk: tuple[str, str]) -> DataFrame:
+    """(id, event_type, subject, detail): an audit row per decision (subject column, detail) and per risk (subject and detail columns)."""
+    r = risks.select(id, F.lit("risk").alias("event_type"), F.col(risk[0]).alias("subject"), F.col(risk[1]).alias("detail"))
+    return r.unionByName(decisions.select(id, F.lit("decision").alias("event_type"), F.col(decision[0]).alias("subject"), decision[1].alias("detail")))
+
+
 def kpis(df: DataFrame, *, ts: str, period: str, value: Column, flagged: Column) -> DataFrame:
     """Per period: count, value, flagged, each with the change in percent to the period before."""
     p = df.groupBy(F.date_trunc(period, ts).alias("period")).agg(F.count("*").alias("n"), F.round(F.sum(value.cast("decimal(18,2)")).cast("double"), 2).alias("total"), F.count_if(flagged).alias("n_flagged"))

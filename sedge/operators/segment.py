@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedge.functions.embedding import Embedding, trigram_embed
 from sedge.functions.rules import RuleSet
 
 
@@ -100,20 +103,31 @@ def paragraphs(df: DataFrame, *, id: str = "doc_id", text: str = "text", separat
 
 
 def pack_paragraphs(df: DataFrame, *, id: str = "doc_id", text: str = "text", separator: str = "\n", target: int = 5000, most: int = 10000, small: int = 500) -> DataFrame:
-    """Greedy packing inside a document: flush before exceeding ``most``; flush at ``target`` unless the next paragraph is under ``small``.
+    """id, chunk_no, char_start, char_end, n_chars (without separators), content.
 
-    The state is folded over the document's own array in the row, so there is neither a shuffle nor Python.
+    Greedy packing inside a document: flush before exceeding ``most``; flush at ``target`` unless the next paragraph is under ``small``.
+    One pass over each row's text, without a shuffle. A null text gives no chunks.
     """
-    parts = F.split(F.col(text), separator)
-    zero = F.struct(F.expr("cast(array() as array<bigint>)").alias("sizes"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("n"))
 
-    def step(a: Column, x: Column) -> Column:
-        size = F.length(x).cast("long")
-        flush = (a["n"] > 0) & ((a["size"] + size > most) | ((a["size"] >= target) & (size >= small)))
-        return F.struct(F.when(flush, F.concat(a["sizes"], F.array(a["size"]))).otherwise(a["sizes"]).alias("sizes"), F.when(flush, size).otherwise(a["size"] + size).alias("size"), F.when(flush, F.lit(1)).otherwise(a["n"] + 1).alias("n"))
+    def chunks(whole: str):
+        begin = at = size = n = 0
+        for part in whole.split(separator):
+            if n and (size + len(part) > most or size >= target and len(part) >= small):
+                yield begin, at - len(separator), size
+                begin, size, n = at, 0, 0
+            at += len(part) + len(separator)
+            size, n = size + len(part), n + 1
+        yield begin, at - len(separator), size
 
-    packed = F.aggregate(parts, zero, step, lambda a: F.concat(a["sizes"], F.array(a["size"])))
-    return df.select(id, F.posexplode(packed).alias("chunk_no", "n_chars"))
+    def pack(batches):
+        for batch in batches:
+            known = batch[batch["_text"].notna()]
+            rows = [(key, no, a, b, size, whole[a:b]) for key, whole in zip(known["_id"], known["_text"], strict=True) for no, (a, b, size) in enumerate(chunks(whole))]
+            yield pd.DataFrame(rows, columns=[id, "chunk_no", "char_start", "char_end", "n_chars", "content"])
+
+    kind = df.schema[id].dataType.simpleString()
+    rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    return rows.mapInPandas(pack, f"`{id}` {kind}, chunk_no int, char_start long, char_end long, n_chars long, content string")
 
 
 def fixed_chunks(df: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 2000, overlap: int = 0) -> DataFrame:
@@ -250,26 +264,30 @@ def fallback_sections(df: DataFrame, *, id: str = "doc_id", text: str = "text",
     return rows.filter("section_no > 0").groupBy(id, "mode", "section_no").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.count("*").alias("n_lines"))
 
 
-def word_similarity(a: Column, b: Column) -> Column:
-    """Share of common words of two sentences (Jaccard)."""
-    wa, wb = (F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+")) for c in (a, b))
-    return F.size(F.array_intersect(wa, wb)) / F.size(F.array_union(wa, wb))
-
-
-def semantic_chunks(sents: DataFrame, *, id: str, order: str, text: str, similarity: Column | None = None, close_below: float = 0.7, target: int = 1000) -> DataFrame:
-    """Chunks of consecutive sentences: closed where the similarity to the one before is low and the chunk is over half the target, or where it is over the target.
+def semantic_chunks(sents: DataFrame, *, id: str, order: str, text: str, embed: Embedding = trigram_embed, close_below: float = 0.7, target: int = 1000) -> DataFrame:
+    """id, chunk_no, first, last (``order`` of the first and last sentence), n_sentences, n_chars, content.
 
-    ``similarity`` compares a sentence with the one before it; by default their words. The greedy state is folded over a document's sentences in the row.
+    Chunks of consecutive sentences: closed where the cosine to the sentence before is under ``close_below`` and the chunk is over half the
+    target, or where it is over the target. ``embed`` gives the sentences' vectors. A group is one document's sentences.
     """
-    w = Window.partitionBy(id).orderBy(order)
-    near = similarity if similarity is not None else F.coalesce(word_similarity(F.lag(text).over(w), F.col(text)), F.lit(1.0))
-    rows = sents.withColumn("_sim", near).groupBy(id).agg(F.array_sort(F.collect_list(F.struct(order, F.length(text).cast("long").alias("size"), F.col("_sim").alias("sim")))).alias("_s"))
-    zero = F.struct(F.expr("cast(array() as array<struct<n: bigint, size: bigint>>)").alias("out"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size"))
-
-    def step(a: Column, x: Column) -> Column:
-        close = (a["n"] > 0) & (((x["sim"] < close_below) & (a["size"] > target / 2)) | (a["size"] > target))
-        done = F.concat(a["out"], F.array(F.struct(a["n"].alias("n"), a["size"].alias("size"))))
-        return F.struct(F.when(close, done).otherwise(a["out"]).alias("out"), F.when(close, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), F.when(close, x["size"]).otherwise(a["size"] + x["size"]).alias("size"))
-
-    folded = F.aggregate("_s", zero, step, lambda a: F.concat(a["out"], F.array(F.struct(a["n"].alias("n"), a["size"].alias("size")))))
-    return rows.select(id, F.posexplode(folded).alias("chunk_no", "c")).select(id, "chunk_no", F.col("c.n").alias("n_sentences"), F.col("c.size").alias("n_chars"))
+    kind = sents.schema[id].dataType.simpleString()
+
+    def cut(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("n", kind="stable")
+        numbers, parts = group["n"].tolist(), group["text"].tolist()
+        v = np.asarray(embed(parts), float)
+        length = np.linalg.norm(v, axis=1)
+        both = length[1:] * length[:-1]
+        near = np.concatenate(([1.0], np.divide((v[1:] * v[:-1]).sum(axis=1), both, out=np.zeros(len(both)), where=both > 0)))
+        out, begin, size = [], 0, 0
+        for i, part in enumerate(parts):
+            if i > begin and (near[i] < close_below and size > target / 2 or size > target):
+                out.append((begin, i, size))
+                begin, size = i, 0
+            size += len(part)
+        out.append((begin, len(parts), size))
+        rows = [(key[0], no, numbers[a], numbers[b - 1], b - a, n, " ".join(parts[a:b])) for no, (a, b, n) in enumerate(out)]
+        return pd.DataFrame(rows, columns=[id, "chunk_no", "first", "last", "n_sentences", "n_chars", "content"])
+
+    rows = sents.select(id, F.col(order).cast("long").alias("n"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.groupBy(id).applyInPandas(cut, f"`{id}` {kind}, chunk_no int, first long, last long, n_sentences long, n_chars long, content string")

@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedge.functions.joins import percentiles
 from sedge.functions.storage import saved
 from sedge.operators.graph import components
 
@@ -90,9 +91,9 @@ def outliers(df: DataFrame, *, id: str, vector: str, contamination: float = 0.1,
     unit = normalised(df, id=id, vector=vector)
     mean = unit.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
     centre = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))  # one row of the vectors' dimension
-    scored = unit.join(F.broadcast(centre)).select("id", F.round(dot(F.col("v"), F.col("c")), 9).alias("mean_similarity"))
-    cut = scored.agg(F.expr(f"percentile(mean_similarity, {contamination})").alias("cut"), F.count("*").alias("n"))
-    return scored.join(F.broadcast(cut)).filter((F.col("n") >= least_rows) & (F.col("mean_similarity") <= F.col("cut"))).select("id", "mean_similarity")
+    scored = saved(unit.join(F.broadcast(centre)).select("id", F.round(dot(F.col("v"), F.col("c")), 9).alias("mean_similarity")), "mean-similarity")
+    cut = percentiles(scored, by=[], value="mean_similarity", p=contamination)
+    return scored.join(F.broadcast(cut)).filter((F.col("n") >= least_rows) & (F.col("mean_similarity") <= F.col("percentile"))).select("id", "mean_similarity")
 
 
 def _vector_classes(df: DataFrame, *, id: str, vector: str) -> tuple[DataFrame, DataFrame]:

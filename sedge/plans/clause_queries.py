@@ -185,13 +185,13 @@ def xref_check(spark, sf):
 
 
 @query("undefined_terms", r"""
-WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1))) AS term FROM documents WHERE lang = 'en'),
+WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1))) AS term FROM documents),
 d AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1)) AS term FROM benchmark)
 SELECT term, min(doc_id) AS first_id, count(*) AS n_texts FROM f WHERE term NOT IN ('The The') AND NOT EXISTS (SELECT 1 FROM d WHERE d.term = f.term) GROUP BY term""")
 def undefined_terms(spark, sf):
     pattern = r"(?:^|[^A-Za-z])([A-Z][a-z]+(?: [A-Z][a-z]+)+)"
     defined = t(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("term"))
-    return checks.undefined_terms(t(spark, sf, "documents").filter("lang = 'en'"), defined, id="doc_id", text="text", stop=["The The"])
+    return checks.undefined_terms(t(spark, sf, "documents"), defined, id="doc_id", text="text", stop=["The The"])
 
 
 @query("high_stakes", "SELECT event_id, CASE WHEN value < 10 THEN 'high' ELSE 'medium' END AS severity FROM events WHERE event_type IN ('error', 'purchase')")

@@ -91,6 +91,12 @@ def conflicts(spark, sf):
     return graph.conflicts(rows, keys=["l_orderkey", "l_returnflag"], order="l_linenumber", differ=[("s", "status"), ("q", "quantity")])
 
 
+@query("conflict_groups", """WITH g AS (SELECT l_partkey, l_returnflag, l_linestatus, count(*) AS n_rows, min(l_orderkey) AS first FROM lineitem GROUP BY 1, 2, 3), n AS (SELECT l_partkey, count(*) AS n_groups FROM g GROUP BY 1 HAVING count(*) > 1)
+SELECT * FROM g JOIN n USING (l_partkey)""")
+def conflict_groups(spark, sf):
+    return graph.conflict_groups(t(spark, sf, "lineitem"), keys=["l_partkey"], order="l_orderkey", values=["l_returnflag", "l_linestatus"])
+
+
 @query("reading_order", f"""WITH RECURSIVE {FAR_SQL}, n AS (SELECT src AS node FROM g UNION SELECT dst FROM g), r AS (SELECT node, 0 AS level FROM n WHERE node NOT IN (SELECT dst FROM g) UNION SELECT g.dst, r.level + 1 FROM r JOIN g ON g.src = r.node)
 SELECT node, max(level)::INT AS level FROM r GROUP BY 1""")
 def reading_order(spark, sf):
@@ -117,6 +123,15 @@ def doc_refs_resolve(spark, sf):
     return graph.title_edges(part.select(F.col("p_type").alias("phrase")).distinct(), part, phrase="phrase", id="p_partkey", title="title", ordinal="p_partkey")
 
 
+@query("doc_ref_check", """WITH d AS (SELECT DISTINCT p_type || ' ' || p_brand AS phrase FROM part), k AS (SELECT DISTINCT d.phrase FROM d JOIN part p ON contains(lower(p.p_name || CASE WHEN p.p_size > 45 THEN ' ' || p.p_type || ' ' || p.p_brand ELSE '' END), lower(d.phrase)))
+SELECT DISTINCT o_custkey, p_type || ' ' || p_brand AS phrase, 'unresolved_reference' AS issue_type, 'medium' AS severity FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_type || ' ' || p_brand NOT IN (SELECT phrase FROM k)""")
+def doc_ref_check(spark, sf):
+    part, lines = t(spark, sf, "part"), t(spark, sf, "lineitem").join(t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    titles = part.withColumn("title", F.concat_ws(" ", "p_name", F.when(F.col("p_size") > 45, F.concat_ws(" ", "p_type", "p_brand"))))
+    refs = lines.join(part, F.col("p_partkey") == F.col("l_partkey")).select("o_custkey", F.concat_ws(" ", "p_type", "p_brand").alias("phrase"))
+    return graph.unresolved_refs(refs, titles, doc="o_custkey", phrase="phrase", id="p_partkey", title="title", ordinal="p_partkey")
+
+
 @query("docset_audit", f"""WITH {EDGE_SQL}, d AS (SELECT p_partkey, p_size, p_size > 40 AS base FROM part)
 SELECT 'orphan' AS issue, p_partkey FROM d WHERE NOT base AND p_partkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)
 UNION ALL SELECT DISTINCT 'dated_before_target', src FROM e JOIN d a ON a.p_partkey = src JOIN d b ON b.p_partkey = dst WHERE a.p_size < b.p_size""")
@@ -134,8 +149,8 @@ def term_dictionary(spark, sf):
 def chunk_relations(spark, sf):
     rows = t(spark, sf, "conversations").select("conv_id", "turn")
     rels = rows.select("conv_id", "turn", F.explode(F.array(F.col("turn") + 1, F.col("turn") + 3)).alias("dst"))
-    ok = rels.join(rows.withColumnRenamed("turn", "dst"), ["conv_id", "dst"], "left_semi")
-    return ok.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list("dst")), lambda x: x.cast("string")), ",").alias("related"))
+    out = graph.relations(rows, rels, doc="conv_id", node="turn", target="dst")
+    return out.select("conv_id", "turn", F.array_join(F.transform("related", lambda x: x.cast("string")), ",").alias("related"))
 
 
 @query("neighbour_context", "SELECT conv_id, turn, right(lag(text) OVER w, 50) AS before, left(lead(text) OVER w, 50) AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

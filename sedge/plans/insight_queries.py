@@ -53,7 +53,7 @@ def cross_clause_risks(spark, sf):
 @query("tag_risks", f"WITH {FLAGS_SQL} SELECT f.doc_id, level, rule, left(text, 100) AS evidence FROM flags f JOIN documents USING (doc_id)")
 def tag_risks(spark, sf):
     docs = t(spark, sf, "documents").withColumn("tags", RULES.hits(F.lower("text")))
-    return docs.select("doc_id", F.left("text", F.lit(100)).alias("evidence"), F.explode("tags").alias("r")).select("doc_id", F.col("r.level").alias("level"), F.col("r.name").alias("rule"), "evidence")
+    return risks.flag_rows(docs, keep=["doc_id"], tags="tags", text="text")
 
 
 @query("risk_dedup", f"WITH {FLAGS_SQL} SELECT source, level, min(doc_id) AS doc_id FROM flags GROUP BY 1, 2")
@@ -96,8 +96,7 @@ def risk_cube(spark, sf):
 @query("category_risk_class", "SELECT event_type, CASE event_type WHEN 'error' THEN 'high' WHEN 'purchase' THEN 'medium' ELSE 'low' END AS risk_class, count(*) AS n FROM events GROUP BY 1, 2")
 def category_risk_class(spark, sf):
     dim = spark.createDataFrame([("error", "high"), ("purchase", "medium")], "event_type string, risk_class string")
-    out = t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")).join(dim, "event_type", "left")
-    return out.withColumn("risk_class", F.coalesce("risk_class", F.lit("low")))
+    return risks.risk_class(t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")), dim, category="event_type")
 
 
 @query("incomplete_list", "SELECT doc_id, floor(round((doc_id % 100) / 100.0 * 100, 6))::INT AS percent FROM documents WHERE contains(text, '!!') OR (doc_id % 100) / 100.0 < 0.7")
@@ -109,22 +108,19 @@ def incomplete_list(spark, sf):
 @query("structure_flags", "SELECT user_id, bool_or(event_type = 'error') AS has_error, bool_or(event_type = 'purchase' AND value > 50) AS has_big, count(*) AS n, CASE WHEN bool_or(value > 60) THEN 'gross' WHEN bool_or(value > 30) THEN 'net' ELSE 'other' END AS kind FROM events GROUP BY 1")
 def structure_flags(spark, sf):
     e, v = F.col("event_type"), F.col("value")
-    kind = F.when(F.bool_or(v > 60), "gross").when(F.bool_or(v > 30), "net").otherwise("other")
-    return t(spark, sf, "events").groupBy("user_id").agg(F.bool_or(e == "error").alias("has_error"), F.bool_or((e == "purchase") & (v > 50)).alias("has_big"), F.count("*").alias("n"), kind.alias("kind"))
+    flags = {"has_error": e == "error", "has_big": (e == "purchase") & (v > 50)}
+    return insights.structure_flags(t(spark, sf, "events"), doc="user_id", flags=flags, kinds=[("gross", v > 60), ("net", v > 30)])
 
 
 @query("financial_summary", "SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS last_price, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total, string_agg(o_orderpriority, '|' ORDER BY o_orderkey) FILTER (o_orderstatus = 'F') AS extras FROM orders GROUP BY 1")
 def financial_summary(spark, sf):
-    extras = F.transform(F.array_sort(F.collect_list(F.when(F.col("o_orderstatus") == "F", F.struct("o_orderkey", "o_orderpriority")))), lambda x: x["o_orderpriority"])
-    return t(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_totalprice", "o_orderkey").alias("last_price"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"), F.nullif(F.array_join(extras, "|"), F.lit("")).alias("extras"))
+    return insights.financial_summary(t(spark, sf, "orders"), doc="o_custkey", order="o_orderkey", amount="o_totalprice", extra="o_orderpriority", is_extra=F.col("o_orderstatus") == "F")
 
 
 @query("timeline", "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate::DATE AS d, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey))::INT AS nth FROM lineitem")
 def timeline(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
-    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("d"), F.row_number().over(w).alias("nth"))
+    rows = insights.date_timeline(t(spark, sf, "lineitem"), doc="l_orderkey", date="l_shipdate", ties=["l_linenumber", "l_partkey", "l_suppkey"])
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "d", "nth")
 
 
 @query("complexity", """
@@ -137,19 +133,18 @@ def complexity(spark, sf):
 
 @query("section_rollup", "SELECT source, lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars, bool_or(contains(text, '@')) AS has_mail FROM documents GROUP BY 1, 2")
 def section_rollup(spark, sf):
-    return t(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.bool_or(F.contains("text", F.lit("@"))).alias("has_mail"))
+    return insights.section_rollup(t(spark, sf, "documents"), by=["source", "lang"], size="n_chars", present={"has_mail": F.contains("text", F.lit("@"))})
 
 
 @query("summary_styles", f"WITH {FLAGS_SQL} SELECT f.doc_id, rule, left(text, 100) AS excerpt FROM flags f JOIN documents USING (doc_id) WHERE level IN ('high', 'medium')")
 def summary_styles(spark, sf):
-    docs = t(spark, sf, "documents").select("doc_id", F.left("text", F.lit(100)).alias("excerpt"), F.filter(RULES.hits(F.lower("text")), lambda h: h["level"].isin("high", "medium")).alias("h"))
-    return docs.select("doc_id", "excerpt", F.explode("h").alias("r")).select("doc_id", F.col("r.name").alias("rule"), "excerpt")
+    return insights.executive(t(spark, sf, "documents"), keep=["doc_id"], text="text", flags=RULES.hits(F.lower("text")))
 
 
 @query("section_select", "SELECT p_partkey, section FROM part JOIN (VALUES ('tools', 'bolt'), ('tools', 'gear'), ('ornament', 'ring'), ('colour', 'red'), ('colour', 'blue')) v(section, keyword) ON contains(p_name, keyword) GROUP BY 1, 2")
 def section_select(spark, sf):
     dim = spark.createDataFrame([("tools", "bolt"), ("tools", "gear"), ("ornament", "ring"), ("colour", "red"), ("colour", "blue")], "section string, keyword string")
-    return t(spark, sf, "part").join(dim, F.contains(F.col("p_name"), F.col("keyword"))).select("p_partkey", "section").distinct()
+    return insights.select_sections(t(spark, sf, "part"), dim, id="p_partkey", text="p_name")
 
 
 @query("doc_timeline", "SELECT user_id, event_id, (row_number() OVER w)::INT AS step, round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 3) AS gap_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -185,12 +180,12 @@ def span_pairing(spark, sf):
 @query("validation_event", "SELECT user_id, count(*) FILTER (event_type = 'error') AS n_issues, count(*) FILTER (event_type = 'error' AND value > 30) AS n_high, greatest(0, 100 - 5 * count(*) FILTER (event_type = 'error')) AS score FROM events GROUP BY 1")
 def validation_event(spark, sf):
     bad = F.col("event_type") == "error"
-    return t(spark, sf, "events").groupBy("user_id").agg(F.count_if(bad).alias("n_issues"), F.count_if(bad & (F.col("value") > 30)).alias("n_high"), F.greatest(F.lit(0), 100 - 5 * F.count_if(bad)).alias("score"))
+    return insights.validation_events(t(spark, sf, "events"), doc="user_id", is_issue=bad, is_high=F.col("value") > 30)
 
 
 @query("feedback_by_doc", "SELECT conv_id, turn, role, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS nth FROM conversations")
 def feedback_by_doc(spark, sf):
-    return insights.last_n(t(spark, sf, "conversations"), key="conv_id", order=["turn"], n=1_000_000).select("conv_id", "turn", "role", "nth")
+    return insights.last_n(t(spark, sf, "conversations"), key="conv_id", order=["turn"]).select("conv_id", "turn", "role", "nth")
 
 
 @query("feedback_by_field", "SELECT role, conv_id, turn, (row_number() OVER (PARTITION BY role ORDER BY conv_id, turn))::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id DESC, turn DESC) AS r FROM conversations) WHERE r <= 50")
@@ -209,11 +204,11 @@ def extraction_examples(spark, sf):
     return insights.first_contained(t(spark, sf, "part"), dim, text="p_name", name="k", ordinal="o", id="p_partkey")
 
 
-@query("summary_examples", "SELECT conv_id, md5(replace(replace(text, 'e', 'E'), 'En', 'nE')) AS corrected_md5, 2 AS n_corrections FROM conversations WHERE turn = 0 AND contains(text, 'e')")
+@query("summary_examples", "SELECT conv_id, turn, md5(replace(replace(text, 'e', 'E'), 'En', 'nE')) AS corrected_md5, 2 AS n_corrections FROM conversations WHERE contains(text, 'e')")
 def summary_examples(spark, sf):
-    first = t(spark, sf, "conversations").filter("turn = 0").select("conv_id", "text")
-    fixes = first.select("conv_id", F.explode(F.expr("array(named_struct('ts', 1, 'old', 'e', 'new', 'E'), named_struct('ts', 2, 'old', 'En', 'new', 'nE'))")).alias("c")).select("conv_id", "c.*")
-    return insights.apply_corrections(first, doc="conv_id", text="text", corrections=fixes, order="ts", old="old", new="new").select("conv_id", F.md5("corrected").alias("corrected_md5"), "n_corrections")
+    texts = t(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("conv_id"), "text")
+    fixes = texts.select("conv_id", F.explode(F.expr("array(named_struct('ts', 1, 'old', 'e', 'new', 'E'), named_struct('ts', 2, 'old', 'En', 'new', 'nE'))")).alias("c")).select("conv_id", "c.*")
+    return insights.apply_corrections(texts, doc="conv_id", text="text", corrections=fixes, order="ts", old="old", new="new").select("conv_id.conv_id", "conv_id.turn", F.md5("corrected").alias("corrected_md5"), "n_corrections")
 
 
 @query("correction_rate", "SELECT source, count(*) AS n_items, round(avg(n_chars / 1000), 6) AS mean_confidence, count(l.doc_id) FILTER (quality = 0) AS n_feedback, round(count(l.doc_id) FILTER (quality = 0) / count(*), 6) AS rate FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
@@ -225,7 +220,7 @@ def correction_rate(spark, sf):
 
 @query("lookup_projection", "SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS first_priority, arg_max(o_orderstatus, o_orderkey) AS last_status FROM orders GROUP BY 1")
 def lookup_projection(spark, sf):
-    return t(spark, sf, "orders").groupBy("o_custkey").agg(F.min_by("o_orderpriority", "o_orderkey").alias("first_priority"), F.max_by("o_orderstatus", "o_orderkey").alias("last_status"))
+    return insights.document_card(t(spark, sf, "orders"), doc="o_custkey", order="o_orderkey", first={"first_priority": "o_orderpriority"}, last={"last_status": "o_orderstatus"})
 
 
 @query("run_card", f"""WITH {FLAGS_SQL}, a AS (SELECT source, count(*) AS n_docs, count(DISTINCT md5(text)) AS n_texts FROM documents GROUP BY 1), b AS (SELECT source, count(*) AS n_flags, count(*) FILTER (level = 'high') AS n_high FROM flags GROUP BY 1)
@@ -233,14 +228,13 @@ SELECT source, n_docs, n_texts, coalesce(n_flags, 0) AS n_flags, coalesce(n_high
 def run_card(spark, sf):
     a = t(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.countDistinct(F.md5("text")).alias("n_texts"))
     b = flags(spark, sf).groupBy("source").agg(F.count("*").alias("n_flags"), F.count_if(F.col("level") == "high").alias("n_high"))
-    return a.join(b, "source", "left").withColumn("n_flags", F.coalesce("n_flags", F.lit(0)).cast("long")).withColumn("n_high", F.coalesce("n_high", F.lit(0)).cast("long"))
+    return insights.run_card(a, b, key="source")
 
 
 @query("derive_events", f"WITH {FLAGS_SQL} SELECT doc_id, 'risk' AS event_type, rule AS subject, level AS detail FROM flags UNION ALL SELECT doc_id, 'decision', lang, CASE WHEN n_chars > 1000 THEN 'long' ELSE 'short' END FROM documents")
 def derive_events(spark, sf):
-    r = flags(spark, sf).select("doc_id", F.lit("risk").alias("event_type"), F.col("rule").alias("subject"), F.col("level").alias("detail"))
-    d = t(spark, sf, "documents").select("doc_id", F.lit("decision").alias("event_type"), F.col("lang").alias("subject"), F.when(F.col("n_chars") > 1000, "long").otherwise("short").alias("detail"))
-    return r.unionByName(d)
+    size = F.when(F.col("n_chars") > 1000, "long").otherwise("short")
+    return insights.derive_events(t(spark, sf, "documents"), flags(spark, sf), id="doc_id", decision=("lang", size), risk=("rule", "level"))
 
 
 @query("portfolio_kpis", """

@@ -100,9 +100,16 @@ def paragraph_chunks(spark, sf):
     return segment.paragraphs(docs(spark, sf), separator="\n", min_chars=20).select("doc_id", "chunk_no", F.md5("content").alias("content_md5"))
 
 
-@query("packed_chunks")
+@query("packed_chunks", """
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ps FROM documents), l AS (SELECT doc_id, i, length(ps[i]) AS size, len(ps) AS n FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM d)),
+r AS (SELECT doc_id, i, 0 AS chunk_no, size AS total, size AS n_chars, 0::BIGINT AS char_start, size AS char_end FROM l WHERE i = 1
+  UNION ALL SELECT doc_id, i, chunk_no + flush::INT, CASE WHEN flush THEN size ELSE total + size END, size, char_end + 1, char_end + 1 + size
+  FROM (SELECT r.doc_id, l.i, r.chunk_no, r.total, l.size, r.char_end, r.total + l.size > 3000 OR (r.total >= 1000 AND l.size >= 100) AS flush FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1)),
+g AS (SELECT doc_id, chunk_no, min(char_start) AS char_start, max(char_end) AS char_end, sum(n_chars) AS n_chars FROM r GROUP BY 1, 2)
+SELECT doc_id, chunk_no, char_start, char_end, n_chars::BIGINT AS n_chars, md5(substring(text, char_start + 1, char_end - char_start)) AS content_md5 FROM g JOIN d USING (doc_id)""")
 def packed_chunks(spark, sf):
-    return segment.pack_paragraphs(docs(spark, sf), target=1000, most=3000, small=100)
+    out = segment.pack_paragraphs(docs(spark, sf), target=1000, most=3000, small=100)
+    return out.select("doc_id", "chunk_no", "char_start", "char_end", "n_chars", F.md5("content").alias("content_md5"))
 
 
 @query("fixed_chunks", """
@@ -241,4 +248,5 @@ def allcaps_numbered_fallback(spark, sf):
 
 @query("semantic_chunks")
 def semantic_chunks(spark, sf):
-    return segment.semantic_chunks(segment.sentences(docs(spark, sf)), id="doc_id", order="sent_no", text="sentence", close_below=0.05)
+    """By the cosine of trigram vectors; see the tests for a plain version."""
+    return segment.semantic_chunks(segment.sentences(docs(spark, sf)), id="doc_id", order="sent_no", text="sentence")

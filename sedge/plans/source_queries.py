@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedge.functions.storage import shared_folder
+from sedge.functions.storage import fresh_path
 from sedge.operators import facts, segment, texttables
 from sedge.plans.base import query, t
 from sedge.sources import tables
@@ -82,7 +82,7 @@ def sample_excerpts(spark, sf):
 def sink_tables(spark, sf):
     """Write the flags of documents in three formats and read them back."""
     rows = t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    folders = tables.write_outputs(rows, f"{shared_folder(spark)}/sedge-sink", partition_by=["lang"])
+    folders = tables.write_outputs(rows, fresh_path(spark, "sink"), partition_by=["lang"])
     out = None
     for fmt, folder in folders.items():
         back = spark.read.format(fmt).option("header", True).load(folder).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_ids")).withColumn("format", F.lit(fmt))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedge.plans.base import query
+from sedge.functions.storage import fresh_path
+from sedge.plans.base import query, t
 from sedge.streaming import streams
 
 
@@ -12,6 +13,27 @@ def events(spark, sf, delay="40 days"):
     return streams.with_time(streams.read_stream(spark, f"{sf}/events.parquet"), "ts", delay)
 
 
+#: Events arrive in files of one day each, in order of time; rows whose number divides by 17 arrive two days late.
+ARRIVAL_SQL = "arrive AS (SELECT *, ts::DATE + CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END AS arrived FROM events)"
+
+
+def daily(spark, sf, columns):
+    """The events as a stream of one file per batch, in the order of arrival (files are taken by their time of writing)."""
+    path = fresh_path(spark, "arrivals")
+    arrived = F.date_add(F.to_date("ts"), F.when(F.col("event_id") % 17 == 0, 2).otherwise(0))
+    rows = t(spark, sf, "events").select(*columns, arrived.alias("arrived")).repartitionByRange(1, "arrived").sortWithinPartitions("arrived")
+    rows.write.partitionBy("arrived").parquet(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(conf)
+    days = sorted(f.getPath().getName() for f in files.listStatus(root) if f.getPath().getName().startswith("arrived="))
+    for i, day in enumerate(days):
+        for f in files.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{day}")):
+            files.setTimes(f.getPath(), 1_700_000_000_000 + 60_000 * i, -1)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("stream_audit_ingest", "SELECT ts::DATE AS day, event_id % 13 = 0 AS quarantined, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_audit_ingest(spark, sf):
     rows = streams.read_stream(spark, f"{sf}/events.parquet").withColumn("line", F.when(F.col("event_id") % 13 == 0, F.lit("{broken")).otherwise(F.col("props")))
@@ -20,9 +42,13 @@ def stream_audit_ingest(spark, sf):
     return back.groupBy("day", "quarantined").agg(F.count("*").alias("n"))
 
 
-@query("stream_event_windows", "SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
+@query("stream_event_windows", f"""WITH {ARRIVAL_SQL}, days AS (SELECT arrived, max(ts) AS top FROM arrive GROUP BY 1), m AS (SELECT arrived, max(top) OVER (ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 1 DAY AS mark, max(top) OVER () - INTERVAL 1 DAY AS closing FROM days),
+w AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, value, mark, closing FROM arrive JOIN m USING (arrived))
+SELECT window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM w WHERE (mark IS NULL OR window_start + INTERVAL 1 HOUR > mark) AND window_start + INTERVAL 1 HOUR <= closing GROUP BY 1, 2""")
 def stream_event_windows(spark, sf):
-    out = streams.run(streams.event_windows(events(spark, sf), ts="ts", kind="event_type", value="value", size="1 hour"), mode="complete", name="windows")
+    """Windows leave the state once the watermark, a day behind, has passed them; rows for windows that had left before their batch began are dropped."""
+    rows = streams.with_time(daily(spark, sf, ["event_id", "ts", "event_type", "value"]), "ts", "1 day")
+    out = streams.run(streams.event_windows(rows, ts="ts", kind="event_type", value="value", size="1 hour"), mode="append", name="windows")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -35,10 +61,12 @@ def stream_sliding_windows(spark, sf):
 
 @query("stream_sessions", """
 WITH s AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-r AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM s)
-SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM r GROUP BY user_id, run""")
+r AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM s), x AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM r GROUP BY user_id, run)
+SELECT * FROM x WHERE session_end <= (SELECT max(ts) - INTERVAL 3 DAY FROM events)""")
 def stream_sessions(spark, sf):
-    out = streams.run(streams.sessions(events(spark, sf), ts="ts", entity="user_id", gap="30 minutes"), mode="complete", name="sessions")
+    """Sessions leave the state once the watermark, three days behind, has passed their end, so rows two days late still count."""
+    rows = streams.with_time(daily(spark, sf, ["event_id", "ts", "user_id"]), "ts", "3 days")
+    out = streams.run(streams.sessions(rows, ts="ts", entity="user_id", gap="30 minutes"), mode="append", name="sessions")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
@@ -55,10 +83,36 @@ def stream_dedup_ttl(spark, sf):
     return streams.run(streams.dedup_ttl(events(spark, sf), keys=["user_id", "event_type"]), mode="append", name="dedup").select("user_id", "event_type")
 
 
+@query("stream_dedup_expiry", """
+WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), g AS (SELECT user_id, day, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS before FROM d) SELECT user_id, min(day) AS first_day, count(*) > 0 AS seen FROM g GROUP BY 1""")
+def stream_dedup_expiry(spark, sf):
+    """With a life of two days a key comes again once its state has expired; what is asked here is its first day, which expiry must not touch."""
+    rows = streams.with_time(daily(spark, sf, ["event_id", "ts", "user_id"]).filter("event_id % 17 <> 0"), "ts", "2 days")
+    out = streams.run(streams.dedup_ttl(rows, keys=["user_id"]), mode="append", name="dedup-expiry")
+    late = t(spark, sf, "events").filter("event_id % 17 = 0").select("user_id", "ts")
+    return out.select("user_id", "ts").unionByName(late).groupBy("user_id").agg(F.min(F.to_date("ts")).alias("first_day"), (F.count("*") > 0).alias("seen"))
+
+
 @query("stream_change_state", "SELECT o_custkey, o_orderpriority, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS value, count(*) AS n_writes FROM orders GROUP BY 1, 2")
 def stream_change_state(spark, sf):
-    log = streams.read_stream(spark, f"{sf}/orders.parquet")
-    return streams.run(streams.change_state(log, base="o_custkey", key="o_orderpriority", value="o_orderstatus", order=["o_orderdate", "o_orderkey"]), mode="complete", name="state")
+    """Only keys that changed are written per batch; the result is each key's last row."""
+    log = streams.read_stream(spark, f"{sf}/orders.parquet", max_files=1)
+    updates = streams.run(streams.change_state(log, base="o_custkey", key="o_orderpriority", value="o_orderstatus", order=["o_orderdate", "o_orderkey"]), mode="update", name="state")
+    return streams.latest(updates, ["o_custkey", "o_orderpriority"])
+
+
+@query("stream_change_history", """
+WITH o AS (SELECT o_custkey, o_orderpriority, o_orderkey, o_orderstatus AS v, row_number() OVER w AS n, lag(o_orderstatus) OVER w AS old FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey)),
+c AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS change_no FROM o WHERE n = 1 OR v <> old) SELECT o_custkey, o_orderpriority, change_no, old AS old_value, v AS new_value, o_orderkey FROM c""")
+def stream_change_history(spark, sf):
+    """The history of every key, kept by a processor per customer."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKS_DB)
+    try:
+        log = streams.read_stream(spark, f"{sf}/orders.parquet")
+        return streams.run(streams.change_history(log, base="o_custkey", key="o_orderpriority", value="o_orderstatus", order="o_orderkey"), mode="append", name="history")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 @query("stream_feedback_counts", "SELECT role, count(*) AS n, max(turn) AS last_turn FROM conversations GROUP BY 1")
@@ -73,6 +127,7 @@ def stream_static_enrich(spark, sf):
     return streams.run(streams.read_stream(spark, f"{sf}/events.parquet").join(F.broadcast(dim), "event_type").select("event_id", "risk_class"), mode="append", name="enrich")
 
 
-@query("stream_late_rows", "SELECT count(*) AS n FROM events")
+@query("stream_late_rows", f"""WITH {ARRIVAL_SQL}, m AS (SELECT arrived, max(max(ts)) OVER (ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM arrive GROUP BY 1)
+SELECT event_id, coalesce(ts < top - INTERVAL 1 DAY, false) AS late FROM arrive JOIN m USING (arrived)""")
 def stream_late_rows(spark, sf):
-    return streams.late_rows(streams.read_stream(spark, f"{sf}/events.parquet", max_files=4), ts="ts", delay_s=86_400, name="late").groupBy().agg(F.count("*").alias("n"))
+    return streams.late_rows(daily(spark, sf, ["event_id", "ts"]), ts="ts", delay_s=86_400, name="late").select("event_id", "late")

@@ -5,13 +5,14 @@ Results and checkpoints go to the folder the cluster shares; a batch that is run
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from sedge.functions.storage import shared_folder
+from sedge.functions.storage import fresh_path
 
 
 def read_stream(spark: SparkSession, path: str, *, max_files: int | None = None) -> DataFrame:
@@ -23,25 +24,36 @@ def read_stream(spark: SparkSession, path: str, *, max_files: int | None = None)
     return reader.parquet(f"{parent}/{{{name}}}")
 
 
-def run(stream: DataFrame, *, mode: str, name: str, batch: Callable[[DataFrame, int], DataFrame] | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Run to the end of the input. "complete": the last batch's table; "append": all batches' rows."""
+def run(stream: DataFrame, *, mode: str, name: str, root: str | None = None, batch: Callable[[DataFrame, int], DataFrame] | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Run to the end of the input. "complete": the last batch's table; "update" and "append": all batches' rows, with the batch they came in for "update".
+
+    With the same ``root`` a later call goes on where the last one ended, also after a crash, and returns what all calls wrote.
+    """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/sedge-streams/{name}-{uuid.uuid4().hex}"
-    done: list[int] = []
-    schemas: list = []
+    root = root or fresh_path(spark, f"stream-{name}")
 
     def keep(df: DataFrame, batch_id: int) -> None:
         out = batch(df, batch_id) if batch else df
         writer = out.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/out/batch={batch_id}")
-        done.append(batch_id)
-        schemas[:] = [out.schema]
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
-    if not done:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/out")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
         return spark.createDataFrame([], stream.schema)
-    folders = [f"{root}/out/batch={i}" for i in (done if mode != "complete" else done[-1:])]
-    return spark.read.schema(schemas[0]).parquet(*folders)
+    done = sorted(int(f.getPath().getName().split("=")[1]) for f in files.listStatus(folder) if f.getPath().getName().startswith("batch="))
+    if mode == "complete":
+        return spark.read.parquet(f"{root}/out/batch={done[-1]}")
+    out = spark.read.option("basePath", f"{root}/out").option("mergeSchema", True).parquet(*[f"{root}/out/batch={i}" for i in done])
+    return out if mode == "update" else out.drop("batch")
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows written in update mode the last one of each key: the state of the result table."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}") for c in rest])
 
 
 def with_time(events: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -83,16 +95,54 @@ def change_state(log: DataFrame, *, base: str, key: str, value: str, order: list
     return log.groupBy(base, key).agg(F.max_by(value, F.struct(*order)).alias("value"), F.count("*").alias("n_writes"))
 
 
-def late_rows(events: DataFrame, *, ts: str, delay_s: int, name: str) -> DataFrame:
-    """All rows with late = True where a row is older than the largest time of earlier batches less the delay."""
-    seen: list = [None]
+def change_history(log: DataFrame, *, base: str, key: str, value: str, order: str) -> DataFrame:
+    """Every change of a (base, key): number, old and new value, order. A processor per base keeps the last value of each key in its state.
+
+    Rows of a batch are taken in ``order``; a row that repeats the value is no change. The state grows with the keys, not with the history.
+    """
+    kinds = {c: log.schema[c].dataType.simpleString() for c in (base, key, value, order)}
+    names = ["change_no", "old_value", "new_value"]
+
+    class Changes(StatefulProcessor):
+        def init(self, handle):
+            self.last = handle.getMapState("last", f"key {kinds[key]}", f"value {kinds[value]}, n long")
+
+        def handleInputRows(self, group, rows, timers):
+            whole = pd.concat(list(rows)).sort_values([order, key], kind="stable")
+            out = []
+            for k, v, at in zip(whole[key], whole[value], whole[order], strict=True):
+                known = self.last.containsKey((k,))
+                old, n = self.last.getValue((k,)) if known else (None, 0)
+                if not known or old != v:
+                    self.last.updateValue((k,), (v, n + 1))
+                    out.append((group[0], k, n + 1, old, v, at))
+            yield pd.DataFrame(out, columns=[base, key, *names, order])
+
+        def close(self):
+            pass
+
+    schema = f"{base} {kinds[base]}, {key} {kinds[key]}, change_no long, old_value {kinds[value]}, new_value {kinds[value]}, {order} {kinds[order]}"
+    rows = log.select(base, key, value, order)
+    return rows.groupBy(base).transformWithStateInPandas(Changes(), outputStructType=schema, outputMode="append", timeMode="none")
+
+
+#: State that can hold maps; what a stream of ``change_history`` needs to be set while it runs.
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def late_rows(events: DataFrame, *, ts: str, delay_s: int, name: str, root: str | None = None) -> DataFrame:
+    """All rows with batch and late, which says that a row is older than the largest time of earlier batches less the delay.
+
+    Each batch leaves its largest time in a table beside the output, so a stream that goes on after a crash knows it; a batch that is run
+    again overwrites its own entry and reads only those before it.
+    """
+    spark = events.sparkSession
+    root = root or fresh_path(spark, f"stream-{name}")
 
-    def mark(df: DataFrame, _: int) -> DataFrame:
-        limit = seen[0]
-        top = df.agg(F.max(ts)).first()[0]
-        if top is not None:
-            seen[0] = top if limit is None else max(limit, top)
-        late = F.lit(False) if limit is None else F.col(ts) < F.lit(limit).cast("timestamp") - F.make_dt_interval(secs=F.lit(delay_s))
-        return df.withColumn("late", late)
+    def mark(df: DataFrame, batch_id: int) -> DataFrame:
+        df.agg(F.max(ts).alias("top")).write.mode("overwrite").parquet(f"{root}/tops/batch={batch_id}")
+        tops = spark.read.schema("top timestamp, batch int").parquet(f"{root}/tops").filter(F.col("batch") < batch_id)
+        limit = tops.agg((F.max("top") - F.make_dt_interval(secs=F.lit(delay_s))).alias("_limit"))  # one row
+        return df.join(F.broadcast(limit)).withColumn("late", F.coalesce(F.col(ts) < F.col("_limit"), F.lit(False))).drop("_limit")
 
-    return run(events.withColumn(ts, F.col(ts).cast("timestamp")), mode="append", name=name, batch=mark)
+    return run(events.withColumn(ts, F.col(ts).cast("timestamp")), mode="update", name=name, root=root, batch=mark)
