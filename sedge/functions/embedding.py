@@ -32,9 +32,7 @@ def embedded(text: Column, embed: Embedding = trigram_embed) -> Column:
     @F.pandas_udf("array<double>")
     def vectors(texts: pd.Series) -> pd.Series:
         known = texts.notna().to_numpy()
-        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-        if known.any():
-            out[known] = list(np.asarray(embed(texts[known].tolist()), float))
-        return out
+        made = iter(np.asarray(embed(texts[known].tolist()), float) if known.any() else ())
+        return pd.Series([next(made) if k else None for k in known], dtype=object)
 
     return vectors(text)

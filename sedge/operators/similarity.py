@@ -143,15 +143,18 @@ def duplicate_groups(pairs: DataFrame) -> DataFrame:
 def boilerplate_groups(pairs: DataFrame, items: DataFrame, *, id: str, doc: str, least_docs: int = 3) -> DataFrame:
     """(leader, id): in id order an unused item leads and absorbs later unused neighbours; groups of at least ``least_docs`` items from as many documents.
 
-    In rounds: an item leads once all its earlier neighbours are known to be absorbed; what leads absorbs its open neighbours.
+    In rounds: an item leads once all its earlier neighbours are known to be absorbed; it absorbs those later neighbours that have no earlier open neighbour or leader.
     """
     e = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "bp-edges")
     open_items = saved(e.select(F.col("a").alias("i")).unionByName(e.select(F.col("b").alias("i"))).distinct(), "bp-open")
-    found = None
+    found, leaders = None, open_items.limit(0)
     while not open_items.isEmpty():
-        live = e.join(open_items.select(F.col("i").alias("a")), "a", "left_semi").join(open_items.select(F.col("i").alias("b")), "b", "left_semi")
+        there = open_items.unionByName(leaders).select(F.col("i").alias("a"))
+        live = e.join(there, "a", "left_semi").join(open_items.select(F.col("i").alias("b")), "b", "left_semi")
         leads = saved(open_items.join(live.select(F.col("b").alias("i")).distinct(), "i", "left_anti"), "bp-leads")
-        taken = saved(live.join(leads.select(F.col("i").alias("a")), "a").groupBy(F.col("b").alias("i")).agg(F.min("a").alias("leader")), "bp-taken")
+        leaders = saved(leaders.unionByName(leads), "bp-leaders")
+        first = live.groupBy(F.col("b").alias("i")).agg(F.min("a").alias("a"))  # only a leader that comes before all open neighbours takes an item
+        taken = saved(first.join(leaders.select(F.col("i").alias("a")), "a").select("i", F.col("a").alias("leader")), "bp-taken")
         now = leads.select("i", F.col("i").alias("leader")).unionByName(taken.select("i", "leader"))
         found = now if found is None else found.unionByName(now)
         open_items = saved(open_items.join(now.select("i"), "i", "left_anti"), "bp-open")

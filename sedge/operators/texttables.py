@@ -30,6 +30,8 @@ RULER = r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t\r]*$"
 def markdown_blocks(lines: DataFrame, *, id: str) -> DataFrame:
     """Tables of a pipe line, a ruler and pipe lines: id, block_no, row_no (0 = header), line_no, values.
 
+    Of the pipe lines in a row the first one before a ruler is the header, and all after the ruler are rows.
+
     Blank cells go; a row stays if it has as many cells as the header, and a table if any row stays.
     """
     w = Window.partitionBy(id).orderBy("line_no")
@@ -37,11 +39,11 @@ def markdown_blocks(lines: DataFrame, *, id: str) -> DataFrame:
     ruler = pipe & F.col("line").rlike(RULER)
     values = F.filter(F.transform(F.split("line", r"\|"), lambda c: F.btrim(c, F.lit(" \t\r"))), lambda c: c != "")
     rows = lines.withColumn("_pipe", pipe).withColumn("_ruler", ruler).withColumn("_head", F.col("_pipe") & ~F.col("_ruler") & F.coalesce(F.lead("_ruler").over(w), F.lit(False)))
-    rows = rows.withColumn("_run", F.sum((F.col("_head") | ~F.col("_pipe")).cast("int")).over(w)).filter("_pipe").withColumn("values", values)
-    run = Window.partitionBy(id, "_run").orderBy("line_no")
-    rows = rows.withColumn("_headed", F.first("_head").over(run)).withColumn("_n", F.first(F.size("values")).over(run)).withColumn("_at", F.row_number().over(run))
-    rows = rows.filter(F.col("_headed") & (F.col("_at") != 2) & (F.size("values") == F.col("_n")))
-    rows = rows.withColumn("_size", F.count("*").over(Window.partitionBy(id, "_run"))).filter("_size > 1")
+    rows = rows.withColumn("_run", F.sum((~F.col("_pipe")).cast("int")).over(w)).filter("_pipe").withColumn("values", values)
+    whole, run = Window.partitionBy(id, "_run"), Window.partitionBy(id, "_run").orderBy("line_no")
+    rows = rows.withColumn("_at", F.col("line_no") - F.min(F.when(F.col("_head"), F.col("line_no"))).over(whole)).filter("_at >= 0 AND _at <> 1")
+    rows = rows.withColumn("_n", F.max(F.when(F.col("_at") == 0, F.size("values"))).over(whole)).filter(F.size("values") == F.col("_n"))
+    rows = rows.withColumn("_size", F.count("*").over(whole)).filter("_size > 1")
     number = F.dense_rank().over(Window.partitionBy(id).orderBy("_run")).alias("block_no")
     return rows.select(id, number, (F.row_number().over(run) - 1).alias("row_no"), "line_no", "values")
 

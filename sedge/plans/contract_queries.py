@@ -108,7 +108,7 @@ def facts_option_rows(spark, sf):
     return facts.option_rows(found(spark, sf, "options"), id="doc_id")
 
 
-@query("facts_exclusions", f"""WITH {facts_sql(catalogues.PERCENTAGE_RENT)}, x AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(value, ',\s*and\s+|\s+and\s+|[,;]'), lambda v: trim(v)), lambda v: v <> '') AS v FROM facts WHERE field = 'exclusions')
+@query("facts_exclusions", f"""WITH {facts_sql(catalogues.PERCENTAGE_RENT)}, x AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(value, ',\\s*and\\s+|\\s+and\\s+|[,;]'), lambda v: trim(v)), lambda v: v <> '') AS v FROM facts WHERE field = 'exclusions')
 SELECT doc_id, 'exclusions' AS field, (i - 1)::INT AS item_no, v[i] AS item FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM x)""")
 def facts_exclusions(spark, sf):
     return facts.list_items(found(spark, sf, "percentage_rent"), id="doc_id", field="exclusions")

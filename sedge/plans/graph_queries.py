@@ -193,15 +193,20 @@ def outliers(spark, sf):
     return similarity.outliers(t(spark, sf, "embeddings"), id="vec_id", vector="embedding")
 
 
-@query("near_dup_groups")
+NEAR_SQL = """u AS (SELECT vec_id AS id, vec_id % 20 AS doc, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+near AS (SELECT a.id AS a, b.id AS b, a.doc AS a_doc, b.doc AS b_doc, round(list_inner_product(a.v, b.v), 6) AS similarity FROM u a JOIN u b ON a.id < b.id)"""
+
+
+@query("near_dup_groups", f"""WITH RECURSIVE {NEAR_SQL}, e AS (SELECT a, b FROM near WHERE similarity >= 0.4), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS id, a AS seen FROM g UNION SELECT r.id, g.b FROM r JOIN g ON g.a = r.seen)
+SELECT id, min(seen) AS group_id FROM r GROUP BY 1""")
 def near_dup_groups(spark, sf):
     return similarity.duplicate_groups(similarity.similar_links(t(spark, sf, "embeddings"), id="vec_id", vector="embedding", least=0.4))
 
 
-@query("xdoc_similarity")
+@query("xdoc_similarity", f"WITH {NEAR_SQL} SELECT a, b, similarity FROM near WHERE similarity >= 0.3 AND a_doc <> b_doc")
 def xdoc_similarity(spark, sf):
     pairs = similarity.similar_pairs(t(spark, sf, "embeddings"), id="vec_id", vector="embedding", least=0.3)
-    return pairs.filter(F.col("a") % 20 != F.col("b") % 20).orderBy(F.desc("similarity"), "a", "b")
+    return pairs.filter(F.col("a") % 20 != F.col("b") % 20)
 
 
 @query("standard_clauses")

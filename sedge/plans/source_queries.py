@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sedge.functions import udtfs
 from sedge.functions.storage import fresh_path
 from sedge.operators import facts, segment, texttables
 from sedge.plans.base import query, t
@@ -78,7 +79,7 @@ def sample_excerpts(spark, sf):
     return tables.excerpts(t(spark, sf, "documents"), id="doc_id", text="text").select("doc_id", "piece_no", F.md5("excerpt").alias("excerpt_md5"))
 
 
-@query("sink_tables")
+@query("sink_tables", "SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS n_ids, format FROM documents, (VALUES ('parquet'), ('json'), ('csv')) f(format) GROUP BY lang, format")
 def sink_tables(spark, sf):
     """Write the flags of documents in three formats and read them back."""
     rows = t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -260,6 +261,23 @@ def table_cells(spark, sf):
     return all_cells(spark, sf).select("doc_id", "block_no", "row_no", "col_no", "header", "value")
 
 
+@query("table_cells_udtf", f"WITH {BLOCK_SQL} SELECT doc_id, block_no, row_no, col_no, header, value FROM ce")
+def table_cells_udtf(spark, sf):
+    """The same from SQL, by a table function."""
+    udtfs.register(spark)
+    table_texts(spark, sf).createOrReplaceTempView("_sedge_texts")
+    return spark.sql("SELECT doc_id, c.* FROM _sedge_texts, LATERAL text_tables(text, 2) c")
+
+
+@query("flat_values_udtf", "SELECT p_partkey, kv[1] AS key, kv[2] AS value FROM (SELECT p_partkey, unnest(CASE WHEN p_size % 3 = 0 THEN [['General', NULL]] ELSE [['brand', p_brand], ['name', p_name]] END) AS kv FROM part)")
+def flat_values_udtf(spark, sf):
+    udtfs.register(spark)
+    empty = F.create_map().cast("map<string,string>")
+    part = t(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, empty).otherwise(F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"))).alias("pairs"))
+    part.createOrReplaceTempView("_sedge_parts")
+    return spark.sql("SELECT p_partkey, c.* FROM _sedge_parts, LATERAL flat_values(pairs) c")
+
+
 @query("table_validate", f"""WITH {BLOCK_SQL}, v AS (SELECT doc_id, block_no, max(row_no)::BIGINT AS n_rows, count(DISTINCT col_no) AS n_cols, count(DISTINCT header) AS h, avg((value <> '')::INT) AS f FROM ce GROUP BY 1, 2)
 SELECT doc_id, block_no, n_rows, n_cols, n_rows >= 2 AND n_cols >= 2 AND h >= 0.8 * n_cols AND f >= 0.3 AS valid FROM v""")
 def table_validate(spark, sf):

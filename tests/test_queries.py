@@ -12,6 +12,10 @@ import pytest
 from sedge.plans import catalogue
 
 
+#: What SQL does not express is compared with plain versions in test_library.py.
+PLAIN_VERSIONS = ("label_communities", "scan_artifacts", "semantic_chunks", "standard_clauses")
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
@@ -40,7 +44,7 @@ def test_query(name, spark, sf_dir, duck):
     got = catalogue.QUERIES[name](spark, sf_dir)
     rows = got.collect()
     if name not in catalogue.ORACLE_SQL:
-        assert len(got.columns) > 0
+        assert name in PLAIN_VERSIONS
         return
     want = duck.execute(catalogue.ORACLE_SQL[name])
     names = [c[0] for c in want.description]
