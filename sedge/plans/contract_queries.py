@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sedge.functions import catalogues
+from sedge.functions.rules import RuleSet
 from sedge.operators import facts, risks
 from sedge.plans.base import query, t
 
@@ -31,6 +32,9 @@ contracts AS (SELECT o_orderkey AS doc_id, o_custkey,
   || 'The security deposit is $' || CAST(100 + o_orderkey % 900 AS STRING) || '.00, used only for repairs of the premises.' || chr(10)
   || CASE o_orderkey % 7 WHEN 0 THEN 'Landlord may enter without notice in its sole discretion.' WHEN 1 THEN 'Tenant waives all claims and takes the premises as-is.' WHEN 2 THEN 'A late fee of ____ applies.'
      WHEN 3 THEN 'The lease shall automatically renew; [insert date].' WHEN 4 THEN 'Landlord may accelerate all rent on default.' WHEN 5 THEN 'The owner personally guarantees with unlimited liability.' ELSE 'Landlord may relocate the Tenant once.' END
+  || chr(10) || CASE o_orderkey % 9 WHEN 0 THEN 'Tenant may assign without consent and sublet freely or transfer.' WHEN 1 THEN 'Tenant shall not assign the lease.' WHEN 2 THEN 'Tenant may terminate early.'
+     WHEN 3 THEN 'Insurance: a waiver of subrogation binds Tenant.' WHEN 4 THEN 'Operating expenses are shared.' WHEN 5 THEN 'Hazardous matter: Tenant shall indemnify Landlord.'
+     WHEN 6 THEN 'Environmental: Tenant is responsible for prior spills.' WHEN 7 THEN 'Landlord keeps property insurance; Tenant shall repair structural parts.' ELSE 'Use exclusively for retail; shopping center hours shall be kept.' END
   AS text FROM orders JOIN li ON l_orderkey = o_orderkey)""".replace("${}'", "$' || " + _AMOUNT.format("o_totalprice") + " || '.00'")
 
 
@@ -120,3 +124,48 @@ _TAGS = " UNION ALL ".join(f"SELECT doc_id, '{tag}' AS tag, '{level}' AS level F
 @query("pattern_risk_tags", f"WITH {TEXTS} {_TAGS}")
 def pattern_risk_tags(spark, sf):
     return risks.pattern_tags(contracts(spark, sf), catalogues.RISK_TAGS, id="doc_id", texts=["text"])
+
+
+#: Clauses are the lines of a contract; a line's key comes from its words.
+CLAUSES = """clauses AS (SELECT doc_id, line_no, line, CASE WHEN lower(line) LIKE '%assign%' THEN 'assignment' WHEN lower(line) LIKE '%insurance%' AND lower(line) LIKE '%repair%' THEN 'insurance_and_repair' WHEN lower(line) LIKE '%insurance%' THEN 'insurance'
+  WHEN lower(line) LIKE '%accelerate%' OR lower(line) LIKE '%default%' THEN 'default' WHEN lower(line) LIKE '%base rent%' THEN 'base_rent' WHEN lower(line) LIKE '%term%' THEN 'term' WHEN lower(line) LIKE '%used%' OR lower(line) LIKE '%use %' THEN 'permitted_use'
+  WHEN lower(line) LIKE '%expenses%' THEN 'operating_expenses' ELSE 'other' END AS clause_key, CASE doc_id % 4 WHEN 0 THEN 'retail' WHEN 1 THEN 'office' WHEN 2 THEN 'industrial' ELSE 'other' END AS kind FROM lined)"""
+CLAUSES_SQL = f"{TEXTS}, lined AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM contracts))), {CLAUSES}, low AS (SELECT doc_id, line_no, kind, lower(clause_key || chr(10) || line) AS x FROM clauses)"
+
+
+def clauses(spark, sf):
+    from sedge.operators import segment
+
+    segment.lines(contracts(spark, sf)).select("doc_id", "line_no", "line").createOrReplaceTempView("_sedge_lined")
+    return spark.sql("WITH " + CLAUSES.replace("FROM lined", "FROM _sedge_lined") + " SELECT * FROM clauses")
+
+
+def _rule_sql(kind: str, rule) -> str:
+    tests = [f"regexp_matches(x, {_quoted(rule.pattern)})"] + ([f"regexp_matches(x, {_quoted(rule.gate)})"] if rule.gate else []) + ([f"NOT regexp_matches(x, {_quoted(rule.unless)})"] if rule.unless else [])
+    where = "" if kind == "all" else f"kind = '{kind}' AND "
+    return f"SELECT doc_id, line_no::INT AS line_no, '{rule.name}' AS rule, '{rule.level}' AS level FROM low WHERE {where}{' AND '.join(tests)}"
+
+
+@query("contract_risks", f"WITH {CLAUSES_SQL} " + " UNION ALL ".join(_rule_sql(kind, r) for kind, rules in catalogues.CLAUSE_RISKS.items() for r in rules))
+def contract_risks(spark, sf):
+    """The built-in rules: those of all contracts and those of a contract's type."""
+    rows = clauses(spark, sf)
+    text = catalogues.clause_text(F.col("clause_key"), F.col("line"))
+    every = risks.clause_risks(rows, RuleSet(catalogues.CLAUSE_RISKS["all"]), text=text, keep=["doc_id", "line_no"])
+    typed = risks.typed_risks(rows, {k: RuleSet(v) for k, v in catalogues.CLAUSE_RISKS.items() if k != "all"}, kind="kind", text=text, keep=["doc_id", "line_no"])
+    return every.unionByName(typed).select("doc_id", "line_no", "rule", "level")
+
+
+def _side_sql(gate: str, pattern: str) -> str:
+    return f"min(line_no) FILTER (regexp_matches(x, {_quoted(gate)}) AND regexp_matches(x, {_quoted(pattern)}))"
+
+
+@query("contract_paired_risks", f"WITH {CLAUSES_SQL} " + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS rule, '{level}' AS level, {_side_sql(*a)}::INT AS first_a, {_side_sql(*b)}::INT AS first_b FROM low GROUP BY doc_id HAVING first_a IS NOT NULL AND first_b IS NOT NULL" for name, level, a, b in catalogues.PAIRED_RISKS))
+def contract_paired_risks(spark, sf):
+    rows = clauses(spark, sf).withColumn("_x", catalogues.clause_text(F.col("clause_key"), F.col("line")))
+    side = lambda s: F.col("_x").rlike(s[0]) & F.col("_x").rlike(s[1])
+    out = None
+    for name, level, a, b in catalogues.PAIRED_RISKS:
+        found = risks.paired_risks(rows, doc="doc_id", order="line_no", a=side(a), b=side(b)).select("doc_id", F.lit(name).alias("rule"), F.lit(level).alias("level"), "first_a", "first_b")
+        out = found if out is None else out.unionByName(found)
+    return out
