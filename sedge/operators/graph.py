@@ -53,8 +53,8 @@ def degrees(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataFram
     return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, *, src: str = "src", dst: str = "dst", rounds: int = 10, damping: float = 0.85, save_every: int = 5) -> DataFrame:
-    """(node, rank): ``rounds`` fixed rounds with the mass of nodes without successors shared by all."""
+def pagerank(edges: DataFrame, *, src: str = "src", dst: str = "dst", rounds: int = 10, damping: float = 0.85, save_every: int = 5, tolerance: float | None = None) -> DataFrame:
+    """(node, rank): at most ``rounds`` rounds, fewer once no rank moves by more than ``tolerance``; the mass of nodes without successors is shared by all."""
     e = saved(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "pr-edges")
     nodes = saved(degrees(e).select("node", "out_degree"), "pr-nodes")
     n = nodes.count()
@@ -65,9 +65,15 @@ def pagerank(edges: DataFrame, *, src: str = "src", dst: str = "dst", rounds: in
         given = e.join(rank.filter("out_degree > 0"), F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out_degree")).alias("got"))
         loose = rank.groupBy().agg(F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0)).alias("loose"))
         new = nodes.join(given, F.col("node") == F.col("dst"), "left").join(F.broadcast(loose))  # one row
-        rank = new.select("node", "out_degree", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if (i + 1) % save_every == 0:
-            rank = saved(rank, "pr-rank")
+        stepped = new.select("node", "out_degree", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
+        if tolerance is not None:
+            moved = stepped.join(rank.select("node", F.col("rank").alias("before")), "node").withColumn("moved", F.abs(F.col("rank") - F.col("before")) > tolerance)
+            stepped, n_moved = saved_with(moved.select("node", "out_degree", "rank", "moved"), "pr-rank", F.count_if("moved"))
+            rank = stepped.drop("moved")
+            if not n_moved:
+                break
+        else:
+            rank = saved(stepped, "pr-rank") if (i + 1) % save_every == 0 else stepped
     return rank.select("node", "rank")
 
 

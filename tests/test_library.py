@@ -210,3 +210,16 @@ def test_artifacts(spark, tmp_path):
     spark.range(3).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
     found, missing = tables.read_artifacts(spark, str(tmp_path), expected=["one", "two"])
     assert [r.artifact for r in found.collect()] == ["one"] and [r.artifact for r in missing.collect()] == ["two"]
+
+
+def test_ranks_converge(spark):
+    from sedge.operators.graph import pagerank
+
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (5, 1)]
+    got = {r.node: r.rank for r in pagerank(spark.createDataFrame(edges, "src int, dst int"), rounds=200, tolerance=1e-9).collect()}
+    out = {a: [b for x, b in edges if x == a] for a in range(1, 6)}
+    rank = dict.fromkeys(range(1, 6), 0.2)
+    for _ in range(300):
+        loose = sum(rank[a] for a in out if not out[a])
+        rank = {n: 0.15 / 5 + 0.85 * (sum(rank[a] / len(out[a]) for a in out if n in out[a]) + loose / 5) for n in rank}
+    assert got == pytest.approx(rank, abs=1e-7)
