@@ -1,8 +1,8 @@
 """Drop lines that many documents share: explode, hash, count distinct documents, drop, reassemble by position.
 
-Only (row key, position, line hash) is shuffled to find the lines to drop; each text is shuffled once, to meet its flags.
-Hot lines are counted with a partial aggregate first, and the join that marks them is one that adaptive execution can
-split. All expressions are built-in.
+Lines are split and hashed once, into a table of (row key, position, line hash); lines that may not be dropped, such as blank ones,
+are not in it. Counts are combined before the shuffle, and in the join that finds the lines that go a very common line is dealt over many tasks.
+Each text is shuffled once, to meet the positions of its lines that go. All expressions are built-in.
 
 Defined cases: null or empty text is one empty line; a line's key is the line stripped of ``strip`` at both ends with A-Z
 lower-cased, and keys shorter than ``min_chars`` code points are never dropped; a document counts once for a key however
@@ -16,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedge.functions.storage import saved
+from sedge.llm.common import safe_names, salted_join
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,30 +34,24 @@ def hash128(c: Column) -> Column:
     return F.struct(F.xxhash64(c, F.lit(1)).alias("a"), F.xxhash64(c, F.lit(2)).alias("b"))
 
 
-def _row_key(id_col: str, text: Column) -> Column:
-    return F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(id_col).isNull().alias("z"), hash128(text).alias("t"))
-
-
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, strip: str = BLANKS) -> DataFrame:
     """``docs`` with ``text_col`` reassembled from the lines that stay, and n_lines, n_dropped.
 
     Lines whose key has at least ``min_chars`` code points and occurs in at least ``min_docs`` documents go everywhere.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("_id"), _row_key(id_col, text).alias("_row"), F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
-    key = line_key(F.col("_line"), strip)
-    lines = lines.select("_id", "_row", "_pos", F.when(F.length(key) >= min_chars, hash128(key)).alias("_hash"))
-    shared = lines.filter("_hash IS NOT NULL AND _id IS NOT NULL").groupBy("_hash").agg(F.countDistinct("_id").alias("_n")).filter(F.col("_n") >= min_docs).select("_hash", F.lit(True).alias("_drop"))
-    flags = (
-        lines.select("_row", "_pos", "_hash").join(shared, "_hash", "left")
-        .groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("_pos", F.coalesce("_drop", F.lit(False)).alias("_drop")))).alias("_flags"))
-        .select("_row", F.transform("_flags", lambda x: x["_drop"]).alias("_flags"))
-    )
-    joined = docs.withColumn("_row", _row_key(id_col, text)).join(flags, "_row")
-    stays = F.zip_with(F.split(text, "\n"), F.col("_flags"), lambda line, drop: F.when(~drop, line))
-    return (
-        joined.withColumn(text_col, F.array_join(stays, "\n"))
-        .withColumn("n_lines", F.size("_flags").cast("long"))
-        .withColumn("n_dropped", F.size(F.filter("_flags", lambda d: d)).cast("long"))
-        .drop("_row", "_flags")
-    )
+    safe, at = safe_names(docs)
+    text = F.coalesce(F.col(at[text_col]).cast("string"), F.lit(""))
+    row = F.struct(*[F.xxhash64(F.col(at[id_col]).cast("string"), F.col(at[id_col]).isNull(), text, F.lit(seed)).alias(f"h{seed}") for seed in (1, 2)])
+    lines = safe.select(F.col(at[id_col]).alias("id"), row.alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    key = line_key(F.col("line"), strip)
+    lines = saved(lines.select("id", "row", "pos", F.length(key).alias("size"), hash128(key).alias("hash")).filter(F.col("size") >= min_chars).drop("size"), "lines")
+    counts = lines.groupBy("hash").agg(F.countDistinct("id").alias("n_docs"), F.count("*").alias("n_lines")).filter(F.col("n_docs") >= min_docs)
+    shared = saved(counts.select("hash", "n_lines"), "shared-lines")
+    gone = salted_join(lines.select("row", "pos", "hash"), shared, "hash", size="n_lines", salt=["row", "pos"])
+    gone = gone.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    joined = safe.withColumn("row", row).join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))).withColumn("lines", F.split(text, "\n"))
+    # What stays are the runs of lines between those that go.
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), "gone"), F.concat("gone", F.array(F.size("lines"))), lambda a, b: F.slice("lines", a + 2, b - a - 1))
+    joined = joined.withColumn(at[text_col], F.array_join(F.flatten(runs), "\n"))
+    added = {"n_lines": F.size("lines").cast("long"), "n_dropped": F.size("gone").cast("long")}
+    return joined.select(*[F.col(at[c]).alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
