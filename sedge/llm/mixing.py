@@ -7,11 +7,11 @@ remainder holds them. Where a long document stops that early, sources that still
 the documents left that fit, ``FILLS`` times at most; at last the one document nearest to what is missing is added if it helps.
 
 Texts are dropped before any shuffle. Sizes are summed per (source, slot of the seeded order), so the running sum that
-finds the border covers at most ``SLOTS`` sums per source, and only the border slot of a source is put in order row by row;
+finds the border covers at most ``SLOTS`` sums per source, 256 in one task, and only the border slot of a source is put in order row by row;
 a source with a third of all rows is spread over its slots. The source table is numbered over range partitions and the
 water level is found by whole-table sums, so the number of sources is not bound by one task either.
 
-Defined cases: null or empty text has size 0 and takes nothing; null sources form one source, which comes last; a source
+Defined cases: null or empty text has size 0, takes nothing and is not in the mixed corpus; null sources form one source, which comes last; a source
 of size 0 has target 0; rows that repeat an id and a size in a source are taken alike in the mixed corpus; an empty
 table gives an empty one; the columns read are named by parameters and no others are touched.
 """
@@ -22,10 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions.storage import saved
+from sedge.llm.common import safe_names
 from sedge.llm.ranks import with_rank
 
 SLOTS = 1 << 16
 FILLS, MISS = 3, 0.002
+#: Tables with a row per source are broadcast while there are at most so many sources (some 100 bytes each).
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,27 +68,32 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     ranked = with_rank(slots.groupBy("key").agg(F.sum("in_slot").alias("size")), [F.col("key")], "nth")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("nth") - 1, F.lit(len(weights))) + 1).cast("int"))
     sources = saved(ranked.select("key", "size", weight.alias("weight"), (F.col("size") * float(max_epochs)).alias("cap")), "mix-sources")
+    few = sources.count() <= BROADCAST_SOURCES
+
+    def per_source(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if few else table
+
     targets = water_level(sources).select("key", F.col("size").alias("source_size"), "target")
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    chosen = _taken_in_order(rows, targets.select("key", F.col("rest").alias("room")))
+    chosen = _taken_in_order(rows, per_source(targets.select("key", F.col("rest").alias("room"))))
     for _ in range(FILLS):
         chosen = saved(chosen, "mix-chosen")
         short = _missing(chosen, targets).filter(F.col("missing") > MISS * F.col("target"))
         if short.isEmpty():
             break
-        fits = chosen.filter("extra = 0 AND size > 0").join(short, "key").filter("size <= missing").select(rows.columns)
-        more = _taken_in_order(fits, short.select("key", F.col("missing").alias("room"))).filter("extra = 1").select("key", "u", "size", "id", F.lit(1).alias("added")).distinct()
+        fits = chosen.filter("extra = 0 AND size > 0").join(per_source(short), "key").filter("size <= missing").select(rows.columns)
+        more = _taken_in_order(fits, per_source(short.select("key", F.col("missing").alias("room")))).filter("extra = 1").select("key", "u", "size", "id", F.lit(1).alias("added")).distinct()
         chosen = chosen.alias("c").join(more.alias("m"), _same_row("c", "m"), "left").select(*[F.col(f"c.{c}") for c in rows.columns], F.coalesce(F.col("m.added"), F.col("c.extra")).cast("long").alias("extra"))
     chosen = saved(chosen, "mix-chosen")
     # One more document per source: of those left, the one nearest to what is missing.
     missing = _missing(chosen, targets)
     off = F.abs(F.col("size") - F.col("missing"))
-    left = chosen.filter("extra = 0 AND size > 0").join(missing, "key").filter(off < F.col("missing"))
+    left = chosen.filter("extra = 0 AND size > 0").join(per_source(missing), "key").filter(off < F.col("missing"))
     last = left.groupBy("key").agg(F.min(F.struct(off.alias("off"), F.col("u").alias("u"), F.col("size").alias("size"), F.col("id").alias("id"))).alias("m"))
     last = last.select("key", "m.u", "m.size", "m.id", F.lit(1).alias("added"))
-    both = chosen.alias("c").join(last.alias("m"), _same_row("c", "m"), "left").select("c.*", "m.added").join(targets, "key")
-    copies = (F.col("whole") + F.greatest(F.col("extra"), F.coalesce("added", F.lit(0)))).cast("long")
+    both = chosen.alias("c").join(per_source(last).alias("m"), _same_row("c", "m"), "left").select("c.*", "m.added").join(per_source(targets), "key")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.greatest(F.col("extra"), F.coalesce("added", F.lit(0)))).otherwise(0).cast("long")
     return both.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -101,8 +109,12 @@ def _missing(chosen: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _taken_in_order(rows: DataFrame, room: DataFrame) -> DataFrame:
     """``rows`` with extra = 1 as long as the running sum of sizes of the key, ordered by (u, size, id), stays within its room."""
-    running = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = rows.groupBy("key", "slot").agg(F.sum("size").alias("in_slot")).withColumn("before", F.coalesce(F.sum("in_slot").over(running), F.lit(0)))
+    slots = rows.groupBy("key", "slot").agg(F.sum("size").alias("in_slot")).withColumn("stretch", F.shiftright("slot", 8))
+    # Sums before a slot: those of the stretches of 256 slots before its own, and those of the slots before it there.
+    earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = slots.groupBy("key", "stretch").agg(F.sum("in_slot").alias("in_stretch"))
+    stretches = stretches.select("key", "stretch", F.coalesce(F.sum("in_stretch").over(earlier(["key"], "stretch")), F.lit(0)).alias("before_stretch"))
+    slots = slots.join(stretches, ["key", "stretch"]).withColumn("before", F.col("before_stretch") + F.coalesce(F.sum("in_slot").over(earlier(["key", "stretch"], "slot")), F.lit(0)))
     after = F.col("before") + F.col("in_slot")
     placed = slots.join(room, "key").select("key", "slot", "room", "before", (after <= F.col("room")).alias("inside"), (F.col("before") < F.col("room")).alias("begun"))
     joined = rows.join(placed, ["key", "slot"])
@@ -113,10 +125,11 @@ def _taken_in_order(rows: DataFrame, room: DataFrame) -> DataFrame:
     return plain.unionByName(ordered).select(*rows.columns, "extra")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the plan takes it, with the columns of ``docs``."""
-    plan = mix_plan(docs, id_col=id_col, source_col=source_col, **options)
-    taken = plan.groupBy(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    same = docs[id_col].eqNullSafe(taken["_id"]) & docs[source_col].cast("string").eqNullSafe(taken["_source"]) & (word_count(docs[options.get("text_col", "text")]) == taken["_size"])
-    joined = docs.join(taken, same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select([docs[c] for c in docs.columns])
+    safe, at = safe_names(docs)
+    plan = mix_plan(safe, id_col=at[id_col], source_col=at[source_col], text_col=at[text_col], **options)
+    taken = plan.groupBy("id", "source", "size").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
+    same = safe[at[id_col]].eqNullSafe(taken["id"]) & safe[at[source_col]].cast("string").eqNullSafe(taken["source"]) & (word_count(safe[at[text_col]]) == taken["size"])
+    joined = safe.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return joined.select([F.col(at[c]).alias(c) for c in docs.columns])
