@@ -2,14 +2,16 @@
 
 Two generative models over hashed word unigrams and bigrams: one of target texts (labelled good, at most ``max_target`` of them),
 one of the raw corpus (all documents, counted per task in numpy and summed by bucket). A document's log importance weight
-is ``scale`` times its mean log ratio of the models per n-gram, so that length alone decides nothing. Adding Gumbel
-noise seeded by the id and keeping the k largest keys samples k documents without replacement in proportion to the weights.
-k is the number of documents whose weight reaches the cut that separates a labelled calibration fold best.
+is ``scale`` times what its mean log ratio of the models per n-gram exceeds the cut by, so that length alone decides nothing; the cut separates
+a labelled calibration fold best, and ``scale`` makes the weight a log odds on that fold (the ratio is tempered: summed over the n-grams
+of a text it would leave no room for chance). Adding Gumbel noise seeded by the id and keeping the k largest keys samples k documents without
+replacement in proportion to the weights. k is given, or the expected number of keys over 0, that is the sum of 1 - exp(-weight) over all
+documents. Texts far above the cut are so always kept and those far below it never, while in between inclusion is a matter of the weight.
 
 A word that repeats the one before it becomes one "repeat" symbol, so that runs of any word look alike.
 
 Defined cases: null, empty or blank texts hold no n-gram, have a null weight and are never selected; without labelled good texts
-every text that holds an n-gram is selected; equal keys go by the smaller id, nulls last, so repeated rows are selected
+every text that holds an n-gram is selected unless k is given; equal keys go by the smaller id, nulls last, so repeated rows are selected
 together at the border; a row with a null id draws its noise from its text; an empty table gives an empty one; ``resampled``
 keeps all columns, also those whose names look like its own.
 """
@@ -30,6 +32,8 @@ from sedge.llm.textarrays import mixed, run_hashes, slices, tokens
 BUCKETS = 1 << 12
 #: Pseudo-counts per bucket by which the target model leans on the raw one.
 LEAN = 10.0
+#: Deals the labelled rows into target and calibration fold, whatever the seed of the noise.
+SPLIT_SEED = 11
 
 
 def ngram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +131,19 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float((values[best] + below) / 2)
 
 
+def log_odds_scale(good: np.ndarray, bad: np.ndarray, cut: float) -> float:
+    """The factor that makes (value - cut) the log odds of good against bad, both kinds weighing the same; targets are smoothed by half a row."""
+    x = np.concatenate((good, bad)) - cut
+    target = np.concatenate((np.full(len(good), (len(good) + 0.5) / (len(good) + 1)), np.full(len(bad), 0.5 / (len(bad) + 1))))
+    weight = np.concatenate((np.full(len(good), 1 / len(good)), np.full(len(bad), 1 / len(bad))))
+    low, high = 0.0, 1e6
+    for _ in range(100):  # the likelihood's slope falls as the factor grows
+        middle = (low + high) / 2
+        p = 1 / (1 + np.exp(-np.clip(middle * x, -500, 500)))
+        low, high = (middle, high) if (weight * x * (target - p)).sum() > 0 else (low, middle)
+    return max(low, 1e-3)
+
+
 def kth_largest(keys: DataFrame, k: int, *, bins: int = 4096) -> float:
     """The k-th largest ``key`` by counting in ever finer bins: each round aggregates the rows left in one bin."""
     low, high = keys.agg(F.min("key"), F.max("key")).first()
@@ -162,32 +179,37 @@ class Selection:
     def columns(self, df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
         """``df`` with _n_ngrams, _log_weight, _key and _selected."""
         scored = df.withColumn("_score", mean_log_ratio(self.model, F.col(text_col)))
-        weight = F.col("_score.mean") * self.scale
+        weight = (F.col("_score.mean") - F.lit(self.cut)) * self.scale
         key = weight + gumbel(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")), self.seed)
         out = scored.withColumn("_n_ngrams", F.col("_score.n")).withColumn("_log_weight", weight).withColumn("_key", key).drop("_score")
         return out.withColumn("_selected", F.coalesce(F.col("_key") >= self.threshold, F.lit(False)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", max_target: int = 20_000, max_calibration: int = 4_000, scale: float = 100.0, seed: int = 11) -> Selection:
+def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", k: int | None = None, scale: float | None = None, max_target: int = 20_000, max_calibration: int = 4_000, seed: int = 11) -> Selection:
     """Fit the models on all of ``docs``, calibrate and find the k-th key.
 
     ``labels`` holds ``id_col`` and ``good_col`` (1 or 0). At most ``max_target`` good ids, and ``max_calibration`` others of either kind, are used.
     """
-    marked = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(good_col).cast("int").alias("good"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"))
+    marked = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(good_col).cast("int").alias("good"), F.xxhash64(F.col(id_col), F.lit(SPLIT_SEED)).alias("h"))
     fold = F.pmod("h", F.lit(5)) == 0
     target = marked.filter("good = 1").filter(~fold).orderBy("h").limit(max_target).select("id")
     model = fit(docs, target, id_col=id_col, text_col=text_col)
-    checks = [marked.filter(F.col("good") == g).filter(fold).orderBy("h").limit(max_calibration) for g in (1, 0)]
+    checks = [marked.filter(kind).orderBy("h").limit(max_calibration) for kind in ((F.col("good") == 1) & fold, F.col("good") == 0)]  # bad texts are in no model
     check = F.broadcast(checks[0].unionByName(checks[1]).groupBy(F.col("id").alias("_check")).agg(F.min("good").alias("_good")))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(check, F.col("_id") == F.col("_check"), "left")
-    every = Selection(model, 0.0, 0, 0.0, scale, seed)
-    scored = saved(every.columns(rows, id_col="_id", text_col="_text").select("_good", F.col("_log_weight").alias("weight"), F.col("_key").alias("key")), "quality-scores")
-    fold_rows = scored.filter("_good IS NOT NULL AND weight IS NOT NULL").select("_good", "weight").toPandas()  # bounded by max_calibration
-    values, good = fold_rows["weight"].to_numpy(float), fold_rows["_good"].to_numpy(int)
-    cut = best_cut(values[good == 1], values[good == 0])
-    keys = scored.filter("key IS NOT NULL").select("key", "weight")
-    k = keys.filter(F.col("weight") >= cut).count() if np.isfinite(cut) else keys.count()
-    threshold = kth_largest(keys.select("key"), k) if k else float("inf")
+    raw = rows.select("_good", mean_log_ratio(model, F.col("_text"))["mean"].alias("mean"), gumbel(F.col("_id"), F.coalesce("_text", F.lit("")), seed).alias("noise"))
+    scored = saved(raw, "quality-scores").filter("mean IS NOT NULL")
+    fold_rows = scored.filter("_good IS NOT NULL").select("_good", "mean").toPandas()  # bounded by max_calibration
+    values, kind = fold_rows["mean"].to_numpy(float), fold_rows["_good"].to_numpy(int)
+    good, bad = values[kind == 1], values[kind == 0]
+    cut = best_cut(good, bad)
+    known = np.isfinite(cut)
+    cut = cut if known else 0.0
+    scale = scale or (log_odds_scale(good, bad, cut) if known else 1.0)
+    weight = (F.col("mean") - F.lit(cut)) * scale
+    n, expected = scored.agg(F.count("*"), F.sum(1 - F.exp(-F.exp(F.least(weight, F.lit(50.0)))))).first()
+    k = min(n, k if k is not None else round(expected or 0) if known else n)
+    threshold = kth_largest(scored.select((weight + F.col("noise")).alias("key")), k) if k else float("inf")
     return Selection(model, cut, k, threshold, scale, seed)
 
 
