@@ -3,11 +3,14 @@
 Per host the tree's nodes are path prefixes. Level by level, segments become wildcards: those that look variable (digits,
 hexadecimal runs, dates, identifiers), the children of a node with so many different segments for its rows that they must
 be values, and siblings whose labelled share of rejected pages does not differ from that of their siblings together
-(two-proportion z test). Each template gets its smoothed share of rejected labelled pages,
-(bad + prior_weight * prior) / (labelled + prior_weight), and templates over ``max_bad`` are rejected. Explicit rules
-(host and path prefix, the longest wins) go before templates.
-
-Pages are first summed to distinct (host, shape, label) rows with partial aggregation; the levels work on those sums
+(two-proportion z test). Each template gets its smoothed share of rejected labelled pages, which leans on the share of
+its host and that on the share of all: (bad + w * host) / (labelled + w) with host = (host bad + w * prior) / (host labelled + w).
+A fifth of the labelled pages, dealt by a hash of the url, is held out of all this. Templates whose share reaches a cut are rejected; the cut
+is the one at which the held-out pages gain most, a rejected bad page counting 1 - ``precision`` and a good one -``precision``, and holds only if the lower
+confidence bound of the held-out rejected share reaches ``precision`` - where labels have nothing to do with urls, nothing is rejected.
+Explicit rules (host and path prefix, the longest wins) go before templates.
+
+Pages are first summed to distinct (host, shape) rows with partial aggregation; the levels work on those sums
 only, and pages meet their template in one join that adaptive execution can split for a hot host. Built-in expressions only.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and belongs to the empty template; labels
@@ -58,6 +61,11 @@ def path_shape(path: Column, depth: int) -> Column:
     return F.when(F.size(parts) > depth, F.concat(shape, F.array(F.lit("**")))).otherwise(shape)
 
 
+SUMS = ("pages", "labelled", "bad", "held", "held_bad")
+#: Shares fall into so many bins when the cut is chosen.
+SHARE_BINS = 1000
+
+
 def _merged_level(nodes: DataFrame, level: int, *, min_values: int, value_share: float, z: float) -> DataFrame:
     """Replace segment ``level`` of ``template`` by a wildcard where its siblings call for it."""
     seg = F.get("shape", F.lit(level))
@@ -75,24 +83,44 @@ def _merged_level(nodes: DataFrame, level: int, *, min_values: int, value_share:
     merged = both.select(*group, "_seg", F.when(many | ((F.col("values") > 1) & ~differs), F.lit(WILD)).otherwise(F.col("_seg")).alias("_new"))
     grown = here.join(merged, [*group, "_seg"], "left")
     template = F.when(F.col("_new").isNull(), F.col("template")).otherwise(F.concat(F.col("template"), F.lit("/"), F.col("_new")))
-    return grown.select("host", "shape", template.alias("template"), "pages", "labelled", "bad")
+    return grown.select("host", "shape", template.alias("template"), *SUMS)
+
+
+def best_cut(bins: Sequence[tuple[int, int, int]], precision: float, z: float) -> float:
+    """The share from which templates are rejected. ``bins`` holds (bin of the share, held-out labelled pages, bad ones)."""
+    best, cut, held, bad = 0.0, float("inf"), 0, 0
+    for at, n, b in sorted(bins, reverse=True):
+        held, bad = held + n, bad + b
+        gain = bad * (1 - precision) - (held - bad) * precision
+        if held and gain > best:
+            p, q = bad / held, z * z / held
+            lower = (p + q / 2 - z * ((p * (1 - p) + q / 4) / held) ** 0.5) / (1 + q)
+            if lower >= precision:
+                best, cut = gain, at / SHARE_BINS
+    return cut
 
 
-def url_templates(pages: DataFrame, *, url_col: str = "url", label_col: str = "bad", depth: int = 6, min_values: int = 20, value_share: float = 0.5, z: float = 1.96, prior_weight: float = 10.0, max_bad: float = 0.5) -> DataFrame:
+def url_templates(pages: DataFrame, *, url_col: str = "url", label_col: str = "bad", depth: int = 6, min_values: int = 20, value_share: float = 0.5, z: float = 1.96, prior_weight: float = 10.0, precision: float = 0.5) -> DataFrame:
     """(host, shape) -> template with its counts, purity (smoothed share of rejected labels) and rejected."""
-    bad = F.col(label_col).cast("int")
-    rows = with_url_parts(pages.select(url_col, label_col), url_col).select("host", path_shape(F.col("path"), depth).alias("shape"), bad.alias("_bad"))
-    nodes = saved(rows.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count("_bad").alias("labelled"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")), "url-shapes")
-    overall = nodes.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n")).first()
+    held = F.pmod(F.xxhash64(url_col), F.lit(5)) == 0
+    rows = with_url_parts(pages.select(F.col(url_col).alias("_url"), F.col(label_col).cast("int").alias("_bad"), held.alias("_held")), "_url")
+    rows = rows.select("host", path_shape(F.col("path"), depth).alias("shape"), "_held", "_bad")
+    fits, checks = F.when(~F.col("_held"), F.col("_bad")), F.when(F.col("_held"), F.col("_bad"))
+    sums = [F.count("*").alias("pages"), F.count(fits).alias("labelled"), F.coalesce(F.sum(fits), F.lit(0)).alias("bad"), F.count(checks).alias("held"), F.coalesce(F.sum(checks), F.lit(0)).alias("held_bad")]
+    nodes = saved(rows.groupBy("host", "shape").agg(*sums), "url-shapes")
+    overall = nodes.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n"), F.max(F.size("shape")).alias("d")).first()
     prior = (overall["b"] or 0) / overall["n"] if overall["n"] else 0.0
     grown = nodes.withColumn("template", F.lit(""))
-    deepest = nodes.agg(F.max(F.size("shape")).alias("d")).first()["d"] or 0
-    for level in range(deepest):
+    for level in range(overall["d"] or 0):
         grown = saved(_merged_level(grown, level, min_values=min_values, value_share=value_share, z=z), "url-level")
-    sums = grown.groupBy("host", "template").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    purity = (F.col("bad") + prior_weight * prior) / (F.col("labelled") + prior_weight)
-    sums = sums.withColumn("purity", purity).withColumn("rejected", F.col("purity") > max_bad)
-    return grown.select("host", "shape", "template").join(sums, ["host", "template"])
+    added = [F.sum(c).alias(c) for c in SUMS]
+    hosts = grown.groupBy("host").agg(((F.sum("bad") + prior_weight * prior) / (F.sum("labelled") + prior_weight)).alias("host_share"))
+    purity = (F.col("bad") + prior_weight * F.col("host_share")) / (F.col("labelled") + prior_weight)
+    templates = saved(grown.groupBy("host", "template").agg(*added).join(hosts, "host").withColumn("purity", purity), "url-templates")
+    share_bin = F.floor(F.col("purity") * SHARE_BINS).cast("int")
+    bins = templates.groupBy(share_bin.alias("bin")).agg(F.sum("held"), F.sum("held_bad")).collect()  # SHARE_BINS + 1 rows at most
+    cut = best_cut([tuple(r) for r in bins], precision, z)
+    return grown.select("host", "shape", "template").join(templates.withColumn("rejected", F.col("purity") >= cut), ["host", "template"])
 
 
 def url_verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", label_col: str = "bad", rules: Sequence[tuple[str, str, str]] = (), depth: int = 6, **options) -> DataFrame:
