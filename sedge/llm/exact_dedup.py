@@ -4,8 +4,8 @@ Documents arrive as a stream. The state, kept in RocksDB and checkpointed to the
 digest the stable identifier of the row that stays, a content locator (file and row in the file) and the number of rows
 seen; there is no watermark, so nothing expires. It is a streaming aggregation, so copies are combined before the
 shuffle and a text that makes up a third of all rows reaches the state as one row per task. Full bytes are compared
-afterwards: rows are grouped by (digest, text), also combined before the shuffle, and a digest that stands for more than
-one text is resolved by its texts.
+afterwards where a digest was hit, that is, stands for several rows: those rows are grouped by (digest, text), also combined before the
+shuffle, and a digest that stands for more than one text is resolved by its texts. Other texts cross no shuffle.
 
 Defined cases: null text counts as empty; of equal texts the largest id stays, then the largest locator, so of repeated
 rows with one id exactly one stays; rows with a null id stay only if no copy has an id; an empty table gives no rows;
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from sedge.functions.storage import fresh_path, saved
 
+#: Up to so many digests of several rows are broadcast, as 8 bytes each; more meet the texts in a shuffled join.
+BROADCAST_HITS = 1_000_000
 #: RocksDB state; it must not reserve megabytes of disk for each of many small stores.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -78,9 +80,14 @@ def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
     """
     state = saved(fold_into_state(spark, path, id_col=id_col, text_col=text_col, normalise=normalise, checkpoint=checkpoint, max_files=max_files), "dedup-anchors")
     rows = _located(spark.read.parquet(path), id_col, text_col, normalise)
-    texts = rows.groupBy("digest", "text").agg(_anchor().alias("t_anchor"), F.count("*").alias("t_n")).drop("text")
-    confirmed = texts.groupBy("digest").agg(F.count("*").alias("n_texts"), F.sum("t_n").alias("n_rows"))
-    checked = saved(state.join(confirmed, "digest").select("digest", "anchor", "n", (F.col("n_texts") == 1).alias("same")), "dedup-checked")
+    hits = saved(state.filter("n > 1").select("digest", F.xxhash64("digest").alias("code")), "dedup-hits")
+    if hits.count() <= BROADCAST_HITS:
+        hit_rows = rows.withColumn("code", F.xxhash64("digest")).join(F.broadcast(hits.select("code").distinct()), "code", "left_semi")
+    else:
+        hit_rows = rows.join(hits, "digest", "left_semi")
+    texts = hit_rows.groupBy("digest", "text").agg(F.count("*").alias("t_n")).drop("text")
+    clashing = texts.groupBy("digest").agg(F.count("*").alias("n_texts")).filter("n_texts > 1").select("digest", F.lit(False).alias("same"))
+    checked = saved(state.join(clashing, "digest", "left").select("digest", "anchor", "n", F.coalesce("same", F.lit(True)).alias("same")), "dedup-checked")
     columns = ["id", "file", "row", "digest", "anchor", "n"]
     out = rows.select("id", "file", "row", "digest").join(checked.filter("same"), "digest").select(columns)
     clashes = checked.filter("NOT same").select("digest")
