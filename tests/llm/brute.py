@@ -70,3 +70,58 @@ def best_fit(lengths, window):
         else:
             room.append(window - n)
     return len(room)
+
+
+def url_verdicts(rows, *, held, depth=6, min_values=20, value_share=0.5, z=1.96, weight=10.0, precision=0.5):
+    """{page: (host, path, template, purity, verdict)} of (page, url, bad) rows without explicit rules; ``held`` says which urls are held out."""
+    variable = re.compile(r"^(?:\d+|\d{4}-\d{2}(?:-\d{2})?|[0-9a-f]{8,}|[0-9a-f]{8}-[0-9a-f-]{27}|[a-z_-]*\d{3,}[a-z0-9_-]*)(\.[a-z]{1,5})?$", re.I)
+    parts, shape = {}, {}
+    for i, url, _ in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        segments = (path[1:] if path.startswith("/") else path).split("/")
+        cut = [variable.sub(lambda m: "*" + (m[1] or ""), s) for s in segments[:depth]]
+        parts[i], shape[i] = (ascii_lower(host), path), tuple(cut + (["**"] if len(segments) > depth else []))
+    template = {i: "" for i in parts}
+    fit = {i: b for i, u, b in rows if b is not None and not held(u)}
+    check = {i: b for i, u, b in rows if b is not None and held(u)}
+    for level in range(max(map(len, shape.values()), default=0)):
+        groups = defaultdict(lambda: defaultdict(list))
+        for i, s in shape.items():
+            if len(s) > level:
+                groups[parts[i][0], template[i]][s[level]].append(i)
+        for kids in groups.values():
+            every = [i for ids in kids.values() for i in ids]
+            lab = [fit[i] for i in every if i in fit]
+            for seg, ids in kids.items():
+                mine = [fit[i] for i in ids if i in fit]
+                others, differs = len(lab) - len(mine), False
+                if mine and others:
+                    p = sum(lab) / len(lab)
+                    gap = abs(sum(mine) / len(mine) - (sum(lab) - sum(mine)) / others)
+                    differs = gap > z * (p * (1 - p) * (1 / len(mine) + 1 / others)) ** 0.5
+                many = len(kids) >= min_values and len(kids) >= value_share * len(every)
+                for i in ids:
+                    template[i] += "/" + ("*" if many or len(kids) > 1 and not differs else seg)
+    prior = sum(fit.values()) / len(fit) if fit else 0.0
+    share = lambda ids, lean: (sum(fit.get(i, 0) for i in ids) + weight * lean) / (sum(i in fit for i in ids) + weight)
+    by_host, by_template = defaultdict(list), defaultdict(list)
+    for i in parts:
+        by_host[parts[i][0]].append(i)
+        by_template[parts[i][0], template[i]].append(i)
+    purity = {key: share(ids, share(by_host[key[0]], prior)) for key, ids in by_template.items()}
+    best, cut = 0.0, float("inf")
+    for at in sorted({int(v * 1000) for v in purity.values()}, reverse=True):
+        seen = [check[i] for key, ids in by_template.items() if int(purity[key] * 1000) >= at for i in ids if i in check]
+        gain = sum(seen) * (1 - precision) - (len(seen) - sum(seen)) * precision
+        if seen and gain > best:
+            p, n = sum(seen) / len(seen), len(seen)
+            lower = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+            if lower >= precision:
+                best, cut = gain, at / 1000
+    out = {}
+    for i in parts:
+        key = parts[i][0], template[i]
+        out[i] = (*parts[i], template[i], purity[key], "block" if purity[key] >= cut else "allow")
+    return out

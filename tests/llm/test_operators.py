@@ -317,10 +317,10 @@ def test_nearest(spark):
 
 
 def test_components(spark):
-    from sedge.llm.components import connected_components
+    from sedge.operators.graph import components
 
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (300, 300)]
-    out = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), src="a", dst="b").collect()}
     assert out == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100, 150: 100}
 
 
@@ -342,3 +342,167 @@ def test_pipeline(spark, sf_dir):
     pieces = got[5].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
     copies = {i: sum(1 for x, _ in rows[4] if x == i) for i, _ in rows[4]}
     assert {r.doc_id: r.n / r.d for r in pieces} == copies
+
+
+def test_clashing_names_survive_line_dedup_and_mixing(spark):
+    from sedge.llm.line_dedup import line_dedup
+    from sedge.llm.mixing import mix
+
+    clash = ["row", "_row", "_flags", "gone", "lines", "hash", "_hash", "copies", "_copies", "_copy", "copy", "id", "size", "key", "slot", "c0", "n_lines", "Text2"]
+    rows = [(i, f"shared\nown {i}", "a" if i % 2 else "b", *[f"{c}{i}" for c in clash]) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *clash])
+    out = line_dedup(df)
+    assert out.columns == ["doc_id", "text", "source", *[c for c in clash if c != "n_lines"], "n_lines", "n_dropped"]
+    for r in out.collect():
+        assert r.text == f"own {r.doc_id}" and (r.n_lines, r.n_dropped) == (2, 1) and all(r[c] == f"{c}{r.doc_id}" for c in clash if c != "n_lines")
+    mixed = mix(df)
+    assert mixed.columns == df.columns
+    assert {tuple(r) for r in mixed.collect()} <= set(rows) and mixed.count() >= 12
+
+
+def test_empty_texts_are_not_in_the_mixed_corpus(spark):
+    from sedge.llm.mixing import mix
+
+    rows = [(i, "" if i % 3 == 0 else "w " * 20, "abc"[i % 2]) for i in range(40)] + [(100 + i, None, "empty") for i in range(5)]
+    assert all(r.text for r in mix(frame(spark, rows)).collect())
+
+
+def test_quality_samples_by_weight(spark):
+    """Over many seeds texts are drawn as often as Gumbel top-k at the found weights draws them, and not simply the largest weights."""
+    from sedge.llm.quality import quality_scores, resample
+
+    rng = random.Random(8)
+    odd = lambda n: " ".join("%%#" + rng.choice("abcdef") for _ in range(n))
+    rows = [(i, prose(rng, 40), "s") for i in range(40)] + [(100 + i, odd(40), "s") for i in range(40)]
+    rows += [(200 + i, prose(rng, 4 * (i + 1)) + " " + odd(4 * (10 - i)), "s") for i in range(10)]
+    docs = frame(spark, rows).coalesce(1).cache()
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)], "doc_id long, quality int")
+    first = resample(docs, labels, k=45, scale=12.0)
+    out = quality_scores(spark, docs, labels, k=45, scale=12.0).collect()
+    weight = {r.id: r.log_weight for r in out}
+    assert first.k == 45 == sum(r.selected for r in out)
+    ids, runs = list(weight), 24
+    w = np.array([weight[i] for i in ids])
+    noise = np.random.default_rng(0).gumbel(size=(4000, len(ids)))
+    expected = (np.argsort(np.argsort(-(w + noise), axis=1), axis=1) < 45).mean(axis=0)
+    seen = np.zeros(len(ids))
+    for seed in range(runs):
+        from sedge.llm.quality import gumbel, kth_largest
+
+        keys = spark.createDataFrame([(i, weight[i]) for i in ids], "id long, w double").withColumn("key", F.col("w") + gumbel(F.col("id"), F.lit(""), seed)).cache()
+        at = kth_largest(keys.select("key"), 45)
+        chosen = {r.id for r in keys.filter(F.col("key") >= at).collect()}
+        assert len(chosen) == 45
+        seen += np.array([i in chosen for i in ids])
+    assert np.abs(seen / runs - expected).max() < 0.45 and np.abs((seen / runs - expected).mean()) < 0.02
+    between = (expected > 0.1) & (expected < 0.9)
+    assert between.sum() >= 3
+    assert np.abs(seen[between].mean() / runs - expected[between].mean()) < 0.12
+
+
+def test_url_templates_against_a_plain_version(spark):
+    """Labelled bad templates go and clean ones stay; trees, merging and shares equal a plain version. Repeated rows, nulls and a very long url are among them."""
+    from sedge.llm.url_filter import url_verdicts
+
+    rng = random.Random(12)
+    rows = []
+    for host, bad_at in [("a.example.com", "promo"), ("b.example.com", "x1"), ("c.example.org", None), ("d.example.net", "all")]:
+        for i in range(260):
+            top = rng.choice(["news", "promo", "x1", "deep/er", "u" + "%04d" % rng.randint(0, 9999)])
+            bad = int(rng.random() < (0.95 if bad_at in (top, "all") else 0.05)) if rng.random() < 0.7 else None
+            rows.append((len(rows), f"https://{host}/{top}/{rng.choice(['p', 'q'])}/{rng.randint(1, 99999)}{rng.choice(['', '.html', '/', '?a=1'])}", bad))
+    rows += [(10_000 + i, None if i % 2 else "nothing", 1) for i in range(6)]
+    rows += [(20_000, "http://long.example.com/" + "s/" * 3000 + "x" * 20_000, 0), (20_001, "http:///no-host", None), *((30_000 + i, *rows[0][1:]) for i in range(3))]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    held = {r.url: r.held for r in df.select("url", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held")).distinct().collect()}
+    want = brute.url_verdicts(rows, held=held.get)
+    got = {r.id: r for r in url_verdicts(df).collect()}
+    assert set(got) == set(want)
+    for i, (host, path, template, purity, verdict) in want.items():
+        assert (got[i].host, got[i].path, got[i].template, got[i].verdict) == (host, path, template, verdict) and abs(got[i].purity - purity) < 1e-9
+    blocked = {(r.host, r.template.split("/")[1]) for r in got.values() if r.verdict == "block"}
+    assert ("a.example.com", "promo") in blocked and not any(h == "c.example.org" for h, _ in blocked)
+    assert sum(r.verdict == "block" for r in got.values() if r.host == "d.example.net") > 200
+    shuffled = [bad for _, _, bad in rows]
+    rng.shuffle(shuffled)
+    none = spark.createDataFrame([(i, u, b) for (i, u, _), b in zip(rows, shuffled, strict=True)], df.schema)
+    assert url_verdicts(none).filter("verdict = 'block'").count() == 0
+
+
+def test_nearest_exactly(spark):
+    from sedge.llm.ann import nearest
+
+    rng = np.random.default_rng(3)
+    data = np.round(rng.standard_normal((300, 6)), 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("id") % 7 == 0, exact=True, k=5, block=64, query_block=16).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(got) == set(range(0, 300, 7))
+    for q, found in got.items():
+        score = (data[q] * data).sum(axis=1)
+        assert [i for _, i in sorted(found)] == [i for i in np.lexsort((np.arange(300), -score)) if i != q][:5]
+
+
+def test_equal_digests_of_different_texts(spark, tmp_path, monkeypatch):
+    """A digest that stands for two texts is told apart by the texts, with the hits broadcast and without."""
+    from sedge.llm import exact_dedup as m
+
+    located = m._located
+    monkeypatch.setattr(m, "_located", lambda *a: located(*a).withColumn("digest", F.left("text", F.lit(1))))
+    frame(spark, [(1, "ab", "s"), (2, "ac", "s"), (3, "ab", "s"), (4, "b", "s"), (None, "b", "s")]).write.parquet(str(tmp_path / "d.parquet"))
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr(m, "BROADCAST_HITS", bound)
+        out = {(r.id, r.keep_id, r.group_size, r.kept) for r in m.exact_dedup(spark, str(tmp_path / "d.parquet")).collect()}
+        assert out == {(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 4, 2, True), (None, 4, 2, False)}
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    """Every stage takes nulls, empty and very long texts, repeated rows, empty tables and clashing columns, and those before the last keep the documents' columns."""
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    clash = ["row", "gone", "copies", "_key", "component_id", "c1", "size"]
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, None, "de", "a", None), (3, prose(rng, 9000), "en", "a", 1), (3, prose(rng, 50), "en", "a", 1)]
+    rows += [(10 + i, prose(rng, 60), "en", "ab"[i % 2], 3) for i in range(20)] + [(None, prose(rng, 30), "en", "a", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    docs = spark.createDataFrame([(*r, *["x"] * len(clash)) for r in rows], schema)
+    spark.createDataFrame([(10 + i, 1) for i in range(20)] + [(None, None), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            n = out.count()
+            assert n > 0 if table is docs else n == 0
+            if name != "packing":
+                assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_toxicity_thresholds_by_language_and_repeated_rows(spark):
+    """Languages with enough labelled rows of both kinds get a threshold of their own, at the best F1 of their calibration fold; others use that of all."""
+    from sedge.llm.toxicity import best_threshold, fit, toxicity
+
+    rng = random.Random(17)
+    rows = []
+    for i in range(1500):
+        words = prose(rng, rng.randint(20, 60)).split(" ")
+        toxic = i % 3 == 0
+        if toxic:
+            words.insert(rng.randrange(len(words)), "vilzor")
+        rows.append((i, " ".join(words), "fr" if i % 50 == 0 else "de" if i % 2 else "en", toxic))
+    docs = spark.createDataFrame([(i, t, g) for i, t, g, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(x)) for i, _, _, x in rows], "doc_id long, toxic int")
+    net = fit(docs, labels)
+    assert {None, "en", "de"} <= set(net.thresholds) and "fr" not in net.thresholds
+    twice = docs.unionByName(docs.limit(50)).unionByName(spark.createDataFrame([(9000, None, None), (9001, rows[0][1], None)], docs.schema))
+    out = toxicity(twice, net).collect()
+    assert len(out) == 1552
+    lang = {i: g for i, _, g, _ in rows} | {9000: None, 9001: None}
+    scores = {}
+    for r in out:
+        assert r.threshold == net.thresholds.get(lang[r.id], net.thresholds[None]) and r.toxic == (r.score >= r.threshold)
+        assert scores.setdefault(r.id, r.score) == r.score
+    p, y = np.array([0.9, 0.8, 0.7, 0.2]), np.array([True, True, False, False])
+    best = best_threshold(p, y)
+    assert 0.7 <= best <= 0.8
+    f1 = lambda cut: 2 * (y & (p >= cut)).sum() / ((p >= cut).sum() + y.sum())
+    assert f1(best) == max(f1(c) for c in np.linspace(0, 1, 101))
