@@ -10,7 +10,7 @@ from sedge.operators.facts import FactRule
 MONEY = r"\$ ?([0-9][0-9,]*(?:\.[0-9]{2})?)"
 DATE = r"([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})"
 SPAN = r"([0-9]+ (?:business )?(?:day|month|year)s?)"
-PARTY = r"((?:[A-Z&][A-Za-z0-9&.'-]*,? ?){1,8}?)"
+PARTY = r"([A-Z&][A-Za-z0-9&.'-]*(?:,? [A-Z&][A-Za-z0-9&.'-]*){0,7})"
 
 RENT = (
     FactRule("rent_amount", rf"(?i:(?:base|monthly|minimum|annual) rent)[^$\n]{{0,80}}{MONEY}", 1, 0.9),
