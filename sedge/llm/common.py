@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds more than one in HOT of all rows that are joined; so fewer than HOT keys are, whatever the number of rows.
-HOT = 1000
+#: Of the rows of a join, a key with more than one in HOT is dealt over DEALS tasks, and one with more than one in HOTTER over HOTTER tasks.
+#: So fewer than HOT keys are hot, whatever the number of rows.
+HOT, HOTTER, DEALS = 1000, 50, 16
 
 
 def with_text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -29,16 +30,20 @@ def text_or_empty(col: str = "text"):
 def salted_join(rows: DataFrame, keys: DataFrame, on: str, *, size: str, salt: Sequence[str], how: str = "inner") -> DataFrame:
     """``rows`` joined on ``on`` to ``keys``, which has a row per key and the number of its rows in ``size``; the column ``size`` stays.
 
-    The rows of a hot key are dealt by a hash of the columns ``salt``, and the key's row is repeated as often: no task holds more than about
-    one in HOT of the rows by one key. The table of hot keys is broadcast; it has fewer than HOT rows. Null keys are dealt as well.
-    ``keys`` is read twice and should be a table.
+    The rows of a hot key are dealt by a hash of the columns ``salt``, and the key's row is repeated as often. The driver gets the hashes of
+    the hot keys, fewer than HOT numbers. ``keys`` is read several times and should be a table.
     """
     total = keys.agg(F.sum(size).alias("n")).first()["n"] or 0
-    hot = keys.filter(F.col(size) * HOT > total).select(on, F.ceil(F.col(size) * HOT / F.lit(max(total, 1))).cast("int").alias("_deals"))
-    with_deals = rows.join(F.broadcast(hot), on, "left")
-    deals = F.when(F.col(on).isNull(), HOT).otherwise(F.coalesce("_deals", F.lit(1)))
-    dealt = with_deals.withColumn("_salt", F.when(deals > 1, F.pmod(F.xxhash64(*salt), deals).cast("int")).otherwise(0)).drop("_deals")
-    spread = keys.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    code = F.xxhash64(on)
+    hot = keys.filter(F.col(size) * HOT > total).select(code.alias("h"), (F.col(size) * HOTTER > total).alias("hotter")).collect()
+    deals = F.lit(1)
+    for more, n in ((True, HOTTER), (False, DEALS)):
+        if codes := [r["h"] for r in hot if r["hotter"] == more]:
+            deals = F.when(code.isin(codes), n).otherwise(deals)
+    of_row = F.when(F.col(on).isNull(), HOTTER).otherwise(deals)  # null keys meet nothing
+    dealt = rows.withColumn("_salt", F.when(of_row > 1, F.pmod(F.xxhash64(*salt), of_row).cast("int")).otherwise(0))
+    hot_keys = keys.filter(deals > 1).withColumn("_salt", F.explode(F.sequence(F.lit(0), deals - 1)))
+    spread = keys.filter(deals == 1).withColumn("_salt", F.lit(0)).unionByName(hot_keys)
     return dealt.join(spread, [on, "_salt"], how).drop("_salt")
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions.storage import forget, saved
-from sedge.llm.common import HOT, salted_join
+from sedge.llm.common import salted_join
 from sedge.llm.textarrays import ascii_words, mixed, powers, slices
 from sedge.operators.graph import components
 
