@@ -10,8 +10,8 @@ them may be cut, t * k less SIGMAS standard deviations of a hypergeometric draw,
 kept - need + 1 values; only these generate, and values held by a single representative cannot. A passage that very many
 documents share is last in that order and generates only between documents that consist of it for the most part.
 
-What lists hold is linked in rounds: each list's members meet one hub (a row per member, never all pairs), the member with the
-largest share of values that others hold too; links are confirmed on full shingle sets, and components contract. What hubs leave -
+What lists hold is linked in rounds: each list's hub is the member with the largest share of values that others hold too, and a member
+meets the one such hub of its lists that is most central (a pair per member and round, never all pairs); links are confirmed on full shingle sets, and components contract. What hubs leave -
 members that lie outside their list's largest component - then meets the members of other components over exact prefixes of
 the full sets, so no link between components is lost, while members that are already connected are not compared again.
 
@@ -233,12 +233,13 @@ def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int
 
     def with_hub(members: DataFrame, hubs: DataFrame) -> DataFrame:
         met = salted_join(members.drop("m"), hubs, "value", size="m", salt=["id"]).filter("component <> hc")
-        return met.filter(_size_fits("n", "hn", threshold)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+        best = F.min(F.struct("away", "hub")).alias("h")
+        return met.filter(_size_fits("n", "hn", threshold)).groupBy(F.col("id").alias("a")).agg(best).select("a", F.col("h.hub").alias("b"))
 
     def hubs_of(members: DataFrame) -> DataFrame:
-        central = F.min(F.struct(-F.col("core"), "id", "n", "component")).alias("h")
+        central = F.min(F.struct((-F.col("core")).alias("away"), "id", "n", "component")).alias("h")
         chosen = members.groupBy("value").agg(central, F.max("m").alias("m"))
-        return saved(chosen.select("value", "m", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.component").alias("hc")), "hubs")
+        return saved(chosen.select("value", "m", F.col("h.away").alias("away"), F.col("h.id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.component").alias("hc")), "hubs")
 
     small, large = lists.filter(F.col("m") <= PAIR_LIST), lists.filter(F.col("m") > PAIR_LIST)
     other = small.select("value", F.col("id").alias("b"), F.col("n").alias("nb"))
