@@ -134,6 +134,46 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedge.llm.alignment import alignments
+
+    out = alignments(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedge.llm.hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+OP12_SQL = """
+WITH u AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor_id, r.id, r.label = a.label AS same,
+         CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i])) AS BIGINT) AS score
+  FROM u a JOIN u r ON a.id <> r.id WHERE a.id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+def op13_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedge.llm.complement_packing import pack_whole
+
+    return pack_whole(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
 def mixing_sql(fills: int = 3, miss: float = 0.002) -> str:
     """The same plan with whole-table windows."""
     fill = ""
@@ -165,6 +205,6 @@ FROM c{fills} c LEFT JOIN p USING (doc_id)
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_toxicity, op3_url_filter, op4_mixing, op5_quality, op6_near_dedup, op7_ann, op8_token_counts, op9_line_dedup, op10_packing)
+    for f in (op1_exact_dedup, op2_toxicity, op3_url_filter, op4_mixing, op5_quality, op6_near_dedup, op7_ann, op8_token_counts, op9_line_dedup, op10_packing, op11_alignment, op12_hard_negatives, op13_complement_packing)
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op4_mixing": mixing_sql(), "op6_near_dedup": OP6_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op4_mixing": mixing_sql(), "op6_near_dedup": OP6_SQL, "op9_line_dedup": OP9_SQL, "op12_hard_negatives": OP12_SQL}
