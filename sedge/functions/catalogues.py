@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from sedge.functions.rules import Rule
 from sedge.operators.facts import FactRule
 
 MONEY = r"\$ ?([0-9][0-9,]*(?:\.[0-9]{2})?)"
@@ -91,61 +88,6 @@ RISK_TAGS = (
 )
 
 
-
-def clause_text(key, text):
-    """What the risk rules read: the clause's key as the first line, then its text, all in lower case."""
-    return F.lower(F.concat(F.coalesce(key, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))))
-
-
-def _key(*words: str) -> str:
-    return rf"^[^\n]*(?:{'|'.join(words)})"
-
-
-_TRANSFER, _ENDING, _MONEY_KEYS, _COVER = _key("assignment", "sublet", "transfer"), _key("term", "commencement"), _key("rent", "payment"), _key("insurance", "liability", "indemnity")
-_EXPENSES = r"(?s)^[^\n]*(?:operating_expenses|opex|expense)|operating expenses"
-_CAP = r"(?s)\b(?:cap|capped|maximum|ceiling)\b|not (?:to )?exceed"
-_EXISTING = r"(?:pre-?exist|prior|existing)"
-
-#: Risk rules of clauses by contract type; those of "all" hold for every type. A rule reads ``clause_text``.
-CLAUSE_RISKS = {
-    "all": (
-        Rule("transfer", r"(?s)(?:freely|without (?:landlord's |the landlord's )?consent|may assign without)[^.]*(?:assign|transfer|sublet)", name="broad_assignment_rights", level="high", gate=_TRANSFER, message="assignment without consent"),
-        Rule("transfer", r"(?s)\b(?:no|not|prohibit\w*|restrict\w*)\b[^.]*assign|\bsublet", name="arbitrary_consent_standard", level="medium", gate=_TRANSFER, unless=r"(?s)consent[^.]*not[^.]*(?:unreasonably|arbitrarily)[^.]*(?:withheld|delayed|conditioned)", message="no standard for consent"),
-        Rule("term", r"(?s)(?:early|right to)[^.]*terminat", name="unclear_termination_notice", level="high", gate=_ENDING, unless=r"(?s)notice[^.]*[0-9]+[^.]*(?:day|month|week)|[0-9]+[^.]*(?:day|month|week)[^.]*notice", message="termination without a notice period"),
-        Rule("term", r"(?s)commenc\w*[^.]*(?:to be|shall be|will be) determin|not (?:yet )?determin", name="uncertain_commencement", level="medium", gate=_ENDING, message="start not determined"),
-        Rule("rent", r"increas|escalat|adjust", name="undefined_escalation", level="high", gate=_MONEY_KEYS, unless=r"[0-9] ?%|[0-9] percent|\$ ?[0-9]", message="increase without an amount"),
-        Rule("rent", r"consumer price index|\bcpi\b", name="uncapped_cpi", level="medium", gate=_MONEY_KEYS, unless=_CAP, message="index without a cap"),
-        Rule("insurance", r"(?s)^[^\n]*\n.{0,199}$", name="incomplete_insurance", level="high", gate=_COVER, message="clause too short to describe the cover"),
-        Rule("insurance", r"(?s)^", name="insurance_without_limits", level="high", gate=_COVER, unless=r"(?s)\n.*(?:coverage|policy|limit|amount)", message="cover not described"),
-        Rule("insurance", r"subrogation", name="no_mutual_subrogation", level="medium", gate=_COVER, unless=r"(?s)(?:mutual|both parties)[^.]*waive\w*[^.]*subrogation|mutual waiver of subrogation", message="one-sided subrogation"),
-        Rule("use", r"(?:only|solely|exclusively) for", name="restrictive_use", level="medium", gate=_key("use"), unless=r"(?:similar|other|additional|related) (?:uses?|purposes?)", message="narrow use"),
-    ),
-    "retail": (
-        Rule("retail", r"co-?tenancy", name="no_cotenancy_remedy", level="high", unless=r"terminat|reduc|abate|remed", message="co-tenancy without remedy"),
-        Rule("retail", r"percentage[_ ]rent", name="undefined_percentage_rent", level="medium", unless=r"[0-9] ?%|[0-9] percent", message="percentage rent without a percentage"),
-        Rule("retail", r"(?s)(?:mall|cent(?:er|re)|shopping)[^.]*hours[^.]*(?:must|shall|required|obligated)|(?:must|shall|required|obligated)[^.]*(?:mall|cent(?:er|re)|shopping)[^.]*hours", name="mandatory_mall_hours", level="medium", gate=r"(?:operating|business)[_ ]hours", message="hours set by the centre"),
-        Rule("retail", r"retail|shopping cent|mall", name="no_tenant_exclusive", level="medium", gate=r"exclusive", unless=r"(?s)(?:tenant|lessee)[^.]*exclusive", message="no exclusive for the tenant"),
-    ),
-    "office": (
-        Rule("office", _EXPENSES, name="no_opex_cap", level="medium", unless=_CAP, message="expenses without a cap"),
-        Rule("office", _EXPENSES, name="no_audit_rights", level="medium", unless=r"(?s)(?:audit|review|inspect|examin)[^.]*(?:books|records)", message="no right to audit"),
-        Rule("office", r"^[^\n]*(?:square_feet|sqft|area|premises)|square feet|square foot", name="no_measurement_standard", level="medium", unless=r"measurement standard|\bboma\b|\bansi\b", message="area without a standard"),
-        Rule("office", r"^[^\n]*(?:improvement|allowance|buildout)|improvement allowance", name="undefined_ti_allowance", level="medium", unless=r"\$ ?[0-9]|[0-9] dollars|per square foot", message="allowance without an amount"),
-    ),
-    "industrial": (
-        Rule("industrial", rf"(?s)tenant[^.]*(?:respons|liab|remediat|clean)[^.]*{_EXISTING}", name="tenant_preexisting_env_liability", level="high", gate=r"environmental", message="tenant answers for earlier damage"),
-        Rule("industrial", r"hazardous", name="no_hazmat_representations", level="high", unless=r"(?s)landlord[^.]*(?:represent|warrant|disclos)", message="no statement on hazardous matter"),
-        Rule("industrial", r"(?s)(?:indemnif\w*|hold harmless)[^.]*landlord", name="unlimited_hazmat_indemnity", level="high", gate=r"hazardous", unless=rf"(?s)except[^.]*{_EXISTING}", message="indemnity without exception"),
-        Rule("industrial", r"(?s)tenant[^.]*(?:respons|comply)[^.]*(?:existing|current|premises)", name="tenant_ada_liability", level="medium", gate=r"accessibility|disabilities act", message="tenant answers for accessibility"),
-    ),
-}
-
-#: Pairs of conditions on two clauses of a document: name, level, (key gate, text) of either.
-PAIRED_RISKS = (
-    ("repair_insurance_mismatch", "high", (_key("maintenance", "repair"), r"(?s)tenant[^.]*repair[^.]*structur|structur[^.]*tenant"), (_COVER, r"(?s)landlord[^.]*property insurance|property insurance[^.]*landlord")),
-    ("termination_acceleration_conflict", "medium", (_key("term"), r"(?s)tenant[^.]*(?:may|right to)[^.]*terminat"), (_key("default", "remed"), r"(?s)landlord[^.]*accelerat[^.]*rent")),
-)
-
 #: Extractor factory: name -> catalogue.
 CATALOGUES = {
     "rent": RENT, "percentage_rent": PERCENTAGE_RENT, "shared_costs": SHARED_COSTS, "critical_dates": CRITICAL_DATES,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedge.functions import catalogues
+from sedge.functions import catalogues, clause_rules
 from sedge.functions.rules import RuleSet
 from sedge.operators import facts, risks
 from sedge.plans.base import query, t
@@ -39,11 +39,11 @@ contracts AS (SELECT o_orderkey AS doc_id, o_custkey,
 
 
 def contracts(spark, sf):
-    sql = TEXTS
-    for name in ("orders", "lineitem"):
-        t(spark, sf, name).createOrReplaceTempView(f"_sedge_{name}")
-        sql = sql.replace(f"FROM {name} ", f"FROM _sedge_{name} ")
-    return spark.sql(f"WITH {sql} SELECT doc_id, o_custkey, text FROM contracts")
+    """The rows that texts are composed from are dealt out first: a text is fifty times as long, and a small table comes in one part."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").repartition(parts, "o_orderkey")
+    sql = TEXTS.replace("FROM lineitem ", "FROM {lineitem} ").replace("FROM orders ", "FROM {orders} ")
+    return spark.sql(f"WITH {sql} SELECT doc_id, o_custkey, text FROM contracts", orders=orders, lineitem=t(spark, sf, "lineitem"))
 
 
 def _quoted(pattern: str) -> str:
@@ -136,8 +136,8 @@ CLAUSES_SQL = f"{TEXTS}, lined AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS lin
 def clauses(spark, sf):
     from sedge.operators import segment
 
-    segment.lines(contracts(spark, sf)).select("doc_id", "line_no", "line").createOrReplaceTempView("_sedge_lined")
-    return spark.sql("WITH " + CLAUSES.replace("FROM lined", "FROM _sedge_lined") + " SELECT * FROM clauses")
+    lined = segment.lines(contracts(spark, sf)).select("doc_id", "line_no", "line")
+    return spark.sql("WITH " + CLAUSES.replace("FROM lined", "FROM {lined}") + " SELECT * FROM clauses", lined=lined)
 
 
 def _rule_sql(kind: str, rule) -> str:
@@ -146,13 +146,13 @@ def _rule_sql(kind: str, rule) -> str:
     return f"SELECT doc_id, line_no::INT AS line_no, '{rule.name}' AS rule, '{rule.level}' AS level FROM low WHERE {where}{' AND '.join(tests)}"
 
 
-@query("contract_risks", f"WITH {CLAUSES_SQL} " + " UNION ALL ".join(_rule_sql(kind, r) for kind, rules in catalogues.CLAUSE_RISKS.items() for r in rules))
+@query("contract_risks", f"WITH {CLAUSES_SQL} " + " UNION ALL ".join(_rule_sql(kind, r) for kind, rules in clause_rules.CLAUSE_RISKS.items() for r in rules))
 def contract_risks(spark, sf):
     """The built-in rules: those of all contracts and those of a contract's type."""
     rows = clauses(spark, sf)
-    text = catalogues.clause_text(F.col("clause_key"), F.col("line"))
-    every = risks.clause_risks(rows, RuleSet(catalogues.CLAUSE_RISKS["all"]), text=text, keep=["doc_id", "line_no"])
-    typed = risks.typed_risks(rows, {k: RuleSet(v) for k, v in catalogues.CLAUSE_RISKS.items() if k != "all"}, kind="kind", text=text, keep=["doc_id", "line_no"])
+    text = clause_rules.clause_text(F.col("clause_key"), F.col("line"))
+    every = risks.clause_risks(rows, RuleSet(clause_rules.CLAUSE_RISKS["all"]), text=text, keep=["doc_id", "line_no"])
+    typed = risks.typed_risks(rows, {k: RuleSet(v) for k, v in clause_rules.CLAUSE_RISKS.items() if k != "all"}, kind="kind", text=text, keep=["doc_id", "line_no"])
     return every.unionByName(typed).select("doc_id", "line_no", "rule", "level")
 
 
@@ -160,12 +160,32 @@ def _side_sql(gate: str, pattern: str) -> str:
     return f"min(line_no) FILTER (regexp_matches(x, {_quoted(gate)}) AND regexp_matches(x, {_quoted(pattern)}))"
 
 
-@query("contract_paired_risks", f"WITH {CLAUSES_SQL} " + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS rule, '{level}' AS level, {_side_sql(*a)}::INT AS first_a, {_side_sql(*b)}::INT AS first_b FROM low GROUP BY doc_id HAVING first_a IS NOT NULL AND first_b IS NOT NULL" for name, level, a, b in catalogues.PAIRED_RISKS))
+@query("contract_paired_risks", f"WITH {CLAUSES_SQL} " + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS rule, '{level}' AS level, {_side_sql(*a)}::INT AS first_a, {_side_sql(*b)}::INT AS first_b FROM low GROUP BY doc_id HAVING first_a IS NOT NULL AND first_b IS NOT NULL" for name, level, a, b in clause_rules.PAIRED_RISKS))
 def contract_paired_risks(spark, sf):
-    rows = clauses(spark, sf).withColumn("_x", catalogues.clause_text(F.col("clause_key"), F.col("line")))
+    rows = clauses(spark, sf).withColumn("_x", clause_rules.clause_text(F.col("clause_key"), F.col("line")))
     side = lambda s: F.col("_x").rlike(s[0]) & F.col("_x").rlike(s[1])
     out = None
-    for name, level, a, b in catalogues.PAIRED_RISKS:
+    for name, level, a, b in clause_rules.PAIRED_RISKS:
         found = risks.paired_risks(rows, doc="doc_id", order="line_no", a=side(a), b=side(b)).select("doc_id", F.lit(name).alias("rule"), F.lit(level).alias("level"), "first_a", "first_b")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+_KINDS = "CASE WHEN doc_id % 2 = 0 THEN 'retail' ELSE kind END"
+
+
+def _absence_sql(kind: str, name: str, level: str, though: tuple[str, str], never: str) -> str:
+    tests = f"bool_or(regexp_matches(x, {_quoted(though[0])}) AND regexp_matches(x, {_quoted(though[1])})) AND NOT bool_or(regexp_matches(x, {_quoted(never)}))"
+    return f"SELECT doc_id, '{name}' AS rule, '{level}' AS level FROM low WHERE {_KINDS} = '{kind}' GROUP BY doc_id HAVING {tests}"
+
+
+@query("contract_absences", f"WITH {CLAUSES_SQL} " + " UNION ALL ".join(_absence_sql(*r) for r in clause_rules.ABSENCE_RISKS))
+def contract_absences(spark, sf):
+    """The built-in rules on what a document of a type should say and does not."""
+    rows = clauses(spark, sf).withColumn("kind", F.expr(_KINDS)).withColumn("_x", clause_rules.clause_text(F.col("clause_key"), F.col("line")))
+    out = None
+    for kind, name, level, though, never in clause_rules.ABSENCE_RISKS:
+        found = risks.absence(rows.filter(F.col("kind") == kind), doc="doc_id", never=F.col("_x").rlike(never), though=F.col("_x").rlike(though[0]) & F.col("_x").rlike(though[1]))
+        found = found.select("doc_id", F.lit(name).alias("rule"), F.lit(level).alias("level"))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -167,3 +167,63 @@ def test_catalogues(spark):
         ("options", "renewal_options"): "two", ("options", "first_refusal"): "Right of first refusal", ("parties", "landlord"): "Elm Holdings LLC", ("parties", "term"): "60 months", ("parties", "deposit"): "5,000",
     }
     assert {k: got.get(k) for k in want} == want
+
+
+#: Of each built-in rule: contract type, key, a text it must fire on and one it must not.
+RULE_CASES = {
+    "broad_assignment_rights": ("all", "assignment", "Lessee is free to sublease the unit without asking for anyone's approval: no consent is needed to sublease.", "Lessee needs a written approval for any sublease."),
+    "arbitrary_consent_standard": ("all", "sublet_rights", "The lessee may not sublet any part.", "The lessee may not sublet any part unless approval is given, which shall be reasonable. Approval must be reasonable."),
+    "unclear_termination_notice": ("all", "term", "Lessee is entitled to cancel the contract.", "Lessee is entitled to cancel the contract. It notifies the owner sixty days ahead."),
+    "uncertain_commencement": ("all", "commencement", "The term begins on a day to be agreed.", "The term begins on 1 May."),
+    "undefined_escalation": ("all", "base_rent", "Rent rises every spring.", "Rent rises every spring by 2 percent."),
+    "uncapped_cpi": ("all", "rent", "Rent follows the cost of living.", "Rent follows the cost of living, at most 3% a year."),
+    "incomplete_insurance": ("all", "insurance", "Lessee insures itself.", "Lessee keeps a policy. " * 20),
+    "insurance_without_limits": ("all", "liability", "Lessee takes care of everything that may happen.", "Lessee keeps a policy over one million."),
+    "no_mutual_subrogation": ("all", "insurance", "Lessee releases subrogation.", "Either party releases the other from subrogation."),
+    "restrictive_use": ("all", "permitted_use", "The unit is used solely as a bakery.", "The unit is used solely as a bakery and for related uses."),
+    "no_cotenancy_remedy": ("retail", "co_tenancy", "There is a co-tenancy with the anchor.", "If the co-tenancy fails, rent abates."),
+    "undefined_percentage_rent": ("retail", "percentage_rent", "Percentage rent is due each quarter.", "Percentage rent is 5 percent of sales."),
+    "mandatory_mall_hours": ("retail", "operating_hours", "The shop must keep the hours of the mall.", "The shop keeps its own hours."),
+    "no_tenant_exclusive": ("retail", "exclusive", "The owner grants exclusivity to another shop.", "The lessee has the exclusive for bread in the mall."),
+    "no_opex_cap": ("office", "opex", "Running costs are shared.", "Running costs are shared, with a ceiling."),
+    "no_audit_rights": ("office", "opex", "Running costs are shared.", "Lessee inspects the ledgers of running costs."),
+    "no_measurement_standard": ("office", "area", "The floor has 900 square feet.", "The floor has 900 square feet by the BOMA rules."),
+    "undefined_ti_allowance": ("office", "allowance", "There is an improvement allowance.", "There is an improvement allowance of $ 20,000."),
+    "tenant_preexisting_env_liability": ("industrial", "environmental", "Lessee is liable for any spill, earlier ones too.", "Lessee is liable for its own spills."),
+    "no_hazmat_representations": ("industrial", "hazardous", "Toxic waste is kept out.", "Lessor discloses all toxic waste."),
+    "unlimited_hazmat_indemnity": ("industrial", "hazardous", "Lessee indemnifies the owner for toxic waste.", "Lessee indemnifies the owner for toxic waste, save for what is there prior to the term."),
+    "tenant_ada_liability": ("industrial", "ada", "Lessee bears the cost of accessibility of the building.", "Lessor bears the cost of accessibility."),
+}
+
+
+def test_every_clause_rule_fires_and_keeps_still(spark):
+    from sedge.functions.clause_rules import CLAUSE_RISKS, clause_text
+    from sedge.operators import risks
+
+    assert set(RULE_CASES) == {r.name for rules in CLAUSE_RISKS.values() for r in rules}
+    rows = [(name, kind, key, text, yes) for name, (kind, key, *texts) in RULE_CASES.items() for text, yes in zip(texts, (True, False), strict=True)]
+    df = spark.createDataFrame(rows, "name string, kind string, clause_key string, line string, yes boolean")
+    text = clause_text(F.col("clause_key"), F.col("line"))
+    every = risks.clause_risks(df.filter("kind = 'all'"), RuleSet(CLAUSE_RISKS["all"]), text=text, keep=["name", "yes"])
+    typed = risks.typed_risks(df, {k: RuleSet(v) for k, v in CLAUSE_RISKS.items() if k != "all"}, kind="kind", text=text, keep=["name", "yes"])
+    fired = {(r.name, r.yes) for r in every.unionByName(typed).collect() if r.rule == r.name}
+    assert fired == {(name, True) for name in RULE_CASES}
+
+
+def test_document_rules(spark):
+    from sedge.functions.clause_rules import ABSENCE_RISKS, PAIRED_RISKS, clause_text
+    from sedge.operators import risks
+
+    rows = [
+        (1, 0, "permitted_use", "A shop for shoes."), (1, 1, "rent", "Monthly."), (2, 0, "permitted_use", "A shop for shoes."), (2, 1, "other", "Co-tenancy is agreed."), (3, 0, "permitted_use", "An office."), (3, 1, "rent", "The mall."),
+        (4, 0, "repair", "Lessee repairs the roof."), (4, 1, "insurance", "Owner keeps property insurance."), (5, 0, "repair", "Lessee repairs the roof."), (5, 1, "insurance", "Lessee keeps property insurance."),
+        (6, 0, "term", "Tenant may cancel."), (6, 1, "default", "Landlord makes all rent immediately due."), (7, 0, "term", "Tenant may cancel."), (7, 1, "default", "Landlord waits for the rent."), (8, 0, None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc int, line_no int, k string, line string").withColumn("_x", clause_text(F.col("k"), F.col("line")))
+    ((_, _, _, though, never),) = ABSENCE_RISKS
+    assert [r.doc for r in risks.absence(df, doc="doc", never=F.col("_x").rlike(never), though=F.col("_x").rlike(though[0]) & F.col("_x").rlike(though[1])).collect()] == [1]
+    found = {}
+    for name, _, a, b in PAIRED_RISKS:
+        side = lambda s: F.col("_x").rlike(s[0]) & F.col("_x").rlike(s[1])
+        found[name] = [(r.doc, r.first_a, r.first_b) for r in risks.paired_risks(df, doc="doc", order="line_no", a=side(a), b=side(b)).collect()]
+    assert found == {"repair_insurance_mismatch": [(4, 0, 1)], "termination_acceleration_conflict": [(6, 0, 1)]}
