@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedge.functions.storage import saved_with
+
 
 def check_dates(df: DataFrame, *, start: str, end: str, deadline: str | None = None) -> DataFrame:
     """One row per broken rule: issue_type, severity. Start not before end (high); a deadline after the end (high); a first date before the start (medium)."""
@@ -57,11 +59,25 @@ def validation_report(issues: DataFrame, checked: DataFrame, *, id: str) -> Data
 
 
 def flatten_json(df: DataFrame, *, id: str, json: str) -> DataFrame:
-    """Leaves of the top level of a JSON text: id, path, value, is_date_key (name holds date, deadline, expir or commenc)."""
-    parsed = df.select(id, F.try_parse_json(json).alias("_v"))
-    parsed.createOrReplaceTempView("_sedge_flatten")
-    out = df.sparkSession.sql(f"SELECT {id}, e.key AS path, to_json(e.value) AS value FROM _sedge_flatten, LATERAL variant_explode(_v) AS e(pos, key, value)")
-    return out.withColumn("is_date_key", F.lower("path").rlike("date|deadline|expir|commenc"))
+    """Leaves of a JSON text at any depth: id, path, value (as JSON), is_date_key (the last name holds date, deadline, expir or commenc).
+
+    Names are joined by dots, places in arrays stand in brackets from 0. Containers without members are leaves ({} and []), and so is null. Texts that
+    are no JSON, or whose top is no container, give no rows. One level is opened at a time, until no row holds a container; each level is written to the
+    shared folder, and a level costs no shuffle.
+    """
+    is_open = "schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)' AND to_json(v) NOT IN ('{}', '[]')"
+    level = df.select(F.col(id).alias("id"), F.lit("").alias("path"), F.lit(None).cast("string").alias("name"), F.try_parse_json(json).alias("v")).filter("v IS NOT NULL").filter(is_open)
+    opened = "SELECT id, CASE WHEN e.key IS NULL THEN path || '[' || e.pos || ']' WHEN path = '' THEN e.key ELSE path || '.' || e.key END AS path, coalesce(e.key, name) AS name, e.value AS v FROM {{level}}, LATERAL variant_explode({v}) AS e"
+    found, v = None, "v"
+    while True:
+        members = df.sparkSession.sql(opened.format(v=v), level=level).selectExpr("id", "path", "name", "to_json(v) AS value", f"{is_open} AS is_open")
+        members, n_open = saved_with(members, "leaves", F.count_if("is_open"))
+        leaves = members.filter("NOT is_open")
+        found = leaves if found is None else found.unionByName(leaves)
+        if not n_open:
+            break
+        level, v = members.filter("is_open"), "parse_json(value)"
+    return found.select(F.col("id").alias(id), "path", "value", F.coalesce(F.lower("name").rlike("date|deadline|expir|commenc"), F.lit(False)).alias("is_date_key"))
 
 
 def attach_refs(refs: DataFrame, clauses: DataFrame, *, doc: str, src: str, dst: str, section: str) -> DataFrame:

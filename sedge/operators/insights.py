@@ -59,18 +59,57 @@ def last_n(df: DataFrame, *, key: str, order: Sequence[str], n: int | None = Non
     return df.withColumn("_r", F.row_number().over(down)).filter(F.col("_r") <= n).withColumn("nth", F.row_number().over(up)).drop("_r")
 
 
+def latest(df: DataFrame, *, order: Sequence[str], n: int = 10) -> DataFrame:
+    """The last n rows of the whole table; each task hands on n at most."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
 def group_stats(df: DataFrame, *, doc: str, group: Column) -> DataFrame:
     """Totals and per-group counts (grouping sets) with distinct documents."""
     rows = df.withColumn("field_group", group)
     return rows.groupingSets([[F.col("field_group")], []], F.col("field_group")).agg(F.count("*").alias("n"), F.countDistinct(doc).alias("n_docs"))
 
 
+def _literal(text: Column) -> Column:
+    """Regular expression for the very characters of ``text``."""
+    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def apply_corrections(df: DataFrame, *, doc: str, text: str, corrections: DataFrame, order: str, old: str, new: str) -> DataFrame:
-    """Apply a document's corrections to its text in order, by replacement; emit documents that changed, with the number of corrections."""
-    folded = corrections.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(order, old, new))).alias("_c"))
-    joined = df.select(doc, text).join(folded, doc)
-    fixed = F.aggregate("_c", F.col(text), lambda s, c: F.replace(s, c[old], c[new]))
-    return joined.withColumn("corrected", fixed).filter(F.col("corrected") != F.col(text)).select(doc, "corrected", F.size("_c").alias("n_corrections"))
+    """Apply a document's corrections to its text in order: doc, corrected, n_corrections, n_skipped, latest (the largest ``order``), spans.
+
+    A correction replaces all places of its old text, from the left, but only in text that no correction before it has changed: what was inserted is not corrected again, and
+    text on both sides of a changed place is not one. A correction whose old text is there, but touches changed text everywhere, is skipped and
+    counted. ``spans`` are the changed places (start, end) in the corrected text. Only documents whose text changes come out. Corrections with an empty or null old text do
+    nothing, a null new text deletes; equal ``order`` goes by old, then new text.
+
+    The state of the fold is the text in pieces, each changed or not, so offsets need no shifting.
+    """
+    folded = corrections.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.coalesce(old, F.lit("")).alias("old"), F.coalesce(new, F.lit("")).alias("new")))).alias("_c"))
+    joined = df.select(doc, F.col(text).alias("_t")).filter("_t IS NOT NULL").join(folded, doc)
+    piece = lambda t, changed: F.struct(t.alias("t"), F.lit(changed).alias("changed"))
+
+    def cut(p: Column, c: Column) -> Column:
+        parts = F.split(p["t"], _literal(c["old"]), -1)
+        return F.when(p["changed"], F.array(p)).otherwise(F.flatten(F.transform(parts, lambda x, i: F.when(i == 0, F.array(piece(x, False))).otherwise(F.array(piece(c["new"], True), piece(x, False))))))
+
+    def step(s: Column, c: Column) -> Column:
+        pieces = F.flatten(F.transform(s["pieces"], lambda p: cut(p, c)))
+        seen = F.contains(F.array_join(F.transform(s["pieces"], lambda p: p["t"]), ""), c["old"])
+        skips = F.when(seen & (F.size(pieces) == F.size(s["pieces"])), 1).otherwise(0)
+        return F.when(c["old"] == "", s).otherwise(F.struct(pieces.alias("pieces"), (s["skipped"] + skips).alias("skipped")))
+
+    start = F.struct(F.array(piece(F.col("_t"), False)).alias("pieces"), F.lit(0).alias("skipped"))
+    done = joined.withColumn("_s", F.aggregate("_c", start, step))
+
+    def place(s: Column, p: Column) -> Column:
+        end = s["at"] + F.length(p["t"])
+        spans = F.when(p["changed"], F.array_append(s["spans"], F.struct(s["at"].alias("start"), end.alias("end")))).otherwise(s["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    out = done.withColumn("corrected", F.array_join(F.transform("_s.pieces", lambda p: p["t"]), "")).filter("corrected <> _t")
+    return out.select(doc, "corrected", F.size("_c").alias("n_corrections"), F.col("_s.skipped").alias("n_skipped"), F.array_max(F.transform("_c", lambda c: c["at"])).alias("latest"), F.aggregate("_s.pieces", empty, place)["spans"].alias("spans"))
 
 
 def first_contained(left: DataFrame, right: DataFrame, *, text: str, name: str, ordinal: str, id: str) -> DataFrame:

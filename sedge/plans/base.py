@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,3 +23,11 @@ def query(name: str, sql: str | None = None):
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def over(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
+    """``sql`` with DataFrames in place of the tables of their names; no view is left in the session."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for name in tables:
+        sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
+    return spark.sql(sql, **tables)

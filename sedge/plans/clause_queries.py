@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sedge.operators import changelog, checks, clauses
-from sedge.plans.base import query, t
+from sedge.plans.base import over, query, t
 
 CLAUSE_SQL = "c AS (SELECT d.doc_id, source, lang, text, 0.1 * (d.doc_id % 10) AS confidence, contains(text, '!!') AS needs_review, coalesce(quality, 0) + coalesce(toxic, 0) AS n_fields FROM documents d LEFT JOIN labels USING (doc_id))"
 
@@ -211,9 +211,21 @@ def validation_report(spark, sf):
     return checks.validation_report(date_issues(spark, sf), checked, id="o_custkey")
 
 
-@query("flatten_nested", "SELECT event_id, 'k' AS path, json_extract(props, '$.k')::VARCHAR AS value, false AS is_date_key FROM events")
+#: Nested JSON of an event: three levels and more, arrays of objects, empty containers, nulls, date keys.
+NESTED = """nested AS (SELECT event_id, '{"kind": "' || event_type || '", "props": ' || coalesce(props, 'null') || ', "term": {"start_date": "' || CAST(CAST(ts AS DATE) AS STRING) || '", "notice": {"deadline_days": ' || CAST(event_id % 9 AS STRING)
+  || ', "to": ' || CASE event_id % 4 WHEN 0 THEN '[]' WHEN 1 THEN '{}' WHEN 2 THEN 'null' ELSE '["a", {"name": "b", "expiry": [1, [2, ' || CAST(event_id AS STRING) || ']]}]' END || '}}' || CASE WHEN event_id % 10 = 0 THEN '' ELSE '}' END AS doc FROM events)"""
+_LEAVES = {
+    "kind": "json_extract(doc, '$.kind')::VARCHAR", "props.k": "json_extract(doc, '$.props.k')::VARCHAR", "term.start_date": "json_extract(doc, '$.term.start_date')::VARCHAR",
+    "term.notice.deadline_days": "json_extract(doc, '$.term.notice.deadline_days')::VARCHAR", "term.notice.to": "CASE event_id % 4 WHEN 0 THEN '[]' WHEN 1 THEN '{}' WHEN 2 THEN 'null' END",
+    "term.notice.to[0]": "json_extract(doc, '$.term.notice.to[0]')::VARCHAR", "term.notice.to[1].name": "json_extract(doc, '$.term.notice.to[1].name')::VARCHAR", "term.notice.to[1].expiry[0]": "json_extract(doc, '$.term.notice.to[1].expiry[0]')::VARCHAR",
+    "term.notice.to[1].expiry[1][0]": "json_extract(doc, '$.term.notice.to[1].expiry[1][0]')::VARCHAR", "term.notice.to[1].expiry[1][1]": "json_extract(doc, '$.term.notice.to[1].expiry[1][1]')::VARCHAR",
+}
+
+
+@query("flatten_nested", f"WITH {NESTED}, n2 AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '{{}}' ELSE doc END AS doc FROM nested), x AS (" + " UNION ALL ".join(f"SELECT event_id, '{path}' AS path, {value} AS value, regexp_matches('{path.rpartition('.')[2]}', 'date|deadline|expir|commenc') AS is_date_key FROM n2 WHERE event_id % 10 <> 0" for path, value in _LEAVES.items()) + ") SELECT * FROM x WHERE value IS NOT NULL")
 def flatten_nested(spark, sf):
-    return checks.flatten_json(t(spark, sf, "events"), id="event_id", json="props")
+    """Every tenth text lacks its last brace and is no JSON."""
+    return checks.flatten_json(over(spark, f"WITH {NESTED} SELECT * FROM nested", events=t(spark, sf, "events")), id="event_id", json="doc")
 
 
 @query("xref_attach", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sedge.functions import catalogues, clause_rules
 from sedge.functions.rules import RuleSet
 from sedge.operators import facts, risks
-from sedge.plans.base import query, t
+from sedge.plans.base import over, query, t
 
 _AMOUNT = "CAST(CAST(floor({}) AS BIGINT) AS STRING)"
 TEXTS = f"""
@@ -42,8 +42,7 @@ def contracts(spark, sf):
     """The rows that texts are composed from are dealt out first: a text is fifty times as long, and a small table comes in one part."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     orders = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").repartition(parts, "o_orderkey")
-    sql = TEXTS.replace("FROM lineitem ", "FROM {lineitem} ").replace("FROM orders ", "FROM {orders} ")
-    return spark.sql(f"WITH {sql} SELECT doc_id, o_custkey, text FROM contracts", orders=orders, lineitem=t(spark, sf, "lineitem"))
+    return over(spark, f"WITH {TEXTS} SELECT doc_id, o_custkey, text FROM contracts", orders=orders, lineitem=t(spark, sf, "lineitem"))
 
 
 def _quoted(pattern: str) -> str:
@@ -137,7 +136,7 @@ def clauses(spark, sf):
     from sedge.operators import segment
 
     lined = segment.lines(contracts(spark, sf)).select("doc_id", "line_no", "line")
-    return spark.sql("WITH " + CLAUSES.replace("FROM lined", "FROM {lined}") + " SELECT * FROM clauses", lined=lined)
+    return over(spark, f"WITH {CLAUSES} SELECT * FROM clauses", lined=lined)
 
 
 def _rule_sql(kind: str, rule) -> str:

@@ -198,17 +198,47 @@ def feedback_stats(spark, sf):
     return insights.group_stats(t(spark, sf, "conversations"), doc="conv_id", group=F.left("role", F.lit(4)))
 
 
+@query("feedback_latest", "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 10")
+def feedback_latest(spark, sf):
+    """The last ten rows beside the totals of ``feedback_stats``."""
+    return insights.latest(t(spark, sf, "conversations"), order=["conv_id", "turn"], n=10).select("conv_id", "turn", "role")
+
+
 @query("extraction_examples", "SELECT p_partkey, arg_min(k, o) AS matched FROM part JOIN (VALUES ('widget', 1), ('RED', 2), ('bolt', 3), ('ring', 0)) v(k, o) ON contains(lower(p_name), lower(k)) GROUP BY 1")
 def extraction_examples(spark, sf):
     dim = spark.createDataFrame([("widget", 1), ("RED", 2), ("bolt", 3), ("ring", 0)], "k string, o int")
     return insights.first_contained(t(spark, sf, "part"), dim, text="p_name", name="k", ordinal="o", id="p_partkey")
 
 
-@query("summary_examples", "SELECT conv_id, turn, md5(replace(replace(text, 'e', 'E'), 'En', 'nE')) AS corrected_md5, 2 AS n_corrections FROM conversations WHERE contains(text, 'e')")
+#: Corrections of a turn: the second would correct what the first inserts, the fifth lies across a deletion, the last is there only in changed text.
+CORRECTIONS = ((1, "e", "E"), (2, "En", "nE"), (3, "ar", ""), (4, "o", "(o)"), (5, "st", "ts"), (6, "(", "["))
+_MARKED = "text"
+for _i, _old, _ in CORRECTIONS:
+    _MARKED = f"replace({_MARKED}, '{_old}', chr({_i}))"  # a changed place is one control character, which no later correction meets
+_WRITTEN = "marked"
+for _i, _, _new in CORRECTIONS:
+    _WRITTEN = f"replace({_WRITTEN}, chr({_i}), '{_new}')"
+_STATES = ["text"]
+for _i, _old, _ in CORRECTIONS:
+    _STATES.append(f"replace({_STATES[-1]}, '{_old}', chr({_i}))")
+
+
+def _written_so_far(state: str, n: int) -> str:
+    for i, _, new in CORRECTIONS[:n]:
+        state = f"replace({state}, chr({i}), '{new}')"
+    return state
+
+
+_SKIPPED = " + ".join(f"(contains({_written_so_far(_STATES[n], n)}, '{old}') AND NOT contains({_STATES[n]}, '{old}'))::INT" for n, (_, old, _) in enumerate(CORRECTIONS))
+
+
+@query("summary_examples", f"""WITH m AS (SELECT conv_id, turn, text, {_MARKED} AS marked, {_SKIPPED} AS n_skipped FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, md5({_WRITTEN}) AS corrected_md5, {len(CORRECTIONS)} AS n_corrections, n_skipped, {CORRECTIONS[-1][0]} AS latest, {" + ".join(f"length(marked) - length(replace(marked, chr({i}), ''))" for i, _, _ in CORRECTIONS)} AS n_spans FROM m WHERE {_WRITTEN} <> text""")
 def summary_examples(spark, sf):
     texts = t(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("conv_id"), "text")
-    fixes = texts.select("conv_id", F.explode(F.expr("array(named_struct('ts', 1, 'old', 'e', 'new', 'E'), named_struct('ts', 2, 'old', 'En', 'new', 'nE'))")).alias("c")).select("conv_id", "c.*")
-    return insights.apply_corrections(texts, doc="conv_id", text="text", corrections=fixes, order="ts", old="old", new="new").select("conv_id.conv_id", "conv_id.turn", F.md5("corrected").alias("corrected_md5"), "n_corrections")
+    fixes = texts.select("conv_id", F.explode(F.array(*[F.struct(F.lit(i).alias("ts"), F.lit(old).alias("old"), F.lit(new).alias("new")) for i, old, new in CORRECTIONS])).alias("c")).select("conv_id", "c.*")
+    out = insights.apply_corrections(texts, doc="conv_id", text="text", corrections=fixes, order="ts", old="old", new="new")
+    return out.select("conv_id.conv_id", "conv_id.turn", F.md5("corrected").alias("corrected_md5"), "n_corrections", "n_skipped", "latest", F.size("spans").alias("n_spans"))
 
 
 @query("correction_rate", "SELECT source, count(*) AS n_items, round(avg(n_chars / 1000), 6) AS mean_confidence, count(l.doc_id) FILTER (quality = 0) AS n_feedback, round(count(l.doc_id) FILTER (quality = 0) / count(*), 6) AS rate FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")

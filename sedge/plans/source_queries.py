@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sedge.functions import udtfs
 from sedge.functions.storage import fresh_path
 from sedge.operators import facts, segment, texttables
-from sedge.plans.base import query, t
+from sedge.plans.base import over, query, t
 from sedge.sources import tables
 
 #: SQL for a JSON response per event: some are cut short, some wrapped in prose, some break a rule.
@@ -23,8 +23,7 @@ RAW_SQL = """raw AS (SELECT event_id, user_id, CASE event_id % 8
 
 
 def raw_responses(spark, sf):
-    t(spark, sf, "events").createOrReplaceTempView("_sedge_events")
-    return spark.sql(f"WITH {RAW_SQL.replace('FROM events', 'FROM _sedge_events')} SELECT * FROM raw")
+    return over(spark, f"WITH {RAW_SQL} SELECT * FROM raw", events=t(spark, sf, "events"))
 
 
 @query("scan_documents", "SELECT doc_id, CASE WHEN contains(source, 'src1') THEN 'AMENDMENT' WHEN contains(source, 'src2') THEN 'EXHIBIT' ELSE 'BASE' END AS doc_class, length(text) AS n FROM documents")
@@ -219,10 +218,8 @@ ce AS (SELECT d.*, h.value AS header FROM ce0 d JOIN ce0 h ON h.doc_id = d.doc_i
 
 
 def table_texts(spark, sf):
-    for name in ("documents", "lineitem"):
-        t(spark, sf, name).createOrReplaceTempView(f"_sedge_{name}")
-    sql = TABLE_TEXTS.replace("array_to_string(", "array_join(").replace("FROM documents", "FROM _sedge_documents").replace("FROM lineitem", "FROM _sedge_lineitem")
-    return spark.sql(f"WITH {sql} SELECT doc_id, text FROM tx")
+    sql = TABLE_TEXTS.replace("array_to_string(", "array_join(")
+    return over(spark, f"WITH {sql} SELECT doc_id, text FROM tx", documents=t(spark, sf, "documents"), lineitem=t(spark, sf, "lineitem"))
 
 
 def blocks(spark, sf):
@@ -250,8 +247,7 @@ ok AS (SELECT o_custkey, line_no, list_filter(list_transform(string_split(line,
 k AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS size FROM ok WHERE len(v) = 3)
 SELECT o_custkey, 1 AS block_no, (row_number() OVER (PARTITION BY o_custkey ORDER BY line_no) - 1)::INT AS row_no, line_no::INT AS line_no, array_to_string(v, '~') AS row_text FROM k WHERE size > 1""")
 def markdown_blocks(spark, sf):
-    t(spark, sf, "orders").createOrReplaceTempView("_sedge_orders")
-    texts = spark.sql("WITH " + MARKDOWN.replace("array_to_string(", "array_join(").replace("FROM orders", "FROM _sedge_orders") + " SELECT o_custkey, text FROM md")
+    texts = over(spark, "WITH " + MARKDOWN.replace("array_to_string(", "array_join(") + " SELECT o_custkey, text FROM md", orders=t(spark, sf, "orders"))
     found = texttables.markdown_blocks(segment.lines(texts, id="o_custkey"), id="o_custkey")
     return found.select("o_custkey", "block_no", "row_no", "line_no", F.array_join("values", "~").alias("row_text"))
 
@@ -265,8 +261,7 @@ def table_cells(spark, sf):
 def table_cells_udtf(spark, sf):
     """The same from SQL, by a table function."""
     udtfs.register(spark)
-    table_texts(spark, sf).createOrReplaceTempView("_sedge_texts")
-    return spark.sql("SELECT doc_id, c.* FROM _sedge_texts, LATERAL text_tables(text, 2) c")
+    return over(spark, "SELECT doc_id, c.* FROM texts, LATERAL text_tables(text, 2) c", texts=table_texts(spark, sf))
 
 
 @query("flat_values_udtf", "SELECT p_partkey, kv[1] AS key, kv[2] AS value FROM (SELECT p_partkey, unnest(CASE WHEN p_size % 3 = 0 THEN [['General', NULL]] ELSE [['brand', p_brand], ['name', p_name]] END) AS kv FROM part)")
@@ -274,8 +269,7 @@ def flat_values_udtf(spark, sf):
     udtfs.register(spark)
     empty = F.create_map().cast("map<string,string>")
     part = t(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, empty).otherwise(F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"))).alias("pairs"))
-    part.createOrReplaceTempView("_sedge_parts")
-    return spark.sql("SELECT p_partkey, c.* FROM _sedge_parts, LATERAL flat_values(pairs) c")
+    return over(spark, "SELECT p_partkey, c.* FROM parts, LATERAL flat_values(pairs) c", parts=part)
 
 
 @query("table_validate", f"""WITH {BLOCK_SQL}, v AS (SELECT doc_id, block_no, max(row_no)::BIGINT AS n_rows, count(DISTINCT col_no) AS n_cols, count(DISTINCT header) AS h, avg((value <> '')::INT) AS f FROM ce GROUP BY 1, 2)

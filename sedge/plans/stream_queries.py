@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sedge.functions.storage import fresh_path
@@ -17,11 +18,11 @@ def events(spark, sf, delay="40 days"):
 ARRIVAL_SQL = "arrive AS (SELECT *, ts::DATE + CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END AS arrived FROM events)"
 
 
-def daily(spark, sf, columns):
-    """The events as a stream of one file per batch, in the order of arrival (files are taken by their time of writing)."""
+def daily(spark, sf, columns, late_days=2):
+    """The events as a stream of one day per batch, in the order of arrival (files are taken by their time of writing)."""
     path = fresh_path(spark, "arrivals")
-    arrived = F.date_add(F.to_date("ts"), F.when(F.col("event_id") % 17 == 0, 2).otherwise(0))
-    rows = t(spark, sf, "events").select(*columns, arrived.alias("arrived")).repartitionByRange(1, "arrived").sortWithinPartitions("arrived")
+    arrived = F.date_add(F.to_date("ts"), F.when(F.col("event_id") % 17 == 0, late_days).otherwise(0))
+    rows = t(spark, sf, "events").select(*columns, arrived.alias("arrived")).repartition("arrived")  # one file, and so one batch, per day
     rows.write.partitionBy("arrived").parquet(path)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -84,13 +85,33 @@ def stream_dedup_ttl(spark, sf):
 
 
 @query("stream_dedup_expiry", """
-WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), g AS (SELECT user_id, day, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS before FROM d) SELECT user_id, min(day) AS first_day, count(*) > 0 AS seen FROM g GROUP BY 1""")
+WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type, ts FROM events), n AS (SELECT *, min(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 120 MINUTE FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM e),
+kept AS (SELECT user_id, event_type, min(ts) AS ts FROM e GROUP BY 1, 2 UNION ALL SELECT k.user_id, k.event_type, n.after FROM kept k JOIN n ON k.user_id = n.user_id AND k.event_type = n.event_type AND k.ts = n.ts WHERE n.after IS NOT NULL)
+SELECT user_id, event_type, ts FROM kept""")
 def stream_dedup_expiry(spark, sf):
-    """With a life of two days a key comes again once its state has expired; what is asked here is its first day, which expiry must not touch."""
-    rows = streams.with_time(daily(spark, sf, ["event_id", "ts", "user_id"]).filter("event_id % 17 <> 0"), "ts", "2 days")
-    out = streams.run(streams.dedup_ttl(rows, keys=["user_id"]), mode="append", name="dedup-expiry")
-    late = t(spark, sf, "events").filter("event_id % 17 = 0").select("user_id", "ts")
-    return out.select("user_id", "ts").unionByName(late).groupBy("user_id").agg(F.min(F.to_date("ts")).alias("first_day"), (F.count("*") > 0).alias("seen"))
+    """A key's row counts as a repeat for 120 minutes after the last one kept; then the key comes again."""
+    rows = streams.with_time(daily(spark, sf, ["event_id", "ts", "user_id", "event_type"], late_days=0), "ts", "1 hour")
+    out = streams.run(streams.first_within(rows, keys=["user_id", "event_type"], ts="ts", id="event_id", life_s=7200), mode="append", name="expiry")
+    return out.select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("stream_span_timeouts", """
+WITH s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), w AS (SELECT max(ts) - INTERVAL 3 DAY AS mark FROM events),
+m AS (SELECT s.event_id AS start_id, e.event_id AS end_id, round((epoch_us(e.ts) - epoch_us(s.ts)) / 1e6, 3) AS seconds FROM s JOIN e ON s.user_id = e.user_id AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 1 HOUR)
+SELECT * FROM m UNION ALL SELECT event_id, NULL, NULL FROM s WHERE event_id NOT IN (SELECT start_id FROM m) AND ts + INTERVAL 1 HOUR < (SELECT mark FROM w)
+UNION ALL SELECT NULL, event_id, NULL FROM e WHERE event_id NOT IN (SELECT end_id FROM m) AND ts < (SELECT mark FROM w)""")
+def stream_span_timeouts(spark, sf):
+    """Starts and ends without a partner come out when the watermark, three days behind, has passed the hour in which it could come; rows two days late still find theirs."""
+    rows = [streams.with_time(daily(spark, sf, ["event_id", "ts", "user_id", "event_type"]), "ts", "3 days").filter(f"event_type = '{kind}'") for kind in ("view", "purchase")]
+    return streams.run(streams.span_join(*rows, entity="user_id", ts="ts", id="event_id", within="1 HOUR", unmatched=True), mode="append", name="timeouts")
+
+
+@query("stream_latest_rows", f"""WITH {ARRIVAL_SQL}, d AS (SELECT DISTINCT arrived AS day FROM arrive), r AS (SELECT day, event_type, event_id, row_number() OVER (PARTITION BY day, event_type ORDER BY ts DESC, event_id DESC) AS nth FROM d JOIN arrive ON arrived <= day)
+SELECT day, event_type, nth::INT AS nth, event_id FROM r WHERE nth <= 10""")
+def stream_latest_rows(spark, sf):
+    """The ten newest events of every type after each day's arrivals, late ones among them."""
+    out = streams.latest_rows(daily(spark, sf, ["event_id", "ts", "event_type"]), key="event_type", order=["ts", "event_id"], n=10, name="latest")
+    return out.withColumn("day", F.max("arrived").over(Window.partitionBy("batch"))).select("day", "event_type", "nth", "event_id")
 
 
 @query("stream_change_state", "SELECT o_custkey, o_orderpriority, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS value, count(*) AS n_writes FROM orders GROUP BY 1, 2")

@@ -5,10 +5,10 @@ Results and checkpoints go to the folder the cluster shares; a batch that is run
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -77,12 +77,16 @@ def sessions(events: DataFrame, *, ts: str, entity: str, gap: str) -> DataFrame:
     return out.select(entity, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def span_join(starts: DataFrame, ends: DataFrame, *, entity: str, ts: str, id: str, within: str) -> DataFrame:
-    """Interval join of two streams: each end with the entity's starts at most ``within`` before it. Both need a watermark on ``ts``."""
+def span_join(starts: DataFrame, ends: DataFrame, *, entity: str, ts: str, id: str, within: str, unmatched: bool = False) -> DataFrame:
+    """Interval join of two streams: each end with the entity's starts at most ``within`` before it. Both need a watermark on ``ts``.
+
+    With ``unmatched`` a start without an end, and an end without a start, comes out once the watermark has passed the time
+    in which a partner could still come; its partner and seconds are null.
+    """
     s = starts.select(F.col(entity).alias("s_entity"), F.col(id).alias("start_id"), F.col(ts).alias("s_ts"))
     e = ends.select(F.col(entity).alias("e_entity"), F.col(id).alias("end_id"), F.col(ts).alias("e_ts"))
     on = F.expr(f"s_entity = e_entity AND e_ts >= s_ts AND e_ts <= s_ts + INTERVAL {within}")
-    return s.join(e, on).select("start_id", "end_id", F.round((F.unix_micros("e_ts") - F.unix_micros("s_ts")) / 1e6, 3).alias("seconds"))
+    return s.join(e, on, "full_outer" if unmatched else "inner").select("start_id", "end_id", F.round((F.unix_micros("e_ts") - F.unix_micros("s_ts")) / 1e6, 3).alias("seconds"))
 
 
 def dedup_ttl(events: DataFrame, *, keys: list[str]) -> DataFrame:
@@ -90,6 +94,54 @@ def dedup_ttl(events: DataFrame, *, keys: list[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(keys)
 
 
+def first_within(events: DataFrame, *, keys: list[str], ts: str, id: str, life_s: int) -> DataFrame:
+    """Rows that repeat no row kept in the ``life_s`` seconds before them: keys, id, ts. The stream needs a watermark on ``ts``.
+
+    The state of a key is the time of its last kept row, and goes once the watermark has passed its life. A batch's rows are taken by (ts, id). A row that comes
+    late, with a time before the last kept row's, is a repeat if it lies within the life of that row on either side, else it is kept and the state stays. Rows without a time are left out.
+    """
+    life, names = 1_000_000 * life_s, [*keys, id, ts]
+
+    def keep(group: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(["_us", id], kind="stable")
+        last = state.get[0] if state.exists else None
+        kept = []
+        for i, at in enumerate(rows["_us"].tolist()):
+            if last is None or abs(at - last) >= life:
+                kept.append(i)
+                last = at if last is None else max(last, at)
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + life) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield rows.iloc[kept][names]
+
+    schema = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in names)
+    rows = events.filter(F.col(ts).isNotNull()).select(*names, F.unix_micros(ts).alias("_us"))
+    return rows.groupBy(*keys).applyInPandasWithState(keep, schema, "last long", "append", "EventTimeTimeout")
+
+
+def latest_rows(rows: DataFrame, *, key: str, order: list[str], n: int, name: str, root: str | None = None) -> DataFrame:
+    """After each batch the n newest rows of every key (the last by ``order``), with their place from the newest and the batch.
+
+    The state is the table of the batch before, n rows a key at most; a batch's own rows are cut to n a key before they meet it. Late rows take the place that their order
+    gives them. A batch that is run again reads the same state and overwrites its own.
+    """
+    spark = rows.sparkSession
+    root = root or fresh_path(spark, f"stream-{name}")
+    newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+
+    def keep(df: DataFrame, batch_id: int) -> DataFrame:
+        top = df.withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") <= n)
+        if batch_id:
+            before = spark.read.schema(top.schema).parquet(f"{root}/out/batch={batch_id - 1}")
+            top = top.unionByName(before).withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") <= n)
+        return top
+
+    return run(rows, mode="update", name=name, root=root, batch=keep)
+
+
 def change_state(log: DataFrame, *, base: str, key: str, value: str, order: list[str]) -> DataFrame:
     """Running state: last writer per (base, key) and number of writes."""
     return log.groupBy(base, key).agg(F.max_by(value, F.struct(*order)).alias("value"), F.count("*").alias("n_writes"))

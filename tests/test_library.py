@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -223,3 +225,81 @@ def test_ranks_converge(spark):
         loose = sum(rank[a] for a in out if not out[a])
         rank = {n: 0.15 / 5 + 0.85 * (sum(rank[a] / len(out[a]) for a in out if n in out[a]) + loose / 5) for n in rank}
     assert got == pytest.approx(rank, abs=1e-7)
+
+
+def flat(v, path="", name=""):
+    """Leaves of a parsed JSON value: (path, JSON text, whether the last name is a date's)."""
+    if isinstance(v, dict) and v:
+        return [x for k, w in v.items() for x in flat(w, f"{path}.{k}" if path else k, k)]
+    if isinstance(v, list) and v:
+        return [x for i, w in enumerate(v) for x in flat(w, f"{path}[{i}]", name)]
+    return [(path, json.dumps(v, separators=(",", ":")), any(w in name.lower() for w in ("date", "deadline", "expir", "commenc")))] if path else []
+
+
+def test_leaves_at_any_depth(spark):
+    from sedge.operators import checks
+
+    deep = {"v": 1}
+    for i in range(12):
+        deep = {f"level{i}": [deep, i]}
+    docs = [{"a": 1, "b": {"c": {"startDate": "x", "d": [1, {"Expiry": None}, [], {}]}}, "e": [], "f": {}, "g": None, "h": ""}, [1, [2, {"date": [3]}]], deep, {}, [], 5, None, "text"]
+    rows = [(i, json.dumps(d)) for i, d in enumerate(docs)] + [(20, "{cut"), (21, None), (22, "")]
+    got = sorted(tuple(r) for r in checks.flatten_json(spark.createDataFrame(rows, "path long, value string"), id="path", json="value").toDF("id", "path", "value", "is_date_key").collect())
+    assert got == sorted((i, *leaf) for i, d in enumerate(docs) for leaf in flat(d))
+    assert checks.flatten_json(spark.createDataFrame([], "id long, j string"), id="id", json="j").count() == 0
+
+
+def corrected_plainly(text, fixes):
+    """(text, skipped, spans) by a mark per character: None for untouched, else the number of the change that made it; zero-length changes stand between."""
+    pieces, skipped = [(text, False)], 0
+    for _, old, new in sorted((o, a or "", b or "") for o, a, b in fixes):
+        if not old:
+            continue
+        was, hits, out = "".join(p for p, _ in pieces), 0, []
+        for p, changed in pieces:
+            at = -1 if changed else p.find(old)
+            start = 0
+            while at >= 0:
+                out += [(p[start:at], False), (new, True)]
+                hits, start = hits + 1, at + len(old)
+                at = p.find(old, start)
+            out.append((p[start:], changed))
+        pieces = out
+        skipped += old in was and not hits
+    spans, at = [], 0
+    for p, changed in pieces:
+        if changed:
+            spans.append((at, at + len(p)))
+        at += len(p)
+    return "".join(p for p, _ in pieces), skipped, spans
+
+
+def test_corrections_leave_changed_text_alone(spark):
+    from sedge.operators import insights
+
+    rng = random.Random(2)
+    cases = [("one two three", [(1, "two", "2 two"), (2, "two", "no"), (3, "ne 2", "x"), (4, "thr", "")]), ("abcabc", [(1, "b", ""), (2, "ac", "x"), (3, "ca", "y"), (4, "a", "\\E.\\Q$1")]), ("a.b*c\\E", [(1, ".", "*"), (2, "*", "+"), (3, "\\E", "e")]), ("same", [(1, "x", "y")]), ("null", [(1, None, "a"), (2, "l", None), (2, "", "b")])]
+    cases += [("".join(rng.choice("abc") for _ in range(30)), [(rng.randint(0, 5), "".join(rng.choice("abc") for _ in range(rng.randint(1, 3))), "".join(rng.choice("abcd") for _ in range(rng.randint(0, 3)))) for _ in range(6)]) for _ in range(60)]
+    texts = spark.createDataFrame([*[(i, t) for i, (t, _) in enumerate(cases)], (900, None), (901, "no corrections")], "id long, text string")
+    fixes = spark.createDataFrame([(i, *f) for i, (_, fs) in enumerate(cases) for f in fs] + [(900, 1, "a", "b")], "id long, n int, old string, new string")
+    got = {r["id"]: r for r in insights.apply_corrections(texts, doc="id", text="text", corrections=fixes, order="n", old="old", new="new").collect()}
+    for i, (t, fs) in enumerate(cases):
+        want, skipped, spans = corrected_plainly(t, fs)
+        assert (i in got) == (want != t)
+        if i in got:
+            assert (got[i].corrected, got[i].n_skipped, [tuple(s) for s in got[i].spans]) == (want, skipped, spans)
+            assert got[i].n_corrections == len(fs) and got[i].latest == max(f[0] for f in fs)
+    assert not {900, 901} & set(got)
+
+
+def test_a_key_comes_again_after_its_life(spark, tmp_path):
+    from sedge.streaming import streams
+
+    batches = [[(1, "a", "02 00:00"), (2, "a", "02 01:59"), (3, "a", "02 02:00"), (4, "b", "02 00:30")], [(5, "a", "02 03:59"), (6, "a", "02 04:00"), (7, "b", "02 00:10"), (8, "a", "01 23:00")], [(9, "b", "02 09:00"), (10, "a", "02 12:00"), (11, "a", "02 04:30")]]
+    path = str(tmp_path / "in")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(n, k, f"2024-01-{at}") for n, k, at in rows], "id long, k string, at string").select("id", "k", F.to_timestamp("at").alias("ts")).coalesce(1).write.parquet(f"{path}/part={i}")
+        time.sleep(1.1)
+    stream = spark.readStream.schema("id long, k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    out = streams.run(streams.first_within(streams.with_time(stream, "ts", "12 hours"), keys=["k"], ts="ts", id="id", life_s=7200), mode="append", name="life")
+    assert sorted(r["id"] for r in out.collect()) == [1, 3, 4, 6, 8, 9, 10]  # 7 and 11 lie within the life of 4 and 6, 8 lies long before 6
