@@ -4,38 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedge.functions.storage import saved
+
 #: Up to so many phrases are broadcast and tried on every text; more are found by their beginnings.
 BROADCAST_PHRASES = 10_000
 
 
-def containment_join(texts: DataFrame, phrases: DataFrame, *, text: str, phrase: str, limit: int = BROADCAST_PHRASES, gram: int = 6) -> DataFrame:
-    """Rows of ``texts`` with the rows of ``phrases`` that they contain. Empty phrases are in no text.
+def containment_join(texts: DataFrame, phrases: DataFrame, *, text: str, phrase: str, by: Sequence[str] = (), limit: int = BROADCAST_PHRASES, gram: int = 6) -> DataFrame:
+    """Rows of ``texts`` with the rows of ``phrases`` that they contain, of the same ``by`` if given. Empty phrases are in no text.
 
-    At most ``limit`` phrases are broadcast. Beyond it, a phrase meets only texts that hold its first ``gram`` characters, in a
-    shuffled equi-join; phrases shorter than that must be at most ``limit``.
+    At most ``limit`` phrases are broadcast. Beyond it a phrase meets only texts that hold its first ``gram`` characters (all of a shorter one), in a
+    shuffled join of row numbers and hashes; the texts, written once with their numbers, join the few rows that are left.
     """
     phrases = phrases.filter(F.length(phrase) > 0)
     inside = F.contains(F.col(text), F.col(phrase))
+    keys = list(by)
     if phrases.limit(limit + 1).count() <= limit:
+        if keys:
+            return texts.join(F.broadcast(phrases), keys).filter(inside)
         return texts.join(F.broadcast(phrases), inside)
-    short = phrases.filter(F.length(phrase) < gram)
-    if short.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} phrases of fewer than {gram} characters")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (gram - 1), F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(gram))))
-    long = phrases.filter(F.length(phrase) >= gram).withColumn("_gram", F.left(phrase, F.lit(gram)))
-    met = texts.withColumn("_gram", F.explode(grams)).join(long, "_gram").filter(inside).drop("_gram")
-    return met.unionByName(texts.join(F.broadcast(short), inside))
+    numbered = saved(texts.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    size = F.least(F.length(phrase), F.lit(gram))
+    sizes = [r["n"] for r in phrases.select(size.alias("n")).distinct().collect()]  # at most ``gram`` numbers
+
+    def grams(n: int):
+        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(n))))).otherwise(F.array().cast("array<long>"))
+
+    held = numbered.select("_row", *keys, F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]))).alias("_gram"))
+    begins = phrases.withColumn("_gram", F.xxhash64(F.left(phrase, size)))
+    met = held.join(begins, [*keys, "_gram"]).drop("_gram", *keys)
+    return numbered.join(met, "_row").filter(inside).drop("_row")
 
 
 def percentiles(df: DataFrame, *, by: Sequence[str], value: str, p: float, accuracy: int = 10_000) -> DataFrame:
     """(by, n, percentile): the exact interpolated percentile of each group's values that are not null.
 
-    A sketch brackets the rank; the exact step only gathers the values inside the bracket, about 4 / ``accuracy`` of a group. Groups of up to
-    ``accuracy`` values are gathered whole.
+    A sketch brackets the rank. The exact step counts the values inside the bracket, one row per distinct value and with map-side combining, and walks their running
+    sum; so values that very many rows share cost one row. Inside the bracket lie about 4 / ``accuracy`` of a group's rows beside the ties at its ends. Groups of up to ``accuracy`` values are
+    taken whole.
     """
     x = F.col(value).cast("double")
     rows = df.select(*by, x.alias("_x")).filter("_x IS NOT NULL")
@@ -43,11 +53,17 @@ def percentiles(df: DataFrame, *, by: Sequence[str], value: str, p: float, accur
     bounds = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_x", [low, high], accuracy).alias("_b"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
     # At either end of the ranks the bracket is the least or the largest value itself.
     bounds = bounds.select(*by, "n", F.when(F.lit(low == 0.0), F.col("_least")).otherwise(F.col("_b")[0]).alias("_low"), F.when(F.lit(high == 1.0), F.col("_most")).otherwise(F.col("_b")[1]).alias("_high"))
-    joined = rows.join(bounds, list(by)) if by else rows.crossJoin(F.broadcast(bounds))  # one row
-    whole = F.col("n") <= accuracy
-    inside = whole | F.col("_x").between(F.col("_low"), F.col("_high"))
-    parts = joined.groupBy(*by).agg(F.max("n").alias("n"), F.count_if(~whole & (F.col("_x") < F.col("_low"))).alias("_below"), F.count_if(inside).alias("_m"), F.array_sort(F.collect_list(F.when(inside, F.col("_x")))).alias("_v"))
-    at = F.lit(p) * (F.col("n") - 1) - F.col("_below")
-    floor = F.floor(at).cast("int")
-    first, second = F.get("_v", floor), F.coalesce(F.get("_v", floor + 1), F.get("_v", floor))
-    return parts.select(*by, "n", (first + (second - first) * (at - floor)).alias("percentile"))
+    groups = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+    names = [f"_g{i}" for i in range(len(by))]
+    bounds, rows = bounds.select(*groups, "n", "_low", "_high"), rows.select(*groups, "_x")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]
+    joined = rows.alias("a").join(bounds.alias("b"), same).select(*[F.col(f"a.{c}").alias(c) for c in names], "_x", "n", "_low", "_high") if by else rows.crossJoin(F.broadcast(bounds))  # one row
+    place = F.when((F.col("n") <= accuracy) | F.col("_x").between(F.col("_low"), F.col("_high")), F.col("_x"))
+    kept = joined.filter(place.isNotNull() | (F.col("_x") < F.col("_low")))
+    counts = kept.groupBy(*names, place.alias("_x")).agg(F.max("n").alias("n"), F.count("*").alias("_k"))  # null: all that lie below the bracket
+    w = Window.partitionBy(*names).orderBy(F.col("_x").asc_nulls_first())
+    ends = counts.withColumn("_to", F.sum("_k").over(w)).withColumn("_from", F.col("_to") - F.col("_k")).filter("_x IS NOT NULL")
+    at = F.lit(p) * (F.col("n") - 1)
+    holds = lambda rank: F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_x")))
+    found = ends.groupBy(*names, "n").agg(holds(F.floor(at)).alias("_a"), holds(F.ceil(at)).alias("_z"))
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], "n", (F.col("_a") + (F.col("_z") - F.col("_a")) * (at - F.floor(at))).alias("percentile"))

@@ -40,6 +40,41 @@ def unresolved_refs(refs: DataFrame, docs: DataFrame, *, doc: str, phrase: str,
     return resolved.filter("NOT resolved").select(doc, phrase, F.lit("unresolved_reference").alias("issue_type"), F.lit("medium").alias("severity"))
 
 
+def resolve_references(refs: DataFrame, docs: DataFrame, *, by: str, ref: str, id: str, title: str, ordinal: str, is_exhibit: Column) -> DataFrame:
+    """``refs`` with target and how: the first document of the same set (``by``) whose title lies in the reference's text ("title"); failing that, the first exhibit
+    whose title holds the id that follows the word exhibit ("exhibit"); else null, null. Letters' case does not count; null and empty titles name nothing."""
+    said = saved(refs.select(by, ref).filter(F.col(ref).isNotNull()).distinct().withColumn("_r", F.lower(ref)), "references")
+    named = docs.select(by, F.col(id).alias("_id"), F.lower(title).alias("_t"), F.col(ordinal).alias("_o"), F.coalesce(is_exhibit, F.lit(False)).alias("_x"))
+    first = F.min_by("_id", F.struct("_o", "_id"))
+    by_title = containment_join(said, named, text="_r", phrase="_t", by=[by]).groupBy(by, ref).agg(first.alias("_by_title"))
+    letters = said.withColumn("_e", F.regexp_extract("_r", r"exhibit\s+([a-z0-9]+)", 1)).filter("_e <> ''").select(by, ref, "_e")
+    by_letter = containment_join(named.filter("_x"), letters, text="_t", phrase="_e", by=[by]).groupBy(by, ref).agg(first.alias("_by_letter"))
+    out = refs.join(by_title, [by, ref], "left").join(by_letter, [by, ref], "left")
+    how = F.when(F.col("_by_title").isNotNull(), "title").when(F.col("_by_letter").isNotNull(), "exhibit")
+    return out.withColumn("target", F.coalesce("_by_title", "_by_letter")).withColumn("how", how).drop("_by_title", "_by_letter")
+
+
+#: References from a clause to a clause of another document: the document's name, the clause's number.
+OTHER_DOCUMENTS = (r"(?i)(?:as defined in|pursuant to)\s+(?:the\s+)?([A-Za-z0-9_]+\s+(?:agreement|lease|amendment))\s+section\s+([0-9]+(?:\.[0-9]+)*)", r"(?i)((?:exhibit|schedule)\s+[A-Z0-9]+)\s+section\s+([0-9]+(?:\.[0-9]+)*)")
+
+
+def cross_document_edges(clauses: DataFrame, docs: DataFrame, *, by: str, doc: str, src: str, text: str, number: str, title: str, ordinal: str, patterns: Sequence[str] = OTHER_DOCUMENTS) -> DataFrame:
+    """Edges (by, doc, src, other_doc, dst): a clause that names another document of its set and a clause's number there. The document is the first whose title
+    contains the name; references to no document, to no clause there, or to the clause itself are left out."""
+    found = None
+    for pattern in patterns:
+        names, numbers = (F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(g)) for g in (1, 2))
+        hits = clauses.select(by, doc, src, F.explode(F.array_distinct(F.arrays_zip(names.alias("name"), numbers.alias("ref")))).alias("_m"))
+        hits = hits.select(by, doc, src, F.lower(F.regexp_replace("_m.name", r"\s+", " ")).alias("_name"), F.col("_m.ref").alias("_ref"))
+        found = hits if found is None else found.unionByName(hits)
+    found = saved(found.distinct(), "other-documents")
+    titled = docs.select(by, F.col(doc).alias("other_doc"), F.lower(title).alias("_t"), F.col(ordinal).alias("_o"))
+    named = containment_join(titled, found.select(by, "_name").distinct(), text="_t", phrase="_name", by=[by]).groupBy(by, "_name").agg(F.min_by("other_doc", F.struct("_o", "other_doc")).alias("other_doc"))
+    targets = clauses.groupBy(F.col(by), F.col(doc).alias("other_doc"), F.col(number).cast("string").alias("_ref")).agg(F.min(src).alias("dst"))
+    out = found.join(named, [by, "_name"]).join(targets, [by, "other_doc", "_ref"])
+    return out.filter((F.col(doc) != F.col("other_doc")) | (F.col(src) != F.col("dst"))).select(by, doc, src, "other_doc", "dst").distinct()
+
+
 def relations(nodes: DataFrame, rels: DataFrame, *, doc: str, node: str, target: str, kind: str | None = None) -> DataFrame:
     """Per (document, node) its related nodes in order (with the type, if ``kind`` names its column), where both ends exist."""
     ends = nodes.select(doc, node).distinct()
@@ -215,6 +250,157 @@ def topo_levels(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> Data
     return rest if done is None else done.unionByName(rest)
 
 
+def reading_positions(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, level, place): nodes in the order of their levels, numbered from 1 within a level; nodes on or behind a cycle have level -1 and are
+    numbered by in-degree, then out-degree. Ties go by node."""
+    found = topo_levels(edges, src=src, dst=dst).join(degrees(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()), "node")
+    on_cycle = F.col("level") < 0
+    w = Window.partitionBy("level").orderBy(F.when(on_cycle, F.col("in_degree")), F.when(on_cycle, F.col("out_degree")), "node")
+    return found.select("node", "level", F.row_number().over(w).alias("place"))
+
+
+def _cycles_of_rest(edges: DataFrame) -> DataFrame:
+    """(node, component) of the strongly connected components of a rest of bounded size, found in one task."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def find(table: pa.Table) -> pa.Table:
+        out: dict = {}
+        for s, d in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True):
+            out.setdefault(s, []).append(d)
+        index, low, stack, held, nodes, names = {}, {}, [], set(), [], []
+        for root in out:
+            if root in index:
+                continue
+            work = [(root, iter(out.get(root, ())))]
+            index[root] = low[root] = len(index)
+            stack.append(root)
+            held.add(root)
+            while work:
+                node, rest = work[-1]
+                for n in rest:
+                    if n not in index:
+                        index[n] = low[n] = len(index)
+                        stack.append(n)
+                        held.add(n)
+                        work.append((n, iter(out.get(n, ()))))
+                        break
+                    if n in held:
+                        low[node] = min(low[node], index[n])
+                else:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                    if low[node] == index[node]:
+                        members = []
+                        while not members or members[-1] != node:
+                            members.append(stack.pop())
+                            held.discard(members[-1])
+                        if len(members) > 1:
+                            nodes += members
+                            names += [min(members)] * len(members)
+        return pa.table({"node": pa.array(nodes, table.schema.field("src").type), "component": pa.array(names, table.schema.field("src").type)})
+
+    return edges.groupBy().applyInArrow(find, f"node {kind}, component {kind}")
+
+
+def cycle_members(edges: DataFrame, *, src: str = "src", dst: str = "dst", trims: int = 3) -> DataFrame:
+    """(node, component): the nodes that reach themselves, with the least node of their strongly connected component. Nodes before or behind a cycle are not listed.
+
+    Each turn trims edges that start where nothing enters or end where nothing leaves, colours every node by the least node that reaches it (a round per step of
+    the longest path that still changes a colour), and goes back from each colour's own node through its colour: what it meets both ways is one component. Components and edges between
+    colours go; the rest takes another turn. Every step is a table, edges are never gathered; once SMALL_REST edges at most are left, one task finds the rest.
+    """
+    n_rows = F.count(F.lit(1))
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL")
+    loops = e.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    e, left = saved_with(e.filter("src <> dst").distinct(), "scc-edges", n_rows)
+    found = None
+    while left > SMALL_REST:
+        for _ in range(trims):
+            kept, n_kept = saved_with(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc-edges", n_rows)
+            forget(e)
+            e, left, less = kept, n_kept, n_kept < left
+            if not less:
+                break
+        if left <= SMALL_REST:
+            break
+        nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+        colour, moved = saved(nodes.withColumn("colour", F.col("node")), "scc-colour"), 1
+        while moved:
+            given = e.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("colour").alias("got"))
+            step = colour.join(given, F.col("node") == F.col("dst"), "left").select("node", F.least("colour", "got").alias("colour"), F.coalesce(F.col("got") < F.col("colour"), F.lit(False)).alias("moved"))
+            step, moved = saved_with(step, "scc-colour", F.count_if("moved"))
+            forget(colour)
+            colour = step
+        ends = e.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst")
+        inner = saved(ends.filter("c = cd").select("src", "dst", "c"), "scc-inner")
+        front = saved(colour.filter("node = colour").select("node", F.col("colour").alias("component")), "scc-front")
+        members, more = front, 1
+        while more:
+            back = inner.join(front, (F.col("dst") == F.col("node")) & (F.col("c") == F.col("component"))).select(F.col("src").alias("node"), "component").distinct()
+            front, more = saved_with(back.join(members, ["node", "component"], "left_anti"), "scc-front", n_rows)
+            members = saved(members.unionByName(front), "scc-members") if more else members
+        whole = members.join(members.groupBy("component").agg(n_rows.alias("_n")).filter("_n > 1"), "component", "left_semi").select("node", "component")
+        found = whole if found is None else found.unionByName(whole)
+        taken = members.select("node")
+        rest = inner.join(taken.select(F.col("node").alias("src")), "src", "left_anti").join(taken.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+        e, left = saved_with(rest, "scc-edges", n_rows)
+    if left:
+        small = _cycles_of_rest(e)
+        found = small if found is None else found.unionByName(small)
+    return loops if found is None else found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+
+
+def modularity(edges: DataFrame, members: DataFrame, *, src: str = "src", dst: str = "dst", node: str = "node", community: str = "community") -> DataFrame:
+    """(n_communities, modularity) of a partition of the undirected simple graph, one row: the share of edges inside communities less what degrees alone would give."""
+    e = edges.filter(F.col(src) != F.col(dst)).select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct()
+    of = members.select(F.col(node).alias("_n"), F.col(community).alias("_c"))
+    ends = e.join(of.select(F.col("_n").alias("a"), F.col("_c").alias("ca")), "a").join(of.select(F.col("_n").alias("b"), F.col("_c").alias("cb")), "b")
+    per = ends.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), (F.col("ca") == F.col("cb")).alias("inside")), F.struct(F.col("cb").alias("c"), F.lit(False).alias("inside")))).alias("x")).groupBy("x.c").agg(F.count("*").alias("d"), F.count_if("x.inside").alias("inside"))
+    total = per.agg(F.sum("d").alias("d2"))  # one row
+    scored = per.crossJoin(F.broadcast(total)).select((2 * F.col("inside") / F.col("d2") - F.pow(F.col("d") / F.col("d2"), 2)).alias("q"))
+    return scored.agg(F.count("*").alias("n_communities"), F.coalesce(F.sum("q"), F.lit(0.0)).alias("modularity"))
+
+
+def refined_communities(edges: DataFrame, *, src: str = "src", dst: str = "dst", start: DataFrame | None = None, rounds: int = 20) -> tuple[DataFrame, list[float]]:
+    """((node, community), score after each round kept). From ``start`` (node, community; each node alone if none), local moves raise the modularity.
+
+    In a round the nodes of one of two halves, dealt anew by a hash in every round, each move to the neighbouring community with the largest gain, ties to the least community; the others stay. Moves of one
+    round are made at once, so the score may fall: such a round is taken back, and two of them in a row end the search. The score so never falls.
+    """
+    e = edges.filter(F.col(src) != F.col(dst)).select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct()
+    both = saved(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "mod-edges")
+    degree = saved(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("k")), "mod-degrees")
+    m2 = both.count()
+    of = degree.select("node", F.col("node").alias("community"))
+    if start is not None:
+        of = of.select("node", F.col("community").alias("_own")).join(start.select("node", "community"), "node", "left").select("node", F.coalesce("community", "_own").alias("community"))
+    of = saved(of, "mod-communities")
+    score = lambda x: modularity(both, x, src="a", dst="b").first()["modularity"]
+    scores = [score(of)]
+    failed = 0
+    for i in range(rounds):
+        weight = of.join(degree, "node").groupBy("community").agg(F.sum("k").alias("sum"))
+        links = both.join(of.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.count("*").alias("links"))
+        own = of.join(degree, "node").select("node", F.col("community").alias("own"), "k")
+        open_to = own.join(links, "node").join(weight, "community").withColumn("others", F.col("sum") - F.when(F.col("own") == F.col("community"), F.col("k")).otherwise(0))
+        gain = F.col("links") - F.col("k") * F.col("others") / m2
+        stay = own.join(weight.withColumnRenamed("community", "own"), "own").join(links.select("node", F.col("community").alias("own"), F.col("links").alias("at_home")), ["node", "own"], "left").select("node", (F.coalesce("at_home", F.lit(0)) - F.col("k") * (F.col("sum") - F.col("k")) / m2).alias("home"))
+        best = open_to.groupBy("node").agg(F.min(F.struct((-gain).alias("away"), "community")).alias("x")).join(stay, "node").filter((-F.col("x.away") > F.col("home") + 1e-12) & (F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0))
+        moved = saved(of.join(best.select("node", F.col("x.community").alias("to")), "node", "left").select("node", F.coalesce("to", "community").alias("community")), "mod-communities")
+        new = score(moved)
+        if new > scores[-1]:
+            forget(of)
+            of, failed = moved, 0
+            scores.append(new)
+        else:
+            forget(moved)
+            failed += 1
+            if failed == 2:
+                break
+    return of.select("node", "community"), scores
+
+
 def type_counts(edges: DataFrame, types: DataFrame, *, kind: str) -> DataFrame:
     """Count of edges per type of a dimension, zero counts included."""
     return types.select(kind).distinct().join(edges.groupBy(kind).agg(F.count("*").alias("n")), kind, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
@@ -237,6 +423,19 @@ def docset_issues(docs: DataFrame, edges: DataFrame, *, id: str, date: str, is_b
     return orphans.unionByName(early)
 
 
+def docset_audit(docs: DataFrame, edges: DataFrame, refs: DataFrame, *, by: str, id: str, title: str, ordinal: str, date: str, is_base: str, is_exhibit: str, ref: str, to_exhibit: str) -> DataFrame:
+    """Everything that is wrong with sets of documents: (issue, id, detail).
+
+    Orphans and wrong dates as ``docset_issues`` has them; "on_cycle" for documents whose amendments (``edges``) lead back to them, with the cycle's least document;
+    "missing_exhibit" and "unresolved_reference" for references (of ``refs``, by the flag ``to_exhibit``) that ``resolve_references`` cannot resolve, with the reference's text.
+    """
+    plain = docset_issues(docs, edges, id=id, date=date, is_base=is_base).withColumn("detail", F.lit(None).cast("string"))
+    cycles = cycle_members(edges).select(F.lit("on_cycle").alias("issue"), F.col("node").alias(id), F.col("component").cast("string").alias("detail"))
+    open_refs = resolve_references(refs, docs, by=by, ref=ref, id=id, title=title, ordinal=ordinal, is_exhibit=F.col(is_exhibit)).filter("target IS NULL")
+    missing = open_refs.select(F.when(F.col(to_exhibit), "missing_exhibit").otherwise("unresolved_reference").alias("issue"), F.col(id), F.col(ref).alias("detail")).distinct()
+    return plain.unionByName(cycles).unionByName(missing)
+
+
 def term_dictionary(terms: DataFrame, *, term: str, definition: str, date: str, ordinal: str) -> DataFrame:
     """Newest definition per term (null dates oldest), number of definitions, whether they conflict."""
     newest = F.max_by(definition, F.struct(F.col(date), -F.col(ordinal)))

@@ -74,6 +74,39 @@ def missing(df: DataFrame, essential: DataFrame, *, doc: str, kind: str, most: i
     return every.join(df.select(doc, kind).distinct(), [doc, kind], "left_anti")
 
 
+def missing_by_words(clauses: DataFrame, essential: DataFrame, *, doc: str, key: str, texts: Sequence[str], category: str = "category", keyword: str = "keyword", kind: str | None = None, most: int = 10_000) -> DataFrame:
+    """(doc, category): essential categories that nothing in a document speaks of.
+
+    ``essential`` has a row per category and keyword, and per document kind if ``kind`` names a column of both (null there: for every kind). A category is there if it, or one of its
+    keywords, is the clause's key without its endings _data, _clause and _inferred, or if a keyword lies in a key or in one of ``texts`` (content, structured data as text). Letters' case does not count.
+    All keywords of a clause are tried in one pass over it; found categories, not texts, cross the shuffle. More than ``most`` rows of ``essential`` are refused.
+    """
+    typed = [kind] if kind else []
+    wanted = essential.select(*typed, F.lower(category).alias("category"), F.lower(keyword).alias("_w")).distinct().limit(most + 1).collect()
+    if len(wanted) > most:
+        raise ValueError(f"more than {most} rows of essential categories")
+    docs = clauses.select(doc, *typed).distinct()
+    if not wanted:
+        return docs.select(doc, F.lit("").alias("category")).limit(0)
+    stem = F.regexp_replace(F.lower(key), "_data|_clause|_inferred", "")
+    hay = [F.lower(F.col(c).cast("string")) for c in (key, *texts)]
+    words: dict[str, set] = {}
+    for r in wanted:
+        words.setdefault(r["category"], set()).add(r["_w"])
+    found = F.array_compact(F.array(*[F.when(F.coalesce(stem.isin(name, *[w for w in ws if w]), F.lit(False)) | F.array_contains(F.array(*[F.coalesce(F.contains(h, F.lit(w)), F.lit(False)) for h in hay for w in sorted(w for w in ws if w)] or [F.lit(False)]), True), F.lit(name)) for name, ws in sorted(words.items())]))
+    there = clauses.select(doc, F.explode(found).alias("category")).distinct()
+    lists: dict = {}
+    for r in wanted:
+        lists.setdefault(r[kind] if kind else None, set()).add(r["category"])
+    each = lambda names: F.array(*[F.lit(n) for n in sorted(names)]) if names else F.array().cast("array<string>")
+    base = lists.get(None, set())
+    need = each(base)
+    for value, names in lists.items():
+        if value is not None:
+            need = F.when(F.col(kind) == value, each(names | base)).otherwise(need)
+    return docs.select(doc, F.explode(need).alias("category")).distinct().join(there, [doc, "category"], "left_anti")
+
+
 def analysis_log(clauses: DataFrame, flags: DataFrame, *, key: str, confidence: str, skip_below: float = 0.4) -> DataFrame:
     """Per clause: confidence, rules that matched (sorted text), skipped; keys that only the flags know come with a null confidence."""
     matched = flags.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("matched"))

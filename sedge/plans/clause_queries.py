@@ -143,6 +143,32 @@ def orphan_changes(spark, sf):
     return changelog.orphans(t(spark, sf, "orders"), base, on=["o_custkey"]).select("o_orderkey", "o_custkey")
 
 
+#: Keys that exist at first, and changes to a customer's priorities: what an order says depends on its status and price.
+CHANGES = """
+base AS (SELECT c_custkey AS base_id, p AS k, c_mktsegment AS v FROM customer, (SELECT '1-URGENT' AS p UNION ALL SELECT '2-HIGH' AS p) x WHERE c_acctbal > 0),
+log AS (SELECT o_custkey AS base_id, o_orderpriority AS k, o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey AS STRING) AS v, CASE o_orderstatus WHEN 'P' THEN 'add' WHEN 'F' THEN 'modify' ELSE CASE WHEN o_totalprice > 200000 THEN 'remove' WHEN o_totalprice > 150000 THEN 'add' ELSE 'modify' END END AS kind FROM orders)"""
+CHANGES_SQL = f"""{CHANGES}, s AS (SELECT *, row_number() OVER (PARTITION BY base_id, k ORDER BY d, id) AS n FROM log),
+f AS (SELECT base_id, k, 0::BIGINT AS id, 0::BIGINT AS n, NULL::VARCHAR AS kind, true AS applied, v AS state, v IS NOT NULL AS live, NULL::VARCHAR AS old_value, 0 AS done FROM (SELECT DISTINCT s.base_id, s.k, b.v FROM s LEFT JOIN base b USING (base_id, k))
+  UNION ALL SELECT s.base_id, s.k, s.id, s.n, s.kind, s.kind = 'add' OR f.live, CASE WHEN s.kind = 'remove' THEN NULL WHEN s.kind = 'add' OR f.live THEN s.v END, s.kind <> 'remove' AND (s.kind = 'add' OR f.live), f.state, f.done + (s.kind = 'add' OR f.live)::INT FROM f JOIN s ON s.base_id = f.base_id AND s.k = f.k AND s.n = f.n + 1)"""
+
+
+def change_log(spark, sf):
+    tables = dict(orders=t(spark, sf, "orders"), customer=t(spark, sf, "customer"))
+    return [over(spark, f"WITH {CHANGES} SELECT * FROM {name}", **tables) for name in ("base", "log")]
+
+
+@query("applied_changes", f"WITH RECURSIVE {CHANGES_SQL} SELECT id, kind, applied, old_value, CASE WHEN applied THEN done END AS change_no FROM f WHERE n > 0")
+def applied_changes(spark, sf):
+    """Which changes hold: one to a key that does not exist at its time does not, and later ones see that."""
+    return changelog.applied_changes(*change_log(spark, sf), keys=["base_id", "k"], kind="kind", value="v", order=["d", "id"]).select("id", "kind", "applied", "old_value", "change_no")
+
+
+@query("state_after_changes", f"""WITH RECURSIVE {CHANGES_SQL}, l AS (SELECT base_id, k, arg_max(live, n) AS live, arg_max(coalesce(state, ''), n) AS v, max(done) AS n_changes FROM f GROUP BY 1, 2)
+SELECT base_id, k, v, n_changes::BIGINT AS n_changes FROM l WHERE live UNION ALL SELECT base_id, k, v, 0 FROM base WHERE (base_id, k) NOT IN (SELECT (base_id, k) FROM l)""")
+def state_after_changes(spark, sf):
+    return changelog.state_after(*change_log(spark, sf), keys=["base_id", "k"], kind="kind", value="v", order=["d", "id"])
+
+
 @query("chain_order_check", "SELECT * FROM (SELECT o_custkey, o_orderkey, o_orderdate::DATE AS d, lag(o_orderdate::DATE) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous_date FROM orders) WHERE d < previous_date")
 def chain_order_check(spark, sf):
     return changelog.date_order_issues(order_log(spark, sf), base="o_custkey", arrival="o_orderkey", date="d").select("o_custkey", "o_orderkey", "d", "previous_date")

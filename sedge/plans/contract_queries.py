@@ -188,3 +188,22 @@ def contract_absences(spark, sf):
         found = found.select("doc_id", F.lit(name).alias("rule"), F.lit(level).alias("level"))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+#: What every contract, and a contract of a type, should speak of: type, category, words.
+ESSENTIAL = (
+    (None, "deposit", ("deposit", "bond")), (None, "assignment", ("subletting", "handed on")), (None, "termination", ("terminat", "cancel")), (None, "insurance", ("insurance", "insured")),
+    ("retail", "co_tenancy", ("co-tenancy",)), ("retail", "opening_hours", ("opening hours", "center hours")), ("office", "operating_expenses", ("operating expenses", "running costs")), ("industrial", "environmental", ("environmental", "spill")),
+)
+
+
+def _there_sql(category: str, words) -> str:
+    stem = "regexp_replace(lower(clause_key), '_data|_clause|_inferred', '', 'g')"
+    return f"bool_or({stem} IN ({', '.join(_quoted(w) for w in (category, *words))}) OR " + " OR ".join(f"contains(lower(clause_key), {_quoted(w)}) OR contains(lower(line), {_quoted(w)})" for w in words) + ")"
+
+
+@query("contract_missing", f"WITH {CLAUSES_SQL} " + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category FROM clauses WHERE {f'kind = {_quoted(kind)}' if kind else 'true'} GROUP BY doc_id HAVING NOT {_there_sql(c, words)}" for kind, c, words in ESSENTIAL))
+def contract_missing(spark, sf):
+    """Categories that neither a clause's key nor any text of the contract speaks of."""
+    rows = spark.createDataFrame([(kind, c, w) for kind, c, words in ESSENTIAL for w in words], "kind string, category string, keyword string")
+    return risks.missing_by_words(clauses(spark, sf), rows, doc="doc_id", key="clause_key", texts=["line"], kind="kind")

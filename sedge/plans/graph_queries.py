@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sedge.operators import graph, similarity
-from sedge.plans.base import query, t
+from sedge.plans.base import over, query, t
 
 LINE_SQL = "l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2)"
 EDGE_SQL = f"{LINE_SQL}, e AS (SELECT DISTINCT p AS src, q AS dst FROM (SELECT p, lead(p) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS q FROM l) WHERE q IS NOT NULL)"
@@ -132,12 +132,77 @@ def doc_ref_check(spark, sf):
     return graph.unresolved_refs(refs, titles, doc="o_custkey", phrase="phrase", id="p_partkey", title="title", ordinal="p_partkey")
 
 
-@query("docset_audit", f"""WITH {EDGE_SQL}, d AS (SELECT p_partkey, p_size, p_size > 40 AS base FROM part)
-SELECT 'orphan' AS issue, p_partkey FROM d WHERE NOT base AND p_partkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)
-UNION ALL SELECT DISTINCT 'dated_before_target', src FROM e JOIN d a ON a.p_partkey = src JOIN d b ON b.p_partkey = dst WHERE a.p_size < b.p_size""")
+#: A customer's orders as a set of documents: leases and, every fourth, an exhibit; each amends the next older one, urgent ones also the next dearer one; references by title and by exhibit.
+DOCSET = """
+d0 AS (SELECT o_orderkey AS id, o_custkey AS grp, CAST(o_orderdate AS DATE) AS d, o_totalprice AS price, o_orderpriority AS prio, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders),
+docs AS (SELECT *, seq % 4 = 0 AS exhibit, seq = 1 AND prio <> '5-LOW' AS base, CASE WHEN seq % 4 = 0 THEN 'Exhibit Z' || CAST(id % 11 AS STRING) ELSE 'Lease ' || CAST(id AS STRING) END AS title FROM d0),
+e0 AS (SELECT id, prio, lead(id) OVER (PARTITION BY grp ORDER BY d DESC, id) AS older, lead(id) OVER (PARTITION BY grp ORDER BY price, id) AS dearer, lag(id) OVER (PARTITION BY grp ORDER BY id) AS prev, grp FROM docs),
+edges AS (SELECT id AS src, older AS dst FROM e0 WHERE older IS NOT NULL UNION SELECT id, dearer FROM e0 WHERE dearer IS NOT NULL AND prio = '1-URGENT'),
+refs AS (SELECT grp, id, 'as in LEASE ' || CAST(prev + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS STRING) AS ref, false AS to_exhibit FROM e0 WHERE prev IS NOT NULL
+         UNION ALL SELECT grp, id, 'exhibit  Z' || CAST(id % 9 AS STRING) || ' hereto' AS ref, true FROM e0)"""
+CLOSURE = "r AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM r JOIN edges e ON e.src = r.dst)"
+RESOLVED = r"""u AS (SELECT DISTINCT grp, ref FROM refs), t1 AS (SELECT u.grp, ref, arg_min(id, (seq, id)) AS one FROM u JOIN docs d ON d.grp = u.grp AND contains(lower(ref), lower(title)) GROUP BY 1, 2),
+t2 AS (SELECT u.grp, ref, arg_min(id, (seq, id)) AS two FROM u JOIN docs d ON d.grp = u.grp AND exhibit AND regexp_extract(lower(ref), 'exhibit\s+([a-z0-9]+)', 1) <> '' AND contains(lower(title), regexp_extract(lower(ref), 'exhibit\s+([a-z0-9]+)', 1)) GROUP BY 1, 2),
+resolved AS (SELECT refs.*, coalesce(one, two) AS target, CASE WHEN one IS NOT NULL THEN 'title' WHEN two IS NOT NULL THEN 'exhibit' END AS how FROM refs LEFT JOIN t1 USING (grp, ref) LEFT JOIN t2 USING (grp, ref))"""
+
+
+def docset(spark, sf, name):
+    return over(spark, f"WITH {DOCSET} SELECT * FROM {name}", orders=t(spark, sf, "orders"))
+
+
+@query("docset_audit", f"""WITH RECURSIVE {DOCSET}, {CLOSURE}, {RESOLVED}
+SELECT 'orphan' AS issue, id, NULL AS detail FROM docs WHERE NOT base AND id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)
+UNION ALL SELECT DISTINCT 'dated_before_target', src, NULL FROM edges JOIN docs a ON a.id = src JOIN docs b ON b.id = dst WHERE a.d < b.d
+UNION ALL SELECT 'on_cycle', a.src, min(a.dst)::VARCHAR FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src
+UNION ALL SELECT DISTINCT CASE WHEN to_exhibit THEN 'missing_exhibit' ELSE 'unresolved_reference' END, id, ref FROM resolved WHERE target IS NULL""")
 def docset_audit(spark, sf):
-    docs = t(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_size") > 40).alias("base"))
-    return graph.docset_issues(docs, part_edges(spark, sf), id="p_partkey", date="p_size", is_base="base")
+    return graph.docset_audit(docset(spark, sf, "docs"), docset(spark, sf, "edges"), docset(spark, sf, "refs"), by="grp", id="id", title="title", ordinal="seq", date="d", is_base="base", is_exhibit="exhibit", ref="ref", to_exhibit="to_exhibit")
+
+
+@query("doc_refs_two_stages", f"WITH {DOCSET}, {RESOLVED} SELECT id, ref, target, how FROM resolved")
+def doc_refs_two_stages(spark, sf):
+    return graph.resolve_references(docset(spark, sf, "refs"), docset(spark, sf, "docs"), by="grp", ref="ref", id="id", title="title", ordinal="seq", is_exhibit=F.col("exhibit")).select("id", "ref", "target", "how")
+
+
+@query("reading_places", f"""WITH RECURSIVE {DOCSET}, {CLOSURE}, c AS (SELECT src FROM r WHERE src = dst), bad AS (SELECT src AS node FROM c UNION SELECT r.dst FROM r JOIN c USING (src)), n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
+lv AS (SELECT node, 0 AS level FROM n WHERE node NOT IN (SELECT dst FROM edges) AND node NOT IN (SELECT node FROM bad) UNION SELECT e.dst, lv.level + 1 FROM lv JOIN edges e ON e.src = lv.node WHERE e.dst NOT IN (SELECT node FROM bad)),
+l AS (SELECT node, max(level) AS level FROM lv GROUP BY 1 UNION ALL SELECT node, -1 FROM bad), g AS (SELECT node, level, (SELECT count(*) FROM edges WHERE dst = node) AS i, (SELECT count(*) FROM edges WHERE src = node) AS o FROM l)
+SELECT node, level::INT AS level, (row_number() OVER (PARTITION BY level ORDER BY CASE WHEN level < 0 THEN i END, CASE WHEN level < 0 THEN o END, node))::INT AS place FROM g""")
+def reading_places(spark, sf):
+    """The order in which a document set is read, with what lies on or behind a cycle in the order of its degrees."""
+    return graph.reading_positions(docset(spark, sf, "edges"))
+
+
+#: Orders as documents (agreements and exhibits) whose clauses, the lines, point to a clause of the customer's order before.
+XDOC = """
+x0 AS (SELECT o_orderkey AS doc, o_custkey AS grp, CASE WHEN o_orderkey % 2 = 1 THEN 'Supply  O' || CAST(o_orderkey AS STRING) || ' Agreement' ELSE 'Exhibit X' || CAST(o_orderkey AS STRING) || ' (Prices)' END AS title,
+  lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders),
+xl AS (SELECT l_orderkey AS doc, l_linenumber AS clause, min(l_partkey) AS part FROM lineitem GROUP BY l_orderkey, l_linenumber),
+xc AS (SELECT x0.doc, grp, clause, CASE WHEN prev IS NULL THEN 'nothing' WHEN prev % 2 = 1 THEN 'Pursuant to the O' || CAST(prev AS STRING) || '  agreement section ' || CAST(part % 9 AS STRING) || ' and' ELSE 'see EXHIBIT X' || CAST(prev AS STRING) || ' Section ' || CAST(part % 9 AS STRING) || '.' END AS body FROM x0 JOIN xl ON xl.doc = x0.doc)"""
+
+
+@query("xdoc_clause_edges", rf"""WITH {XDOC}, m AS (SELECT grp, doc, clause, regexp_extract(body, '(?i)(?:as defined in|pursuant to)\s+(?:the\s+)?(\w+\s+(?:agreement|lease|amendment))\s+section\s+([0-9.]+)', ['name', 'no']) AS a, regexp_extract(body, '(?i)((?:exhibit|schedule)\s+[a-z0-9]+)\s+section\s+([0-9]+)', ['name', 'no']) AS b FROM xc),
+h AS (SELECT grp, doc, clause, lower(regexp_replace(a.name, '\s+', ' ', 'g')) AS name, a.no AS no FROM m WHERE a.name <> '' UNION ALL SELECT grp, doc, clause, lower(regexp_replace(b.name, '\s+', ' ', 'g')), b.no FROM m WHERE b.name <> ''),
+o AS (SELECT h.grp, h.doc, clause, no, arg_min(x0.doc, x0.doc) AS other_doc FROM h JOIN x0 ON x0.grp = h.grp AND contains(lower(title), name) GROUP BY 1, 2, 3, 4)
+SELECT o.doc, o.clause, o.other_doc, xl.clause AS dst FROM o JOIN xl ON xl.doc = o.other_doc AND xl.clause::VARCHAR = o.no""")
+def xdoc_clause_edges(spark, sf):
+    parts = [over(spark, f"WITH {XDOC} SELECT * FROM {name}", orders=t(spark, sf, "orders"), lineitem=t(spark, sf, "lineitem")) for name in ("xc", "x0")]
+    out = graph.cross_document_edges(*parts, by="grp", doc="doc", src="clause", text="body", number="clause", title="title", ordinal="doc")
+    return out.select("doc", "clause", "other_doc", "dst")
+
+
+@query("community_scores", f"""WITH RECURSIVE {DAG_SQL}, b AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), r AS (SELECT DISTINCT a AS id, a AS seen FROM b UNION SELECT r.id, b.b FROM r JOIN b ON b.a = r.seen), c AS (SELECT id, min(seen) AS c FROM r GROUP BY 1),
+m AS (SELECT count(*)::DOUBLE AS m2 FROM b), k AS (SELECT x.c, count(*) AS d, count(*) FILTER (x.c = y.c) AS inside FROM b JOIN c x ON x.id = a JOIN c y ON y.id = b.b GROUP BY 1)
+SELECT count(*) AS n_communities, round(sum(inside / m2 - (d / m2) ^ 2), 9) AS modularity FROM k, m""")
+def community_scores(spark, sf):
+    edges = supplier_dag(spark, sf)
+    parts = graph.components(edges).withColumnRenamed("component", "community")
+    return graph.modularity(edges, parts).withColumn("modularity", F.round("modularity", 9))
+
+
+@query("refined_communities")
+def refined_communities(spark, sf):
+    return graph.refined_communities(supplier_dag(spark, sf), rounds=8)[0]
 
 
 @query("term_dictionary", "SELECT p_name, arg_max(p_brand, (p_size, -p_partkey)) AS definition, count(DISTINCT p_brand) AS n_definitions, count(DISTINCT p_brand) > 1 AS conflicting FROM part GROUP BY 1")

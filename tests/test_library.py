@@ -27,11 +27,13 @@ def test_containment_join_beyond_the_broadcast_bound(spark):
     left = spark.createDataFrame(texts, "id int, text string")
     right = spark.createDataFrame(phrases, "phrase_id int, phrase string")
     want = {(i, j) for i, t in texts for j, p in phrases if t and p and p in t}
-    for limit in (1000, 5):
+    for limit in (1000, 5, 1):
         got = [(r.id, r.phrase_id) for r in containment_join(left, right, text="text", phrase="phrase", limit=limit).collect()]
         assert len(got) == len(set(got)) and set(got) == want
-    with pytest.raises(ValueError, match="fewer than"):
-        containment_join(left, right, text="text", phrase="phrase", limit=1)
+    left, right = left.withColumn("half", F.col("id") % 2), right.withColumn("half", F.col("phrase_id") % 2)
+    for limit in (1000, 1):
+        got = [(r.id, r.phrase_id) for r in containment_join(left, right, text="text", phrase="phrase", by=["half"], limit=limit).collect()]
+        assert sorted(got) == sorted((i, j) for i, j in want if i % 2 == j % 2)
 
 
 @pytest.mark.parametrize("accuracy", [50, 10_000])
