@@ -88,6 +88,13 @@ RISK_TAGS = (
 )
 
 
+#: Headings of contracts for ``segment.headings``: pattern, level. A rule reads a line, or a line with the next one (``segment.line_windows``).
+HEADINGS = (
+    (r"^(?:ARTICLE|Article) +[IVXLCDM]+\b[ .:-]*[A-Za-z][^\n]{0,80}$", 1), (r"^(?:ARTICLE|Article) +[0-9]+\b[ .:-]*[A-Za-z][^\n]{0,80}$", 1), (r"^(?:ARTICLE|Article) +(?:[IVXLCDM]+|[0-9]+)[.:]?\n[^\n]{3,80}$", 1),
+    (r"^(?:SECTION|Section) +[0-9]+(?:\.[0-9]+)*\b[^\n]{0,80}$", 2), (r"^[0-9]+\.[0-9]+\.? +[A-Z][^\n]{2,80}$", 2), (r"^(?!ARTICLE|SECTION)[A-Z][A-Z &,'-]{9,80}$", 2),
+    (r"^[0-9]+\.[0-9]+ ?\([a-z]\)[^\n]{0,80}$", 3), (r"^\([a-z]\) +[A-Z][^\n]{2,80}$", 3),
+)
+
 #: Extractor factory: name -> catalogue.
 CATALOGUES = {
     "rent": RENT, "percentage_rent": PERCENTAGE_RENT, "shared_costs": SHARED_COSTS, "critical_dates": CRITICAL_DATES,

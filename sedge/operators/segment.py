@@ -61,6 +61,36 @@ def drop_overlaps(heads: DataFrame, *, id: str = "doc_id") -> DataFrame:
     return heads.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def line_windows(lines_df: DataFrame, *, id: str = "doc_id", most: int = 2) -> DataFrame:
+    """Each line, and each line with those after it up to ``most`` lines, as one row: id, line_no, char_start, char_end, line. So a heading's rule can reach over a line end."""
+    w = Window.partitionBy(id).orderBy("line_no").rowsBetween(0, most - 1)
+    near = lines_df.withColumn("_l", F.collect_list(F.struct("char_end", "line")).over(w))
+    each = near.select(id, "line_no", "char_start", "_l", F.explode(F.sequence(F.lit(1), F.size("_l"))).alias("_n"))
+    parts = F.slice("_l", 1, F.col("_n"))
+    return each.select(id, "line_no", "char_start", F.element_at(parts, -1)["char_end"].alias("char_end"), F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("line"))
+
+
+def drop_overlapping(heads: DataFrame, *, id: str = "doc_id") -> DataFrame:
+    """Candidates of any span, greedily by (char_start, level, ordinal, char_end): one that a kept candidate covers for more than half of its own length takes that one's place if its
+    level number is larger than those of all kept ones it meets so, else it is dropped. A document's candidates meet in one task, never its text.
+    """
+
+    def sweep(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["char_start", "level", "ordinal", "char_end"], kind="stable")
+        start, end, level = (group[c].to_numpy() for c in ("char_start", "char_end", "level"))
+        kept: list[int] = []
+        for i in range(len(group)):
+            # Candidates come by their starts, so what is kept and reaches over this start is what can overlap.
+            met = [k for k in kept if 2 * (min(end[i], end[k]) - max(start[i], start[k])) > end[i] - start[i]]
+            if any(level[k] >= level[i] for k in met):
+                continue
+            kept = [k for k in kept if k not in met]
+            kept.append(i)
+        return group.iloc[kept]
+
+    return heads.groupBy(id).applyInPandas(sweep, heads.schema)
+
+
 def merge_nearby(heads: DataFrame, *, id: str = "doc_id", gap: int = 500) -> DataFrame:
     """Runs of consecutive headings of one level less than ``gap`` characters apart become one; texts joined by ' / '."""
     w = Window.partitionBy(id).orderBy("char_start")
@@ -89,6 +119,58 @@ def parent_of(sections: DataFrame, *, id: str = "doc_id", levels: Sequence[int]
     return sections.withColumn("parent_start", parent)
 
 
+def ancestor_paths(sections: DataFrame, *, id: str = "doc_id", levels: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """Add path: the starts of a section's ancestors from the root down; empty at the root. The last one is its parent."""
+    w = Window.partitionBy(id).orderBy("char_start").rowsBetween(Window.unboundedPreceding, -1)
+    last = {k: F.last(F.when(F.col("level") == k, F.col("char_start")), ignorenulls=True).over(w) for k in levels}
+    out = sections.withColumns({f"_at{k}": c for k, c in last.items()})
+    path = []
+    for i, k in enumerate(levels):
+        above = [F.col(f"_at{j}") for j in levels[:i]]
+        fresh = F.lit(True) if not above else F.col(f"_at{k}") > F.greatest(*[F.coalesce(c, F.lit(-1)) for c in above], F.lit(-1))
+        path.append(F.when((F.col("level") > k) & fresh, F.col(f"_at{k}")))
+    return out.withColumn("path", F.array_compact(F.array(*path))).drop(*[f"_at{k}" for k in levels])
+
+
+def section_table(docs: DataFrame, heads: DataFrame, *, id: str = "doc_id", text: str = "text", min_doc: int = 500, min_chars: int = 50) -> DataFrame:
+    """id, mode, level, char_start, char_end, content. Documents of fewer than ``min_doc`` characters are left out; those with two headings or more are cut at
+    them ("sections"), the others into paragraphs ("paragraphs", no level), and what gives neither stays whole ("whole")."""
+    long = docs.filter(F.length(text) >= min_doc).select(id, text)
+    several = heads.groupBy(id).agg(F.count("*").alias("_n")).filter("_n > 1").select(id)
+    cut = section_cut(heads.join(several, id, "left_semi"), long, id=id, text=text, min_chars=min_chars)
+    cut = cut.select(id, F.lit("sections").alias("mode"), "level", "char_start", F.col("section_end").alias("char_end"), "content")
+    rest = long.join(several, id, "left_anti")
+    parts = paragraph_rows(rest, id=id, text=text, min_chars=min_chars).select(id, F.lit("paragraphs").alias("mode"), F.lit(None).cast("int").alias("level"), "char_start", "char_end", "content")
+    whole = long.join(cut.select(id).union(parts.select(id)).distinct(), id, "left_anti")
+    whole = whole.select(id, F.lit("whole").alias("mode"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("char_start"), F.length(text).cast("long").alias("char_end"), F.col(text).alias("content"))
+    return cut.unionByName(parts).unionByName(whole)
+
+
+def paragraph_rows(df: DataFrame, *, id: str = "doc_id", text: str = "text", min_chars: int = 50, at_least: int = 3) -> DataFrame:
+    """id, chunk_id (F-001, ...), char_start, char_end, content: runs of lines between blank ones, without blanks around them; runs of fewer than ``min_chars``
+    characters go. A document with fewer than ``at_least`` runs left is one chunk, its whole text; a null text gives none."""
+    rows = lines(df.filter(F.col(text).isNotNull()), id=id, text=text).withColumn("_blank", F.btrim("line", F.lit(" \t\r")) == "")
+    before = Window.partitionBy(id).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    runs = rows.withColumn("_run", F.sum(F.col("_blank").cast("int")).over(before)).filter("NOT _blank")
+    lead = F.length("line") - F.length(F.ltrim("line", F.lit(" \t\r")))
+    tail = F.length("line") - F.length(F.rtrim("line", F.lit(" \t\r")))
+    spans = runs.groupBy(id, "_run").agg(F.min_by(F.col("char_start") + lead, "line_no").alias("char_start"), F.max_by(F.col("char_end") - tail, "line_no").alias("char_end"))
+    spans = spans.filter(F.col("char_end") - F.col("char_start") >= min_chars)
+    lists = spans.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end"))).alias("_s"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("char_start"), F.length("_t").cast("long").alias("char_end")))
+    both = df.select(id, F.col(text).alias("_t")).filter("_t IS NOT NULL").join(lists, id, "left")
+    each = both.select(id, "_t", F.posexplode(F.when(F.size("_s") >= at_least, F.col("_s")).otherwise(whole)).alias("_no", "_p"))
+    content = F.substring("_t", (F.col("_p.char_start") + 1).cast("int"), (F.col("_p.char_end") - F.col("_p.char_start")).cast("int"))
+    return each.select(id, F.format_string("F-%03d", F.col("_no") + 1).alias("chunk_id"), "_p.char_start", "_p.char_end", content.alias("content"))
+
+
+def leaves_or_whole(sections: DataFrame, docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, char_start, level, content: the leaf sections; a document without any section is its own leaf (level 0) if it has content."""
+    own = leaves(sections, id=id).select(id, "char_start", "level", "content")
+    bare = docs.filter(F.btrim(text, F.lit(" \n\t\r")) != "").join(sections.select(id).distinct(), id, "left_anti")
+    return own.unionByName(bare.select(id, F.lit(0).cast("long").alias("char_start"), F.lit(0).alias("level"), F.col(text).alias("content")))
+
+
 def leaves(sections: DataFrame, *, id: str = "doc_id") -> DataFrame:
     """Sections that are no other section's parent."""
     parents = sections.filter("parent_start IS NOT NULL").select(id, F.col("parent_start").alias("char_start")).distinct()
@@ -211,6 +293,73 @@ def number_tree(segments: DataFrame, *, id: str, key: str = "sort_key", pos: str
     return segments.join(parents, [id, pos], "left")
 
 
+#: How headings are numbered: style, pattern of number and title. The first that fits counts.
+NUMBER_STYLES = (
+    ("dotted", r"^(?:[Ss]ection |SECTION |§ ?)?([0-9]+(?:\.[0-9]+)*)[.:)]?(?:[ \t-]+(.*))?$"),
+    ("roman", r"^(?:ARTICLE|Article)[ \t]+([IVXLCDM]+)[.:]?(?:[ \t-]+(.*))?$"),
+    ("upper", r"^([A-Z])[.)](?:[ \t]+(.*))?$"),
+    ("lower", r"^\(([a-z])\)(?:[ \t]*(.*))?$"),
+)
+
+
+def heading_numbers(df: DataFrame, *, heading: str) -> DataFrame:
+    """Add style, number, title and sort_key of a heading; one without a number has null style, number and key, and is its own title."""
+    line = F.btrim(F.col(heading), F.lit(" \t\r\n"))
+    style, number, title = F.lit(None).cast("string"), F.lit(None).cast("string"), line
+    for name, pattern in reversed(NUMBER_STYLES):
+        hit = line.rlike(pattern)
+        style = F.when(hit, name).otherwise(style)
+        number = F.when(hit, F.regexp_extract(line, pattern, 1)).otherwise(number)
+        title = F.when(hit, F.btrim(F.regexp_extract(line, pattern, 2))).otherwise(title)
+    keyed = section_keys(df.withColumn("style", style).withColumn("number", number).withColumn("title", title), number="number")
+    letter = F.array(F.ascii(F.upper("number")) - 64)
+    return keyed.withColumn("sort_key", F.when(F.col("style").isin("upper", "lower"), letter).otherwise(F.col("sort_key")))
+
+
+def is_child(parent: Column, child: Column) -> Column:
+    """Whether number ``child`` is a direct child of number ``parent``: one more dotted part, or a letter under a single digit."""
+    dotted = F.startswith(child, F.concat(parent, F.lit("."))) & ~F.contains(F.substring(child, F.length(parent) + 2, F.lit(1 << 30)), F.lit("."))
+    return F.coalesce(dotted | parent.rlike("^[0-9]$") & child.rlike("^[A-Za-z]$"), F.lit(False))
+
+
+def number_outline(df: DataFrame, *, id: str, pos: str) -> DataFrame:
+    """id, pos, parent_pos, path, depth, is_child, orphan of headings with ``heading_numbers``' columns, whatever styles a document mixes.
+
+    A document's headings are folded in order of ``pos`` over a stack of open headings. A heading closes what stands from the first open heading of its own style on - for
+    dotted numbers from the first dotted one that is not a proper beginning of its number - and belongs to the heading that is then on top (null: the root). ``path`` holds
+    the positions of all that stay open, from the root; is_child says whether the parent's number is that of a direct parent; orphan, that a dotted number of several parts has no heading of one part less above it.
+    Headings without a number close nothing and belong to the root. Only numbers meet in a task, one document at a time.
+    """
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_pos", kind="stable")
+        stack: list[tuple] = []
+        rows = []
+        for at, style, number, key in zip(group["_pos"].tolist(), group["style"].tolist(), group["number"].tolist(), group["sort_key"].tolist(), strict=True):
+            if style is None or style != style:
+                rows.append((at, None, [], False, False))
+                continue
+            key = tuple(key)
+            for i, (_, s, _, k) in enumerate(stack):
+                if s == style and not (style == "dotted" and len(k) < len(key) and key[: len(k)] == k):
+                    del stack[i:]
+                    break
+            top = stack[-1] if stack else None
+            direct = top is not None and (number.startswith(top[2] + ".") and "." not in number[len(top[2]) + 1 :] or len(top[2]) == 1 and top[2].isdigit() and len(number) == 1 and number.isalpha())
+            orphan = style == "dotted" and len(key) > 1 and not (top is not None and top[1] == "dotted" and len(top[3]) == len(key) - 1)
+            rows.append((at, top[0] if top else None, [x[0] for x in stack], direct, orphan))
+            stack.append((at, style, number, key))
+        out = pd.DataFrame(rows, columns=["_pos", "parent_pos", "path", "is_child", "orphan"])
+        out.insert(0, "_id", group["_id"].iloc[0])
+        out["parent_pos"] = out["parent_pos"].astype("Int64")
+        return out
+
+    kind = df.schema[id].dataType.simpleString()
+    rows = df.select(F.col(id).alias("_id"), F.col(pos).cast("long").alias("_pos"), "style", "number", "sort_key")
+    out = rows.groupBy("_id").applyInPandas(fold, f"_id {kind}, _pos long, parent_pos long, path array<long>, is_child boolean, orphan boolean")
+    return out.select(F.col("_id").alias(id), F.col("_pos").alias(pos), "parent_pos", "path", (F.size("path") + 1).alias("depth"), "is_child", "orphan")
+
+
 def subtree_content(tree: DataFrame, *, id: str, key: str = "sort_key", text: str = "content") -> DataFrame:
     """Each node's text and those of all its descendants, in key order. The join is on every prefix of a node's key, so it is an equi-join."""
     up = tree.select(id, F.col(key).alias("_full"), F.col(text).alias("_text"), F.explode(F.transform(F.sequence(F.lit(1), F.size(key)), lambda i: F.slice(F.col(key), F.lit(1), i))).alias(key))

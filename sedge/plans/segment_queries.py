@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sedge.functions.rules import Rule, RuleSet
 from sedge.operators import segment
-from sedge.plans.base import query, t
+from sedge.plans.base import over, query, t
 
 LINES_SQL = """
 ls AS (SELECT doc_id, list_zip(range(len(string_split(text, chr(10)))), string_split(text, chr(10))) AS z FROM documents),
@@ -87,6 +87,52 @@ def heading_tree(spark, sf):
     return tree(spark, sf).select("doc_id", "level", "char_start", "parent_start")
 
 
+@query("heading_paths", f"""WITH {CUT_SQL}, a AS (SELECT x.doc_id, x.char_start, x.level, y.char_start AS up, y.level AS up_level FROM tree x LEFT JOIN tree y ON y.doc_id = x.doc_id AND y.char_start < x.char_start AND y.level < x.level
+  AND NOT EXISTS (SELECT 1 FROM tree z WHERE z.doc_id = x.doc_id AND z.char_start > y.char_start AND z.char_start < x.char_start AND z.level <= y.level))
+SELECT doc_id, char_start, level, coalesce(string_agg(up::VARCHAR, '>' ORDER BY up), '') AS path FROM a GROUP BY 1, 2, 3""")
+def heading_paths(spark, sf):
+    out = segment.ancestor_paths(segment.section_cut(heads(spark, sf), docs(spark, sf)))
+    return out.select("doc_id", "char_start", "level", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+_TRIM = "' ' || chr(9) || chr(13)"
+PARAGRAPHS_SQL = f"""pl AS (SELECT doc_id, line_no, char_start, line, sum((trim(line, {_TRIM}) = '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM lines),
+pr AS (SELECT doc_id, run, arg_min(char_start + length(line) - length(ltrim(line, {_TRIM})), line_no) AS s, arg_max(char_start + length(rtrim(line, {_TRIM})), line_no) AS e FROM pl WHERE trim(line, {_TRIM}) <> '' GROUP BY 1, 2),
+pk AS (SELECT doc_id, s, e, count(*) OVER (PARTITION BY doc_id) AS n FROM pr WHERE e - s >= 50),
+para AS (SELECT doc_id, s AS char_start, e AS char_end FROM pk WHERE n >= 3 UNION ALL SELECT doc_id, 0, length(text) FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM pk WHERE n >= 3))"""
+
+
+@query("paragraph_rows", f"""WITH {LINES_SQL}, {PARAGRAPHS_SQL} SELECT doc_id, 'F-' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY char_start))::VARCHAR, 3, '0') AS chunk_id, char_start, char_end, md5(substring(text, char_start + 1, char_end - char_start)) AS content_md5
+FROM para JOIN documents USING (doc_id)""")
+def paragraph_rows(spark, sf):
+    return segment.paragraph_rows(docs(spark, sf)).select("doc_id", "chunk_id", "char_start", "char_end", F.md5("content").alias("content_md5"))
+
+
+@query("section_table", f"""WITH {CUT_SQL}, {PARAGRAPHS_SQL}, h AS (SELECT doc_id FROM heads GROUP BY 1 HAVING count(*) > 1), long AS (SELECT doc_id, text FROM documents WHERE length(text) >= 500),
+a AS (SELECT doc_id, 'sections' AS mode, level, char_start, section_end AS char_end FROM sections WHERE doc_id IN (SELECT doc_id FROM h) AND doc_id IN (SELECT doc_id FROM long)
+  UNION ALL SELECT doc_id, 'paragraphs', NULL, char_start, char_end FROM para WHERE doc_id NOT IN (SELECT doc_id FROM h) AND doc_id IN (SELECT doc_id FROM long))
+SELECT doc_id, mode, level, char_start, char_end FROM a UNION ALL SELECT doc_id, 'whole', 0, 0, length(text) FROM long WHERE doc_id NOT IN (SELECT doc_id FROM a)""")
+def section_table(spark, sf):
+    """Sections where there are two headings or more, else paragraphs."""
+    return segment.section_table(docs(spark, sf), heads(spark, sf)).select("doc_id", "mode", "level", "char_start", "char_end")
+
+
+@query("leaves_or_whole", f"""WITH {CUT_SQL} SELECT doc_id, char_start, level FROM tree a WHERE NOT EXISTS (SELECT 1 FROM tree b WHERE b.doc_id = a.doc_id AND b.parent_start = a.char_start)
+UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '' AND doc_id NOT IN (SELECT doc_id FROM tree)""")
+def leaves_or_whole(spark, sf):
+    return segment.leaves_or_whole(tree(spark, sf), docs(spark, sf)).select("doc_id", "char_start", "level")
+
+
+#: Candidates that reach over line ends: a line by itself, and two lines that together make few words.
+WIDE = RuleSet([Rule("h", ONE, 1.0), Rule("h", r"^[^ \n]+ ?[^ \n]*\n[^ \n]+ [^ \n]+\.$", 2.0), Rule("h", r"^[^\n]{1,12}\n[^\n]{1,12}$", 1.0), Rule("h", TWO, 3.0)])
+
+
+@query("overlapping_headings")
+def overlapping_headings(spark, sf):
+    wide = segment.headings(segment.line_windows(segment.lines(docs(spark, sf))), WIDE)
+    return segment.drop_overlapping(wide.select("doc_id", "line_no", "char_start", "char_end", "level", "ordinal"))
+
+
 @query("leaf_sections", f"WITH {CUT_SQL} SELECT doc_id, char_start, level FROM tree a WHERE NOT EXISTS (SELECT 1 FROM tree b WHERE b.doc_id = a.doc_id AND b.parent_start = a.char_start)")
 def leaf_sections(spark, sf):
     return segment.leaves(tree(spark, sf)).select("doc_id", "char_start", "level")
@@ -206,6 +252,40 @@ def section_tree_by_number(spark, sf):
     return segment.number_tree(numbered(spark, sf), id="l_orderkey", pos="l_linenumber").select("l_orderkey", "l_linenumber", "parent_pos")
 
 
+#: The lines of an order as headings of mixed styles: an article, dotted numbers, letters, bracketed letters, and some without a number.
+OUTLINE = """
+ol AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_partkey) AS part FROM lineitem GROUP BY l_orderkey, l_linenumber),
+oh AS (SELECT doc, n, CASE WHEN n = 1 THEN 'ARTICLE ' || CASE doc % 3 WHEN 0 THEN 'IV' WHEN 1 THEN 'IX' ELSE 'XL' END || ' - Terms' WHEN part % 6 = 0 THEN CAST(part % 4 AS STRING) || '. Rent' WHEN part % 6 = 1 THEN 'Section ' || CAST(part % 4 AS STRING) || '.' || CAST(n AS STRING) || ' Due'
+  WHEN part % 6 = 2 THEN CAST(part % 4 AS STRING) || '.' || CAST(n % 3 AS STRING) || '.7 Late' WHEN part % 6 = 3 THEN chr(CAST(64 + n AS INT)) || '. Notes' WHEN part % 6 = 4 THEN '(' || chr(CAST(96 + n AS INT)) || ') more' ELSE 'General words' END AS heading FROM ol)"""
+
+
+def outline(spark, sf):
+    return segment.heading_numbers(over(spark, f"WITH {OUTLINE} SELECT * FROM oh", lineitem=t(spark, sf, "lineitem")), heading="heading")
+
+
+_STYLES = (("dotted", r"^(?:Section )?([0-9]+(?:\.[0-9]+)*)\.? (.*)$"), ("roman", "^ARTICLE ([IVXL]+) - (.*)$"), ("upper", r"^([A-Z])\. (.*)$"), ("lower", r"^\(([a-z])\) (.*)$"))
+
+
+@query("heading_numbers", f"""WITH {OUTLINE} SELECT doc, n, CASE {' '.join(f"WHEN regexp_matches(heading, '{p}') THEN '{name}'" for name, p in _STYLES)} END AS style, CASE {' '.join(f"WHEN regexp_matches(heading, '{p}') THEN regexp_extract(heading, '{p}', 1)" for _, p in _STYLES)} END AS number,
+CASE {' '.join(f"WHEN regexp_matches(heading, '{p}') THEN regexp_extract(heading, '{p}', 2)" for _, p in _STYLES)} ELSE heading END AS title,
+CASE WHEN starts_with(heading, 'ARTICLE') THEN (CASE doc % 3 WHEN 0 THEN 4 WHEN 1 THEN 9 ELSE 40 END)::VARCHAR WHEN regexp_matches(heading, '{_STYLES[0][1]}') THEN replace(regexp_extract(heading, '{_STYLES[0][1]}', 1), '.', '-') WHEN heading <> 'General words' THEN n::VARCHAR END AS sort_key FROM oh""")
+def heading_numbers(spark, sf):
+    return outline(spark, sf).select("doc", "n", "style", "number", "title", F.array_join(F.transform("sort_key", lambda x: x.cast("string")), "-").alias("sort_key"))
+
+
+@query("number_outline")
+def number_outline(spark, sf):
+    """Parents, paths and orphans of headings in mixed styles."""
+    return segment.number_outline(outline(spark, sf), id="doc", pos="n")
+
+
+@query("section_children", f"WITH {NUM_SQL} SELECT a.l_orderkey, a.number AS parent, b.number AS child FROM k a JOIN k b USING (l_orderkey) WHERE len(b.sort_key) = len(a.sort_key) + 1 AND b.sort_key[: len(a.sort_key)] = a.sort_key")
+def section_children(spark, sf):
+    n = numbered(spark, sf).select("l_orderkey", "number")
+    both = n.withColumnRenamed("number", "parent").join(n.withColumnRenamed("number", "child"), "l_orderkey")
+    return both.filter(segment.is_child(F.col("parent"), F.col("child")))
+
+
 @query("subtree_content", f"""WITH {NUM_SQL},
 p AS (SELECT DISTINCT l_orderkey, sort_key FROM k)
 SELECT p.l_orderkey, array_to_string(p.sort_key, '-') AS key, string_agg(c.content, chr(10) ORDER BY c.sort_key, c.content) AS full_content FROM p JOIN k c ON p.l_orderkey = c.l_orderkey AND c.sort_key[: len(p.sort_key)] = p.sort_key GROUP BY 1, 2""")
