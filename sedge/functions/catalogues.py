@@ -45,10 +45,13 @@ CONDITIONS = (
     FactRule("consequence", r"(?i)\bif [^.;\n]{3,200}?,? then ([^.;\n]+)", 1, 0.8),
     FactRule("trigger", r"(?i)\b(provided that|subject to|contingent (?:up)?on|in the event|unless|conditioned (?:up)?on)\b", 1, 0.6),
     FactRule("co_tenancy", r"(?i)\b(co-?tenancy)\b", 1, 0.85),
+    FactRule("co_tenancy_opening", r"(?i)(?:open(?:s|ing)?|commence) only (?:if|when|once) ([^.;\n]{3,120})", 1, 0.6),
+    FactRule("co_tenancy_remedy", r"(?i)co-?tenancy[^.\n]{0,120}?\b(rent (?:abates|is halved|is reduced)|may terminate|applies unless waived|alternative rent)", 1, 0.9),
 )
 OPTIONS = (
     FactRule("renewal_options", r"(?i)\b(one|two|three|four|five|[1-9])(?: \([0-9]\))? (?:additional |successive )?(?:renewal )?options?\b", 1, 0.8),
     FactRule("option_term", rf"(?i:option)[^.\n]{{0,80}}?{SPAN}", 1, 0.8),
+    FactRule("renewal_rent", r"(?i)(?:renewal|option)[^.\n]{0,80}? rent (?:is|at|shall be|equals) (?:the )?(fair market (?:value|rent)|[0-9]+ ?% of [a-z ]{3,40}|same rent|\$ ?[0-9][0-9,]*)", 1, 0.8),
     FactRule("first_refusal", r"(?i)\b(right of first refusal)\b", 1, 0.9),
     FactRule("first_offer", r"(?i)\b(right of first offer)\b", 1, 0.9),
     FactRule("expansion", r"(?i)\b(expansion (?:right|option))\b", 1, 0.8),
@@ -88,6 +91,21 @@ RISK_TAGS = (
 )
 
 
+#: Fields of a response that is plain text, for ``facts.parse_key_values``: a later pattern of a field overwrites an earlier one.
+KEY_VALUES = tuple((field, rf"(?im)^[ \t>*-]*[\"']?(?:{names})[\"']?[ \t]*[:=][ \t]*([^\n]+)$") for field, names in (
+    ("tenant", "tenant|lessee"), ("landlord", "landlord|lessor|owner"), ("premises", "premises|address|property"), ("term", "term|lease term|duration"), ("start_date", "start|start date|commencement"),
+    ("end_date", "end|end date|expir(?:y|ation)"), ("rent", "rent"), ("rent", "base rent|monthly rent"), ("deposit", "(?:security )?deposit"), ("use", "(?:permitted )?use"), ("renewal", "renewals?|options?"), ("notes", "notes?|remarks?"),
+))
+
+#: First words of a document's type, for ``facts.overview``.
+DOCUMENT_TYPES = (("AMENDMENT", ("amendment", "addendum")), ("EXHIBIT", ("exhibit", "annex")), ("LEASE", ("lease", "tenancy")), ("AGREEMENT", ("agreement", "contract")))
+
+#: Phrases that tie a clause to another, for ``graph.reference_edges``: pattern with the number as its group, edge type, as phrases of contracts go.
+REFERENCE_PHRASES = tuple((rf"(?i)\b(?:{words})\s+(?:section|article|clause|paragraph)\s+([0-9]+(?:\.[0-9]+)*)", kind) for words, kind in (
+    ("as defined in|pursuant to|subject to|in accordance with", "cross_reference"), ("as (?:set forth|provided|described) in", "cross_reference"), ("notwithstanding|except as provided in|modified by", "modifies"),
+    ("contingent upon|dependent on|requires compliance with", "depends_on"), ("incorporating|including by reference", "incorporates"), ("subject to(?: the terms of)?", "subject_to"),
+))
+
 #: Headings of contracts for ``segment.headings``: pattern, level. A rule reads a line, or a line with the next one (``segment.line_windows``).
 HEADINGS = (
     (r"^(?:ARTICLE|Article) +[IVXLCDM]+\b[ .:-]*[A-Za-z][^\n]{0,80}$", 1), (r"^(?:ARTICLE|Article) +[0-9]+\b[ .:-]*[A-Za-z][^\n]{0,80}$", 1), (r"^(?:ARTICLE|Article) +(?:[IVXLCDM]+|[0-9]+)[.:]?\n[^\n]{3,80}$", 1),

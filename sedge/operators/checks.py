@@ -25,6 +25,14 @@ def check_tolerance(df: DataFrame, *, stated: Column, computed: Column, toleranc
     return df.withColumn("deviation", F.round(off, 6)).withColumn("broken", off > tolerance)
 
 
+def check_share(df: DataFrame, *, total: Column, percent: Column, estimate: Column, tolerance: float = 0.01) -> DataFrame:
+    """Rows whose estimate is off a share of a total (total x percent / 100) by more than ``tolerance`` of it: expected, deviation, severity medium. Null or zero inputs are skipped."""
+    expected = total * percent / 100
+    off = F.try_divide(F.abs(estimate - expected), F.abs(expected))
+    rows = df.withColumn("expected", F.round(expected, 6)).withColumn("deviation", F.round(off, 6)).withColumn("_off", off)
+    return rows.filter((F.col("_off") > tolerance) & (estimate != 0)).withColumn("severity", F.lit("medium")).drop("_off")
+
+
 def check_ascending(df: DataFrame, *, key: str, order: Sequence[str], value: str) -> DataFrame:
     """Rows whose value is not over the one before."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -33,6 +33,34 @@ def reconcile(parent: DataFrame, child: DataFrame, *, keys: Sequence[str]) -> Da
     return both.select(*keys, origin.alias("origin"), F.when(child_wins, F.col("cc")).otherwise(F.col("pc")).alias("confidence"), F.when(child_wins, merged).otherwise(pf).alias("fields"))
 
 
+def reconcile_tags(parent: DataFrame, child: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """``reconcile`` for rows that also have ``tags`` (array of struct<type, level>): where the child wins, the parent's tags and then the child's, each type once; else the winner's own."""
+    both = reconcile(parent, child, keys=keys)
+    p, c = parent.select(*keys, F.col("tags").alias("_pt")), child.select(*keys, F.col("tags").alias("_ct"))
+    none = F.array().cast(parent.schema["tags"].dataType)
+    rows = both.join(p, list(keys), "left").join(c, list(keys), "left").withColumn("_pt", F.coalesce("_pt", none)).withColumn("_ct", F.coalesce("_ct", none))
+    seen = lambda kept, x: F.exists(kept, lambda k: k["type"].eqNullSafe(x["type"]))
+    united = F.aggregate(F.concat("_pt", "_ct"), none, lambda kept, x: F.when(seen(kept, x), kept).otherwise(F.array_append(kept, x)))
+    tags = F.when(F.col("origin").isin("child", "inferred"), united).otherwise(F.col("_pt"))
+    return rows.withColumn("tags", tags).drop("_pt", "_ct")
+
+
+def structure_context(df: DataFrame, *, doc: str, order: str, section: str, terms: str, roles: str, refs: str, exhibits: str, tables: str) -> DataFrame:
+    """What a document's segments say together: outline (sections in order), terms and roles (name and value, the last segment's value wins), all references in order, n_tables, distinct exhibits.
+
+    ``terms`` and ``roles`` are maps, ``refs`` and ``exhibits`` arrays, ``tables`` a number. Lists come out sorted by name; a document's names meet in one task, not its texts.
+    """
+    last = lambda c: df.select(doc, order, F.explode(c).alias("_k", "_v")).groupBy(doc, "_k").agg(F.max_by("_v", order).alias("_v")).groupBy(doc).agg(F.array_sort(F.collect_list(F.concat_ws("=", "_k", "_v"))).alias(c))
+    own = df.groupBy(doc).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(order, section))), lambda x: x[section]).alias("outline"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col(refs).isNotNull(), F.struct(order, refs)))), lambda x: x[refs])).alias("refs"),
+        F.coalesce(F.sum(tables), F.lit(0)).cast("long").alias("n_tables"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(exhibits)))).alias("exhibits"),
+    )
+    none = F.array().cast("array<string>")
+    out = own.join(last(terms), doc, "left").join(last(roles), doc, "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in (terms, roles)})
+
+
 def merge_leaves(leaves: DataFrame, *, doc: str, path: str, order: str, value: str, is_list: str) -> DataFrame:
     """Deep merge of flattened results: at a scalar path the first chunk wins, at a list path all values are appended in chunk order."""
     grouped = leaves.groupBy(doc, path).agg(F.bool_or(is_list).alias("_l"), F.min_by(value, order).alias("_first"), F.array_sort(F.collect_list(F.struct(order, value))).alias("_all"))

@@ -80,6 +80,31 @@ def option_rows(facts: DataFrame, *, id: str, number: str = "renewal_options", t
     return rows.select(id, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("option_no"), "term")
 
 
+def overview(df: DataFrame, *, id: str, text: str, types: Sequence[tuple[str, Sequence[str]]], date: str, amount: str, default: str = "OTHER", first: int = 3, chars_per_page: int = 3000) -> DataFrame:
+    """(id, doc_type, dates, amounts, n_words, n_pages): the type is the first of ``types`` (name, words) of which a word is in the text; ``date`` and ``amount`` are patterns whose first group, the first three times, is kept."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    kind = F.lit(default)
+    for name, words in reversed(types):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(F.lower(c), F.lit(w))
+        kind = F.when(hit, name).otherwise(kind)
+    found = lambda p: F.slice(F.regexp_extract_all(c, F.lit(p), F.lit(1)), 1, first)
+    pages = F.greatest(F.lit(1), F.floor(F.length(c) / chars_per_page))
+    return df.select(id, kind.alias("doc_type"), found(date).alias("dates"), found(amount).alias("amounts"), F.regexp_count(c, F.lit(r"[^ \t\r\n\f\x0b]+")).cast("long").alias("n_words"), pages.alias("n_pages"))
+
+
+def parse_key_values(df: DataFrame, fields: Sequence[tuple[str, str]], *, id: str, text: str) -> DataFrame:
+    """(id, field, value): ``name: value`` lines of a text that is no JSON. ``fields`` are (field, pattern with one group); of several patterns of a field the last that hits
+    counts, with its first match. Values are stripped of blanks, quotes and a last comma; null, none, n/a and empty ones are dropped."""
+    rows = []
+    for i, (field, pattern) in enumerate(fields):
+        hit = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
+        rows.append(F.struct(F.lit(field).alias("field"), F.lit(i).alias("place"), F.btrim(F.get(hit, F.lit(0)), F.lit(" \t\r\n\"',")).alias("value")))
+    each = df.select(id, F.inline(F.array(*rows))).filter("value IS NOT NULL AND lower(value) NOT IN ('', 'null', 'none', 'n/a')")
+    return each.groupBy(id, "field").agg(F.max_by("value", "place").alias("value"))
+
+
 def list_items(facts: DataFrame, *, id: str, field: str) -> DataFrame:
     """(id, field, item_no, item): values that are lists, split at commas, semicolons and a last "and"."""
     items = F.filter(F.transform(F.split("value", r",\s*and\s+|\s+and\s+|[,;]"), lambda c: F.btrim(c, F.lit(" "))), lambda c: c != "")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -26,6 +27,25 @@ def reference_edges(clauses: DataFrame, *, doc: str, src: str, text: str, number
     return found.join(targets, [doc, "_ref"]).filter(F.col(src) != F.col("dst")).select(doc, src, "dst", "rel_type")
 
 
+def reference_table(clauses: DataFrame, *, doc: str, src: str, text: str, number: str, rules: Sequence[tuple[str, str]], strength: float = 0.9, around: int = 50) -> DataFrame:
+    """``reference_edges`` with strength and context: ``around`` characters on either side of the phrase's first place in the text."""
+    edges = reference_edges(clauses, doc=doc, src=src, text=text, number=number, rules=rules)
+    numbers = clauses.groupBy(doc, F.col(number).cast("string").alias("_ref")).agg(F.min(src).alias("dst"))
+    places = None
+    for pattern, kind in rules:
+        # Of several references of a type the context is that of the one to this number: the phrase up to the number, then no further digit.
+        refs = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)))
+        hits = clauses.filter(F.col(text).rlike(pattern)).select(doc, src, F.lit(kind).alias("rel_type"), F.col(text).alias("_t"), F.explode(refs).alias("_ref"))
+        own = F.concat(F.lit(pattern[: re.search(r"\((?!\?)", pattern).start()]), F.lit("\\Q"), F.col("_ref"), F.lit("\\E(?![0-9]|\\.[0-9])"))
+        at = F.regexp_instr("_t", own)
+        long = F.length(F.regexp_substr("_t", own))
+        begin = F.greatest(F.lit(1), at - around)
+        hits = hits.select(doc, src, "rel_type", "_ref", F.substring("_t", begin, at + long + around - begin).alias("context"))
+        places = hits if places is None else places.unionByName(hits)
+    context = places.join(numbers, [doc, "_ref"]).groupBy(doc, src, "dst", "rel_type").agg(F.min("context").alias("context"))
+    return edges.distinct().join(context, [doc, src, "dst", "rel_type"], "left").withColumn("strength", F.lit(strength))
+
+
 def title_edges(refs: DataFrame, docs: DataFrame, *, phrase: str, id: str, title: str, ordinal: str) -> DataFrame:
     """Resolve each distinct phrase to the first document whose title contains it."""
     phrases = refs.select(phrase, F.lower(phrase).alias("_p")).distinct()
@@ -406,6 +426,16 @@ def type_counts(edges: DataFrame, types: DataFrame, *, kind: str) -> DataFrame:
     return types.select(kind).distinct().join(edges.groupBy(kind).agg(F.count("*").alias("n")), kind, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
+def graph_tables(nodes: DataFrame, edges: DataFrame, *, node: str, src: str, dst: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(node table, edge table) to export: nodes with n_out, n_in and n_types; edges whose ends both exist, numbered copies (n) of the same (src, dst, kind) in one row."""
+    ok, _ = valid_edges(edges, nodes, src=src, dst=dst, node=node)
+    rows = saved(ok.groupBy(src, dst, kind).agg(F.count("*").alias("n")), "edge-table")
+    ends = rows.select(F.col(src).alias("_n"), "n", F.lit(0).alias("_i"), kind).unionByName(rows.select(F.col(dst).alias("_n"), F.lit(0).cast("long").alias("n"), F.col("n").alias("_i"), kind))
+    sums = ends.groupBy("_n").agg(F.sum("n").alias("n_out"), F.sum("_i").alias("n_in"), F.countDistinct(kind).alias("n_types"))
+    out = nodes.join(sums, F.col(node) == F.col("_n"), "left").drop("_n")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_out", "n_in", "n_types")}), rows
+
+
 def valid_edges(edges: DataFrame, nodes: DataFrame, *, src: str, dst: str, node: str) -> tuple[DataFrame, DataFrame]:
     """(edges whose ends both exist, edges with an unknown end)."""
     known = nodes.select(F.col(node)).distinct()

@@ -163,6 +163,17 @@ def select_sections(df: DataFrame, sections: DataFrame, *, id: str, text: str, s
     return containment_join(df.select(id, text), sections.select(section, keyword), text=text, phrase=keyword).select(id, section).distinct()
 
 
+def ordered_sections(df: DataFrame, sections: DataFrame, *, id: str, text: str, kind: str, section: str = "section", keyword: str = "keyword", place: str = "place") -> DataFrame:
+    """(id, section, nth): the report sections that a document's type asks for, of which a keyword lies in the text, in the type's order.
+
+    ``sections`` has a row per type (null: for every type), section and keyword with the section's place; a type's own place goes before that for every type.
+    """
+    dim = sections.select(F.col(kind).alias("_kind"), section, keyword, F.col(place).alias("_place"))
+    hits = containment_join(df.select(id, F.col(kind).alias("_own"), text), dim, text=text, phrase=keyword).filter("_kind IS NULL OR _kind = _own")
+    best = hits.groupBy(id, section).agg(F.min(F.struct(F.col("_kind").isNull().alias("general"), "_place")).alias("_b"))
+    return best.select(id, section, F.row_number().over(Window.partitionBy(id).orderBy("_b._place", section)).alias("nth"))
+
+
 def validation_events(issues: DataFrame, *, doc: str, is_issue: Column, is_high: Column, each: int = 5) -> DataFrame:
     """Per document: issues, high ones, and a score of 100 less ``each`` per issue, 0 at least."""
     n = F.count_if(is_issue)

@@ -54,9 +54,11 @@ def cells(blocks: DataFrame, *, id: str) -> DataFrame:
         parts = F.col("values")
     else:
         parts = F.transform(F.split("line", F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E"))), lambda c: F.btrim(c, F.lit(" \t\r")))
-    long = blocks.select(id, "block_no", "row_no", F.posexplode(parts).alias("col_no", "value"))
-    head = long.filter("row_no = 0").select(id, "block_no", "col_no", F.col("value").alias("header"))
-    return long.filter("row_no > 0").join(head, [id, "block_no", "col_no"])
+    rows = blocks.select(id, "block_no", "row_no", parts.alias("_p"))
+    heads = rows.filter("row_no = 0").select(id, "block_no", F.col("_p").alias("_h"))
+    long = rows.filter("row_no > 0").join(heads, [id, "block_no"])
+    both = F.slice(F.arrays_zip(F.col("_h").alias("header"), F.col("_p").alias("value")), 1, F.least(F.size("_h"), F.size("_p")))
+    return long.select(id, "block_no", "row_no", F.posexplode(both).alias("col_no", "_c")).select(id, "block_no", "col_no", "row_no", F.col("_c.value").alias("value"), F.col("_c.header").alias("header"))
 
 
 def dedup_tables(cells_df: DataFrame, *, id: str) -> DataFrame:
@@ -76,6 +78,44 @@ def type_score(cells_df: DataFrame, kinds: Sequence[tuple[str, Sequence[str], Se
     return rows.withColumn("_t", F.array_max(F.array(*scored))).select(id, "block_no", F.col("_t.kind").alias("kind"), F.col("_t.score").alias("score"))
 
 
+#: Words that mark a cell as vacant.
+VACANT = ("", "vacant", "available", "empty", "tbd", "n/a")
+
+
+def typed_tables(cells_df: DataFrame, kinds: Sequence[tuple[str, Sequence[str], Sequence[str]]], *, id: str, least: float = 0.5, low: float = 0.2, boost: float = 1.2) -> DataFrame:
+    """(id, block_no, kind, score, confidence): tables whose type is known well enough. Confidence is the score if it is over ``least``, else ``low``; tables
+    cut at delimiters, as all ``cells`` are, get ``boost`` times that, 1 at most; those not over ``least`` go."""
+    scored = type_score(cells_df, kinds, id=id)
+    confidence = F.least(F.lit(1.0), boost * F.when(F.col("score") > least, F.col("score")).otherwise(low))
+    return scored.withColumn("confidence", F.round(confidence, 6)).filter(F.col("confidence") > least)
+
+
+def validate_typed(cells_df: DataFrame, types: DataFrame, numeric: Sequence[str], *, id: str) -> DataFrame:
+    """``validate`` with kind (of ``types``: id, block_no, kind): a table of one of the ``numeric`` kinds must also hold a digit in some cell."""
+    digit = cells_df.groupBy(id, "block_no").agg(F.bool_or(F.col("value").rlike("[0-9]")).alias("_digit"))
+    rows = validate(cells_df, id=id).join(types.select(id, "block_no", "kind"), [id, "block_no"], "left").join(digit, [id, "block_no"])
+    needs = F.coalesce(F.col("kind").isin(*numeric), F.lit(False))
+    return rows.withColumn("valid", F.col("valid") & (~needs | F.col("_digit"))).drop("_digit")
+
+
+def cost_shares(cells_df: DataFrame, *, id: str, near: float = 0.01) -> DataFrame:
+    """(id, block_no, percent_total, fully_allocated): the sum of the percentages in a table's cells, and whether it is 100 but for ``near``. Tables without any are left out."""
+    share = F.expr(r"try_cast(nullif(regexp_extract(value, '([0-9]+(?:\\.[0-9]+)?) ?%', 1), '') as decimal(38, 6))")
+    sums = cells_df.withColumn("_p", share).filter("_p IS NOT NULL").groupBy(id, "block_no").agg(F.sum("_p").alias("_s"))
+    return sums.select(id, "block_no", F.col("_s").cast("double").alias("percent_total"), (F.abs(F.col("_s") - 100) <= F.lit(near).cast("decimal(18,6)")).alias("fully_allocated"))
+
+
+def occupancy(cells_df: DataFrame, *, id: str, area: str = "area|sq|feet|size", vacant_words: Sequence[str] = VACANT) -> DataFrame:
+    """(id, block_no, total_area, occupied_area, rate): a row's area is the first number under a header that fits ``area``; rows with a vacant cell are not occupied. Tables without an area are left out."""
+    number = F.expr(r"try_cast(nullif(regexp_replace(value, '[^0-9.]', ''), '') as decimal(38, 6))")
+    hit = F.lower("header").rlike(area)
+    rows = cells_df.withColumn("_x", F.when(hit, number)).groupBy(id, "block_no", "row_no").agg(
+        F.min_by("_x", F.when(F.col("_x").isNotNull(), F.col("col_no"))).alias("_a"), F.bool_or(~hit & F.lower("value").isin(*vacant_words)).alias("_v")
+    )
+    sums = rows.groupBy(id, "block_no").agg(F.sum("_a").alias("_t"), F.coalesce(F.sum(F.when(~F.col("_v"), F.col("_a"))), F.lit(0)).alias("_o")).filter("_t IS NOT NULL")
+    return sums.select(id, "block_no", F.col("_t").cast("double").alias("total_area"), F.col("_o").cast("double").alias("occupied_area"), F.round(F.try_divide(F.col("_o").cast("double"), F.col("_t").cast("double")), 6).alias("rate"))
+
+
 def validate(cells_df: DataFrame, *, id: str) -> DataFrame:
     """(id, block_no, n_rows, n_cols, valid): two rows and columns at least, 80 % of headers distinct, 30 % of cells filled."""
     v = cells_df.groupBy(id, "block_no").agg(F.max("row_no").cast("long").alias("n_rows"), F.countDistinct("col_no").alias("n_cols"), F.countDistinct("header").alias("_h"), F.avg((F.col("value") != "").cast("int")).alias("_f"))
@@ -88,10 +128,6 @@ def top_tables(tables: DataFrame, *, id: str, score: str, k: int = 10) -> DataFr
     return tables.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k)
 
 
-#: Words that mark a cell as vacant.
-VACANT = ("", "vacant", "available", "empty", "tbd", "n/a")
-
-
 def rollups(cells_df: DataFrame, *, id: str, vacant_words: Sequence[str] = VACANT) -> DataFrame:
     """Per block: sum and mean of the positive numbers in its cells, and cells that are vacant."""
     number = F.expr(r"try_cast(regexp_replace(value, '[^0-9.-]', '') as decimal(38, 6))")

@@ -40,6 +40,26 @@ def parent_child_reconcile(spark, sf):
     return out.select("conv_id", "k", "origin", F.round("confidence", 6).alias("confidence"), F.col("fields")["v"].alias("value"))
 
 
+_SIDES = """
+p AS (SELECT conv_id, turn // 2 AS k, length(text) % 10 / 10.0 AS c, length(text) AS n FROM conversations WHERE role = 'user'), q AS (SELECT conv_id, turn // 2 AS k, length(text) % 7 / 7.0 AS c, length(text) AS n FROM conversations WHERE role = 'assistant'),
+b AS (SELECT conv_id, k, p.c AS pc, q.c AS qc, p.n AS pn, q.n AS qn, p.c IS NULL OR q.c > p.c AS wins FROM p FULL OUTER JOIN q USING (conv_id, k))"""
+
+
+@query("reconcile_tags", f"""WITH {_SIDES}, x AS (SELECT conv_id, k, wins, CASE WHEN pn IS NULL THEN [] ELSE ['len' || pn % 3 || ':high', 'user:low'] END AS pt, CASE WHEN qn IS NULL OR NOT coalesce(wins, false) THEN [] ELSE ['len' || qn % 3 || ':low', 'reply:low'] END AS qt FROM b)
+SELECT conv_id, k, array_to_string(list_concat(pt, list_filter(qt, lambda t: NOT list_contains(list_transform(pt, lambda y: split_part(y, ':', 1)), split_part(t, ':', 1)))), ',') AS tags FROM x""")
+def reconcile_tags(spark, sf):
+    """A winning child's tags are united with the parent's, each type once."""
+    rows = t(spark, sf, "conversations").withColumn("k", F.floor(F.col("turn") / 2))
+
+    def side(role, m, level, other):
+        tag = lambda kind, level: F.struct(kind.alias("type"), F.lit(level).alias("level"))
+        tags = F.array(tag(F.concat(F.lit("len"), (F.length("text") % 3).cast("string")), level), tag(F.lit(other), "low"))
+        return rows.filter(F.col("role") == role).select("conv_id", "k", (F.length("text") % m / m).alias("confidence"), F.create_map(F.lit("v"), F.md5("text")).alias("fields"), tags.alias("tags"))
+
+    out = clauses.reconcile_tags(side("user", 10, "high", "user"), side("assistant", 7, "low", "reply"), keys=["conv_id", "k"])
+    return out.select("conv_id", "k", F.array_join(F.transform("tags", lambda x: F.concat_ws(":", x["type"], x["level"])), ",").alias("tags"))
+
+
 @query("deep_merge", """
 SELECT o_custkey, path, CASE WHEN path = 'status' THEN arg_min(value, o_orderkey) ELSE string_agg(value, '|' ORDER BY o_orderkey) END AS merged
 FROM (SELECT o_custkey, o_orderkey, 'status' AS path, o_orderstatus AS value FROM orders UNION ALL SELECT o_custkey, o_orderkey, 'priority', o_orderpriority FROM orders) GROUP BY 1, 2""")
@@ -104,6 +124,24 @@ def structure_context(spark, sf):
     return t(spark, sf, "conversations").groupBy("conv_id").agg(F.max_by(F.length("text").cast("long"), "turn").alias("last_length"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.count("*").alias("n_segments"))
 
 
+#: A customer's orders as segments of one document: two terms, a role on every third, references, exhibits, tables.
+SEGMENTS = """segs AS (SELECT o_custkey AS doc, o_orderkey AS n, o_orderpriority AS section, o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM orders)"""
+
+
+@query("structure_outline", f"""WITH {SEGMENTS}, tm AS (SELECT doc, name, arg_max(v, n) AS v FROM (SELECT doc, n, 'date' AS name, day AS v FROM segs UNION ALL SELECT doc, n, 'term ' || o_orderstatus, n::VARCHAR FROM segs) GROUP BY 1, 2),
+ro AS (SELECT doc, section AS name, arg_max(n, n)::VARCHAR AS v FROM segs WHERE n % 3 = 0 GROUP BY 1, 2)
+SELECT doc, string_agg(section, '|' ORDER BY n) AS outline, (SELECT string_agg(name || '=' || v, '|' ORDER BY name || '=' || v) FROM tm WHERE tm.doc = s.doc) AS terms, coalesce((SELECT string_agg(name || '=' || v, '|' ORDER BY name || '=' || v) FROM ro WHERE ro.doc = s.doc), '') AS roles,
+  coalesce(string_agg('s' || n % 5 || '|s' || n % 7, '|' ORDER BY n) FILTER (n % 2 = 0), '') AS refs, sum(n % 4)::BIGINT AS n_tables, string_agg(DISTINCT 'E' || n % 3, '|' ORDER BY 'E' || n % 3) AS exhibits FROM segs s GROUP BY doc""")
+def structure_outline(spark, sf):
+    """Outline, terms, roles, references, tables and exhibits of a document from its segments."""
+    n = F.col("n")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    rows = over(spark, f"WITH {SEGMENTS} SELECT * FROM segs", orders=t(spark, sf, "orders"))
+    rows = rows.select("doc", "n", "section", F.create_map(F.lit("date"), F.col("day"), text("term ", F.col("o_orderstatus")), n.cast("string")).alias("terms"), F.when(n % 3 == 0, F.create_map(F.col("section"), n.cast("string"))).alias("roles"), F.when(n % 2 == 0, F.array(text("s", n % 5), text("s", n % 7))).alias("refs"), F.array(text("E", n % 3)).alias("exhibits"), (n % 4).alias("tables"))
+    out = clauses.structure_context(rows, doc="doc", order="n", section="section", terms="terms", roles="roles", refs="refs", exhibits="exhibits", tables="tables")
+    return out.withColumns({c: F.array_join(c, "|") for c in ("outline", "terms", "roles", "refs", "exhibits")}).select("doc", "outline", "terms", "roles", "refs", "n_tables", "exhibits")
+
+
 def order_log(spark, sf):
     return t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("d"))
 
@@ -198,6 +236,14 @@ def tolerance_check(spark, sf):
 LINES = "(SELECT l_orderkey, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2)"
 
 
+@query("share_check", """WITH s AS (SELECT l_orderkey, l_linenumber, o_totalprice::DOUBLE AS total, (10 * l_linenumber)::DOUBLE AS pct, l_extendedprice::DOUBLE AS estimate FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT l_orderkey, l_linenumber, round(total * pct / 100, 6) AS expected, round(abs(estimate - total * pct / 100) / (total * pct / 100), 6) AS deviation, 'medium' AS severity FROM s WHERE total * pct <> 0 AND estimate <> 0 AND abs(estimate - total * pct / 100) / abs(total * pct / 100) > 0.5""")
+def share_check(spark, sf):
+    rows = t(spark, sf, "lineitem").join(t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", F.col("o_totalprice").cast("double").alias("total"), (10.0 * F.col("l_linenumber")).alias("pct"), F.col("l_extendedprice").cast("double").alias("estimate"))
+    out = checks.check_share(rows, total=F.col("total"), percent=F.col("pct"), estimate=F.col("estimate"), tolerance=0.5)
+    return out.select("l_orderkey", "l_linenumber", "expected", "deviation", "severity")
+
+
 @query("monotone_check", f"SELECT * FROM (SELECT l_orderkey, l_linenumber, q, lag(q) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS previous FROM {LINES}) WHERE q <= previous")
 def monotone_check(spark, sf):
     rows = t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))

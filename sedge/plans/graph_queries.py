@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sedge.functions import catalogues
 from sedge.operators import graph, similarity
 from sedge.plans.base import over, query, t
 
@@ -58,6 +59,38 @@ def xref_edges(spark, sf):
     return graph.reference_edges(docs, doc="source", src="doc_id", text="text", number="number", rules=[("[^0-9]([0-9]{1,3})[^0-9]", "mentions"), ("([0-9]{1,3})@", "mails")])
 
 
+#: A customer's orders as a set of documents: leases and, every fourth, an exhibit; each amends the next older one, urgent ones also the next dearer one; references by title and by exhibit.
+DOCSET = """
+d0 AS (SELECT o_orderkey AS id, o_custkey AS grp, CAST(o_orderdate AS DATE) AS d, o_totalprice AS price, o_orderpriority AS prio, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders),
+docs AS (SELECT *, seq % 4 = 0 AS exhibit, seq = 1 AND prio <> '5-LOW' AS base, CASE WHEN seq % 4 = 0 THEN 'Exhibit Z' || CAST(id % 11 AS STRING) ELSE 'Lease ' || CAST(id AS STRING) END AS title FROM d0),
+e0 AS (SELECT id, prio, lead(id) OVER (PARTITION BY grp ORDER BY d DESC, id) AS older, lead(id) OVER (PARTITION BY grp ORDER BY price, id) AS dearer, lag(id) OVER (PARTITION BY grp ORDER BY id) AS prev, grp FROM docs),
+edges AS (SELECT id AS src, older AS dst FROM e0 WHERE older IS NOT NULL UNION SELECT id, dearer FROM e0 WHERE dearer IS NOT NULL AND prio = '1-URGENT'),
+refs AS (SELECT grp, id, 'as in LEASE ' || CAST(prev + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS STRING) AS ref, false AS to_exhibit FROM e0 WHERE prev IS NOT NULL
+         UNION ALL SELECT grp, id, 'exhibit  Z' || CAST(id % 9 AS STRING) || ' hereto' AS ref, true FROM e0)"""
+CLOSURE = "r AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM r JOIN edges e ON e.src = r.dst)"
+RESOLVED = r"""u AS (SELECT DISTINCT grp, ref FROM refs), t1 AS (SELECT u.grp, ref, arg_min(id, (seq, id)) AS one FROM u JOIN docs d ON d.grp = u.grp AND contains(lower(ref), lower(title)) GROUP BY 1, 2),
+t2 AS (SELECT u.grp, ref, arg_min(id, (seq, id)) AS two FROM u JOIN docs d ON d.grp = u.grp AND exhibit AND regexp_extract(lower(ref), 'exhibit\s+([a-z0-9]+)', 1) <> '' AND contains(lower(title), regexp_extract(lower(ref), 'exhibit\s+([a-z0-9]+)', 1)) GROUP BY 1, 2),
+resolved AS (SELECT refs.*, coalesce(one, two) AS target, CASE WHEN one IS NOT NULL THEN 'title' WHEN two IS NOT NULL THEN 'exhibit' END AS how FROM refs LEFT JOIN t1 USING (grp, ref) LEFT JOIN t2 USING (grp, ref))"""
+
+
+def docset(spark, sf, name):
+    return over(spark, f"WITH {DOCSET} SELECT * FROM {name}", orders=t(spark, sf, "orders"))
+
+
+#: Clauses, the lines of an order, that refer to others of it by the phrases of contracts.
+XREF = """xr AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_partkey) AS part FROM lineitem GROUP BY l_orderkey, l_linenumber),
+xt AS (SELECT doc, n, 'Price ' || CAST(part AS STRING) || ' is due ' || CASE part % 6 WHEN 0 THEN 'subject to Section ' WHEN 1 THEN 'as set forth in article ' WHEN 2 THEN 'notwithstanding Clause ' WHEN 3 THEN 'contingent upon section ' WHEN 4 THEN 'incorporating paragraph ' ELSE 'subject to the terms of Section ' END || CAST(part % 8 AS STRING) || ' and Section 1.' AS body FROM xr)"""
+_PHRASES = (("subject to Section ", ("cross_reference", "subject_to")), ("as set forth in article ", ("cross_reference",)), ("notwithstanding Clause ", ("modifies",)), ("contingent upon section ", ("depends_on",)), ("incorporating paragraph ", ("incorporates",)), ("subject to the terms of Section ", ("subject_to",)))
+
+
+@query("xref_table", f"""WITH {XREF}, e AS ({" UNION ALL ".join(f"SELECT x.doc, x.n, y.n AS dst, '{kind}' AS rel_type, substring(body, greatest(1, strpos(body, '{phrase}') - 50), strpos(body, '{phrase}') + {len(phrase) + 1} + 50 - greatest(1, strpos(body, '{phrase}') - 50)) AS context FROM xt x JOIN xr USING (doc, n) JOIN xr y ON y.doc = x.doc AND y.n = xr.part % 8 AND y.n <> x.n WHERE contains(body, '{phrase}')" for phrase, kinds in _PHRASES for kind in kinds)})
+SELECT *, 0.9::DOUBLE AS strength FROM e""")
+def xref_table(spark, sf):
+    """References by the phrases of contracts, with strength and context."""
+    rows = over(spark, f"WITH {XREF} SELECT * FROM xt", lineitem=t(spark, sf, "lineitem"))
+    return graph.reference_table(rows.withColumn("no", F.col("n")), doc="doc", src="n", text="body", number="no", rules=catalogues.REFERENCE_PHRASES)
+
+
 @query("xdoc_edges", """
 WITH d AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS phrase FROM part) SELECT phrase, (SELECT arg_min(p_partkey, p_partkey) FROM part WHERE contains(lower(p_name), lower(phrase))) AS target, true AS resolved FROM d""")
 def xdoc_edges(spark, sf):
@@ -109,6 +142,17 @@ def graph_export(spark, sf):
     return graph.type_counts(t(spark, sf, "events"), kinds, kind="event_type")
 
 
+@query("graph_node_table", f"WITH {DOCSET}, k AS (SELECT src, dst, CASE WHEN src % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM edges) SELECT id, title, (SELECT count(*) FROM k WHERE src = id) AS n_out, (SELECT count(*) FROM k WHERE dst = id) AS n_in, (SELECT count(DISTINCT kind) FROM k WHERE src = id OR dst = id) AS n_types FROM docs")
+def graph_node_table(spark, sf):
+    kinds = docset(spark, sf, "edges").withColumn("kind", F.when(F.col("src") % 2 == 0, "even").otherwise("odd"))
+    return graph.graph_tables(docset(spark, sf, "docs").select("id", "title"), kinds, node="id", src="src", dst="dst", kind="kind")[0]
+
+
+@query("graph_edge_table", f"WITH {EDGE_SQL}, k AS (SELECT src, dst, 'follows' AS kind FROM e) SELECT src, dst, kind, count(*) AS n FROM k WHERE src IN (SELECT p_partkey FROM part) AND dst IN (SELECT p_partkey FROM part) GROUP BY 1, 2, 3")
+def graph_edge_table(spark, sf):
+    return graph.graph_tables(t(spark, sf, "part").select("p_partkey"), part_edges(spark, sf).withColumn("kind", F.lit("follows")), node="p_partkey", src="src", dst="dst", kind="kind")[1]
+
+
 @query("doc_edge_build", "SELECT o_orderkey, o_custkey, EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey + 200) AS valid FROM orders")
 def doc_edge_build(spark, sf):
     edges = t(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") + 200).alias("dst"), "o_custkey")
@@ -132,24 +176,6 @@ def doc_ref_check(spark, sf):
     return graph.unresolved_refs(refs, titles, doc="o_custkey", phrase="phrase", id="p_partkey", title="title", ordinal="p_partkey")
 
 
-#: A customer's orders as a set of documents: leases and, every fourth, an exhibit; each amends the next older one, urgent ones also the next dearer one; references by title and by exhibit.
-DOCSET = """
-d0 AS (SELECT o_orderkey AS id, o_custkey AS grp, CAST(o_orderdate AS DATE) AS d, o_totalprice AS price, o_orderpriority AS prio, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders),
-docs AS (SELECT *, seq % 4 = 0 AS exhibit, seq = 1 AND prio <> '5-LOW' AS base, CASE WHEN seq % 4 = 0 THEN 'Exhibit Z' || CAST(id % 11 AS STRING) ELSE 'Lease ' || CAST(id AS STRING) END AS title FROM d0),
-e0 AS (SELECT id, prio, lead(id) OVER (PARTITION BY grp ORDER BY d DESC, id) AS older, lead(id) OVER (PARTITION BY grp ORDER BY price, id) AS dearer, lag(id) OVER (PARTITION BY grp ORDER BY id) AS prev, grp FROM docs),
-edges AS (SELECT id AS src, older AS dst FROM e0 WHERE older IS NOT NULL UNION SELECT id, dearer FROM e0 WHERE dearer IS NOT NULL AND prio = '1-URGENT'),
-refs AS (SELECT grp, id, 'as in LEASE ' || CAST(prev + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS STRING) AS ref, false AS to_exhibit FROM e0 WHERE prev IS NOT NULL
-         UNION ALL SELECT grp, id, 'exhibit  Z' || CAST(id % 9 AS STRING) || ' hereto' AS ref, true FROM e0)"""
-CLOSURE = "r AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM r JOIN edges e ON e.src = r.dst)"
-RESOLVED = r"""u AS (SELECT DISTINCT grp, ref FROM refs), t1 AS (SELECT u.grp, ref, arg_min(id, (seq, id)) AS one FROM u JOIN docs d ON d.grp = u.grp AND contains(lower(ref), lower(title)) GROUP BY 1, 2),
-t2 AS (SELECT u.grp, ref, arg_min(id, (seq, id)) AS two FROM u JOIN docs d ON d.grp = u.grp AND exhibit AND regexp_extract(lower(ref), 'exhibit\s+([a-z0-9]+)', 1) <> '' AND contains(lower(title), regexp_extract(lower(ref), 'exhibit\s+([a-z0-9]+)', 1)) GROUP BY 1, 2),
-resolved AS (SELECT refs.*, coalesce(one, two) AS target, CASE WHEN one IS NOT NULL THEN 'title' WHEN two IS NOT NULL THEN 'exhibit' END AS how FROM refs LEFT JOIN t1 USING (grp, ref) LEFT JOIN t2 USING (grp, ref))"""
-
-
-def docset(spark, sf, name):
-    return over(spark, f"WITH {DOCSET} SELECT * FROM {name}", orders=t(spark, sf, "orders"))
-
-
 @query("docset_audit", f"""WITH RECURSIVE {DOCSET}, {CLOSURE}, {RESOLVED}
 SELECT 'orphan' AS issue, id, NULL AS detail FROM docs WHERE NOT base AND id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)
 UNION ALL SELECT DISTINCT 'dated_before_target', src, NULL FROM edges JOIN docs a ON a.id = src JOIN docs b ON b.id = dst WHERE a.d < b.d

@@ -147,6 +147,18 @@ def section_select(spark, sf):
     return insights.select_sections(t(spark, sf, "part"), dim, id="p_partkey", text="p_name")
 
 
+REPORT = ((None, "colour", "red", 9), (None, "colour", "blue", 9), (None, "tools", "bolt", 2), ("Brand#11", "colour", "green", 1), ("Brand#12", "tools", "gear", 11), ("Brand#12", "ornament", "ring", 1), (None, "ornament", "ring", 5))
+
+
+@query("ordered_sections", f"""WITH d(brand, section, keyword, place) AS (VALUES {", ".join(f"({repr(b) if b else 'NULL'}, '{s}', '{k}', {n})" for b, s, k, n in REPORT)}),
+h AS (SELECT p_partkey, section, min((CASE WHEN brand IS NULL THEN 1 ELSE 0 END, place)) AS b FROM part JOIN d ON contains(p_name, keyword) AND (brand IS NULL OR brand = p_brand) GROUP BY 1, 2)
+SELECT p_partkey, section, (row_number() OVER (PARTITION BY p_partkey ORDER BY b[2], section))::INT AS nth FROM h""")
+def ordered_sections(spark, sf):
+    """Report sections in the order of a part's brand."""
+    dim = spark.createDataFrame(list(REPORT), "p_brand string, section string, keyword string, place int")
+    return insights.ordered_sections(t(spark, sf, "part"), dim, id="p_partkey", text="p_name", kind="p_brand")
+
+
 @query("doc_timeline", "SELECT user_id, event_id, (row_number() OVER w)::INT AS step, round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 3) AS gap_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def doc_timeline(spark, sf):
     return insights.entity_timeline(t(spark, sf, "events"), entity="user_id", ts="ts", id="event_id")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedge.functions import udtfs
+from sedge.functions import catalogues, udtfs
+from sedge.functions.rules import Rule, RuleSet
 from sedge.functions.storage import fresh_path
 from sedge.operators import facts, segment, texttables
 from sedge.plans.base import over, query, t
@@ -78,6 +79,48 @@ def sample_excerpts(spark, sf):
     return tables.excerpts(t(spark, sf, "documents"), id="doc_id", text="text").select("doc_id", "piece_no", F.md5("excerpt").alias("excerpt_md5"))
 
 
+#: Responses in every shape; a customer's orders are the segments of one document.
+SHAPES = """shapes AS (SELECT o_custkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'Base Rent ' ELSE 'Other ' END || CAST(o_orderkey AS STRING) AS section, o_orderkey AS k,
+  CASE o_orderkey % 3 WHEN 0 THEN '{"detected_clauses": [{"clause_type": "base_rent", "confidence": 0.' || CAST(o_orderkey % 10 AS STRING) || ', "risks": [' || CASE WHEN o_orderkey % 4 = 0 THEN '{"level": "high"}, "late"' ELSE '' END || ']}, {"clause_type": "Signature block", "confidence": 1.0}, {"clause_type": "use"}]}'
+  WHEN 1 THEN 'Here: {"miscellaneous_clauses": ["A late fee of ' || CAST(o_orderkey AS STRING) || '", "Anything else"]}' ELSE '{"extracted_items": [{"clause_type": "use", "confidence": 0.' || CAST(o_orderkey % 10 AS STRING) || '}, {"clause_type": "parking", "confidence": 0.85}]}' END AS raw FROM orders)"""
+
+
+@query("response_clauses", f"""WITH {SHAPES}, u AS (
+  SELECT doc, section, k, 0 AS shape, 0 AS pos, 'base_rent' AS t, k % 10 / 10 AS c, NOT contains(lower(section), 'base rent') AS inferred, k % 10 < 5 OR k % 4 = 0 AS review FROM shapes WHERE k % 3 = 0 UNION ALL SELECT doc, section, k, 0, 2, 'use', 0.0, true, true FROM shapes WHERE k % 3 = 0
+  UNION ALL SELECT doc, section, k, 1, 0, 'penalty', 0.6, true, false FROM shapes WHERE k % 3 = 1 UNION ALL SELECT doc, section, k, 1, 1, 'misc', 0.7, true, false FROM shapes WHERE k % 3 = 1
+  UNION ALL SELECT doc, section, k, 2, 0, 'use', k % 10 / 10, false, k % 10 < 8 FROM shapes WHERE k % 3 = 2 UNION ALL SELECT doc, section, k, 2, 1, 'parking', 0.85, false, false FROM shapes WHERE k % 3 = 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc, t ORDER BY shape, section, pos) AS nth FROM u)
+SELECT doc, section, CASE shape WHEN 0 THEN 'detected' WHEN 1 THEN 'loose' ELSE 'item' END AS shape, t || '_data' || CASE WHEN nth > 1 THEN '_' || nth ELSE '' END AS clause_key, t AS clause_type, round(c::DOUBLE, 6) AS confidence, inferred, review AS needs_review FROM n""")
+def response_clauses(spark, sf):
+    rows = over(spark, f"WITH {SHAPES} SELECT doc, section, raw FROM shapes", orders=t(spark, sf, "orders"))
+    out = tables.response_clauses(tables.parse_responses(rows, raw="raw"), id="doc", section="section", kinds=RuleSet([Rule("penalty", "late fee|fine")]))
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+@query("request_table_head", "SELECT doc_id, md5(CASE WHEN length(text) > 8000 THEN left(text, 8000) || chr(10) || '...' || chr(10) ELSE text END) AS content_md5 FROM documents")
+def request_table_head(spark, sf):
+    return tables.build_requests(t(spark, sf, "documents"), text="text", most=8000, policy="head").select("doc_id", F.md5("content").alias("content_md5"))
+
+
+@query("answered_requests", "SELECT doc_id, length(CASE WHEN length(text) > 6000 THEN left(text, 2000) || chr(10) || '...' || chr(10) || right(text, 2000) ELSE text END) AS n, NULL AS reject_reason FROM documents")
+def answered_requests(spark, sf):
+    """A given function in the model's place: here one that answers with the length of its text."""
+
+    def lengths(texts):
+        return [f'{{"category": "{len(x)}", "confidence": 1, "risk_flags": []}}' for x in texts]
+
+    asked = tables.run_requests(tables.build_requests(t(spark, sf, "documents"), text="text").select("doc_id", "content"), lengths)
+    out = tables.validate_responses(tables.parse_responses(asked, raw="raw"))
+    return out.select("doc_id", F.try_variant_get("response", "$.category", "string").cast("long").alias("n"), "reject_reason")
+
+
+@query("sample_excerpts_thirds", """
+SELECT doc_id, i::INT AS piece_no, md5(p[i + 1]) AS excerpt_md5 FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM (SELECT doc_id, CASE WHEN length(text) > 50000 THEN [substring(text, 1, 15000), substring(text, (length(text) - 15000) // 2 + 1, 15000), substring(text, length(text) - 14999, 15000)]
+  WHEN length(text) > 10000 THEN [substring(text, 1, 500), substring(text, length(text) // 3 + 1, 500), substring(text, 2 * length(text) // 3 + 1, 500), substring(text, length(text) - 499, 500)] ELSE [left(text, 2000)] END AS p FROM documents))""")
+def sample_excerpts_thirds(spark, sf):
+    return tables.excerpts(t(spark, sf, "documents"), id="doc_id", text="text", thirds_over=50_000).select("doc_id", "piece_no", F.md5("excerpt").alias("excerpt_md5"))
+
+
 @query("sink_tables", "SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS n_ids, format FROM documents, (VALUES ('parquet'), ('json'), ('csv')) f(format) GROUP BY lang, format")
 def sink_tables(spark, sf):
     """Write the flags of documents in three formats and read them back."""
@@ -95,17 +138,34 @@ x AS (SELECT p_partkey, p_size, p_name, p_brand, p_type FROM part),
 v AS (SELECT p_partkey, unnest([['name', p_name], ['brand_id', p_brand]]) AS kv, p_size, p_name FROM x WHERE p_size % 3 = 0)"""
 
 
+_PAGES = "CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 4 = 0 THEN (p_size % 7)::VARCHAR ELSE (p_size % 7) || '-' || (p_size % 7 + p_size % 4) END AS page_range"
+_SHOWN = f"printf('%.2f', round(p_size / 50.0, 2)) AS confidence, {_PAGES}, CASE WHEN p_size % 2 = 0 THEN 'Yes' ELSE 'No' END AS truncated"
+
+
+@query("sink_flat_export_full", f"""WITH {EXPORT_SQL}
+SELECT p_partkey, kv[1] AS key, kv[2] AS value, CASE WHEN kv[1] = 'brand_id' AND p_size % 2 = 0 THEN 'high' WHEN p_size % 2 = 1 THEN 'low' END AS level, CASE WHEN kv[1] = 'brand_id' AND p_size % 2 = 0 THEN 'Brand unclear' WHEN p_size % 2 = 1 THEN 'other' END AS description, {_SHOWN} FROM v
+UNION ALL SELECT p_partkey, 'Risk', NULL, 'low', 'other', {_SHOWN} FROM x WHERE p_size % 3 = 1
+UNION ALL SELECT p_partkey, 'General', NULL, NULL, NULL, {_SHOWN} FROM x WHERE p_size % 3 = 2""")
+def sink_flat_export_full(spark, sf):
+    size = F.col("p_size")
+    extra = export_rows(spark, sf).withColumn("conf", F.round(size / 50.0, 2)).withColumn("a", F.when(size % 5 != 0, size % 7)).withColumn("b", size % 7 + size % 4).withColumn("cut", size % 2 == 0)
+    return tables.flat_export_full(extra, keep=["p_partkey"], values="values", risks="risks", confidence="conf", page_start="a", page_end="b", truncated="cut")
+
+
 @query("sink_flat_export", f"""WITH {EXPORT_SQL}
 SELECT p_partkey, kv[1] AS key, kv[2] AS value, CASE WHEN kv[1] = 'brand_id' AND p_size % 2 = 0 THEN 'high' WHEN p_size % 2 = 1 THEN 'low' END AS level, CASE WHEN kv[1] = 'brand_id' AND p_size % 2 = 0 THEN 'Brand unclear' WHEN p_size % 2 = 1 THEN 'other' END AS description FROM v
 UNION ALL SELECT p_partkey, 'Risk', NULL, 'low', 'other' FROM x WHERE p_size % 3 = 1
 UNION ALL SELECT p_partkey, 'General', NULL, NULL, NULL FROM x WHERE p_size % 3 = 2""")
 def sink_flat_export(spark, sf):
+    return tables.flat_export(export_rows(spark, sf), keep=["p_partkey"], values="values", risks="risks")
+
+
+def export_rows(spark, sf):
     size = F.col("p_size")
     risk = lambda level, text: F.struct(F.lit(level).alias("level"), F.lit(text).alias("description"))
     none = F.expr("cast(array() as array<struct<level: string, description: string>>)")
     risks = F.when(size % 3 == 2, none).when((size % 3 == 0) & (size % 2 == 0), F.array(risk("high", "Brand unclear"), risk("medium", "zzz"))).otherwise(F.array(risk("low", "other")))
-    rows = t(spark, sf, "part").select("p_partkey", F.when(size % 3 == 0, F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand_id"), F.col("p_brand"))).alias("values"), risks.alias("risks"))
-    return tables.flat_export(rows, keep=["p_partkey"], values="values", risks="risks")
+    return t(spark, sf, "part").select("p_partkey", "p_size", F.when(size % 3 == 0, F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand_id"), F.col("p_brand"))).alias("values"), risks.alias("risks"))
 
 
 @query("sink_markdown", """
@@ -146,6 +206,27 @@ def kv_text_parse(spark, sf):
     return facts.extract_facts(t(spark, sf, "events"), rules, id="event_id", text="props", mode="first", least_chars=1).select("event_id", "value")
 
 
+_TYPES = (("MAIL", ("@",)), ("LICENCE", ("license", "copyright")), ("NUMBERS", ("1", "2")))
+
+
+@query("overview_rows", "SELECT doc_id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {w!r})' for w in words)} THEN '{name}'" for name, words in _TYPES) + r" ELSE 'OTHER' END AS doc_type, array_to_string(regexp_extract_all(text, '([0-9]{1,3}\.[0-9]{1,3})', 1)[:3], '|') AS dates, array_to_string(regexp_extract_all(text, '([0-9]{4,})', 1)[:3], '|') AS amounts, len(regexp_extract_all(text, '[^ \t\r\n\f\x0b]+')) AS n_words, greatest(1, length(text) // 3000) AS n_pages FROM documents")
+def overview_rows(spark, sf):
+    out = facts.overview(t(spark, sf, "documents"), id="doc_id", text="text", types=_TYPES, date=r"([0-9]{1,3}\.[0-9]{1,3})", amount="([0-9]{4,})")
+    return out.withColumns({c: F.array_join(c, "|") for c in ("dates", "amounts")})
+
+
+#: Answers in plain text, with several names for a field.
+ANSWERS = """answers AS (SELECT o_orderkey AS id, 'I found this:' || chr(10) || 'Tenant: Customer ' || CAST(o_custkey AS STRING) || chr(10) || '- "landlord" = "Clerk Ltd",' || chr(10) || 'rent: ' || CAST(o_orderkey % 1000 AS STRING) || chr(10)
+  || CASE WHEN o_orderkey % 3 = 0 THEN '* Base Rent: $' || CAST(o_orderkey % 77 AS STRING) || chr(10) ELSE '' END || 'Start date: ' || CASE WHEN o_orderkey % 4 = 0 THEN 'null' WHEN o_orderkey % 4 = 1 THEN 'N/A' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END || chr(10) || 'Use:   ' || chr(10) || 'remarks:none' AS answer FROM orders)"""
+
+
+@query("key_value_rows", f"""WITH {ANSWERS}, f AS (SELECT id, 'tenant' AS field, 'Customer ' || o_custkey AS value FROM answers JOIN orders ON o_orderkey = id UNION ALL SELECT id, 'landlord', 'Clerk Ltd' FROM answers
+UNION ALL SELECT id, 'rent', CASE WHEN id % 3 = 0 THEN '$' || id % 77 ELSE (id % 1000)::VARCHAR END FROM answers UNION ALL SELECT id, 'start_date', o_orderdate::DATE::VARCHAR FROM answers JOIN orders ON o_orderkey = id WHERE id % 4 > 1) SELECT * FROM f""")
+def key_value_rows(spark, sf):
+    rows = over(spark, f"WITH {ANSWERS} SELECT * FROM answers", orders=t(spark, sf, "orders"))
+    return facts.parse_key_values(rows, catalogues.KEY_VALUES, id="id", text="answer")
+
+
 @query("facts_merge", f"""WITH {FACTS_SQL}, a AS (SELECT doc_id, min(value) AS v FROM facts WHERE field = 'email' GROUP BY 1), b AS (SELECT doc_id, min(value) AS v FROM facts WHERE field IN ('number', 'address') GROUP BY 1)
 SELECT doc_id, coalesce(a.v, b.v) AS value, CASE WHEN a.v IS NOT NULL THEN 'primary' ELSE 'secondary' END AS origin FROM a FULL OUTER JOIN b USING (doc_id)""")
 def facts_merge(spark, sf):
@@ -288,6 +369,44 @@ def table_type_score(spark, sf):
     return texttables.type_score(all_cells(spark, sf), KINDS_OF_TABLES, id="doc_id")
 
 
+@query("typed_tables", f"""WITH {BLOCK_SQL}, s AS (SELECT doc_id, block_no, lower(string_agg(DISTINCT header, ' ' ORDER BY header)) AS h, lower(coalesce(string_agg(DISTINCT value, ' ' ORDER BY value) FILTER (row_no <= 3), '')) AS v FROM ce GROUP BY 1, 2),
+k AS (SELECT *, {_SHARES} FROM s), b2 AS (SELECT doc_id, block_no, CASE WHEN k0 >= k1 THEN 'order lines' ELSE 'prose' END AS kind, greatest(k0, k1)::DOUBLE AS score FROM k)
+SELECT doc_id, block_no, kind, score, round(least(1.0, 1.2 * score), 6)::DOUBLE AS confidence FROM b2 WHERE score > 0.5""")
+def typed_tables(spark, sf):
+    return texttables.typed_tables(all_cells(spark, sf), KINDS_OF_TABLES, id="doc_id")
+
+
+#: A roster per order: who rents how much and bears which share; every other order's shares make 100.
+ROSTER = """
+ro AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, CAST(floor(min(l_quantity)) AS INT) AS qty, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber),
+rl AS (SELECT l_orderkey, CAST(l_linenumber AS STRING) || '|' || CASE WHEN part % 4 = 0 THEN 'Vacant' ELSE 'T' || CAST(part AS STRING) END || '|' || CAST(qty AS STRING) || '00 sq|' || CAST(CASE WHEN l_orderkey % 2 = 0 AND l_linenumber = 1 THEN 100 - 7 * (n - 1) ELSE 7 END AS STRING) || '.00%' AS line FROM ro),
+rx AS (SELECT l_orderkey AS doc_id, 'unit|tenant|area|share' || chr(10) || array_to_string(array_sort(array_agg(line)), chr(10)) AS text FROM rl GROUP BY l_orderkey)"""
+ROSTER_SQL = ROSTER.replace("array_to_string(array_sort(array_agg(line)), chr(10))", "string_agg(line, chr(10) ORDER BY line)")
+
+
+def roster_cells(spark, sf):
+    texts = over(spark, f"WITH {ROSTER.replace('array_to_string(', 'array_join(')} SELECT doc_id, text FROM rx", lineitem=t(spark, sf, "lineitem"))
+    return texttables.cells(texttables.delimited_blocks(segment.lines(texts), id="doc_id", least_lines=2), id="doc_id")
+
+
+@query("table_cost_shares", f"WITH {ROSTER_SQL} SELECT l_orderkey AS doc_id, 1 AS block_no, sum(CASE WHEN l_orderkey % 2 = 0 AND l_linenumber = 1 THEN 100 - 7 * (n - 1) ELSE 7 END)::DOUBLE AS percent_total, abs(sum(CASE WHEN l_orderkey % 2 = 0 AND l_linenumber = 1 THEN 100 - 7 * (n - 1) ELSE 7 END) - 100) <= 0.01 AS fully_allocated FROM ro GROUP BY 1")
+def table_cost_shares(spark, sf):
+    return texttables.cost_shares(roster_cells(spark, sf), id="doc_id")
+
+
+@query("table_occupancy", f"WITH {ROSTER_SQL} SELECT l_orderkey AS doc_id, 1 AS block_no, sum(100 * qty)::DOUBLE AS total_area, coalesce(sum(100 * qty) FILTER (part % 4 <> 0), 0)::DOUBLE AS occupied_area, round(coalesce(sum(qty) FILTER (part % 4 <> 0), 0) / sum(qty), 6)::DOUBLE AS rate FROM ro GROUP BY 1")
+def table_occupancy(spark, sf):
+    return texttables.occupancy(roster_cells(spark, sf), id="doc_id")
+
+
+@query("table_validate_typed", f"""WITH {BLOCK_SQL}, v AS (SELECT doc_id, block_no, max(row_no)::BIGINT AS n_rows, count(DISTINCT col_no) AS n_cols, count(DISTINCT header) AS h, avg((value <> '')::INT) AS f, bool_or(regexp_matches(value, '[0-9]')) AS d FROM ce GROUP BY 1, 2),
+s AS (SELECT doc_id, block_no, lower(string_agg(DISTINCT header, ' ' ORDER BY header)) AS h, lower(coalesce(string_agg(DISTINCT value, ' ' ORDER BY value) FILTER (row_no <= 3), '')) AS v FROM ce GROUP BY 1, 2), k AS (SELECT *, {_SHARES} FROM s)
+SELECT v.doc_id, v.block_no, n_rows, n_cols, n_rows >= 2 AND n_cols >= 2 AND v.h >= 0.8 * n_cols AND f >= 0.3 AND (k0 < k1 OR d) AS valid, CASE WHEN k0 >= k1 THEN 'order lines' ELSE 'prose' END AS kind FROM v JOIN k USING (doc_id, block_no)""")
+def table_validate_typed(spark, sf):
+    rows = all_cells(spark, sf)
+    return texttables.validate_typed(rows, texttables.type_score(rows, KINDS_OF_TABLES, id="doc_id"), ["order lines"], id="doc_id")
+
+
 @query("table_dedup_topk", f"""WITH {BLOCK_SQL}, x AS (SELECT doc_id, block_no, string_agg(row_no || ':' || col_no || ':' || header || ':' || value, chr(10) ORDER BY row_no, col_no) AS c, count(*) AS score FROM ce GROUP BY 1, 2),
 d AS (SELECT doc_id, c, min(block_no) AS block_no, count(*) AS n_copies, any_value(score) AS score FROM x GROUP BY 1, 2)
 SELECT doc_id, block_no, n_copies, score, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, block_no) AS nth FROM d) WHERE nth <= 2""")

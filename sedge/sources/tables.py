@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sedge.functions.rules import RuleSet
+
 
 def read_documents(spark: SparkSession, path: str, format: str = "parquet", schema: str | None = None) -> DataFrame:
     """Parquet, JSON, CSV or whole text files, with the file a row came from as _file."""
@@ -41,6 +44,12 @@ def read_artifacts(spark: SparkSession, root: str, *, pattern: str = r"([^/]+)\.
     return found, wanted.join(found, "artifact", "left_anti")
 
 
+def artifact_rows(spark: SparkSession, root: str, *, pattern: str = r"/([^/]+)/([^/]+)\.[a-z]+$") -> DataFrame:
+    """(doc_id, artifact, n_bytes) of the files under ``root``: the document is the folder that holds the file, by the two groups of ``pattern``. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    return files.filter(F.col("path").rlike(pattern)).select(F.regexp_extract("path", pattern, 1).alias("doc_id"), F.regexp_extract("path", pattern, 2).alias("artifact"), F.col("length").alias("n_bytes"))
+
+
 def parse_responses(df: DataFrame, *, raw: str) -> DataFrame:
     """Add response (VARIANT): the text as JSON, else its outermost {...} block, else null."""
     block = F.nullif(F.regexp_extract(F.col(raw), r"(?s)\{.*\}", 0), F.lit(""))
@@ -64,8 +73,6 @@ def validate_responses(df: DataFrame, *, response: str = "response") -> DataFram
 
 def responses_to_clauses(df: DataFrame, *, id: str, response: str = "response", skip: Sequence[str] = ("signature", "certificate")) -> DataFrame:
     """One row per detected clause: key ``<type>_data``, ``_data_2`` ... within a document, confidence, needs_review (under .5)."""
-    from pyspark.sql import Window
-
     items = F.try_variant_get(response, "$.detected_clauses", "array<struct<clause_type: string, confidence: double>>")
     rows = df.select(id, F.posexplode(items).alias("pos", "c")).select(id, "pos", F.col("c.clause_type").alias("clause_type"), F.col("c.confidence").alias("confidence"))
     rows = rows.filter(~F.coalesce(F.lower("clause_type").rlike("|".join(skip)), F.lit(False)))
@@ -74,18 +81,70 @@ def responses_to_clauses(df: DataFrame, *, id: str, response: str = "response",
     return rows.withColumn("clause_key", key).withColumn("needs_review", F.col("confidence") < 0.5)
 
 
-def build_requests(df: DataFrame, *, text: str, most: int = 6000, keep: int = 2000, marker: str = "\n...\n") -> DataFrame:
-    """Add content: texts over ``most`` characters keep their first and last ``keep`` around a marker."""
+def response_clauses(df: DataFrame, *, id: str, section: str, response: str = "response", kinds: RuleSet | None = None, skip: Sequence[str] = ("signature", "certificate")) -> DataFrame:
+    """Clauses of model responses of every shape: id, section, shape, clause_key, clause_type, confidence, inferred, needs_review.
+
+    "detected": ``detected_clauses``, without types of ``skip``; inferred if the type is not in the section's name; for review below .5 or with any risk.
+    "loose": texts of ``miscellaneous_clauses``; the first rule of ``kinds`` that fires names the type (confidence .6), else it is "misc" (.7); always inferred. "item": ``extracted_items``, for review below .8.
+    Keys are the type and _data, numbered from 2 within a document and type in the order detected, loose, items. A missing confidence counts as 0.
+    """
+    detected = F.try_variant_get(response, "$.detected_clauses", "array<struct<clause_type: string, confidence: double, risks: array<variant>>>")
+    loose = F.try_variant_get(response, "$.miscellaneous_clauses", "array<string>")
+    items = F.try_variant_get(response, "$.extracted_items", "array<struct<clause_type: string, confidence: double>>")
+    base = [F.col(id).alias("_id"), F.col(section).alias("_section")]
+    named = lambda kind: F.contains(F.lower(F.coalesce("_section", F.lit(""))), F.lower(F.replace(kind, F.lit("_"), F.lit(" "))))
+    conf = lambda c: F.coalesce(c, F.lit(0.0))
+    a = df.select(*base, F.posexplode(detected).alias("_pos", "c")).filter(~F.coalesce(F.lower("c.clause_type").rlike("|".join(skip)), F.lit(False)))
+    a = a.select("_id", "_section", F.lit(0).alias("_shape"), "_pos", F.col("c.clause_type").alias("clause_type"), conf(F.col("c.confidence")).alias("confidence"), ~named(F.col("c.clause_type")) | F.col("c.clause_type").isNull(), (conf(F.col("c.confidence")) < 0.5) | (F.coalesce(F.size("c.risks"), F.lit(0)) > 0))
+    kind = kinds.first(F.lower("c")) if kinds else F.lit(None).cast("string")
+    b = df.select(*base, F.posexplode(loose).alias("_pos", "c")).filter("c IS NOT NULL").withColumn("_k", kind)
+    b = b.select("_id", "_section", F.lit(1), "_pos", F.coalesce("_k", F.lit("misc")), F.when(F.col("_k").isNull(), 0.7).otherwise(0.6), F.lit(True), F.lit(False))
+    c = df.select(*base, F.posexplode(items).alias("_pos", "c"))
+    c = c.select("_id", "_section", F.lit(2), "_pos", "c.clause_type", conf(F.col("c.confidence")), F.lit(False), conf(F.col("c.confidence")) < 0.8)
+    rows = a.union(b).union(c).toDF("_id", "_section", "_shape", "_pos", "clause_type", "confidence", "inferred", "needs_review")
+    nth = F.row_number().over(Window.partitionBy("_id", "clause_type").orderBy("_shape", "_section", "_pos"))
+    key = F.concat(F.coalesce("clause_type", F.lit("unknown")), F.lit("_data"), F.when(nth > 1, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""))
+    shape = F.element_at(F.array(F.lit("detected"), F.lit("loose"), F.lit("item")), F.col("_shape") + 1)
+    return rows.withColumn("clause_key", key).select(F.col("_id").alias(id), F.col("_section").alias(section), shape.alias("shape"), "clause_key", "clause_type", "confidence", "inferred", "needs_review")
+
+
+def build_requests(df: DataFrame, *, text: str, most: int = 6000, keep: int = 2000, marker: str = "\n...\n", policy: str = "ends") -> DataFrame:
+    """Add content: of texts over ``most`` characters "ends" keeps the first and last ``keep`` around a marker, "head" the first ``most`` and the marker."""
     c = F.col(text)
-    return df.withColumn("content", F.when(F.length(c) > most, F.concat(F.left(c, F.lit(keep)), F.lit(marker), F.right(c, F.lit(keep)))).otherwise(c))
+    cut = F.concat(F.left(c, F.lit(keep)), F.lit(marker), F.right(c, F.lit(keep))) if policy == "ends" else F.concat(F.left(c, F.lit(most)), F.lit(marker))
+    return df.withColumn("content", F.when(F.length(c) > most, cut).otherwise(c))
 
 
-def excerpts(df: DataFrame, *, id: str, text: str, over: int = 10_000, piece: int = 500, head: int = 2000) -> DataFrame:
-    """(id, piece_no, excerpt): four pieces (start, one third, two thirds, end) of long texts, the head of others."""
+def excerpts(df: DataFrame, *, id: str, text: str, over: int = 10_000, piece: int = 500, head: int = 2000, thirds_over: int | None = None, third: int = 15_000) -> DataFrame:
+    """(id, piece_no, excerpt): four pieces (start, one third, two thirds, end) of long texts, the head of others. With ``thirds_over``, texts over so many
+    characters give three pieces of ``third``: from the start, around the middle, and up to the end."""
     c, n = F.col(text), F.length(text)
     starts = F.array(F.lit(0), F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int"), (n - piece).cast("int"))
     long = F.transform(starts, lambda s: F.substring(c, s + 1, F.lit(piece)))
-    return df.select(id, F.posexplode(F.when(n > over, long).otherwise(F.array(F.left(c, F.lit(head))))).alias("piece_no", "excerpt"))
+    pieces = F.when(n > over, long).otherwise(F.array(F.left(c, F.lit(head))))
+    if thirds_over is not None:
+        starts = F.array(F.lit(0), F.floor((n - third) / 2).cast("int"), (n - third).cast("int"))
+        pieces = F.when(n > thirds_over, F.transform(starts, lambda s: F.substring(c, s + 1, F.lit(third)))).otherwise(pieces)
+    return df.select(id, F.posexplode(pieces).alias("piece_no", "excerpt"))
+
+
+def run_requests(requests: DataFrame, call: Callable[[list[str]], list[str | None]], *, content: str = "content", result: str = "raw", at_once: int = 64) -> DataFrame:
+    """Add ``result``: what ``call`` answers to the requests' texts, a list of at most ``at_once`` texts at a time. ``call`` is any function that tasks can load (a client of a model, a rule);
+    a call that raises leaves nulls, which ``validate_responses`` reports, and the other calls go on. Null texts are not sent."""
+
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            known = texts[texts.notna()]
+            for i in range(0, len(known), at_once):
+                part = known.iloc[i : i + at_once]
+                try:
+                    out[part.index] = call(part.tolist())
+                except Exception:  # noqa: BLE001 a model's failure is a row's result
+                    continue
+            yield out
+
+    return requests.withColumn(result, F.pandas_udf(answer, "string")(F.col(content)))
 
 
 def write_outputs(df: DataFrame, path: str, formats: Sequence[str] = ("parquet", "json", "csv"), partition_by: Sequence[str] = ()) -> dict[str, str]:
@@ -115,6 +174,15 @@ def flat_export(df: DataFrame, *, keep: Sequence[str], values: str, risks: str)
     return a.unionByName(b).unionByName(c)
 
 
+def flat_export_full(df: DataFrame, *, keep: Sequence[str], values: str, risks: str, confidence: str, page_start: str, page_end: str, truncated: str) -> DataFrame:
+    """``flat_export`` with confidence as text of two decimals, page_range ("3", "3-5" or empty) and truncated ("Yes" or "No")."""
+    pages = F.when(F.col(page_start).isNull(), "").when(F.coalesce(F.col(page_end), F.col(page_start)) == F.col(page_start), F.col(page_start).cast("string")).otherwise(F.concat_ws("-", page_start, page_end))
+    shown = {"confidence": F.coalesce(F.format_string("%.2f", F.col(confidence).cast("double")), F.lit("")), "page_range": pages, "truncated": F.when(F.coalesce(F.col(truncated), F.lit(False)), "Yes").otherwise("No")}
+    rows = df.select(*keep, F.col(values).alias("_values"), F.col(risks).alias("_risks"), *[c.alias(f"_{k}") for k, c in shown.items()])
+    out = flat_export(rows, keep=[*keep, *[f"_{k}" for k in shown]], values="_values", risks="_risks")
+    return out.withColumnsRenamed({f"_{k}": k for k in shown})
+
+
 def report_markdown(sections: DataFrame, *, doc: str, title: str, body: str, order: str, few: int = 5) -> DataFrame:
     """One text per document: a heading by the number of sections, then the sections in order."""
     part = F.concat(F.lit("## "), F.col(title), F.lit("\n"), F.col(body))
