@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedge.llm.common import salted_join
 from sedge.functions.storage import fresh_path, saved
 
 #: Up to so many digests of several rows are broadcast, as 8 bytes each; more meet the texts in a shuffled join.
@@ -89,7 +90,7 @@ def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
     clashing = texts.groupBy("digest").agg(F.count("*").alias("n_texts")).filter("n_texts > 1").select("digest", F.lit(False).alias("same"))
     checked = saved(state.join(clashing, "digest", "left").select("digest", "anchor", "n", F.coalesce("same", F.lit(True)).alias("same")), "dedup-checked")
     columns = ["id", "file", "row", "digest", "anchor", "n"]
-    out = rows.select("id", "file", "row", "digest").join(checked.filter("same"), "digest").select(columns)
+    out = salted_join(rows.select("id", "file", "row", "digest"), checked.filter("same"), "digest", size="n", salt=["file", "row"]).select(columns)
     clashes = checked.filter("NOT same").select("digest")
     if not clashes.isEmpty():  # a digest of several texts: its groups are those of the texts
         some = rows.join(clashes, "digest", "left_semi")

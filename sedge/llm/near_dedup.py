@@ -133,12 +133,21 @@ def union_estimate(k: int):
     return estimate
 
 
+def _with_both(pairs: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+    """``pairs`` with what ``of_a`` and ``of_b`` have of their ids. A hub is in a pair with each member of its lists: its pairs are dealt by the member."""
+    out = pairs
+    for key, other, what in (("a", "b", of_a), ("b", "a", of_b)):
+        sizes = pairs.groupBy(key).agg(F.count("*").alias("_pairs"))
+        out = salted_join(out, what.join(sizes, key), key, size="_pairs", salt=[other]).drop("_pairs")
+    return out
+
+
 def filtered(pairs: DataFrame, reps: DataFrame, *, threshold: float, k: int) -> DataFrame:
     """Pairs (a, b) whose union sketch does not rule the threshold out; a margin of SIGMAS standard deviations is left."""
     sa = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     sb = reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     share, size = union_estimate(k)(F.col("sa"), F.col("sb"))
-    both = pairs.join(sa, "a").join(sb, "b").withColumn("share", share).withColumn("size", size)
+    both = _with_both(pairs, sa, sb).withColumn("share", share).withColumn("size", size)
     slack = F.lit(SIGMAS * math.sqrt(threshold * (1 - threshold))) / F.sqrt(F.greatest(F.lit(1), F.col("size")))
     exact = (F.col("na") <= k) & (F.col("nb") <= k) & (F.col("size") < k)
     return both.filter(F.when(exact, F.col("share") >= threshold - 1e-9).otherwise(F.col("share") >= threshold - slack)).select("a", "b")
@@ -173,7 +182,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
 
     xa = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
     xb = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
-    return pairs.join(xa, "a").join(xb, "b").select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long")
+    return _with_both(pairs, xa, xb).select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -189,8 +198,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # A class may hold its least id twice; either row's sketch will do.
     reps = saved(made.join(first, ["id", "set_hash"]).dropDuplicates(["id", "set_hash"]).select("id", "set_hash", "n", "sketch"), "representatives")
     parts = components(links(reps, texts, percent=percent, width=width, k=k), src="a", dst="b")
-    named = salted_join(made.select("id", "n", "set_hash"), classes, "set_hash", size="rows", salt=["id"], how="left")
-    out = named.join(parts.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    placed = saved(classes.join(parts.select(F.col("node").alias("class_id"), "component"), "class_id", "left"), "classes")
+    out = salted_join(made.select("id", "n", "set_hash"), placed, "set_hash", size="rows", salt=["id"], how="left")
     component = F.coalesce("component", "class_id", "id")
     return out.select("id", F.col("n").alias("n_shingles"), "class_id", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
@@ -233,11 +242,12 @@ def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int
 
     def with_hub(members: DataFrame, hubs: DataFrame) -> DataFrame:
         met = salted_join(members.drop("m"), hubs, "value", size="m", salt=["id"]).filter("component <> hc")
-        best = F.min(F.struct("away", "hub")).alias("h")
+        best = F.min(F.struct("away", (-F.col("hn")).alias("short"), "hub")).alias("h")
         return met.filter(_size_fits("n", "hn", threshold)).groupBy(F.col("id").alias("a")).agg(best).select("a", F.col("h.hub").alias("b"))
 
     def hubs_of(members: DataFrame) -> DataFrame:
-        central = F.min(F.struct((-F.col("core")).alias("away"), "id", "n", "component")).alias("h")
+        # A text cut short holds nothing of its own either, so of the most central the longest.
+        central = F.min(F.struct((-F.col("core")).alias("away"), (-F.col("n")).alias("short"), "id", "n", "component")).alias("h")
         chosen = members.groupBy("value").agg(central, F.max("m").alias("m"))
         return saved(chosen.select("value", "m", F.col("h.away").alias("away"), F.col("h.id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.component").alias("hc")), "hubs")
 
@@ -248,7 +258,8 @@ def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int
     hubs = hubs_of(alone)
     edges = verified(pairs.unionByName(with_hub(alone, hubs)))
     forget(hubs)
-    for turn in range(HUB_ROUNDS + 1):
+    turn = 0
+    while turn <= HUB_ROUNDS:
         parts = components(edges, src="a", dst="b")
         members = large.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         members = saved(members, "members")
@@ -265,8 +276,11 @@ def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int
             hubs = hubs_of(outside)
             more = verified(with_hub(open_lists, hubs))
             forget(hubs)
-        else:
+            if more.isEmpty():  # the same hubs would meet the same members again
+                turn = HUB_ROUNDS
+        if turn >= HUB_ROUNDS:
             more = verified(_left_over(open_lists, sets, percent=percent))
+        turn += 1
         forget(open_lists)
         both = saved(edges.unionByName(more).distinct(), "links")
         forget(edges, more)
@@ -300,6 +314,8 @@ def _left_over(open_lists: DataFrame, sets: DataFrame, *, percent: int) -> DataF
     # Of a pair the smaller set must lie in the larger one's window, up to its own size, and the larger one in the smaller one's.
     lower = placed.filter("most >= n").select("value", size_bin(F.col("n")).alias("bin"), *[F.col(c).alias(f"l_{c}") for c in ("id", "n", "component", "outside", "most")])
     upper = placed.withColumn("to", F.least("most", "n")).withColumn("bin", F.explode(F.sequence(size_bin(F.col("least")), size_bin(F.col("to")))))
-    fits = F.col("l_n").between(F.col("least"), F.col("to")) & (F.col("n") <= F.col("l_most"))
-    met = lower.join(upper, ["value", "bin"]).filter(fits & (F.col("outside") | F.col("l_outside")) & (F.col("component") != F.col("l_component")))
-    return met.select(F.col("l_id").alias("a"), F.col("id").alias("b"))
+    fits = F.col("l_n").between(F.col("least"), F.col("to")) & (F.col("n") <= F.col("l_most")) & (F.col("component") != F.col("l_component"))
+    # Of a pair at least one is outside; members inside their lists' largest components, which are many, do not meet each other.
+    some = lower.filter("l_outside").join(upper, ["value", "bin"]).filter(fits)
+    rest = lower.filter("NOT l_outside").join(upper.filter("outside"), ["value", "bin"]).filter(fits)
+    return some.unionByName(rest).select(F.col("l_id").alias("a"), F.col("id").alias("b"))
