@@ -65,6 +65,39 @@ PARTIES = (
     FactRule("term", rf"(?i:term (?:is|of|shall be))[^.\n]{{0,30}}?{SPAN}", 1, 0.85),
     FactRule("deposit", rf"(?i:security deposit)[^$\n]{{0,60}}{MONEY}", 1, 0.85),
     FactRule("use", r"(?i)(?:used? (?:solely |only )?(?:as|for)) ([^.\n]{3,80})", 1, 0.7),
+    FactRule("landlord_address", r"(?i:landlord|lessor)(?i:'s)? (?i:address|notices?)(?i: is| are sent to)?:? ?([0-9]+ [A-Z][A-Za-z0-9 .,-]{3,80})", 1, 0.7),
+    FactRule("tenant_address", r"(?i:tenant|lessee)(?i:'s)? (?i:address|notices?)(?i: is| are sent to)?:? ?([0-9]+ [A-Z][A-Za-z0-9 .,-]{3,80})", 1, 0.7),
+    FactRule("guarantor", rf"(?i:guarantors?|guaranteed by):? ?{PARTY}", 1, 0.75),
+    FactRule("broker", rf"(?i:brokers?|agent):? ?{PARTY}", 1, 0.6),
+    FactRule("occupants", r"(?i)\b([0-9]+|one|two|three|four|five|six) (?:adult )?(?:occupants?|persons|residents)\b", 1, 0.7),
+    FactRule("unit", r"(?i)\b(?:unit|suite|apartment|apt\.?) (?:no\.? )?([0-9]+[A-Z]?)\b", 1, 0.75),
+    FactRule("floor", r"(?i)\b((?:ground|first|second|third|fourth|fifth|[0-9]+(?:st|nd|rd|th)) floor)\b", 1, 0.7),
+    FactRule("area", r"(?i)\b([0-9][0-9,]*(?:\.[0-9]+)?) ?(?:rentable |usable )?(?:square feet|sq\.? ?ft|square met(?:er|re)s?)", 1, 0.8),
+    FactRule("bedrooms", r"(?i)\b([0-9]+|one|two|three|four|five)[- ]bedrooms?\b", 1, 0.75),
+    FactRule("parking", r"(?i)\b([0-9]+|one|two|three|four|five) (?:reserved |covered )?parking (?:spaces?|stalls?|bays?)", 1, 0.8),
+    FactRule("storage", r"(?i)\b(storage (?:unit|room|space|locker))\b", 1, 0.6),
+    FactRule("furnished", r"(?i)\b((?:un|partly |fully )?furnished)\b", 1, 0.6),
+    FactRule("start_of_term", rf"(?i:commenc\w*|begins?|starts?) (?i:on )?{DATE}", 1, 0.8),
+    FactRule("end_of_term", rf"(?i:expir\w*|ends?) (?i:on )?{DATE}", 1, 0.8),
+    FactRule("month_to_month", r"(?i)\b(month[- ]to[- ]month)\b", 1, 0.8),
+    FactRule("holdover", r"(?i)\bhold(?:ing)?[- ]?over\b[^.\n]{0,80}?([0-9]+) ?%", 1, 0.75),
+    FactRule("rent_due", r"(?i)\b(?:due|payable) (?:on|by) the ([0-9]{1,2}(?:st|nd|rd|th)?|first|last) (?:day )?of (?:each|every|the) month", 1, 0.8),
+    FactRule("late_fee", rf"(?i:late (?:fee|charge))[^$\n]{{0,40}}{MONEY}", 1, 0.8),
+    FactRule("late_fee_percent", r"(?i)late (?:fee|charge)[^.%\n]{0,40}?([0-9]+(?:\.[0-9]+)?) ?%", 1, 0.75),
+    FactRule("grace_period", r"(?i)grace period[^.\n]{0,20}?([0-9]+ days?)", 1, 0.75),
+    FactRule("returned_payment", rf"(?i:returned|dishono(?:u)?red) (?i:check|cheque|payment)[^$\n]{{0,40}}{MONEY}", 1, 0.7),
+    FactRule("prorated_rent", rf"(?i:prorated)[^$\n]{{0,40}}{MONEY}", 1, 0.7),
+    FactRule("last_month", rf"(?i:last month'?s? rent)[^$\n]{{0,40}}{MONEY}", 1, 0.7),
+    FactRule("deposit_return", r"(?i)deposit[^.\n]{0,80}?(?:returned|refunded) within ([0-9]+ days)", 1, 0.75),
+    FactRule("cleaning_fee", rf"(?i:cleaning (?:fee|charge))[^$\n]{{0,40}}{MONEY}", 1, 0.7),
+    FactRule("pets", r"(?i)\b(no pets(?: are)?(?: allowed)?|pets? (?:is|are) (?:not )?(?:allowed|permitted))\b", 1, 0.75),
+    FactRule("pet_fee", rf"(?i:pet (?:fee|deposit|rent))[^$\n]{{0,40}}{MONEY}", 1, 0.75),
+    FactRule("utilities", r"(?i)\b(?:tenant|lessee|landlord|lessor) (?:pays?|shall pay|is responsible) for ((?:water|gas|electric\w*|heat\w*|internet|trash)(?:(?:, | and |, and )(?:water|gas|electric\w*|heat\w*|internet|trash|sewer))*)", 1, 0.75),
+    FactRule("smoking", r"(?i)\b(no smoking|smoking is (?:not )?(?:allowed|permitted|prohibited))\b", 1, 0.7),
+    FactRule("subletting", r"(?i)\b((?:no )?sublet\w* (?:is|are)? ?(?:not )?(?:allowed|permitted|prohibited))\b", 1, 0.6),
+    FactRule("entry_notice", r"(?i)\b(?:enter|entry|access)\b[^.\n]{0,60}?([0-9]+ (?:hours?|days?))", 1, 0.7),
+    FactRule("insurance_minimum", rf"(?i:liability insurance|renter'?s insurance)[^$\n]{{0,60}}{MONEY}", 1, 0.7),
+    FactRule("governing_law", r"(?i:laws? of) (?i:the )?(?i:state of )?([A-Z][a-z]+(?: [A-Z][a-z]+)?)", 1, 0.7),
 )
 
 #: Patterns of two groups: pairs that belong together.
@@ -91,6 +124,25 @@ RISK_TAGS = (
 )
 
 
+#: Sections of contracts for ``segment.pattern_sections``: group and pattern of a line in lower case that begins it; the first that fits counts. Those of a type are in SECTIONS_OF.
+_OPENS = r"^(?:(?:article|section|clause) +)?(?:[0-9ivxl]+[.):]?[0-9.]* *)?(?:-|–)? *"
+SECTIONS = tuple((group, rf"{_OPENS}(?:{words})\b") for group, words in (
+    ("parties", "parties|between|landlord|lessor|tenant|lessee"), ("premises", "(?:leased |demised )?premises|property|location"), ("term", "(?:the |lease )?term|commencement|duration"), ("rent", "(?:base |minimum |the base )?rent|payments?"),
+    ("deposit", "(?:the )?security deposit|bond"), ("use", "(?:permitted )?use|purpose"), ("maintenance", "maintenance|repairs?|upkeep"), ("utilities", "utilities|services"), ("insurance", "insurance|indemni(?:ty|fication)|liability"),
+    ("assignment", "assignment|sublet(?:ting)?|transfers?"), ("default", "(?:on |events? of )?default|remed(?:y|ies)|breach"), ("termination", "termination|surrender|early end"), ("general", "general|miscellaneous|notices?|signatures?"),
+))
+SECTIONS_OF = {kind: tuple((group, rf"{_OPENS}(?:{words})\b") for group, words in rows) for kind, rows in {
+    "retail": (("co_tenancy", "co-?tenancy"), ("percentage_rent", "percentage rent|gross sales"), ("hours", "(?:opening|operating) hours")),
+    "office": (("expenses", "operating expenses|shared costs"), ("improvements", "(?:tenant )?improvements|fit-?out"), ("parking", "parking")),
+    "industrial": (("environment", "environmental|hazardous"), ("equipment", "equipment|loading")),
+}.items()}
+
+#: Types of tables for ``texttables.type_score``: name, words of headers, words of the first rows.
+TABLE_TYPES = (
+    ("rent schedule", ("rent", "month", "year", "period"), ("$", "year", "month")), ("cost allocation", ("share", "cost", "expense", "percent"), ("%", "tax", "insurance")),
+    ("tenant roster", ("tenant", "unit", "area", "suite"), ("vacant", "sq", "llc")), ("dates", ("date", "event", "deadline", "notice"), ("20", "days", "expir")), ("parties", ("name", "party", "address", "role"), ("landlord", "tenant", "street")),
+)
+
 #: Fields of a response that is plain text, for ``facts.parse_key_values``: a later pattern of a field overwrites an earlier one.
 KEY_VALUES = tuple((field, rf"(?im)^[ \t>*-]*[\"']?(?:{names})[\"']?[ \t]*[:=][ \t]*([^\n]+)$") for field, names in (
     ("tenant", "tenant|lessee"), ("landlord", "landlord|lessor|owner"), ("premises", "premises|address|property"), ("term", "term|lease term|duration"), ("start_date", "start|start date|commencement"),

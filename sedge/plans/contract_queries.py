@@ -207,3 +207,26 @@ def contract_missing(spark, sf):
     """Categories that neither a clause's key nor any text of the contract speaks of."""
     rows = spark.createDataFrame([(kind, c, w) for kind, c, words in ESSENTIAL for w in words], "kind string, category string, keyword string")
     return risks.missing_by_words(clauses(spark, sf), rows, doc="doc_id", key="clause_key", texts=["line"], kind="kind")
+
+
+def _sections_sql() -> str:
+    first = lambda rows: "CASE " + " ".join(f"WHEN regexp_matches(lower(line), {_quoted(p)}) THEN '{g}'" for g, p in rows) + " END"
+    kinds = " ".join(f"WHEN '{kind}' THEN {first((*rows, *catalogues.SECTIONS))}" for kind, rows in catalogues.SECTIONS_OF.items())
+    return f"""WITH {CLAUSES_SQL}, g AS (SELECT doc_id, line_no, line, CASE kind {kinds} ELSE {first(catalogues.SECTIONS)} END AS g FROM clauses),
+r AS (SELECT *, sum((g IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section_no FROM g)
+SELECT doc_id, section_no::BIGINT AS section_no, coalesce(max(g), 'preamble') AS section, sum(length(regexp_replace(line, '[ \\t\\r\\n]', '', 'g')))::BIGINT AS n_solid, count(*) AS n_lines FROM r GROUP BY doc_id, section_no"""
+
+
+@query("contract_sections", _sections_sql())
+def contract_sections(spark, sf):
+    """Sections by the built-in groups, those of a contract's type first."""
+    from sedge.functions.rules import Rule
+    from sedge.operators import segment
+
+    kind = F.when(F.col("doc_id") % 4 == 0, "retail").when(F.col("doc_id") % 4 == 1, "office").when(F.col("doc_id") % 4 == 2, "industrial").otherwise("other")
+    texts, out = contracts(spark, sf).withColumn("kind", kind), None
+    for name, own in (*catalogues.SECTIONS_OF.items(), ("other", ())):
+        rules = RuleSet(Rule(group, pattern) for group, pattern in (*own, *catalogues.SECTIONS))
+        found = segment.pattern_sections(texts.filter(F.col("kind") == name), rules)
+        out = found if out is None else out.unionByName(found)
+    return out.select("doc_id", "section_no", "section", "n_solid", "n_lines")

@@ -46,6 +46,12 @@ def scan_artifacts(spark, sf):
     return found.select("artifact", "n_files", "n_bytes").unionByName(missing.select("artifact", F.lit(0).cast("long").alias("n_files"), F.lit(0).cast("long").alias("n_bytes")))
 
 
+@query("artifact_rows")
+def artifact_rows(spark, sf):
+    """Files of the input folder by the folder that holds them."""
+    return tables.artifact_rows(spark, sf)
+
+
 @query("model_response_parse", f"WITH {RAW_SQL} SELECT event_id, CASE WHEN event_id % 8 = 1 THEN NULL WHEN event_id % 8 = 2 THEN '7' ELSE split_part(split_part(raw, '\"category\": \"', 2), '\"', 1) END AS category FROM raw")
 def model_response_parse(spark, sf):
     return tables.parse_responses(raw_responses(spark, sf), raw="raw").select("event_id", F.try_variant_get("response", "$.category", "string").alias("category"))
@@ -389,6 +395,22 @@ def roster_cells(spark, sf):
     return texttables.cells(texttables.delimited_blocks(segment.lines(texts), id="doc_id", least_lines=2), id="doc_id")
 
 
+def _type_sql() -> str:
+    def share(column, words):
+        return "(" + " + ".join(f"contains({column}, '{w}')::INT" for w in words) + f") / {len(words)}"
+
+    scores = ", ".join(f"round(0.6 * {share('h', heads)} + 0.4 * {share('v', words)}, 6)" for _, heads, words in catalogues.TABLE_TYPES)
+    names = ", ".join(f"'{name}'" for name, _, _ in catalogues.TABLE_TYPES)
+    return f"""WITH {ROSTER_SQL}, x AS (SELECT l_orderkey AS doc_id, 'area share tenant unit' AS h, lower(string_agg(line, '|' ORDER BY line) FILTER (nth <= 3)) AS v FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY line) AS nth FROM rl) GROUP BY 1),
+s AS (SELECT doc_id, [{scores}] AS s FROM x) SELECT doc_id, 1 AS block_no, list_extract([{names}], list_position(s, list_max(s))::INT) AS kind, list_max(s)::DOUBLE AS score FROM s"""
+
+
+@query("table_types", _type_sql())
+def table_types(spark, sf):
+    """Rosters by the built-in types of tables."""
+    return texttables.type_score(roster_cells(spark, sf), catalogues.TABLE_TYPES, id="doc_id")
+
+
 @query("table_cost_shares", f"WITH {ROSTER_SQL} SELECT l_orderkey AS doc_id, 1 AS block_no, sum(CASE WHEN l_orderkey % 2 = 0 AND l_linenumber = 1 THEN 100 - 7 * (n - 1) ELSE 7 END)::DOUBLE AS percent_total, abs(sum(CASE WHEN l_orderkey % 2 = 0 AND l_linenumber = 1 THEN 100 - 7 * (n - 1) ELSE 7 END) - 100) <= 0.01 AS fully_allocated FROM ro GROUP BY 1")
 def table_cost_shares(spark, sf):
     return texttables.cost_shares(roster_cells(spark, sf), id="doc_id")

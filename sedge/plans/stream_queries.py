@@ -53,10 +53,12 @@ def stream_event_windows(spark, sf):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("stream_sliding_windows", """
-SELECT (date_trunc('hour', ts) + to_minutes(15 * (minute(ts) // 15)::INT) - to_minutes(15 * i::INT))::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events, range(4) r(i) GROUP BY 1, 2""")
+@query("stream_sliding_windows", """WITH w AS (SELECT (date_trunc('hour', ts) + to_minutes(15 * (minute(ts) // 15)::INT) - to_minutes(15 * i::INT))::TIMESTAMP AS window_start, event_type FROM events, range(4) r(i))
+SELECT window_start, event_type, count(*) AS n FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 3 DAY FROM events) GROUP BY 1, 2""")
 def stream_sliding_windows(spark, sf):
-    out = streams.run(streams.event_windows(events(spark, sf), ts="ts", kind="event_type", value="value", size="1 hour", slide="15 minutes"), mode="complete", name="sliding")
+    """Each window is written once, when the watermark, three days behind, has passed it; rows two days late still count."""
+    rows = streams.with_time(daily(spark, sf, ["event_id", "ts", "event_type", "value"]), "ts", "3 days")
+    out = streams.run(streams.event_windows(rows, ts="ts", kind="event_type", value="value", size="1 hour", slide="15 minutes"), mode="append", name="sliding")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 

@@ -13,7 +13,7 @@ from sedge.plans import catalogue
 
 
 #: What SQL does not express is compared with plain versions in test_library.py.
-PLAIN_VERSIONS = ("label_communities", "number_outline", "overlapping_headings", "refined_communities", "scan_artifacts", "semantic_chunks", "standard_clauses")
+PLAIN_VERSIONS = ("artifact_rows", "label_communities", "number_outline", "overlapping_headings", "refined_communities", "scan_artifacts", "semantic_chunks", "standard_clauses")
 
 
 @pytest.fixture(scope="module")
