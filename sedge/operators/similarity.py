@@ -12,8 +12,10 @@ from sedge.functions.joins import percentiles
 from sedge.functions.storage import saved
 from sedge.operators.graph import components
 
-#: Rows of a block; each block meets each other one in a task of its own.
+#: Rows of a block; each block meets each other one that it may share a pair with in a task of its own.
 BLOCK = 4096
+#: Vectors whose angles tell which blocks lie too far apart.
+PIVOTS = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -104,20 +106,63 @@ def _vector_classes(df: DataFrame, *, id: str, vector: str) -> tuple[DataFrame,
     return saved(members, "class-members"), reps
 
 
+def block_plan(reps: DataFrame, least: float, *, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """((id, v, block) of all vectors, (i, j) of the block pairs, i <= j, that may hold a pair with cosine of at least ``least``).
+
+    Up to ``pivots`` vectors, drawn by a hash, are pivots. A vector goes to the cell of its nearest pivot, and cells are dealt into blocks of about BLOCK rows. A block keeps, for each pivot, the least
+    and largest angle of its vectors to it. By the triangle inequality two vectors lie at least as far apart as their angles to any pivot differ, so a pair of blocks is left out if
+    for some pivot its intervals are further apart than the angle of ``least``. Nothing is estimated: on vectors without clusters all pairs stay. Vectors of another dimension than
+    the pivots' have intervals that exclude nothing.
+    """
+    drawn = reps.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()  # a bounded number of vectors
+    if not drawn:
+        return reps.withColumn("block", F.lit(0)), reps.select(F.lit(0).alias("i"), F.lit(0).alias("j")).limit(0)
+    dim = len(drawn[0]["v"])
+    axes = np.array([r["v"] for r in drawn if len(r["v"]) == dim], float).reshape(-1, dim)
+    kind = reps.schema["id"].dataType.simpleString()
+
+    def measure(batches):
+        for b in batches:
+            n = b.num_rows
+            angles = np.tile([0.0, np.pi], (n, len(axes), 1))
+            sizes = pc.list_value_length(b.column("v")).to_numpy(zero_copy_only=False)
+            same = np.flatnonzero(sizes == dim)
+            if len(same):
+                rows = pc.list_flatten(b.column("v").take(pa.array(same))).to_numpy().reshape(len(same), dim)
+                angles[same] = np.arccos(np.clip(rows @ axes.T, -1, 1))[:, :, None]
+            cell = np.full(n, -1, np.int32)
+            cell[same] = angles[same, :, 0].argmin(axis=1)
+            lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), len(axes)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(cell), lists(angles[:, :, 0]), lists(angles[:, :, 1])], names=["id", "v", "cell", "low", "high"])
+
+    measured = saved(reps.select("id", "v").mapInArrow(measure, f"id {kind}, v array<double>, cell int, low array<double>, high array<double>"), "measured")
+    cells = measured.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("deals"))  # ``pivots`` + 1 rows at most
+    first = F.coalesce(F.sum("deals").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = measured.join(F.broadcast(cells.withColumn("first", first)), "cell")
+    dealt = saved(dealt.withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), "deals")).cast("int")).select("id", "v", "block", "low", "high"), "dealt")
+    spans = dealt.select("block", F.posexplode(F.arrays_zip("low", "high")).alias("k", "x")).groupBy("block", "k").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    blocks = saved(spans.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", "low", "high"))).alias("spans")), "blocks")
+    n_blocks = cells.agg(F.sum("deals")).first()[0]
+    left = blocks.select(F.col("block").alias("i"), F.col("spans").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(int(n_blocks) - 1))).alias("j"))
+    both = left.join(blocks.select(F.col("block").alias("j"), F.col("spans").alias("b")), "j")
+    reach = float(np.arccos(np.clip(least - 1e-6, -1, 1))) + 1e-6
+    apart = F.exists(F.zip_with("a", "b", lambda x, y: F.greatest(x["low"] - y["high"], y["low"] - x["high"])), lambda d: d > reach)
+    return dealt.select("id", "v", "block"), saved(both.filter(~apart).select("i", "j"), "block-pairs")
+
+
 def _rep_pairs(reps: DataFrame, least: float) -> DataFrame:
-    blocks = _blocks(reps)
-    every = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("_own", j).alias("i"), F.greatest("_own", j).alias("j"), (F.col("_own") > j).cast("int").alias("side")))
-    own = F.array(F.struct(F.col("_own").alias("i"), F.col("_own").alias("j"), F.lit(1).alias("side")))  # a block meets itself: both sides
-    placed = reps.withColumn("_own", _block_of(blocks)).select("id", "v", F.inline(F.concat(every, own)))
-    pairs = _products(placed, least).filter("a <> b AND (i <> j OR a < b)")
+    rows, blocks = block_plan(reps, least)
+    left = rows.withColumnRenamed("block", "i").join(blocks, "i").select("id", "v", "i", "j", F.lit(0).alias("side"))
+    right = rows.withColumnRenamed("block", "j").join(blocks, "j").select("id", "v", "i", "j", F.lit(1).alias("side"))  # a block meets itself: both sides
+    pairs = _products(left.unionByName(right), least).filter("a <> b AND (i <> j OR a < b)")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def similar_pairs(df: DataFrame, *, id: str, vector: str, least: float) -> DataFrame:
     """All pairs (a < b, similarity) with cosine of at least ``least``; one vector per id.
 
-    Every block of class representatives is compared with every other, so no pair is missed and the work grows with the square of the
-    number of distinct vectors.
+    Blocks of class representatives are compared with all others but those that ``block_plan`` proves too far away, so no pair is missed; on vectors
+    without clusters the work grows with the square of the number of distinct vectors.
     """
     members, reps = _vector_classes(df, id=id, vector=vector)
     found = saved(_rep_pairs(reps, least), "class-pairs")

@@ -144,6 +144,35 @@ def test_similar_pairs_are_all_found(spark, monkeypatch):
     assert groups == {r.node: r.component for r in graph.components(spark.createDataFrame(got, "src long, dst long")).collect()}
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_far_blocks_are_left_out_and_no_pair_is_lost(spark, monkeypatch, clustered):
+    monkeypatch.setattr(similarity, "BLOCK", 60)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((12, 16))
+    data = centres[rng.integers(0, 12, 900)] + rng.standard_normal((900, 16)) * (0.15 if clustered else 5.0)
+    rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(2000, [1.0, 0.0]), (2001, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    unit = data / np.sqrt((data * data).sum(axis=1, keepdims=True))
+    a, b = np.nonzero(np.triu(np.round(unit @ unit.T, 6) >= 0.9, 1))
+    got = [(r.a, r.b) for r in similarity.similar_pairs(df, id="id", vector="v", least=0.9).collect()]
+    assert sorted(got) == sorted([*zip(a.tolist(), b.tolist(), strict=True), (2000, 2001)])
+    placed, pairs = similarity.block_plan(similarity.normalised(df, id="id", vector="v"), 0.9)
+    n, kept = placed.select("block").distinct().count(), pairs.count()
+    share = 1 - kept / (n * (n + 1) / 2)
+    assert share > 0.6 if clustered else share < 0.3
+    print(f"left out of {n} blocks' pairs: {share:.2f}")
+    assert similarity.similar_pairs(df.limit(0), id="id", vector="v", least=0.9).count() == 0
+
+
+def test_party_facts(spark):
+    from sedge.functions.catalogues import PARTIES
+
+    text = "Suite 12B on the second floor has 1,200 square feet and two parking spaces. The lease is month-to-month. Rent is due on the first day of each month; a late fee of $50.00 applies after a grace period of 5 days. No pets allowed. Tenant pays for water, gas and internet. Landlord may enter after 24 hours. The laws of the State of New York apply. Holding over costs 150% of rent. Guaranteed by: Elm Bank LLC"
+    got = {r.field: r.value for r in facts.extract_facts(spark.createDataFrame([(1, text)], "doc_id long, text string"), PARTIES, id="doc_id", text="text", mode="first", least_chars=1).collect()}
+    want = {"unit": "12B", "floor": "second floor", "area": "1,200", "parking": "two", "month_to_month": "month-to-month", "rent_due": "first", "late_fee": "50.00", "grace_period": "5 days", "pets": "No pets allowed", "utilities": "water, gas and internet", "entry_notice": "24 hours", "governing_law": "New York", "holdover": "150", "guarantor": "Elm Bank LLC"}
+    assert {k: got.get(k) for k in want} == want
+
+
 def test_responses(spark):
     raw = [(1, '{"category": "x", "confidence": 0.5, "risk_flags": []}'), (2, "say {\"category\": \"x\", \"confidence\": 2, \"risk_flags\": []} ok"), (3, "{cut"), (4, None), (5, "")]
     out = tables.validate_responses(tables.parse_responses(spark.createDataFrame(raw, "id long, raw string"), raw="raw")).collect()
