@@ -11,8 +11,8 @@ documents. Texts far above the cut are so always kept and those far below it nev
 A word that repeats the one before it becomes one "repeat" symbol, so that runs of any word look alike.
 
 Defined cases: null, empty or blank texts hold no n-gram, have a null weight and are never selected; without labelled good texts
-every text that holds an n-gram is selected unless k is given; equal keys go by the smaller id, nulls last, so repeated rows are selected
-together at the border; a row with a null id draws its noise from its text; an empty table gives an empty one; ``resampled``
+every text that holds an n-gram is selected unless k is given; all rows whose key is that of the k-th are selected, so repeated rows go
+together and k may be exceeded by them; a row with a null id draws its noise from its text; an empty table gives an empty one; ``resampled``
 keeps all columns, also those whose names look like its own.
 """
 

@@ -223,3 +223,75 @@ def test_byte_ids_equal_the_library(paths):
     ids, at = byte_token_ids(pa.array(texts, pa.string()), paths[0])
     for e, a, b in zip(Tokenizer.from_file(paths[0]).encode_batch(texts, add_special_tokens=False), at, at[1:], strict=False):
         assert e.ids == ids[a:b].tolist()
+
+
+def test_token_counts_through_spark(spark, paths):
+    from tokenizers import Tokenizer
+
+    from sedge.llm.token_counts import token_counts
+
+    texts = [*odd_texts(80, seed=3), None, "", "word " * 3000]
+    want = [len(Tokenizer.from_file(paths[0]).encode(t or "", add_special_tokens=False).ids) for t in texts]
+    got = {r.id: (r.n_bytes, r.n_tokens) for r in token_counts(documents(spark, texts), paths[0]).collect()}
+    assert got == {i: (len((t or "").encode()), n) for i, (t, n) in enumerate(zip(texts, want, strict=True))}
+
+
+def test_rows_with_the_last_key_are_selected_together(spark):
+    from sedge.llm.quality import quality_scores
+
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    for k in (1, 3, 4):
+        out = quality_scores(spark, docs, labels, k=k).collect()
+        kept = [r.id for r in out if r.selected]
+        assert len(kept) == k + k % 2 and all(kept.count(i) == 2 for i in kept)
+
+
+def test_left_over_pairs_stay_in_proportion(spark, monkeypatch):
+    """Edited, cut and prolonged copies of one text: what hubs leave gives fewer pairs than there are members, and components equal brute force."""
+    from sedge.llm import near_dedup
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = []
+    for i in range(400):
+        text = list(base)
+        if i % 4 < 2:
+            for _ in range(rng.randint(0, 5)):
+                text[rng.randrange(150)] = rng.choice(words)
+        elif i % 4 == 2:
+            text = base[: rng.randint(60, 150)]
+        else:
+            text = base[:110] + [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        texts.append(" ".join(text))
+    counted = []
+    original = near_dedup._left_over
+
+    def counting(open_lists, sets, *, percent):
+        out = original(open_lists, sets, percent=percent)
+        counted.append(near_dedup._ordered(out).count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_left_over", counting)
+    got = {r.id: r.component_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert sum(counted) < len(texts)
+    sets = [frozenset(zip(*[t.split()[j:] for j in range(5)], strict=False)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    assert got == {i: root(i) for i in range(len(texts))}
