@@ -10,10 +10,12 @@ them may be cut, t * k less SIGMAS standard deviations of a hypergeometric draw,
 kept - need + 1 values; only these generate, and values held by a single representative cannot. A passage that very many
 documents share is last in that order and generates only between documents that consist of it for the most part.
 
-What lists hold is linked in rounds: each list's hub is the member with the largest share of values that others hold too, of equals the longest (a text cut
-short has nothing of its own either, but is unlike the whole ones), and a member meets the one such hub of its lists that is most central (a pair per member and round, never all pairs); links are confirmed on full shingle sets, and components contract. What hubs leave -
-members that lie outside their list's largest component; a round that links nothing is the last - then meets the members of other components over exact prefixes of
-the full sets, so no link between components is lost, while members that are already connected are not compared again.
+What lists hold is linked in rounds: each list's hub is the member with the largest share of values that others hold too, of
+equals the longest (a text cut short has nothing of its own either, but is unlike the whole ones), and a member meets the one
+such hub of its lists that is most central (a pair per member and round, never all pairs); links are confirmed on full shingle
+sets, and components contract. A round that links nothing is the last. What hubs leave - members that lie outside their list's
+largest component - then meets the members of other components over exact prefixes of the full sets, so no link between
+components is lost, while members that are already connected are not compared again.
 
 In that last step a shingle at place p of a set of n, rarest first, is the first one shared with a partner only if the partner's
 size is at most (1 + t) / t * (n - p) - n, since no more than n - p shingles can be common. Each shingle so carries a window of
