@@ -260,11 +260,14 @@ def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int
     hubs = hubs_of(alone)
     edges = verified(pairs.unionByName(with_hub(alone, hubs)))
     forget(hubs)
-    turn = 0
+    turn, open_lists = 0, None
     while turn <= HUB_ROUNDS:
         parts = components(edges, src="a", dst="b")
-        members = large.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # A list whose members are in one component stays so; only the open ones are looked at again.
+        held = large if open_lists is None else open_lists.drop("component", "outside", "top")
+        members = held.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         members = saved(members, "members")
+        forget(open_lists)
         sums = members.groupBy("value", "component").agg(F.count("*").alias("c"))
         most = sums.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("m"), F.count("*").alias("parts")).filter("parts > 1")
         most = saved(most.select("value", "m", F.col("top.component").alias("top")), "list-tops")
@@ -272,7 +275,6 @@ def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int
         forget(members, most)
         outside = open_lists.filter("outside")
         if outside.isEmpty():
-            forget(open_lists)
             break
         if turn < HUB_ROUNDS:
             hubs = hubs_of(outside)
@@ -283,11 +285,10 @@ def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int
         if turn >= HUB_ROUNDS:
             more = verified(_left_over(open_lists, sets, percent=percent))
         turn += 1
-        forget(open_lists)
         both = saved(edges.unionByName(more).distinct(), "links")
         forget(edges, more)
         edges = both
-    forget(lists, active, sets)
+    forget(lists, active, sets, open_lists)
     return edges
 
 
