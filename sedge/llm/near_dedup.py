@@ -13,7 +13,7 @@ documents share is last in that order and generates only between documents that
 What lists hold is linked in rounds: each list's hub is the member with the largest share of values that others hold too, of
 equals the longest (a text cut short has nothing of its own either, but is unlike the whole ones), and a member meets the one
 such hub of its lists that is most central (a pair per member and round, never all pairs); links are confirmed on full shingle
-sets, and components contract. A round that links nothing is the last. What hubs leave - members that lie outside their list's
+sets, and components contract. A round that links few is the last. What hubs leave - members that lie outside their list's
 largest component - then meets the members of other components over exact prefixes of the full sets, so no link between
 components is lost, while members that are already connected are not compared again.
 
@@ -50,6 +50,8 @@ BROADCAST_IDS = 1_000_000
 #: Lists up to this length are paired out at once: at most PAIR_LIST / 2 pairs per member.
 PAIR_LIST = 8
 HUB_ROUNDS = 2
+#: A hub round that links less than this share of the members outside their lists' components is the last one.
+LEAST_YIELD = 0.1
 SIGMAS = 5.5
 #: Sizes in one bin differ by a factor of at most this.
 SIZE_BIN = 1.03
@@ -276,17 +278,21 @@ def links(reps: DataFrame, texts: DataFrame, *, percent: int, width: int, k: int
         outside = open_lists.filter("outside")
         if outside.isEmpty():
             break
+        found = []
         if turn < HUB_ROUNDS:
             hubs = hubs_of(outside)
-            more = verified(with_hub(open_lists, hubs))
+            found.append(verified(with_hub(open_lists, hubs)))
             forget(hubs)
-            if more.isEmpty():  # the same hubs would meet the same members again
+            if found[0].count() < LEAST_YIELD * outside.select("id").distinct().count():  # the next hubs would link as few
                 turn = HUB_ROUNDS
         if turn >= HUB_ROUNDS:
-            more = verified(_left_over(open_lists, sets, percent=percent))
+            found.append(verified(_left_over(open_lists, sets, percent=percent)))
         turn += 1
-        both = saved(edges.unionByName(more).distinct(), "links")
-        forget(edges, more)
+        both = edges
+        for more in found:
+            both = both.unionByName(more)
+        both = saved(both.distinct(), "links")
+        forget(edges, *found)
         edges = both
     forget(lists, active, sets, open_lists)
     return edges
