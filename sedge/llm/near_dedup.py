@@ -153,8 +153,11 @@ def filtered(pairs: DataFrame, reps: DataFrame, *, threshold: float, k: int) ->
     share, size = union_estimate(k)(F.col("sa"), F.col("sb"))
     both = _with_both(pairs, sa, sb).withColumn("share", share).withColumn("size", size)
     slack = F.lit(SIGMAS * math.sqrt(threshold * (1 - threshold))) / F.sqrt(F.greatest(F.lit(1), F.col("size")))
-    exact = (F.col("na") <= k) & (F.col("nb") <= k) & (F.col("size") < k)
-    return both.filter(F.when(exact, F.col("share") >= threshold - 1e-9).otherwise(F.col("share") >= threshold - slack)).select("a", "b")
+    # Sketches of at most k values are whole sets, so their similarity is known, however many values both have together.
+    common = F.size(F.array_intersect("sa", "sb"))
+    known = common >= (threshold - 1e-9) * (F.col("na") + F.col("nb") - common)
+    whole = (F.col("na") <= k) & (F.col("nb") <= k)
+    return both.filter(F.when(whole, known).otherwise(F.col("share") >= threshold - slack)).select("a", "b")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, *, width: int) -> DataFrame:
