@@ -6,10 +6,11 @@ windows. Headings are matched per line, never across line ends.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -328,35 +329,38 @@ def number_outline(df: DataFrame, *, id: str, pos: str) -> DataFrame:
     A document's headings are folded in order of ``pos`` over a stack of open headings. A heading closes what stands from the first open heading of its own style on - for
     dotted numbers from the first dotted one that is not a proper beginning of its number - and belongs to the heading that is then on top (null: the root). ``path`` holds
     the positions of all that stay open, from the root; is_child says whether the parent's number is that of a direct parent; orphan, that a dotted number of several parts has no heading of one part less above it.
-    Headings without a number close nothing and belong to the root. Only numbers meet in a task, one document at a time.
+    Headings without a number close nothing and belong to the root. Only numbers meet in a task: its documents come sorted, batch by batch, and it holds the open headings of one.
     """
+    kind = df.schema[id].dataType.simpleString()
+    names = ["_id", "_pos", "parent_pos", "path", "is_child", "orphan"]
+    schema = f"_id {kind}, _pos long, parent_pos long, path array<long>, is_child boolean, orphan boolean"
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_pos", kind="stable")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, begun = None, False
         stack: list[tuple] = []
-        rows = []
-        for at, style, number, key in zip(group["_pos"].tolist(), group["style"].tolist(), group["number"].tolist(), group["sort_key"].tolist(), strict=True):
-            if style is None or style != style:
-                rows.append((at, None, [], False, False))
-                continue
-            key = tuple(key)
-            for i, (_, s, _, k) in enumerate(stack):
-                if s == style and not (style == "dotted" and len(k) < len(key) and key[: len(k)] == k):
-                    del stack[i:]
-                    break
-            top = stack[-1] if stack else None
-            direct = top is not None and (number.startswith(top[2] + ".") and "." not in number[len(top[2]) + 1 :] or len(top[2]) == 1 and top[2].isdigit() and len(number) == 1 and number.isalpha())
-            orphan = style == "dotted" and len(key) > 1 and not (top is not None and top[1] == "dotted" and len(top[3]) == len(key) - 1)
-            rows.append((at, top[0] if top else None, [x[0] for x in stack], direct, orphan))
-            stack.append((at, style, number, key))
-        out = pd.DataFrame(rows, columns=["_pos", "parent_pos", "path", "is_child", "orphan"])
-        out.insert(0, "_id", group["_id"].iloc[0])
-        out["parent_pos"] = out["parent_pos"].astype("Int64")
-        return out
+        for batch in batches:
+            rows = []
+            for of, at, style, number, key in zip(*(batch.column(c).to_pylist() for c in ("_id", "_pos", "style", "number", "sort_key")), strict=True):
+                if not begun or of != doc:
+                    doc, begun, stack = of, True, []
+                if style is None:
+                    rows.append((at, None, [], False, False))
+                    continue
+                for i, (_, s, _, k) in enumerate(stack):
+                    if s == style and not (style == "dotted" and len(k) < len(key) and key[: len(k)] == k):
+                        del stack[i:]
+                        break
+                top = stack[-1] if stack else None
+                direct = top is not None and (number.startswith(top[2] + ".") and "." not in number[len(top[2]) + 1 :] or len(top[2]) == 1 and top[2].isdigit() and len(number) == 1 and number.isalpha())
+                orphan = style == "dotted" and len(key) > 1 and not (top is not None and top[1] == "dotted" and len(top[3]) == len(key) - 1)
+                rows.append((at, top[0] if top else None, [x[0] for x in stack], direct, orphan))
+                stack.append((at, style, number, key))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
-    kind = df.schema[id].dataType.simpleString()
     rows = df.select(F.col(id).alias("_id"), F.col(pos).cast("long").alias("_pos"), "style", "number", "sort_key")
-    out = rows.groupBy("_id").applyInPandas(fold, f"_id {kind}, _pos long, parent_pos long, path array<long>, is_child boolean, orphan boolean")
+    out = rows.repartition("_id").sortWithinPartitions("_id", "_pos").mapInArrow(fold, schema)
     return out.select(F.col("_id").alias(id), F.col("_pos").alias(pos), "parent_pos", "path", (F.size("path") + 1).alias("depth"), "is_child", "orphan")
 
 

@@ -94,3 +94,15 @@ def test_paths_and_paragraphs(spark):
     assert [(r.doc_id, r.content) for r in got if r.doc_id in (2, 3, 4)] == [(2, of[2]), (3, "")]
     parts = spark.createDataFrame([("4", "4.1"), ("4", "4.1.1"), ("4.1", "4.1.1"), ("4", "41"), ("4", "a"), ("12", "a"), ("a", "b"), (None, "1")], "p string, c string")
     assert [r.x for r in parts.select(segment.is_child(F.col("p"), F.col("c")).alias("x")).collect()] == [True, False, True, False, True, False, False, False]
+
+
+def test_outline_takes_no_python_call_per_document(spark):
+    rows = [(d, n, h) for d in range(3000) for n, h in enumerate(("1. Rent", "1.1 Due", "(a) late", "words"))]
+    found = segment.number_outline(segment.heading_numbers(spark.createDataFrame(rows, "doc int, n int, heading string"), heading="heading"), id="doc", pos="n")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # documents cross batches
+    try:
+        got = {tuple((r.n, r.parent_pos, *r.path) for r in found.filter(f"doc = {d}").orderBy("n").collect()) for d in (0, 1, 2999)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {((0, None), (1, 0, 0), (2, 1, 0, 1), (3, None))}
