@@ -6,15 +6,17 @@ import itertools
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions.joins import containment_join
 from sedge.functions.storage import forget, saved, saved_with
 
-#: Up to so many nodes and edges that are left, one task peels them.
-SMALL_REST = 200_000
+#: So many nodes and edges at most meet in the one task that peels them or finds their cycles.
+SMALL_REST = 1_000_000
 
 
 def reference_edges(clauses: DataFrame, *, doc: str, src: str, text: str, number: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
@@ -217,56 +219,76 @@ def conflict_groups(df: DataFrame, *, keys: Sequence[str], order: str, values: S
     return groups.join(n, list(keys))
 
 
-def _peel_rest(left: DataFrame, edges: DataFrame, level: int) -> DataFrame:
-    """(node, level) of a rest of bounded size, peeled in one task."""
+def _peel(block: DataFrame, edges: DataFrame, *, last: bool) -> DataFrame:
+    """(node, level) of a block of bounded size (node, base), peeled in one task. A node that waits for one that is never free gets no row, -1 if this block is the ``last`` one.
+
+    ``edges`` are all edges left that lead into the block, and ``base`` is the level that nodes done before give.
+    """
 
     def peel(table: pa.Table) -> pa.Table:
-        into, out, start = {}, {}, level
-        for s, d in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True):
-            into.setdefault(s, 0)
-            if d is not None:
-                into[d] = into.get(d, 0) + 1
-                out.setdefault(s, []).append(d)
-        found, free = dict.fromkeys(into, -1), [n for n, k in into.items() if k == 0]
-        while free:
-            found |= dict.fromkeys(free, start)
-            start += 1
-            after = []
-            for d in (d for n in free for d in out.get(n, ())):
-                into[d] -= 1
-                if into[d] == 0:
-                    after.append(d)
-            free = after
-        return pa.table({"node": pa.array(found.keys(), table.schema.field("src").type), "level": pa.array(found.values(), pa.int32())})
-
-    kind = left.schema["node"].dataType.simpleString()
-    rows = left.select(F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst")).unionByName(edges)
+        is_node = pc.is_null(table["dst"])
+        own, arcs = table.filter(is_node), table.filter(pc.invert(is_node))
+        nodes, level = own["src"].combine_chunks(), own["base"].to_numpy().copy()
+        src, dst = (pc.index_in(arcs[c], value_set=nodes).fill_null(-1).to_numpy() for c in ("src", "dst"))
+        waits = np.bincount(dst, minlength=len(nodes))
+        order = np.argsort(src, kind="stable")
+        src, dst = src[order], dst[order]
+        begin, end = (np.searchsorted(src, np.arange(len(nodes)), side) for side in ("left", "right"))
+        done, free = np.zeros(len(nodes), bool), np.flatnonzero(waits == 0)
+        while len(free):
+            done[free] = True
+            n = end[free] - begin[free]
+            to = dst[np.repeat(begin[free] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            np.maximum.at(level, to, np.repeat(level[free] + 1, n))
+            np.subtract.at(waits, to, 1)
+            met = np.unique(to)
+            free = met[waits[met] == 0]
+        if last:
+            level[~done], done = -1, np.ones(len(nodes), bool)
+        return pa.table({"node": nodes.filter(pa.array(done)), "level": pa.array(level[done], pa.int32())})
+
+    kind = block.schema["node"].dataType.simpleString()
+    rows = block.select(F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"), "base").unionByName(edges.select("src", "dst", F.lit(0).alias("base")))
     return rows.groupBy().applyInArrow(peel, f"node {kind}, level int")
 
 
 def topo_levels(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, level): longest path from a node without predecessors; nodes on or behind a cycle get level -1.
 
-    Peeled round by round until no node is free; once nodes and edges left are SMALL_REST at most, one task peels the rest.
+    Each round takes the nodes that wait for the fewest others, with the edges into them SMALL_REST rows at most, and one task peels as many levels of them as it can; if the free
+    nodes alone are more, they are taken without a task. What is done gives its levels to the nodes behind it, and its edges go. No free node: the rest lies on or behind cycles.
     """
+    n_rows = F.count(F.lit(1))
     e = saved(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "topo-edges")
-    left = saved(degrees(e).select("node").filter("node IS NOT NULL"), "topo-nodes")
-    e = saved(e.filter("src IS NOT NULL AND dst IS NOT NULL"), "topo-edges")
+    waits = F.coalesce(F.sum(F.when(F.col("s").isNotNull(), 1)), F.lit(0)).alias("waits")
+    ends = e.select(F.col("dst").alias("node"), F.col("src").alias("s")).unionByName(e.select(F.col("src").alias("node"), F.lit(None).alias("s")))
+    left, n_left = saved_with(ends.filter("node IS NOT NULL").groupBy("node").agg(waits).withColumn("base", F.lit(0)), "topo-nodes", n_rows)
+    e, n_edges = saved_with(e.filter("src IS NOT NULL AND dst IS NOT NULL"), "topo-edges", n_rows)
     done = None
-    for level in itertools.count():
-        if left.count() + e.count() <= SMALL_REST:
-            rest = _peel_rest(left, e, level)
+    for turn in itertools.count():
+        if n_left + n_edges <= SMALL_REST:
+            rest = _peel(left.select("node", "base"), e, last=True)
             break
-        entered = e.select(F.col("dst").alias("node")).distinct()
-        free = saved(left.join(entered, "node", "left_anti").withColumn("level", F.lit(level)), "topo-free")
-        if free.isEmpty():
-            rest = left.withColumn("level", F.lit(-1))
+        sizes = left.groupBy("waits").agg(F.sum(F.col("waits") + 1).alias("n"))  # as many rows as there are in-degrees, less than the root of twice the edges
+        most = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("waits"))).filter(F.col("upto") <= SMALL_REST).agg(F.max("waits")).first()[0]
+        if most is None:
+            step = left.filter("waits = 0").select("node", F.col("base").alias("level"))
+        else:
+            block = left.filter(F.col("waits") <= most).select("node", "base")
+            step = _peel(block, e.join(block.select(F.col("node").alias("dst")), "dst", "left_semi"), last=False)
+        step, n_step = saved_with(step, "topo-step", n_rows)
+        if not n_step:
+            rest = left.select("node", F.lit(-1).alias("level"))
             break
-        done = free if done is None else done.unionByName(free)
-        if level % 50 == 49:
+        done = step if done is None else done.unionByName(step)
+        if turn % 50 == 49:
             done = saved(done, "topo-done")
-        left = saved(left.join(free.select("node"), "node", "left_anti"), "topo-nodes")
-        e = saved(e.join(free.select(F.col("node").alias("src")), "src", "left_anti"), "topo-edges")
+        given = e.join(step.select(F.col("node").alias("src"), "level"), "src").groupBy(F.col("dst").alias("node")).agg(n_rows.alias("n"), F.max("level").alias("top"))
+        stay = left.join(step.select("node"), "node", "left_anti").join(given, "node", "left")
+        fewer, n_left = saved_with(stay.select("node", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"), F.greatest("base", F.col("top") + 1).alias("base")), "topo-nodes", n_rows)
+        kept, n_edges = saved_with(e.join(step.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "topo-edges", n_rows)
+        forget(left, e)
+        left, e = fewer, kept
     return rest if done is None else done.unionByName(rest)
 
 

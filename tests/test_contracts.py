@@ -93,6 +93,18 @@ def test_references_and_order(spark):
     assert graph.pagerank(e.filter("false")).count() == 0
 
 
+def test_levels_take_few_rounds_on_dense_graphs(spark, monkeypatch):
+    pairs = [(i, j) for i in range(100) for j in range(i + 1, 100)] + [(i, 200 + i % 3) for i in range(0, 90, 7)] + [(200, 201), (201, 202), (202, 201), (99, 300)]
+    want = {**{i: i for i in range(100)}, 200: 85, 201: -1, 202: -1, 300: 100}
+    steps, plain = [], graph.saved_with
+    monkeypatch.setattr(graph, "SMALL_REST", 1500)
+    monkeypatch.setattr(graph, "saved_with", lambda df, name, measure: steps.append(name) or plain(df, name, measure))
+    assert {r.node: r.level for r in graph.topo_levels(spark.createDataFrame(pairs, "src long, dst long")).collect()} == want
+    assert 1 <= steps.count("topo-step") < 10  # 101 levels
+    monkeypatch.setattr(graph, "SMALL_REST", 3)  # the free nodes alone are more
+    assert {r.node: r.level for r in graph.topo_levels(spark.createDataFrame([(1, 11), (2, 12), (11, 12), (3, 13), (4, 14), (5, 15)], "src long, dst long")).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 11: 1, 12: 2, 13: 1, 14: 1, 15: 1}
+
+
 def test_levels_of_a_long_path(spark, monkeypatch):
     path = [(i, i + 1) for i in range(1200)] + [(2000, 2001), (2001, 2000), (2001, 2002)]
     want = {**{i: i for i in range(1201)}, 2000: -1, 2001: -1, 2002: -1}
