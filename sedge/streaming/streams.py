@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -31,6 +32,8 @@ def run(stream: DataFrame, *, mode: str, name: str, root: str | None = None, bat
     """
     spark = stream.sparkSession
     root = root or fresh_path(spark, f"stream-{name}")
+    if hasattr(stream, "each_batch"):  # a job that keeps its own state
+        batch = stream.each_batch(root)
 
     def keep(df: DataFrame, batch_id: int) -> None:
         out = batch(df, batch_id) if batch else df
@@ -97,29 +100,60 @@ def dedup_ttl(events: DataFrame, *, keys: list[str]) -> DataFrame:
 def first_within(events: DataFrame, *, keys: list[str], ts: str, id: str, life_s: int) -> DataFrame:
     """Rows that repeat no row kept in the ``life_s`` seconds before them: keys, id, ts. The stream needs a watermark on ``ts``.
 
-    The state of a key is the time of its last kept row, and goes once the watermark has passed its life. A batch's rows are taken by (ts, id). A row that comes
-    late, with a time before the last kept row's, is a repeat if it lies within the life of that row on either side, else it is kept and the state stays. Rows without a time are left out.
+    The state of a key is the time of its last kept row, and goes once the watermark has passed its life. It is a table that each batch writes anew, so ``run`` does the work batch by
+    batch. A batch's rows are taken by (ts, id). A row that comes late, with a time before the last kept row's, is a repeat if it lies within the life of that row on either side, else
+    it is kept and the state stays. Rows without a time, and rows not after the watermark, are left out. A batch that is run again reads the same state and overwrites its own.
     """
     life, names = 1_000_000 * life_s, [*keys, id, ts]
-
-    def keep(group: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values(["_us", id], kind="stable")
-        last = state.get[0] if state.exists else None
-        kept = []
-        for i, at in enumerate(rows["_us"].tolist()):
-            if last is None or abs(at - last) >= life:
-                kept.append(i)
-                last = at if last is None else max(last, at)
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + life) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[kept][names]
-
-    schema = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in names)
-    rows = events.filter(F.col(ts).isNotNull()).select(*names, F.unix_micros(ts).alias("_us"))
-    return rows.groupBy(*keys).applyInPandasWithState(keep, schema, "last long", "append", "EventTimeTimeout")
+    delay = 1000 * events.schema[ts].metadata["spark.watermarkDelayMs"]
+    kinds = {c: events.schema[c].dataType.simpleString() for c in names}
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", _us long, _new boolean"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Kept rows, and after each key's rows its state."""
+        key, last = None, None
+        for batch in batches:
+            kept, ended = [], []
+            for k, at, new in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), batch.column("_us").to_pylist(), batch.column("_new").to_pylist(), strict=True):
+                if k != key:
+                    if key is not None:
+                        ended.append((key, last))
+                    key, last = k, None
+                keep = new and (last is None or abs(at - last) >= life)
+                if keep or not new:
+                    last = at if last is None else max(last, at)
+                kept.append(keep)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+            if ended:
+                yield states(ended, batch.schema)
+        if key is not None:
+            yield states([(key, last)], batch.schema)
+
+    def states(ended: list, kind: pa.Schema) -> pa.RecordBatch:
+        values = dict(zip(keys, zip(*(k for k, _ in ended), strict=True), strict=True)) | {"_us": [at for _, at in ended], "_new": [False] * len(ended)}
+        return pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(len(ended), f.type) for f in kind], schema=kind)
+
+    def each_batch(root: str) -> Callable[[DataFrame, int], DataFrame]:
+        def keep(df: DataFrame, batch_id: int) -> DataFrame:
+            spark = df.sparkSession
+            df.agg(F.unix_micros(F.max(ts)).alias("top")).write.mode("overwrite").parquet(f"{root}/tops/batch={batch_id}")
+            top = spark.read.schema("top long, batch int").parquet(f"{root}/tops").filter(F.col("batch") < batch_id).agg(F.max("top")).first()[0]
+            rows = df.select(*names, F.unix_micros(ts).alias("_us"), F.lit(True).alias("_new")).filter("_us IS NOT NULL")
+            if top is not None:
+                rows = rows.filter(F.col("_us") > top - delay)
+            if batch_id:
+                state = spark.read.schema(schema).parquet(f"{root}/fold/batch={batch_id - 1}").filter("NOT _new")
+                rows = rows.unionByName(state if top is None else state.filter(F.col("_us") + life > top - delay))
+            rows.repartition(*keys).sortWithinPartitions(*keys, "_new", "_us", id).mapInArrow(fold, schema).write.mode("overwrite").parquet(f"{root}/fold/batch={batch_id}")
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/fold/batch={batch_id - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            return spark.read.schema(schema).parquet(f"{root}/fold/batch={batch_id}").filter("_new").select(*names)
+
+        return keep
+
+    rows = events.select(*names)
+    rows.each_batch = each_batch
+    return rows
 
 
 def latest_rows(rows: DataFrame, *, key: str, order: list[str], n: int, name: str, root: str | None = None) -> DataFrame:

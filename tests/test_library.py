@@ -305,3 +305,19 @@ def test_a_key_comes_again_after_its_life(spark, tmp_path):
     stream = spark.readStream.schema("id long, k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
     out = streams.run(streams.first_within(streams.with_time(stream, "ts", "12 hours"), keys=["k"], ts="ts", id="id", life_s=7200), mode="append", name="life")
     assert sorted(r["id"] for r in out.collect()) == [1, 3, 4, 6, 8, 9, 10]  # 7 and 11 lie within the life of 4 and 6, 8 lies long before 6
+
+
+def test_repeats_take_no_python_call_per_key(spark, tmp_path):
+    from sedge.streaming import streams
+
+    for i in range(4):  # 4,000 keys in each of four batches, an hour apart
+        rows = spark.range(4000).select("id", (F.col("id") % 7).alias("j"), (F.lit(f"2024-01-01 0{i}:00").cast("timestamp")).alias("ts"))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+        time.sleep(1.1)
+    stream = spark.readStream.schema("id long, j long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    kept = streams.first_within(streams.with_time(stream, "ts", "1 hour"), keys=["id"], ts="ts", id="j", life_s=7200)
+    assert "FlatMapGroups" not in kept._jdf.queryExecution().analyzed().toString()
+    out = streams.run(kept, mode="append", name="life", root=f"{tmp_path}/root")
+    assert sorted((r.h, r["count"]) for r in out.groupBy(F.hour("ts").alias("h")).count().collect()) == [(0, 4000), (2, 4000)]
+    states = spark.read.parquet(f"{tmp_path}/root/fold").filter("NOT _new").groupBy("batch").count().collect()
+    assert sorted(r["count"] for r in states) == [4000, 4000]  # states older than a batch ago are gone
