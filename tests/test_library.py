@@ -321,3 +321,24 @@ def test_repeats_take_no_python_call_per_key(spark, tmp_path):
     assert sorted((r.h, r["count"]) for r in out.groupBy(F.hour("ts").alias("h")).count().collect()) == [(0, 4000), (2, 4000)]
     states = spark.read.parquet(f"{tmp_path}/root/fold").filter("NOT _new").groupBy("batch").count().collect()
     assert sorted(r["count"] for r in states) == [4000, 4000]  # states older than a batch ago are gone
+
+
+def test_tables_of_whole_texts_need_no_shuffle(spark):
+    from sedge.operators import segment, texttables
+
+    rng = random.Random(5)
+    texts = [(i, "\n".join(rng.choice(["a|b", "c|d", "a\tb", "a|b\tc", "x", "", "|", "a|b|c"]) for _ in range(rng.randint(1, 25)))) for i in range(80)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    found = texttables.text_blocks(df, id="id", least_lines=2)
+    plan = texttables.cells(found, id="id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    want = []
+    for i, text in texts:
+        kinds = [("\t", x.count("\t")) if "\t" in x else ("|", x.count("|")) if "|" in x else None for x in (text or "").split("\n")]
+        starts = [j for j, k in enumerate(kinds) if j == 0 or k != kinds[j - 1]] + [len(kinds)]
+        runs = [(a, b) for a, b in zip(starts, starts[1:], strict=False) if kinds[a] and b - a >= 2]
+        want += [(i, no, at - a, at, text.split("\n")[at], kinds[a][0], text.split("\n")[a]) for no, (a, b) in enumerate(runs, 1) for at in range(a, b)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert sorted(map(tuple, texttables.delimited_blocks(segment.lines(df, id="id"), id="id", least_lines=2).collect())) == want
+    spaced = texttables.type_score(spark.createDataFrame([(1, 1, 1, 0, "cost", "v"), (1, 1, 1, 1, "share", "w")], "id int, block_no int, row_no int, col_no int, header string, value string"), [("k", ("cost share", "cost"), ("w", "none"))], id="id")
+    assert spaced.first()["score"] == 0.8
