@@ -131,14 +131,9 @@ def stream_change_state(spark, sf):
 WITH o AS (SELECT o_custkey, o_orderpriority, o_orderkey, o_orderstatus AS v, row_number() OVER w AS n, lag(o_orderstatus) OVER w AS old FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey)),
 c AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS change_no FROM o WHERE n = 1 OR v <> old) SELECT o_custkey, o_orderpriority, change_no, old AS old_value, v AS new_value, o_orderkey FROM c""")
 def stream_change_history(spark, sf):
-    """The history of every key, kept by a processor per customer."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKS_DB)
-    try:
-        log = streams.read_stream(spark, f"{sf}/orders.parquet")
-        return streams.run(streams.change_history(log, base="o_custkey", key="o_orderpriority", value="o_orderstatus", order="o_orderkey"), mode="append", name="history")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    """The history of every key; each batch goes on from the keys' last values."""
+    log = streams.read_stream(spark, f"{sf}/orders.parquet")
+    return streams.run(streams.change_history(log, base="o_custkey", key="o_orderpriority", value="o_orderstatus", order="o_orderkey"), mode="append", name="history")
 
 
 @query("stream_feedback_counts", "SELECT role, count(*) AS n, max(turn) AS last_turn FROM conversations GROUP BY 1")

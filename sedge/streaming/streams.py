@@ -11,7 +11,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from sedge.functions.storage import fresh_path
 
@@ -44,7 +43,7 @@ def run(stream: DataFrame, *, mode: str, name: str, root: str | None = None, bat
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/out")
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(folder):
-        return spark.createDataFrame([], stream.schema)
+        return spark.createDataFrame([], getattr(stream, "out_schema", stream.schema))
     done = sorted(int(f.getPath().getName().split("=")[1]) for f in files.listStatus(folder) if f.getPath().getName().startswith("batch="))
     if mode == "complete":
         return spark.read.parquet(f"{root}/out/batch={done[-1]}")
@@ -182,38 +181,37 @@ def change_state(log: DataFrame, *, base: str, key: str, value: str, order: list
 
 
 def change_history(log: DataFrame, *, base: str, key: str, value: str, order: str) -> DataFrame:
-    """Every change of a (base, key): number, old and new value, order. A processor per base keeps the last value of each key in its state.
+    """Every change of a (base, key): number, old and new value, order. ``run`` does it batch by batch.
 
-    Rows of a batch are taken in ``order``; a row that repeats the value is no change. The state grows with the keys, not with the history.
+    Rows of a batch are taken in ``order``; a row that repeats the value is no change. The state, each key's last value and number of changes, is a table that each batch writes anew: it grows
+    with the keys, not with the history. A batch that is run again reads the same state and overwrites its own.
     """
     kinds = {c: log.schema[c].dataType.simpleString() for c in (base, key, value, order)}
-    names = ["change_no", "old_value", "new_value"]
-
-    class Changes(StatefulProcessor):
-        def init(self, handle):
-            self.last = handle.getMapState("last", f"key {kinds[key]}", f"value {kinds[value]}, n long")
-
-        def handleInputRows(self, group, rows, timers):
-            whole = pd.concat(list(rows)).sort_values([order, key], kind="stable")
-            out = []
-            for k, v, at in zip(whole[key], whole[value], whole[order], strict=True):
-                known = self.last.containsKey((k,))
-                old, n = self.last.getValue((k,)) if known else (None, 0)
-                if not known or old != v:
-                    self.last.updateValue((k,), (v, n + 1))
-                    out.append((group[0], k, n + 1, old, v, at))
-            yield pd.DataFrame(out, columns=[base, key, *names, order])
-
-        def close(self):
-            pass
-
-    schema = f"{base} {kinds[base]}, {key} {kinds[key]}, change_no long, old_value {kinds[value]}, new_value {kinds[value]}, {order} {kinds[order]}"
-    rows = log.select(base, key, value, order)
-    return rows.groupBy(base).transformWithStateInPandas(Changes(), outputStructType=schema, outputMode="append", timeMode="none")
+    out = f"{base} {kinds[base]}, {key} {kinds[key]}, change_no long, old_value {kinds[value]}, new_value {kinds[value]}, {order} {kinds[order]}"
+    whole = out + ", _changed boolean, _last boolean"
+    w = Window.partitionBy(base, key).orderBy("_new", order, value)
 
+    def each_batch(root: str) -> Callable[[DataFrame, int], DataFrame]:
+        def keep(df: DataFrame, batch_id: int) -> DataFrame:
+            spark, path = df.sparkSession, f"{root}/fold/batch="
+            rows = df.select(base, key, value, order, F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_new"))
+            if batch_id:
+                state = spark.read.schema(whole).parquet(f"{path}{batch_id - 1}").filter("_last")
+                rows = rows.unionByName(state.select(base, key, F.col("new_value").alias(value), order, F.col("change_no").alias("_n"), F.lit(False).alias("_new")))
+            rows = rows.withColumns({"old_value": F.lag(value).over(w), "_first": F.row_number().over(w) == 1, "_last": F.lead("_new").over(w).isNull()})
+            rows = rows.withColumn("_changed", F.col("_new") & (F.col("_first") | ~F.col(value).eqNullSafe(F.col("old_value"))))
+            rows = rows.withColumn("change_no", F.sum(F.col("_n") + F.col("_changed").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            kept = rows.filter("_changed OR _last").select(base, key, "change_no", "old_value", F.col(value).alias("new_value"), order, "_changed", "_last")
+            kept.write.mode("overwrite").parquet(f"{path}{batch_id}")
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}{batch_id - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            return spark.read.schema(whole).parquet(f"{path}{batch_id}").filter("_changed").drop("_changed", "_last")
 
-#: State that can hold maps; what a stream of ``change_history`` needs to be set while it runs.
-ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        return keep
+
+    rows = log.select(base, key, value, order)
+    rows.each_batch, rows.out_schema = each_batch, out
+    return rows
 
 
 def late_rows(events: DataFrame, *, ts: str, delay_s: int, name: str, root: str | None = None) -> DataFrame:

@@ -343,3 +343,18 @@ def test_tables_of_whole_texts_need_no_shuffle(spark):
     assert sorted(map(tuple, texttables.delimited_blocks(segment.lines(df, id="id"), id="id", least_lines=2).collect())) == want
     spaced = texttables.type_score(spark.createDataFrame([(1, 1, 1, 0, "cost", "v"), (1, 1, 1, 1, "share", "w")], "id int, block_no int, row_no int, col_no int, header string, value string"), [("k", ("cost share", "cost"), ("w", "none"))], id="id")
     assert spaced.first()["score"] == 0.8
+
+
+def test_history_goes_on_over_batches(spark, tmp_path):
+    from sedge.streaming import streams
+
+    batches = [[(1, "a", "x"), (2, "a", "x"), (3, "b", None)], [(4, "a", "x"), (5, "a", "y"), (6, "b", None)], [(7, "c", "z")], [(8, "a", "x"), (9, "b", "x"), (10, "b", None)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(n, "g", k, v) for n, k, v in rows], "n long, g string, k string, v string").coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+        time.sleep(1.1)
+    stream = spark.readStream.schema("n long, g string, k string, v string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    history = streams.change_history(stream, base="g", key="k", value="v", order="n")
+    assert "TransformWithState" not in history._jdf.queryExecution().analyzed().toString()
+    out = streams.run(history, mode="append", name="history")
+    got = sorted((r.n, r.k, r.change_no, r.old_value, r.new_value) for r in out.collect())
+    assert got == [(1, "a", 1, None, "x"), (3, "b", 1, None, None), (5, "a", 2, "x", "y"), (7, "c", 1, None, "z"), (8, "a", 3, "y", "x"), (9, "b", 2, None, "x"), (10, "b", 3, "x", None)]
