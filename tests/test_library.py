@@ -358,3 +358,16 @@ def test_history_goes_on_over_batches(spark, tmp_path):
     out = streams.run(history, mode="append", name="history")
     got = sorted((r.n, r.k, r.change_no, r.old_value, r.new_value) for r in out.collect())
     assert got == [(1, "a", 1, None, "x"), (3, "b", 1, None, None), (5, "a", 2, "x", "y"), (7, "c", 1, None, "z"), (8, "a", 3, "y", "x"), (9, "b", 2, None, "x"), (10, "b", 3, "x", None)]
+
+
+def test_trigrams_are_counted_where_the_text_is(spark):
+    from sedge.operators.similarity import trigram_counts
+
+    texts = [(1, "Ab ab ab"), (2, "zz"), (3, None), (4, "é𝄞xé𝄞x"), (5, "q" * 5000)]
+    counts = trigram_counts(spark.createDataFrame(texts, "k long, t string"), id="k", text="t", dim=4096)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan  # no row per trigram, nothing shuffled
+    got = {}
+    for r in counts.collect():
+        got.setdefault(r.k, []).append(r.n)
+    assert {k: sorted(v) for k, v in got.items()} == {1: [2, 2, 2], 4: [1, 1, 2], 5: [4998]}
