@@ -104,7 +104,8 @@ SELECT * FROM m UNION ALL SELECT event_id, NULL, NULL FROM s WHERE event_id NOT
 UNION ALL SELECT NULL, event_id, NULL FROM e WHERE event_id NOT IN (SELECT end_id FROM m) AND ts < (SELECT mark FROM w)""")
 def stream_span_timeouts(spark, sf):
     """Starts and ends without a partner come out when the watermark, three days behind the slower stream, has passed the hour in which it could come; rows two days late still find theirs."""
-    rows = [streams.with_time(daily(spark, sf, ["event_id", "ts", "user_id", "event_type"]), "ts", "3 days").filter(f"event_type = '{kind}'") for kind in ("view", "purchase")]
+    every = streams.with_time(daily(spark, sf, ["event_id", "ts", "user_id", "event_type"]), "ts", "3 days")
+    rows = [every.filter(f"event_type = '{kind}'") for kind in ("view", "purchase")]
     return streams.run(streams.span_join(*rows, entity="user_id", ts="ts", id="event_id", within="1 HOUR", unmatched=True), mode="append", name="timeouts")
 
 

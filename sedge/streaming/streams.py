@@ -5,6 +5,7 @@ Results and checkpoints go to the folder the cluster shares; a batch that is run
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -85,10 +86,98 @@ def span_join(starts: DataFrame, ends: DataFrame, *, entity: str, ts: str, id: s
     With ``unmatched`` a start without an end, and an end without a start, comes out once the watermark has passed the time
     in which a partner could still come; its partner and seconds are null.
     """
+    if unmatched:
+        return _span_join_outer(starts, ends, entity=entity, ts=ts, id=id, within=within)
     s = starts.select(F.col(entity).alias("s_entity"), F.col(id).alias("start_id"), F.col(ts).alias("s_ts"))
     e = ends.select(F.col(entity).alias("e_entity"), F.col(id).alias("end_id"), F.col(ts).alias("e_ts"))
     on = F.expr(f"s_entity = e_entity AND e_ts >= s_ts AND e_ts <= s_ts + INTERVAL {within}")
-    return s.join(e, on, "full_outer" if unmatched else "inner").select("start_id", "end_id", F.round((F.unix_micros("e_ts") - F.unix_micros("s_ts")) / 1e6, 3).alias("seconds"))
+    return s.join(e, on).select("start_id", "end_id", F.round((F.unix_micros("e_ts") - F.unix_micros("s_ts")) / 1e6, 3).alias("seconds"))
+
+
+def _span_join_outer(starts: DataFrame, ends: DataFrame, *, entity: str, ts: str, id: str, within: str) -> DataFrame:
+    """``span_join`` with the rows that find no partner. ``run`` does it batch by batch.
+
+    The state, rows that a partner could still meet and whether one has, is a table that each batch writes anew: one shuffle a batch, and no state store per task, side and key. A task
+    walks its entities' rows in time and holds the starts of one ``within``. The slower stream sets the watermark; rows without a time, and rows not after the watermark of the batches
+    before, are left out. What the watermark has passed comes out at the end of the batch that moved it. A batch that is run again reads the same state and overwrites its own.
+    """
+    spark = starts.sparkSession
+    span = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {within})").first()[0]
+    delays = {flag: 1000 * side.schema[ts].metadata["spark.watermarkDelayMs"] for flag, side in ((True, starts), (False, ends))}
+    kinds = {c: starts.schema[c].dataType.simpleString() for c in (entity, id)}
+    out = f"start_id {kinds[id]}, end_id {kinds[id]}, seconds double"
+    schema = f"_entity {kinds[entity]}, start_id {kinds[id]}, s_us long, end_id {kinds[id]}, e_us long, _matched boolean"
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of which one is new (_matched is null), and every row with whether it has met a partner."""
+        of, live = None, deque()  # live: [id, time, matched, new] of the entity's starts that an end can still follow
+        for batch in batches:
+            rows = []
+
+            def close(entity, most, rows=rows):
+                while live and (most is None or live[0][1] < most):
+                    name, at, met, _ = live.popleft()
+                    rows.append((entity, name, at, None, None, met))
+
+            for key, name, at, start, met, new in zip(*(batch.column(c).to_pylist() for c in ("_entity", "_id", "_us", "_start", "_matched", "_new")), strict=True):
+                if key != of:
+                    close(of, None)
+                    of = key
+                close(of, at - span)
+                if start:
+                    live.append([name, at, met, new])
+                    continue
+                for s in live if key is not None else ():
+                    s[2] = met = True
+                    if new or s[3]:
+                        rows.append((key, s[0], s[1], name, at, None))
+                rows.append((key, None, None, name, at, met))
+            if rows:
+                yield made(rows, batch.schema)
+            kind = batch.schema
+        if live:
+            yield made([(of, name, at, None, None, met) for name, at, met, _ in live], kind)
+
+    def made(rows: list, kind: pa.Schema) -> pa.RecordBatch:
+        kinds = [kind.field(c).type for c in ("_entity", "_id", "_us", "_id", "_us", "_matched")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["_entity", "start_id", "s_us", "end_id", "e_us", "_matched"])
+
+    def mark_of(tops: list, most: int) -> int | None:
+        marks = [max((r["top"] - delay for r in tops if r["_start"] == flag and r["batch"] <= most and r["top"] is not None), default=None) for flag, delay in delays.items()]
+        return None if None in marks else min(marks)
+
+    def each_batch(root: str) -> Callable[[DataFrame, int], DataFrame]:
+        def keep(df: DataFrame, batch_id: int) -> DataFrame:
+            spark, path = df.sparkSession, f"{root}/fold/batch="
+            df.groupBy("_start").agg(F.max("_us").alias("top")).coalesce(1).write.mode("overwrite").parquet(f"{root}/tops/batch={batch_id}")
+            tops = spark.read.schema("_start boolean, top long, batch int").parquet(f"{root}/tops").filter(F.col("batch") <= batch_id)
+            tops = tops.groupBy("_start", (F.col("batch") == batch_id).cast("int").alias("batch")).agg(F.max("top").alias("top")).collect()  # four rows at most
+            before, mark = mark_of(tops, 0), mark_of(tops, 1)
+            rows = df.filter("_us IS NOT NULL").withColumns({"_matched": F.lit(False), "_new": F.lit(True)})
+            if before is not None:
+                rows = rows.filter(F.col("_us") > before)
+            if batch_id:
+                state = spark.read.schema(schema).parquet(f"{path}{batch_id - 1}").filter("_matched IS NOT NULL")
+                if before is not None:
+                    state = state.filter(~passed(before))
+                start = F.col("s_us").isNotNull()
+                state = state.select("_entity", F.when(start, F.col("start_id")).otherwise(F.col("end_id")).alias("_id"), F.coalesce("s_us", "e_us").alias("_us"), start.alias("_start"), "_matched", F.lit(False).alias("_new"))
+                rows = rows.unionByName(state)
+            rows.repartition("_entity").sortWithinPartitions("_entity", "_us", F.desc("_start")).mapInArrow(walk, schema).write.mode("overwrite").parquet(f"{path}{batch_id}")
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}{batch_id - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            done = F.col("_matched").isNull() if mark is None else F.col("_matched").isNull() | ~F.col("_matched") & passed(mark)
+            return spark.read.schema(schema).parquet(f"{path}{batch_id}").filter(done).select("start_id", "end_id", F.round((F.col("e_us") - F.col("s_us")) / 1e6, 3).alias("seconds"))
+
+        return keep
+
+    def passed(mark: int):
+        return F.coalesce(F.col("s_us") + span, F.col("e_us")) < mark
+
+    sides = [side.select(F.col(entity).alias("_entity"), F.col(id).alias("_id"), F.unix_micros(ts).alias("_us"), F.lit(flag).alias("_start")) for flag, side in ((True, starts), (False, ends))]
+    rows = sides[0].unionByName(sides[1])
+    rows.each_batch, rows.out_schema = each_batch, out
+    return rows
 
 
 def dedup_ttl(events: DataFrame, *, keys: list[str]) -> DataFrame:
