@@ -66,9 +66,10 @@ def classify_docs(df: DataFrame, wanted: RuleSet, others: RuleSet, *, text: str
 
 def missing_terms(df: DataFrame, terms: Sequence[str], *, text: str = "text") -> DataFrame:
     """Add missing: the terms that do not occur as whole words (ASCII word boundaries), in order."""
-    low = F.lower(F.col(text))
-    lacks = [F.when(~low.rlike(rf"(^|[^a-z0-9_]){t}([^a-z0-9_]|$)"), F.lit(t)) for t in terms]
-    return df.withColumn("missing", F.array_compact(F.array(*lacks)))
+    low = F.col("_low")
+    # A term that is nowhere in the text needs no pattern; the lower-cased text is made once.
+    lacks = [F.when(~(F.contains(low, F.lit(t)) & low.rlike(rf"(^|[^a-z0-9_]){t}([^a-z0-9_]|$)")), F.lit(t)) for t in terms]
+    return df.withColumn("_low", F.lower(F.col(text))).withColumn("missing", F.array_compact(F.array(*lacks))).drop("_low")
 
 
 def doc_profile(df: DataFrame, *, text: str = "text") -> DataFrame:
