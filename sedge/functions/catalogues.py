@@ -57,47 +57,47 @@ OPTIONS = (
     FactRule("expansion", r"(?i)\b(expansion (?:right|option))\b", 1, 0.8),
 )
 PARTIES = (
-    FactRule("landlord", rf"{PARTY},? ?\((?i:the )?[\"“]?(?i:landlord|lessor)[\"”]?\)", 1, 0.85),
-    FactRule("landlord", rf"(?i:landlord|lessor): ?{PARTY}(?:\n|$)", 1, 0.7),
-    FactRule("tenant", rf"{PARTY},? ?\((?i:the )?[\"“]?(?i:tenant|lessee)[\"”]?\)", 1, 0.85),
-    FactRule("tenant", rf"(?i:tenant|lessee): ?{PARTY}(?:\n|$)", 1, 0.7),
-    FactRule("premises", r"(?i:premises|located at|property at):? (?:known as )?([0-9]+ [A-Z][A-Za-z0-9 .,-]{3,80})", 1, 0.7),
-    FactRule("term", rf"(?i:term (?:is|of|shall be))[^.\n]{{0,30}}?{SPAN}", 1, 0.85),
-    FactRule("deposit", rf"(?i:security deposit)[^$\n]{{0,60}}{MONEY}", 1, 0.85),
-    FactRule("use", r"(?i)(?:used? (?:solely |only )?(?:as|for)) ([^.\n]{3,80})", 1, 0.7),
-    FactRule("landlord_address", r"(?i:landlord|lessor)(?i:'s)? (?i:address|notices?)(?i: is| are sent to)?:? ?([0-9]+ [A-Z][A-Za-z0-9 .,-]{3,80})", 1, 0.7),
-    FactRule("tenant_address", r"(?i:tenant|lessee)(?i:'s)? (?i:address|notices?)(?i: is| are sent to)?:? ?([0-9]+ [A-Z][A-Za-z0-9 .,-]{3,80})", 1, 0.7),
-    FactRule("guarantor", rf"(?i:guarantors?|guaranteed by):? ?{PARTY}", 1, 0.75),
-    FactRule("broker", rf"(?i:brokers?|agent):? ?{PARTY}", 1, 0.6),
-    FactRule("occupants", r"(?i)\b([0-9]+|one|two|three|four|five|six) (?:adult )?(?:occupants?|persons|residents)\b", 1, 0.7),
-    FactRule("unit", r"(?i)\b(?:unit|suite|apartment|apt\.?) (?:no\.? )?([0-9]+[A-Z]?)\b", 1, 0.75),
-    FactRule("floor", r"(?i)\b((?:ground|first|second|third|fourth|fifth|[0-9]+(?:st|nd|rd|th)) floor)\b", 1, 0.7),
-    FactRule("area", r"(?i)\b([0-9][0-9,]*(?:\.[0-9]+)?) ?(?:rentable |usable )?(?:square feet|sq\.? ?ft|square met(?:er|re)s?)", 1, 0.8),
-    FactRule("bedrooms", r"(?i)\b([0-9]+|one|two|three|four|five)[- ]bedrooms?\b", 1, 0.75),
-    FactRule("parking", r"(?i)\b([0-9]+|one|two|three|four|five) (?:reserved |covered )?parking (?:spaces?|stalls?|bays?)", 1, 0.8),
-    FactRule("storage", r"(?i)\b(storage (?:unit|room|space|locker))\b", 1, 0.6),
-    FactRule("furnished", r"(?i)\b((?:un|partly |fully )?furnished)\b", 1, 0.6),
-    FactRule("start_of_term", rf"(?i:commenc\w*|begins?|starts?) (?i:on )?{DATE}", 1, 0.8),
-    FactRule("end_of_term", rf"(?i:expir\w*|ends?) (?i:on )?{DATE}", 1, 0.8),
-    FactRule("month_to_month", r"(?i)\b(month[- ]to[- ]month)\b", 1, 0.8),
-    FactRule("holdover", r"(?i)\bhold(?:ing)?[- ]?over\b[^.\n]{0,80}?([0-9]+) ?%", 1, 0.75),
-    FactRule("rent_due", r"(?i)\b(?:due|payable) (?:on|by) the ([0-9]{1,2}(?:st|nd|rd|th)?|first|last) (?:day )?of (?:each|every|the) month", 1, 0.8),
-    FactRule("late_fee", rf"(?i:late (?:fee|charge))[^$\n]{{0,40}}{MONEY}", 1, 0.8),
-    FactRule("late_fee_percent", r"(?i)late (?:fee|charge)[^.%\n]{0,40}?([0-9]+(?:\.[0-9]+)?) ?%", 1, 0.75),
-    FactRule("grace_period", r"(?i)grace period[^.\n]{0,20}?([0-9]+ days?)", 1, 0.75),
-    FactRule("returned_payment", rf"(?i:returned|dishono(?:u)?red) (?i:check|cheque|payment)[^$\n]{{0,40}}{MONEY}", 1, 0.7),
-    FactRule("prorated_rent", rf"(?i:prorated)[^$\n]{{0,40}}{MONEY}", 1, 0.7),
-    FactRule("last_month", rf"(?i:last month'?s? rent)[^$\n]{{0,40}}{MONEY}", 1, 0.7),
-    FactRule("deposit_return", r"(?i)deposit[^.\n]{0,80}?(?:returned|refunded) within ([0-9]+ days)", 1, 0.75),
-    FactRule("cleaning_fee", rf"(?i:cleaning (?:fee|charge))[^$\n]{{0,40}}{MONEY}", 1, 0.7),
-    FactRule("pets", r"(?i)\b(no pets(?: are)?(?: allowed)?|pets? (?:is|are) (?:not )?(?:allowed|permitted))\b", 1, 0.75),
-    FactRule("pet_fee", rf"(?i:pet (?:fee|deposit|rent))[^$\n]{{0,40}}{MONEY}", 1, 0.75),
-    FactRule("utilities", r"(?i)\b(?:tenant|lessee|landlord|lessor) (?:pays?|shall pay|is responsible) for ((?:water|gas|electric\w*|heat\w*|internet|trash)(?:(?:, | and |, and )(?:water|gas|electric\w*|heat\w*|internet|trash|sewer))*)", 1, 0.75),
-    FactRule("smoking", r"(?i)\b(no smoking|smoking is (?:not )?(?:allowed|permitted|prohibited))\b", 1, 0.7),
-    FactRule("subletting", r"(?i)\b((?:no )?sublet\w* (?:is|are)? ?(?:not )?(?:allowed|permitted|prohibited))\b", 1, 0.6),
-    FactRule("entry_notice", r"(?i)\b(?:enter|entry|access)\b[^.\n]{0,60}?([0-9]+ (?:hours?|days?))", 1, 0.7),
-    FactRule("insurance_minimum", rf"(?i:liability insurance|renter'?s insurance)[^$\n]{{0,60}}{MONEY}", 1, 0.7),
-    FactRule("governing_law", r"(?i:laws? of) (?i:the )?(?i:state of )?([A-Z][a-z]+(?: [A-Z][a-z]+)?)", 1, 0.7),
+    FactRule("landlord", rf"{PARTY},? ?\((?i:the )?[\"“]?(?i:landlord|lessor)[\"”]?\)", 1, 0.85, words=("landlord)", "landlord\")", "landlord”)", "lessor)", "lessor\")", "lessor”)"), in_line=True),
+    FactRule("landlord", rf"(?i:landlord|lessor): ?{PARTY}(?:\n|$)", 1, 0.7, words=("landlord:", "lessor:")),
+    FactRule("tenant", rf"{PARTY},? ?\((?i:the )?[\"“]?(?i:tenant|lessee)[\"”]?\)", 1, 0.85, words=("tenant)", "tenant\")", "tenant”)", "lessee)", "lessee\")", "lessee”)"), in_line=True),
+    FactRule("tenant", rf"(?i:tenant|lessee): ?{PARTY}(?:\n|$)", 1, 0.7, words=("tenant:", "lessee:")),
+    FactRule("premises", r"(?i:premises|located at|property at):? (?:known as )?([0-9]+ [A-Z][A-Za-z0-9 .,-]{3,80})", 1, 0.7, words=("premises", "located at", "property at"), in_line=True),
+    FactRule("term", rf"(?i:term (?:is|of|shall be))[^.\n]{{0,30}}?{SPAN}", 1, 0.85, words=("term is", "term of", "term shall be"), in_line=True),
+    FactRule("deposit", rf"(?i:security deposit)[^$\n]{{0,60}}{MONEY}", 1, 0.85, words=("security deposit",), in_line=True),
+    FactRule("use", r"(?i)(?:used? (?:solely |only )?(?:as|for)) ([^.\n]{3,80})", 1, 0.7, words=("use as", "use for", "used as", "used for", "use solely", "use only", "used solely", "used only"), in_line=True),
+    FactRule("landlord_address", r"(?i:landlord|lessor)(?i:'s)? (?i:address|notices?)(?i: is| are sent to)?:? ?([0-9]+ [A-Z][A-Za-z0-9 .,-]{3,80})", 1, 0.7, words=("landlord address", "landlord notice", "landlord's address", "landlord's notice", "lessor address", "lessor notice", "lessor's address", "lessor's notice"), in_line=True),
+    FactRule("tenant_address", r"(?i:tenant|lessee)(?i:'s)? (?i:address|notices?)(?i: is| are sent to)?:? ?([0-9]+ [A-Z][A-Za-z0-9 .,-]{3,80})", 1, 0.7, words=("tenant address", "tenant notice", "tenant's address", "tenant's notice", "lessee address", "lessee notice", "lessee's address", "lessee's notice"), in_line=True),
+    FactRule("guarantor", rf"(?i:guarantors?|guaranteed by):? ?{PARTY}", 1, 0.75, words=("guarantor", "guaranteed by"), in_line=True),
+    FactRule("broker", rf"(?i:brokers?|agent):? ?{PARTY}", 1, 0.6, words=("broker", "agent"), in_line=True),
+    FactRule("occupants", r"(?i)\b([0-9]+|one|two|three|four|five|six) (?:adult )?(?:occupants?|persons|residents)\b", 1, 0.7, words=("occupant", "persons", "resident"), in_line=True),
+    FactRule("unit", r"(?i)\b(?:unit|suite|apartment|apt\.?) (?:no\.? )?([0-9]+[A-Z]?)\b", 1, 0.75, words=("unit ", "suite ", "apartment ", "apt"), in_line=True),
+    FactRule("floor", r"(?i)\b((?:ground|first|second|third|fourth|fifth|[0-9]+(?:st|nd|rd|th)) floor)\b", 1, 0.7, words=("floor",), in_line=True),
+    FactRule("area", r"(?i)\b([0-9][0-9,]*(?:\.[0-9]+)?) ?(?:rentable |usable )?(?:square feet|sq\.? ?ft|square met(?:er|re)s?)", 1, 0.8, words=("square feet", "square met", "sqft", "sq ft", "sq.ft", "sq. ft"), in_line=True),
+    FactRule("bedrooms", r"(?i)\b([0-9]+|one|two|three|four|five)[- ]bedrooms?\b", 1, 0.75, words=("bedroom",), in_line=True),
+    FactRule("parking", r"(?i)\b([0-9]+|one|two|three|four|five) (?:reserved |covered )?parking (?:spaces?|stalls?|bays?)", 1, 0.8, words=("parking",), in_line=True),
+    FactRule("storage", r"(?i)\b(storage (?:unit|room|space|locker))\b", 1, 0.6, words=("storage ",), in_line=True),
+    FactRule("furnished", r"(?i)\b((?:un|partly |fully )?furnished)\b", 1, 0.6, words=("furnished",), in_line=True),
+    FactRule("start_of_term", rf"(?i:commenc\w*|begins?|starts?) (?i:on )?{DATE}", 1, 0.8, words=("commenc", "begin", "start"), in_line=True),
+    FactRule("end_of_term", rf"(?i:expir\w*|ends?) (?i:on )?{DATE}", 1, 0.8, words=("expir", "end ", "ends "), in_line=True),
+    FactRule("month_to_month", r"(?i)\b(month[- ]to[- ]month)\b", 1, 0.8, words=("month-to-month", "month-to month", "month to-month", "month to month"), in_line=True),
+    FactRule("holdover", r"(?i)\bhold(?:ing)?[- ]?over\b[^.\n]{0,80}?([0-9]+) ?%", 1, 0.75, words=("holdover", "hold-over", "hold over", "holdingover", "holding-over", "holding over"), in_line=True),
+    FactRule("rent_due", r"(?i)\b(?:due|payable) (?:on|by) the ([0-9]{1,2}(?:st|nd|rd|th)?|first|last) (?:day )?of (?:each|every|the) month", 1, 0.8, words=("due on the", "due by the", "payable on the", "payable by the"), in_line=True),
+    FactRule("late_fee", rf"(?i:late (?:fee|charge))[^$\n]{{0,40}}{MONEY}", 1, 0.8, words=("late fee", "late charge"), in_line=True),
+    FactRule("late_fee_percent", r"(?i)late (?:fee|charge)[^.%\n]{0,40}?([0-9]+(?:\.[0-9]+)?) ?%", 1, 0.75, words=("late fee", "late charge"), in_line=True),
+    FactRule("grace_period", r"(?i)grace period[^.\n]{0,20}?([0-9]+ days?)", 1, 0.75, words=("grace period",), in_line=True),
+    FactRule("returned_payment", rf"(?i:returned|dishono(?:u)?red) (?i:check|cheque|payment)[^$\n]{{0,40}}{MONEY}", 1, 0.7, words=("returned check", "returned cheque", "returned payment", "dishonored check", "dishonored cheque", "dishonored payment", "dishonoured check", "dishonoured cheque", "dishonoured payment"), in_line=True),
+    FactRule("prorated_rent", rf"(?i:prorated)[^$\n]{{0,40}}{MONEY}", 1, 0.7, words=("prorated",), in_line=True),
+    FactRule("last_month", rf"(?i:last month'?s? rent)[^$\n]{{0,40}}{MONEY}", 1, 0.7, words=("last month",), in_line=True),
+    FactRule("deposit_return", r"(?i)deposit[^.\n]{0,80}?(?:returned|refunded) within ([0-9]+ days)", 1, 0.75, words=("returned within", "refunded within"), in_line=True),
+    FactRule("cleaning_fee", rf"(?i:cleaning (?:fee|charge))[^$\n]{{0,40}}{MONEY}", 1, 0.7, words=("cleaning fee", "cleaning charge"), in_line=True),
+    FactRule("pets", r"(?i)\b(no pets(?: are)?(?: allowed)?|pets? (?:is|are) (?:not )?(?:allowed|permitted))\b", 1, 0.75, words=("pet",), in_line=True),
+    FactRule("pet_fee", rf"(?i:pet (?:fee|deposit|rent))[^$\n]{{0,40}}{MONEY}", 1, 0.75, words=("pet fee", "pet deposit", "pet rent"), in_line=True),
+    FactRule("utilities", r"(?i)\b(?:tenant|lessee|landlord|lessor) (?:pays?|shall pay|is responsible) for ((?:water|gas|electric\w*|heat\w*|internet|trash)(?:(?:, | and |, and )(?:water|gas|electric\w*|heat\w*|internet|trash|sewer))*)", 1, 0.75, words=("pay for", "pays for", "responsible for"), in_line=True),
+    FactRule("smoking", r"(?i)\b(no smoking|smoking is (?:not )?(?:allowed|permitted|prohibited))\b", 1, 0.7, words=("smoking",), in_line=True),
+    FactRule("subletting", r"(?i)\b((?:no )?sublet\w* (?:is|are)? ?(?:not )?(?:allowed|permitted|prohibited))\b", 1, 0.6, words=("sublet",), in_line=True),
+    FactRule("entry_notice", r"(?i)\b(?:enter|entry|access)\b[^.\n]{0,60}?([0-9]+ (?:hours?|days?))", 1, 0.7, words=("enter", "entry", "access"), in_line=True),
+    FactRule("insurance_minimum", rf"(?i:liability insurance|renter'?s insurance)[^$\n]{{0,60}}{MONEY}", 1, 0.7, words=("liability insurance", "renters insurance", "renter's insurance"), in_line=True),
+    FactRule("governing_law", r"(?i:laws? of) (?i:the )?(?i:state of )?([A-Z][a-z]+(?: [A-Z][a-z]+)?)", 1, 0.7, words=("law of", "laws of"), in_line=True),
 )
 
 #: Patterns of two groups: pairs that belong together.
@@ -108,6 +108,9 @@ PAIRS = {
     "escalations": r"(?i)increas\w*[^.%\n]{0,80}?([0-9]+(?:\.[0-9]+)?) ?%[^.\n]{0,40}?(annually|per year|every year|each year|monthly|quarterly)",
 }
 
+#: Words of which every match of a pair's pattern holds one in its line.
+PAIR_WORDS = {"percentage_breaks": ("% of gross sales",), "conditions": (" then ",), "notice_periods": ("notice",), "escalations": ("increas",)}
+
 #: Risk tags that texts may carry: (tag, level, pattern).
 RISK_TAGS = (
     ("no_notice", "high", r"(?i)without (?:any |prior )?(?:written )?notice"),

@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class FactRule:
-    """``group`` of ``pattern`` is a value of ``field``; rules of a field are tried in the catalogue's order."""
+    """``group`` of ``pattern`` is a value of ``field``; rules of a field are tried in the catalogue's order.
+
+    ``words``, in lower case, are such that every match holds one of them, without regard to case: texts without any are passed over unread by the pattern. With ``in_line`` no match can
+    hold a line's end nor depend on one, and only lines with one of the words are read.
+    """
 
     field: str
     pattern: str
     group: int = 0
     confidence: float = 0.8
+    words: tuple[str, ...] = ()
+    in_line: bool = False
 
 
 def _clean(value: Column) -> Column:
@@ -30,14 +36,45 @@ def _as_fact(rule: FactRule, i: int):
     return struct
 
 
+def _as_pair(kind: str, names: tuple[str, str]):
+    def struct(pair: Column, n: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), n.alias("ordinal"), pair["a"].alias(names[0]), pair["b"].alias(names[1]))
+
+    return struct
+
+
+def _holds(low: Column, words: Sequence[str]) -> Column:
+    found = F.contains(low, F.lit(words[0]))
+    for w in words[1:]:
+        found = found | F.contains(low, F.lit(w))
+    return found
+
+
+def _prepared(df: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, _text, _low, _lines): the text, in lower case, and its lines in both forms, made once for all rules."""
+    rows = df.select(id, F.col(text).alias("_text"), F.lower(text).alias("_low"))
+    return rows.withColumn("_lines", F.arrays_zip(F.split("_text", "\n").alias("line"), F.split("_low", "\n").alias("low")))
+
+
+def _all_matches(pattern: str, group: int, words: Sequence[str], in_line: bool) -> Column:
+    """Every match of ``pattern`` in a ``_prepared`` row."""
+    whole = F.regexp_extract_all("_text", F.lit(pattern), F.lit(group))
+    if not words:
+        return whole
+    if in_line:
+        held = F.filter("_lines", lambda x: _holds(x["low"], words))
+        whole = F.flatten(F.transform(held, lambda x: F.regexp_extract_all(x["line"], F.lit(pattern), F.lit(group))))
+    return F.when(_holds(F.col("_low"), words), whole).otherwise(F.array().cast("array<string>"))
+
+
 def extract_facts(df: DataFrame, rules: Sequence[FactRule], *, id: str, text: str, mode: str = "all", least_chars: int = 3) -> DataFrame:
     """(id, field, value, ordinal, rule_id, confidence). mode "all": every match of every rule; "first": the first match of the first rule that hits."""
-    c = F.col(text)
     hits = []
     for i, r in enumerate(rules):
-        values = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r.pattern), F.lit(r.group)), _clean), lambda v: F.length(v) >= least_chars)
+        values = F.filter(F.transform(_all_matches(r.pattern, r.group, r.words, r.in_line), _clean), lambda v: F.length(v) >= least_chars)
         hits.append(F.transform(values, _as_fact(r, i)))
-    rows = df.select(id, F.inline(F.flatten(F.array(*hits))))
+    # The outer form: for the inner one the optimiser adds a filter on the array, which would try every rule twice.
+    rows = _prepared(df, id, text).select(id, F.inline_outer(F.flatten(F.array(*hits)))).filter("rule_id IS NOT NULL")
     if mode == "all":
         return rows
     best = rows.groupBy(id, "field").agg(F.min(F.struct("rule_id", "ordinal", "value", "confidence")).alias("b"))
@@ -46,9 +83,16 @@ def extract_facts(df: DataFrame, rules: Sequence[FactRule], *, id: str, text: st
 
 def extract_pairs(df: DataFrame, pattern: str, *, id: str, text: str, names: tuple[str, str] = ("first", "second")) -> DataFrame:
     """(id, ordinal, first, second): both groups of every match of a pattern with two, such as percentage and threshold or condition and consequence."""
-    groups = [F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(g)), _clean) for g in (1, 2)]
-    rows = df.select(id, F.posexplode(F.arrays_zip(groups[0].alias(names[0]), groups[1].alias(names[1]))).alias("ordinal", "p"))
-    return rows.select(id, "ordinal", f"p.{names[0]}", f"p.{names[1]}")
+    return extract_pair_kinds(df, {"": pattern}, id=id, text=text, names=names).drop("kind")
+
+
+def extract_pair_kinds(df: DataFrame, patterns: dict[str, str], *, id: str, text: str, words: dict[str, tuple[str, ...]] | None = None, names: tuple[str, str] = ("first", "second")) -> DataFrame:
+    """(id, kind, ordinal, first, second): ``extract_pairs`` of several patterns in one pass. ``words`` of a kind are as those of a ``FactRule`` in a line."""
+    hits = []
+    for kind, pattern in patterns.items():
+        groups = [F.transform(_all_matches(pattern, g, (words or {}).get(kind, ()), True), _clean) for g in (1, 2)]
+        hits.append(F.transform(F.arrays_zip(groups[0].alias("a"), groups[1].alias("b")), _as_pair(kind, names)))
+    return _prepared(df, id, text).select(id, F.inline_outer(F.flatten(F.array(*hits)))).filter("ordinal IS NOT NULL")
 
 
 def iso_date(value: Column) -> Column:

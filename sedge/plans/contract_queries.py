@@ -98,11 +98,8 @@ def _pairs_sql(name: str) -> str:
 @query("facts_pairs", f"WITH {TEXTS} " + " UNION ALL ".join(_pairs_sql(n) for n in catalogues.PAIRS))
 def facts_pairs(spark, sf):
     """Percentages with their thresholds, conditions with their consequences, notice periods with their units, escalations with their frequency."""
-    out = None
-    for name, pattern in catalogues.PAIRS.items():
-        rows = facts.extract_pairs(contracts(spark, sf), pattern, id="doc_id", text="text").select("doc_id", F.lit(name).alias("kind"), "ordinal", "first", "second")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    found = facts.extract_pair_kinds(contracts(spark, sf), catalogues.PAIRS, id="doc_id", text="text", words=catalogues.PAIR_WORDS)
+    return found.select("doc_id", "kind", "ordinal", "first", "second")
 
 
 @query("facts_option_rows", f"""WITH {facts_sql(catalogues.OPTIONS)}, n AS (SELECT doc_id, arg_min(value, (rule_id, ordinal)) FILTER (field = 'renewal_options') AS n, arg_min(value, (rule_id, ordinal)) FILTER (field = 'option_term') AS term FROM facts GROUP BY 1),
@@ -150,9 +147,9 @@ def contract_risks(spark, sf):
     """The built-in rules: those of all contracts and those of a contract's type."""
     rows = clauses(spark, sf)
     text = clause_rules.clause_text(F.col("clause_key"), F.col("line"))
-    every = risks.clause_risks(rows, RuleSet(clause_rules.CLAUSE_RISKS["all"]), text=text, keep=["doc_id", "line_no"])
-    typed = risks.typed_risks(rows, {k: RuleSet(v) for k, v in clause_rules.CLAUSE_RISKS.items() if k != "all"}, kind="kind", text=text, keep=["doc_id", "line_no"])
-    return every.unionByName(typed).select("doc_id", "line_no", "rule", "level")
+    rules = {kind: RuleSet(rules) for kind, rules in clause_rules.CLAUSE_RISKS.items()}
+    found = risks.all_risks(rows, rules.pop("all"), rules, kind="kind", text=text, keep=["doc_id", "line_no"])
+    return found.select("doc_id", "line_no", "rule", "level")
 
 
 def _side_sql(gate: str, pattern: str) -> str:
