@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions.embedding import Embedding, trigram_embed
+from sedge.functions.joins import dealt
 from sedge.functions.rules import RuleSet
 
 
@@ -223,6 +224,7 @@ def fixed_chunks(df: DataFrame, *, id: str = "doc_id", text: str = "text", size:
 
 def merge_boundaries(intervals: DataFrame, *, key: str, start: str, end: str, tolerance: int = 100, confidence: str | None = None) -> DataFrame:
     """Merge intervals that start at most ``tolerance`` after the furthest end so far; each result then runs to the next one's start."""
+    intervals = dealt(intervals, key)  # one shuffle serves both windows and the sums between them
     w = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = intervals.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach + tolerance), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w))
@@ -421,26 +423,53 @@ def semantic_chunks(sents: DataFrame, *, id: str, order: str, text: str, embed:
     """id, chunk_no, first, last (``order`` of the first and last sentence), n_sentences, n_chars, content.
 
     Chunks of consecutive sentences: closed where the cosine to the sentence before is under ``close_below`` and the chunk is over half the
-    target, or where it is over the target. ``embed`` gives the sentences' vectors. A group is one document's sentences.
+    target, or where it is over the target. ``embed`` gives the sentences' vectors, a batch at a time. A task folds its sorted documents batch by batch and holds one open chunk.
     """
     kind = sents.schema[id].dataType.simpleString()
+    names = [id, "chunk_no", "first", "last", "n_sentences", "n_chars", "content"]
 
-    def cut(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n", kind="stable")
-        numbers, parts = group["n"].tolist(), group["text"].tolist()
-        v = np.asarray(embed(parts), float)
-        length = np.linalg.norm(v, axis=1)
-        both = length[1:] * length[:-1]
-        near = np.concatenate(([1.0], np.divide((v[1:] * v[:-1]).sum(axis=1), both, out=np.zeros(len(both)), where=both > 0)))
-        out, begin, size = [], 0, 0
-        for i, part in enumerate(parts):
-            if i > begin and (near[i] < close_below and size > target / 2 or size > target):
-                out.append((begin, i, size))
-                begin, size = i, 0
-            size += len(part)
-        out.append((begin, len(parts), size))
-        rows = [(key[0], no, numbers[a], numbers[b - 1], b - a, n, " ".join(parts[a:b])) for no, (a, b, n) in enumerate(out)]
-        return pd.DataFrame(rows, columns=[id, "chunk_no", "first", "last", "n_sentences", "n_chars", "content"])
-
-    rows = sents.select(id, F.col(order).cast("long").alias("n"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.groupBy(id).applyInPandas(cut, f"`{id}` {kind}, chunk_no int, first long, last long, n_sentences long, n_chars long, content string")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, open_, begun = None, None, False  # open_: chunk_no, numbers of the first and last sentence, characters, parts
+        last = None  # the vector of the sentence before
+        out, kind_of = [], None
+
+        def close() -> None:
+            no, first, end, size, parts = open_
+            out.append((doc, no, first, end, len(parts), size, " ".join(parts)))
+
+        for batch in batches:
+            kind_of = batch.schema.field("_id").type
+            parts = batch.column("_text").to_pylist()
+            if not parts:
+                continue
+            v = np.asarray(embed(parts), float)
+            length = np.linalg.norm(v, axis=1)
+            before = np.vstack((v[:1] if last is None else last[None], v[:-1]))
+            both = length * np.linalg.norm(before, axis=1)
+            near = np.divide((v * before).sum(axis=1), both, out=np.zeros(len(both)), where=both > 0).tolist()
+            last = v[-1]
+            for of, n, part, cosine in zip(batch.column("_id").to_pylist(), batch.column("_n").to_pylist(), parts, near, strict=True):
+                if not begun or of != doc:
+                    if begun:
+                        close()
+                    doc, begun, open_ = of, True, [0, n, n, 0, []]
+                elif cosine < close_below and open_[3] > target / 2 or open_[3] > target:
+                    close()
+                    open_ = [open_[0] + 1, n, n, 0, []]
+                open_[2] = n
+                open_[3] += len(part)
+                open_[4].append(part)
+            if out:
+                yield made(out, kind_of)
+                out.clear()
+        if begun:
+            close()
+            yield made(out, kind_of)
+
+    def made(rows: list, kind: pa.DataType) -> pa.RecordBatch:
+        kinds = (kind, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    rows = sents.select(F.col(id).alias("_id"), F.col(order).cast("long").alias("_n"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    schema = f"`{id}` {kind}, chunk_no int, first long, last long, n_sentences long, n_chars long, content string"
+    return rows.repartition("_id").sortWithinPartitions("_id", "_n").mapInArrow(fold, schema)
