@@ -17,6 +17,10 @@ from sedge.functions.storage import forget, saved, saved_with
 
 #: So many nodes and edges at most meet in the one task that peels them or finds their cycles.
 SMALL_REST = 1_000_000
+#: So many targets of a node at most lie in one row of a list.
+LIST_MOST = 1_000
+#: About so many votes meet in a task.
+VOTES_MOST = 500_000
 
 
 def reference_edges(clauses: DataFrame, *, doc: str, src: str, text: str, number: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
@@ -110,34 +114,49 @@ def degrees(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataFram
     return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, *, src: str = "src", dst: str = "dst", rounds: int = 10, damping: float = 0.85, save_every: int = 5, tolerance: float | None = None) -> DataFrame:
-    """(node, rank): at most ``rounds`` rounds, fewer once no rank moves by more than ``tolerance``; the mass of nodes without successors is shared by all."""
-    e = saved(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "pr-edges")
-    nodes = saved(degrees(e).select("node", "out_degree"), "pr-nodes")
+def _target_lists(e: DataFrame, name: str) -> DataFrame:
+    """(src, to) of distinct edges (src, dst): the targets of each node, LIST_MOST in a row at most."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    return saved(e.withColumn("_part", F.floor((place - 1) / LIST_MOST)).groupBy("src", "_part").agg(F.collect_list("dst").alias("to")).select("src", "to"), name)
+
+
+def pagerank(edges: DataFrame, *, src: str = "src", dst: str = "dst", rounds: int = 10, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """(node, rank): at most ``rounds`` rounds, fewer once no rank moves by more than ``tolerance``; the mass of nodes without successors is shared by all. Every round is a table.
+    Edges with a null end are left out."""
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    lists = _target_lists(e, "pr-lists")  # a round sorts and joins lists, not edges
+    nodes = saved(degrees(lists.select("src", F.explode("to").alias("dst"))).select("node", "out_degree"), "pr-nodes")
     n = nodes.count()
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
+    before = None
     for i in range(rounds):
-        given = e.join(rank.filter("out_degree > 0"), F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out_degree")).alias("got"))
-        loose = rank.groupBy().agg(F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0)).alias("loose"))
-        new = nodes.join(given, F.col("node") == F.col("dst"), "left").join(F.broadcast(loose))  # one row
-        stepped = new.select("node", "out_degree", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
+        share = rank.filter("out_degree > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("out_degree")).alias("share"))
+        given = lists.join(share, "src").select(F.explode("to").alias("dst"), "share").groupBy("dst").agg(F.sum("share").alias("got"))
+        loose = rank.agg(F.sum(F.when(F.col("out_degree") == 0, F.col("rank")))).first()[0] or 0.0
+        new = rank.join(given, F.col("node") == F.col("dst"), "left")
+        stepped = new.select("node", "out_degree", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / n))).alias("rank"), F.col("rank").alias("_before"))
         if tolerance is not None:
-            moved = stepped.join(rank.select("node", F.col("rank").alias("before")), "node").withColumn("moved", F.abs(F.col("rank") - F.col("before")) > tolerance)
-            stepped, n_moved = saved_with(moved.select("node", "out_degree", "rank", "moved"), "pr-rank", F.count_if("moved"))
-            rank = stepped.drop("moved")
-            if not n_moved:
-                break
+            stepped, n_moved = saved_with(stepped, "pr-rank", F.count_if(F.abs(F.col("rank") - F.col("_before")) > tolerance))
         else:
-            rank = saved(stepped, "pr-rank") if (i + 1) % save_every == 0 else stepped
+            stepped, n_moved = saved(stepped.drop("_before"), "pr-rank"), 1
+        if before is not None:
+            forget(before)
+        rank = before = stepped
+        if not n_moved:
+            break
     return rank.select("node", "rank")
 
 
 def hubs(edges: DataFrame, *, top_n: int = 10, **options) -> DataFrame:
     """The top_n nodes by rank with their in-degree; ties by node."""
-    ranked = pagerank(edges, **options).join(degrees(edges.distinct()).select("node", "in_degree"), "node")
-    return ranked.withColumn("rank", F.round("rank", 9)).orderBy(F.desc("rank"), "node").limit(top_n)
+    src, dst = options.get("src", "src"), options.get("dst", "dst")
+    e = saved(edges.select(src, dst).filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct(), "hub-edges")
+    top = saved(pagerank(e, **options).withColumn("rank", F.round("rank", 9)).orderBy(F.desc("rank"), "node").limit(top_n), "hubs")  # the degrees of these alone are counted
+    held = F.broadcast(top.select("node")) if top_n <= 100_000 else top.select("node")
+    entered = e.join(held, F.col(dst) == F.col("node"), "left_semi").groupBy(F.col(dst).alias("node")).agg(F.count("*").alias("_in"))
+    return top.join(entered, "node", "left").select("node", "rank", F.coalesce("_in", F.lit(0)).cast("long").alias("in_degree")).orderBy(F.desc("rank"), "node")
 
 
 def components(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -177,13 +196,20 @@ def components(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataF
 
 
 def label_propagation(edges: DataFrame, *, src: str = "src", dst: str = "dst", rounds: int = 5) -> DataFrame:
-    """(node, community): each node takes its neighbours' most frequent label, ties to the smallest, for fixed rounds."""
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).unionByName(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).filter("a <> b")
-    e = saved(both.distinct(), "lp-edges")
-    label = e.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
+    """(node, community): each node takes its neighbours' most frequent label, ties to the smallest, for fixed rounds.
+
+    A node sends its label to its list of neighbours; a node's votes meet in one task, of VOTES_MOST votes or one node's.
+    """
+    both = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).unionByName(edges.select(F.col(dst).alias("src"), F.col(src).alias("dst"))).filter("src <> dst")
+    e, n = saved_with(both.distinct(), "lp-edges", F.count(F.lit(1)))
+    tasks = -(-n // VOTES_MOST) or 1
+    lists = _target_lists(e.repartition(tasks, "src"), "lp-lists")
+    forget(e)
+    label = lists.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
-        votes = e.join(label.withColumnRenamed("node", "b"), "b").groupBy("a", "community").agg(F.count("*").alias("c"))
-        label = saved(votes.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((-F.col("c")).alias("c"), "community")).alias("m")).select("node", F.col("m.community").alias("community")), "lp-labels")
+        sent = lists.join(label.withColumnRenamed("node", "src"), "src").select(F.explode("to").alias("node"), "community")
+        votes = sent.repartition(tasks, "node").groupBy("node", "community").agg(F.count("*").alias("c"))
+        label = saved(votes.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "community")).alias("m")).select("node", F.col("m.community").alias("community")), "lp-labels")
     return label
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import dataclasses
 import random
 
-from sedge.functions import catalogues
-from sedge.operators import facts, gates
+from sedge.functions import catalogues, joins
+from sedge.operators import facts, gates, graph, segment
 from sedge.plans import catalogue
 
 SAID = """Acme Holdings LLC ("Landlord"), Beta & Co. (the “Lessor”) and Gamma Stores Inc., (the "Tenant"), Delta (lessee)\nLandlord: Acme Ltd\nLessee: Delta Sons
@@ -51,3 +51,40 @@ def test_missing_terms_lower_a_text_once(spark):
     assert out.columns == ["id", "text", "missing"]
     assert {r.id: r.missing for r in out.collect()} == {1: ["license", "que"], 2: ["the", "license", "der", "and"], 3: ["the", "license", "der", "que", "and"], 4: [], 5: ["license", "der", "que", "and"]}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rank_rounds_are_tables(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (None, 4), (4, None)], "src int, dst int")
+    ranked = graph.pagerank(edges, rounds=4)
+    assert "Join" not in plan_of(ranked) and abs(sum(r["rank"] for r in ranked.collect()) - 1) < 1e-9
+    assert [(r.node, r.in_degree) for r in sorted(graph.hubs(edges, top_n=9).collect())] == [(1, 1), (2, 1), (3, 1), (4, 1)]
+
+
+def test_tasks_of_islands_and_labels_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS_OF_TASK", 10)
+    monkeypatch.setattr(graph, "VOTES_MOST", 10)
+    monkeypatch.setattr(graph, "LIST_MOST", 3)
+    rows = spark.createDataFrame([(i % 40, i, i + 1, i / 100) for i in range(200)], "k int, s long, e long, c double")
+    assert "RepartitionByExpression [k#" in plan_of(segment.merge_boundaries(rows, key="k", start="s", end="e", confidence="c")) and joins.dealt(rows, "k").rdd.getNumPartitions() == 20
+    star = [(0, i) for i in range(1, 12)] + [(20, 21), (21, 22), (22, 20)]
+    got = {r.node: r.community for r in graph.label_propagation(spark.createDataFrame(star, "src int, dst int"), rounds=1).collect()}
+    assert got == {0: 1, **{i: 0 for i in range(1, 12)}, 20: 21, 21: 20, 22: 20}
+
+
+def test_semantic_chunks_take_documents_batch_by_batch(spark):
+    sents = spark.createDataFrame([(d, i, f"{'word ' * (d % 7 + 1)}number {i} of {d}.") for d in range(50) for i in range(d % 5 + 1)], "doc_id int, sent_no int, sentence string")
+    sizes = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        out = []
+        for n in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            df = segment.semantic_chunks(sents, id="doc_id", order="sent_no", text="sentence", target=60)
+            assert "InPandas" not in plan_of(df)
+            out.append(sorted(map(tuple, df.collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", sizes)
+    assert out[0] == out[1] and {r[0] for r in out[0]} == set(range(50)) and sum(r[4] for r in out[0]) == sents.count()
