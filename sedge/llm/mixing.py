@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.functions.storage import saved
+from sedge.functions.storage import saved, saved_with
 from sedge.llm.common import safe_names
 from sedge.llm.ranks import with_rank
 
@@ -76,18 +76,20 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     targets = water_level(sources).select("key", F.col("size").alias("source_size"), "target")
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    targets = saved(targets, "mix-targets")  # small tables that several steps read are written, so that no plan holds the steps before it over and over
     chosen = _taken_in_order(rows, per_source(targets.select("key", F.col("rest").alias("room"))))
     for _ in range(FILLS):
         chosen = saved(chosen, "mix-chosen")
-        short = _missing(chosen, targets).filter(F.col("missing") > MISS * F.col("target"))
-        if short.isEmpty():
+        short, n_short = saved_with(_missing(chosen, targets).filter(F.col("missing") > MISS * F.col("target")), "mix-short", F.count(F.lit(1)))
+        if not n_short:
             break
         fits = chosen.filter("extra = 0 AND size > 0").join(per_source(short), "key").filter("size <= missing").select(rows.columns)
+        fits = saved(fits, "mix-fits")
         more = _taken_in_order(fits, per_source(short.select("key", F.col("missing").alias("room")))).filter("extra = 1").select("key", "u", "size", "id", F.lit(1).alias("added")).distinct()
         chosen = chosen.alias("c").join(more.alias("m"), _same_row("c", "m"), "left").select(*[F.col(f"c.{c}") for c in rows.columns], F.coalesce(F.col("m.added"), F.col("c.extra")).cast("long").alias("extra"))
     chosen = saved(chosen, "mix-chosen")
     # One more document per source: of those left, the one nearest to what is missing.
-    missing = _missing(chosen, targets)
+    missing = saved(_missing(chosen, targets), "mix-missing")
     off = F.abs(F.col("size") - F.col("missing"))
     left = chosen.filter("extra = 0 AND size > 0").join(per_source(missing), "key").filter(off < F.col("missing"))
     last = left.groupBy("key").agg(F.min(F.struct(off.alias("off"), F.col("u").alias("u"), F.col("size").alias("size"), F.col("id").alias("id"))).alias("m"))
@@ -117,7 +119,7 @@ def _taken_in_order(rows: DataFrame, room: DataFrame) -> DataFrame:
     slots = slots.join(stretches, ["key", "stretch"]).withColumn("before", F.col("before_stretch") + F.coalesce(F.sum("in_slot").over(earlier(["key", "stretch"], "slot")), F.lit(0)))
     after = F.col("before") + F.col("in_slot")
     placed = slots.join(room, "key").select("key", "slot", "room", "before", (after <= F.col("room")).alias("inside"), (F.col("before") < F.col("room")).alias("begun"))
-    joined = rows.join(placed, ["key", "slot"])
+    joined = rows.join(saved(placed, "mix-placed"), ["key", "slot"])
     inner = Window.partitionBy("key", "slot").orderBy("u", "size", "id").rowsBetween(Window.unboundedPreceding, 0)
     fits = F.col("before") + F.sum("size").over(inner) <= F.col("room")
     ordered = joined.filter("begun AND NOT inside").withColumn("extra", fits.cast("long"))
