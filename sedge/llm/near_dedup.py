@@ -141,8 +141,7 @@ def _with_both(pairs: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
     """``pairs`` with what ``of_a`` and ``of_b`` have of their ids. A hub is in a pair with each member of its lists: its pairs are dealt by the member."""
     out = pairs
     for key, other, what in (("a", "b", of_a), ("b", "a", of_b)):
-        sizes = pairs.groupBy(key).agg(F.count("*").alias("_pairs"))
-        out = salted_join(out, what.join(sizes, key), key, size="_pairs", salt=[other]).drop("_pairs")
+        out = salted_join(out, what, key, size="_pairs", salt=[other], sizes=pairs.groupBy(key).agg(F.count("*").alias("_pairs")))
     return out
 
 
