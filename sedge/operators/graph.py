@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.functions.joins import containment_join
+from sedge.functions.joins import containment_join, dealt
 from sedge.functions.storage import forget, saved, saved_with
 
 #: So many nodes and edges at most meet in the one task that peels them or finds their cycles.
@@ -327,62 +327,95 @@ def reading_positions(edges: DataFrame, *, src: str = "src", dst: str = "dst") -
     return found.select("node", "level", F.row_number().over(w).alias("place"))
 
 
+def _strong_parts(table: pa.Table) -> pa.Table:
+    """(node, component) of the strongly connected components of edges (src, dst) that have more than one node."""
+    out: dict = {}
+    for s, d in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True):
+        out.setdefault(s, []).append(d)
+    index, low, stack, held, nodes, names = {}, {}, [], set(), [], []
+    for root in out:
+        if root in index:
+            continue
+        work = [(root, iter(out.get(root, ())))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        held.add(root)
+        while work:
+            node, rest = work[-1]
+            for n in rest:
+                if n not in index:
+                    index[n] = low[n] = len(index)
+                    stack.append(n)
+                    held.add(n)
+                    work.append((n, iter(out.get(n, ()))))
+                    break
+                if n in held:
+                    low[node] = min(low[node], index[n])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    members = []
+                    while not members or members[-1] != node:
+                        members.append(stack.pop())
+                        held.discard(members[-1])
+                    if len(members) > 1:
+                        nodes += members
+                        names += [min(members)] * len(members)
+    return pa.table({"node": pa.array(nodes, table.schema.field("src").type), "component": pa.array(names, table.schema.field("src").type)})
+
+
 def _cycles_of_rest(edges: DataFrame) -> DataFrame:
     """(node, component) of the strongly connected components of a rest of bounded size, found in one task."""
     kind = edges.schema["src"].dataType.simpleString()
+    return edges.groupBy().applyInArrow(_strong_parts, f"node {kind}, component {kind}")
+
 
-    def find(table: pa.Table) -> pa.Table:
-        out: dict = {}
-        for s, d in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True):
-            out.setdefault(s, []).append(d)
-        index, low, stack, held, nodes, names = {}, {}, [], set(), [], []
-        for root in out:
-            if root in index:
-                continue
-            work = [(root, iter(out.get(root, ())))]
-            index[root] = low[root] = len(index)
-            stack.append(root)
-            held.add(root)
-            while work:
-                node, rest = work[-1]
-                for n in rest:
-                    if n not in index:
-                        index[n] = low[n] = len(index)
-                        stack.append(n)
-                        held.add(n)
-                        work.append((n, iter(out.get(n, ()))))
-                        break
-                    if n in held:
-                        low[node] = min(low[node], index[n])
-                else:
-                    work.pop()
-                    if work:
-                        low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                    if low[node] == index[node]:
-                        members = []
-                        while not members or members[-1] != node:
-                            members.append(stack.pop())
-                            held.discard(members[-1])
-                        if len(members) > 1:
-                            nodes += members
-                            names += [min(members)] * len(members)
-        return pa.table({"node": pa.array(nodes, table.schema.field("src").type), "component": pa.array(names, table.schema.field("src").type)})
-
-    return edges.groupBy().applyInArrow(find, f"node {kind}, component {kind}")
-
-
-def cycle_members(edges: DataFrame, *, src: str = "src", dst: str = "dst", trims: int = 3) -> DataFrame:
+def _cycles_of_sets(e: DataFrame, sets: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
+    """((node, component) of the sets that no edge enters or leaves, the ``n`` edges' rest, its number of rows). ``sets`` (node, set) may lack nodes; a node of several sets counts to the least.
+
+    A cycle through a closed set lies in it, so whole sets are dealt over as many tasks as the number of edges asks for. A set of more than SMALL_REST edges is of the rest.
+    """
+    of = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("set").alias("set"))
+    placed = e.join(of.select(F.col("node").alias("src"), F.col("set").alias("s")), "src", "left").join(of.select(F.col("node").alias("dst"), F.col("set").alias("d")), "dst", "left")
+    placed = saved(placed.select("src", "dst", "s", "d"), "scc-placed")
+    crossing = F.col("s").isNull() | F.col("d").isNull() | (F.col("s") != F.col("d"))
+    ends = placed.filter(crossing).select(F.explode(F.array("s", "d")).alias("s")).filter("s IS NOT NULL")
+    large = placed.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL_REST).select("s").filter("s IS NOT NULL")
+    opened = saved(ends.unionByName(large).distinct(), "scc-open-sets")
+    inside = placed.filter(~crossing)
+    closed = inside.join(opened, "s", "left_anti").select("src", "dst", "s")
+    rest = placed.filter(crossing).select("src", "dst").unionByName(inside.join(opened, "s", "left_semi").select("src", "dst"))
+    kind = e.schema["src"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if whole := list(batches):
+            yield from _strong_parts(pa.Table.from_batches(whole)).to_batches()
+
+    found = saved(dealt(closed, "s", rows=n).select("src", "dst").mapInArrow(find, f"node {kind}, component {kind}"), "scc-closed")
+    rest, n_rest = saved_with(rest, "scc-edges", F.count(F.lit(1)))
+    forget(placed, opened)
+    return found, rest, n_rest
+
+
+def cycle_members(edges: DataFrame, *, src: str = "src", dst: str = "dst", trims: int = 3, sets: DataFrame | None = None) -> DataFrame:
     """(node, component): the nodes that reach themselves, with the least node of their strongly connected component. Nodes before or behind a cycle are not listed.
 
     Each turn trims edges that start where nothing enters or end where nothing leaves, colours every node by the least node that reaches it (a round per step of
     the longest path that still changes a colour), and goes back from each colour's own node through its colour: what it meets both ways is one component. Components and edges between
     colours go; the rest takes another turn. Every step is a table, edges are never gathered; once SMALL_REST edges at most are left, one task finds the rest.
+    Where most edges stay inside known sets of nodes, ``sets`` (node, set) saves these turns: sets without edges to others are done first, each in one task.
     """
     n_rows = F.count(F.lit(1))
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL")
     loops = e.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
     e, left = saved_with(e.filter("src <> dst").distinct(), "scc-edges", n_rows)
     found = None
+    if sets is not None:
+        found, inner, left = _cycles_of_sets(e, sets, left)
+        forget(e)
+        e = inner
     while left > SMALL_REST:
         for _ in range(trims):
             kept, n_kept = saved_with(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc-edges", n_rows)
@@ -507,8 +540,10 @@ def docset_audit(docs: DataFrame, edges: DataFrame, refs: DataFrame, *, by: str,
     Orphans and wrong dates as ``docset_issues`` has them; "on_cycle" for documents whose amendments (``edges``) lead back to them, with the cycle's least document;
     "missing_exhibit" and "unresolved_reference" for references (of ``refs``, by the flag ``to_exhibit``) that ``resolve_references`` cannot resolve, with the reference's text.
     """
+    docs = saved(docs.select(*dict.fromkeys((by, id, title, ordinal, date, is_base, is_exhibit))), "docset-docs")
+    edges = saved(edges.select("src", "dst").distinct(), "docset-edges")
     plain = docset_issues(docs, edges, id=id, date=date, is_base=is_base).withColumn("detail", F.lit(None).cast("string"))
-    cycles = cycle_members(edges).select(F.lit("on_cycle").alias("issue"), F.col("node").alias(id), F.col("component").cast("string").alias("detail"))
+    cycles = cycle_members(edges, sets=docs.select(F.col(id).alias("node"), F.col(by).alias("set"))).select(F.lit("on_cycle").alias("issue"), F.col("node").alias(id), F.col("component").cast("string").alias("detail"))
     open_refs = resolve_references(refs, docs, by=by, ref=ref, id=id, title=title, ordinal=ordinal, is_exhibit=F.col(is_exhibit)).filter("target IS NULL")
     missing = open_refs.select(F.when(F.col(to_exhibit), "missing_exhibit").otherwise("unresolved_reference").alias("issue"), F.col(id), F.col(ref).alias("detail")).distinct()
     return plain.unionByName(cycles).unionByName(missing)
