@@ -58,9 +58,9 @@ OPTIONS = (
 )
 PARTIES = (
     FactRule("landlord", rf"{PARTY},? ?\((?i:the )?[\"“]?(?i:landlord|lessor)[\"”]?\)", 1, 0.85, words=("landlord)", "landlord\")", "landlord”)", "lessor)", "lessor\")", "lessor”)"), in_line=True),
-    FactRule("landlord", rf"(?i:landlord|lessor): ?{PARTY}(?:\n|$)", 1, 0.7, words=("landlord:", "lessor:")),
+    FactRule("landlord", rf"(?i:landlord|lessor): ?{PARTY}(?:\n|$)", 1, 0.7, words=("landlord:", "lessor:"), in_line=True, line_end=True),
     FactRule("tenant", rf"{PARTY},? ?\((?i:the )?[\"“]?(?i:tenant|lessee)[\"”]?\)", 1, 0.85, words=("tenant)", "tenant\")", "tenant”)", "lessee)", "lessee\")", "lessee”)"), in_line=True),
-    FactRule("tenant", rf"(?i:tenant|lessee): ?{PARTY}(?:\n|$)", 1, 0.7, words=("tenant:", "lessee:")),
+    FactRule("tenant", rf"(?i:tenant|lessee): ?{PARTY}(?:\n|$)", 1, 0.7, words=("tenant:", "lessee:"), in_line=True, line_end=True),
     FactRule("premises", r"(?i:premises|located at|property at):? (?:known as )?([0-9]+ [A-Z][A-Za-z0-9 .,-]{3,80})", 1, 0.7, words=("premises", "located at", "property at"), in_line=True),
     FactRule("term", rf"(?i:term (?:is|of|shall be))[^.\n]{{0,30}}?{SPAN}", 1, 0.85, words=("term is", "term of", "term shall be"), in_line=True),
     FactRule("deposit", rf"(?i:security deposit)[^$\n]{{0,60}}{MONEY}", 1, 0.85, words=("security deposit",), in_line=True),

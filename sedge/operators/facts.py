@@ -8,13 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedge.functions.words import lines_held
+
 
 @dataclass(frozen=True)
 class FactRule:
     """``group`` of ``pattern`` is a value of ``field``; rules of a field are tried in the catalogue's order.
 
     ``words``, in lower case, are such that every match holds one of them, without regard to case: texts without any are passed over unread by the pattern. With ``in_line`` no match can
-    hold a line's end nor depend on one, and only lines with one of the words are read.
+    hold a line's end nor depend on one, and only lines with one of the words are read; with ``line_end`` besides, matches may end with their line's end or depend on it.
     """
 
     field: str
@@ -23,58 +25,47 @@ class FactRule:
     confidence: float = 0.8
     words: tuple[str, ...] = ()
     in_line: bool = False
+    line_end: bool = False
 
 
-def _clean(value: Column) -> Column:
-    return F.regexp_replace(F.btrim(F.regexp_replace(value, r"[ \t\r\n]+", " "), F.lit(" ")), r"[ ,.]+$", "")
-
-
-def _as_fact(rule: FactRule, i: int):
-    def struct(value: Column, n: Column) -> Column:
-        return F.struct(F.lit(rule.field).alias("field"), value.alias("value"), n.alias("ordinal"), F.lit(i).alias("rule_id"), F.lit(float(rule.confidence)).alias("confidence"))
+#: ``$`` fits before a last line end, too, so what is read must go on for two lines to end no line that goes on in the text.
+LINES_AFTER = 2
 
-    return struct
 
+def _clean(value: Column) -> Column:
+    return F.rtrim(F.btrim(F.regexp_replace(value, r"[ \t\r\n]+", " "), F.lit(" ")), F.lit(" ,."))
 
-def _as_pair(kind: str, names: tuple[str, str]):
-    def struct(pair: Column, n: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), n.alias("ordinal"), pair["a"].alias(names[0]), pair["b"].alias(names[1]))
-
-    return struct
 
+def _tried(df: DataFrame, rules: Sequence, *, id: str, text: str) -> DataFrame:
+    """(id, _rule, _x): a row for each text and number of a rule that may match it, and what the rule is to read, which is the whole text or its lines with one of the rule's words.
 
-def _holds(low: Column, words: Sequence[str]) -> Column:
-    found = F.contains(low, F.lit(words[0]))
-    for w in words[1:]:
-        found = found | F.contains(low, F.lit(w))
-    return found
+    ``rules`` have ``words`` and ``in_line`` as those of a ``FactRule``. The outer form is for the optimiser, which adds a filter on the array to the inner one and so would look for the words twice.
+    """
+    found = lines_held(F.col(text), [r.words for r in rules], [r.in_line for r in rules], [LINES_AFTER * r.line_end for r in rules])
+    held = df.select(id, F.col(text).alias("_text"), F.split(text, "\n").alias("_lines"), found.alias("_held"))
+    some = lambda h: F.array_join(F.transform(h["lines"], lambda i: F.get("_lines", i)), "\n")
+    reads = F.transform("_held", lambda h: F.struct(h["rule"].alias("rule"), F.when(F.size(h["lines"]) > 0, some(h)).otherwise(F.col("_text")).alias("x")))
+    return held.select(id, F.explode_outer(reads).alias("_h")).filter("_h IS NOT NULL").select(id, F.col("_h.rule").alias("_rule"), F.col("_h.x").alias("_x"))
 
 
-def _prepared(df: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, _text, _low, _lines): the text, in lower case, and its lines in both forms, made once for all rules."""
-    rows = df.select(id, F.col(text).alias("_text"), F.lower(text).alias("_low"))
-    return rows.withColumn("_lines", F.arrays_zip(F.split("_text", "\n").alias("line"), F.split("_low", "\n").alias("low")))
+def _by_rule(values: Sequence[Column]) -> Column:
+    """The value of the row's rule; those of other rules are not computed."""
+    out = F.when(F.col("_rule") == 0, values[0])
+    for i, value in enumerate(values[1:], 1):
+        out = out.when(F.col("_rule") == i, value)
+    return out
 
 
-def _all_matches(pattern: str, group: int, words: Sequence[str], in_line: bool) -> Column:
-    """Every match of ``pattern`` in a ``_prepared`` row."""
-    whole = F.regexp_extract_all("_text", F.lit(pattern), F.lit(group))
-    if not words:
-        return whole
-    if in_line:
-        held = F.filter("_lines", lambda x: _holds(x["low"], words))
-        whole = F.flatten(F.transform(held, lambda x: F.regexp_extract_all(x["line"], F.lit(pattern), F.lit(group))))
-    return F.when(_holds(F.col("_low"), words), whole).otherwise(F.array().cast("array<string>"))
+def _matches(pattern: str, group: int) -> Column:
+    return F.transform(F.regexp_extract_all("_x", F.lit(pattern), F.lit(group)), _clean)
 
 
 def extract_facts(df: DataFrame, rules: Sequence[FactRule], *, id: str, text: str, mode: str = "all", least_chars: int = 3) -> DataFrame:
     """(id, field, value, ordinal, rule_id, confidence). mode "all": every match of every rule; "first": the first match of the first rule that hits."""
-    hits = []
-    for i, r in enumerate(rules):
-        values = F.filter(F.transform(_all_matches(r.pattern, r.group, r.words, r.in_line), _clean), lambda v: F.length(v) >= least_chars)
-        hits.append(F.transform(values, _as_fact(r, i)))
-    # The outer form: for the inner one the optimiser adds a filter on the array, which would try every rule twice.
-    rows = _prepared(df, id, text).select(id, F.inline_outer(F.flatten(F.array(*hits)))).filter("rule_id IS NOT NULL")
+    values = F.filter(_by_rule([_matches(r.pattern, r.group) for r in rules]), lambda v: F.length(v) >= least_chars)
+    found = _tried(df, rules, id=id, text=text).select(id, "_rule", F.posexplode_outer(values).alias("ordinal", "value")).filter("value IS NOT NULL")
+    of_rule = lambda each: F.get(F.array(*map(F.lit, each)), F.col("_rule"))
+    rows = found.select(id, of_rule([r.field for r in rules]).alias("field"), "value", "ordinal", F.col("_rule").alias("rule_id"), of_rule([float(r.confidence) for r in rules]).alias("confidence"))
     if mode == "all":
         return rows
     best = rows.groupBy(id, "field").agg(F.min(F.struct("rule_id", "ordinal", "value", "confidence")).alias("b"))
@@ -88,11 +79,10 @@ def extract_pairs(df: DataFrame, pattern: str, *, id: str, text: str, names: tup
 
 def extract_pair_kinds(df: DataFrame, patterns: dict[str, str], *, id: str, text: str, words: dict[str, tuple[str, ...]] | None = None, names: tuple[str, str] = ("first", "second")) -> DataFrame:
     """(id, kind, ordinal, first, second): ``extract_pairs`` of several patterns in one pass. ``words`` of a kind are as those of a ``FactRule`` in a line."""
-    hits = []
-    for kind, pattern in patterns.items():
-        groups = [F.transform(_all_matches(pattern, g, (words or {}).get(kind, ()), True), _clean) for g in (1, 2)]
-        hits.append(F.transform(F.arrays_zip(groups[0].alias("a"), groups[1].alias("b")), _as_pair(kind, names)))
-    return _prepared(df, id, text).select(id, F.inline_outer(F.flatten(F.array(*hits)))).filter("ordinal IS NOT NULL")
+    rules = [FactRule(kind, pattern, words=(words or {}).get(kind, ()), in_line=True) for kind, pattern in patterns.items()]
+    pairs = _by_rule([F.arrays_zip(_matches(r.pattern, 1).alias("a"), _matches(r.pattern, 2).alias("b")) for r in rules])
+    found = _tried(df, rules, id=id, text=text).select(id, "_rule", F.posexplode_outer(pairs).alias("ordinal", "_p")).filter("_p IS NOT NULL")
+    return found.select(id, F.get(F.array(*[F.lit(r.field) for r in rules]), F.col("_rule")).alias("kind"), "ordinal", F.col("_p.a").alias(names[0]), F.col("_p.b").alias(names[1]))
 
 
 def iso_date(value: Column) -> Column:
