@@ -73,6 +73,41 @@ WORDS = {
     "rent": (r"\brents?\b", r"rental payments?"),
 }
 
+#: Of the lists that rules ask for: what every word of a list begins with or holds. ``needs`` are made of these, so a word that is new in WORDS must hold one here.
+STEMS = {
+    "transfer": ("assign", "sublet", "sub-let", "subleas", "sub-leas", "transfer", "hand over"),
+    "unasked": ("without ", "freely", "at will", "no consent", "no approval", "no permission"),
+    "barred": ("shall not", "must not", "may not", "cannot", "is not allowed", "prohibit", "forbidden", "restrict"),
+    "end": ("terminat", "cancel", "end the ", "end this "),
+    "chance": ("early", "right to", "entitled to", "may", "at any time"),
+    "begin": ("commenc", "start", "begin"),
+    "open": ("to be agreed", "determined", "fixed", " set", "agreed", "tbd"),
+    "raise": ("increas", "escalat", "adjust", "rise", "rising"),
+    "index": ("consumer price", "price ind", "cpi", "cost of living"),
+    "subrogation": ("subrogat",),
+    "narrowly": ("only", "solely", "exclusively", "for no other purpose"),
+    "use": ("use", "using", "purpose", "operat"),
+    "cotenancy": ("cotenanc", "co-tenanc", "co_tenancy"),
+    "percentage rent": ("percentage rent", "percentage_rent", "rent on "),
+    "hours": ("hour",),
+    "centre": ("shopping ", "mall", "center", "centre"),
+    "must": ("must", "shall", "require", "oblig", "is bound to"),
+    "shop": ("retail", "shop", "store", "mall"),
+    "exclusive": ("exclusiv",),
+    "tenant": ("tenant", "lessee"),
+    "landlord": ("landlord", "lessor", "owner"),
+    "expenses": ("operating cost", "operating_cost", "opex", "expense", "running costs"),
+    "area": ("square", "sqft", "sq ft", "area", "premises"),
+    "allowance": ("allowance", "buildout", "build-out", "improvement", "fitout contribution", "fit-out contribution"),
+    "answer": ("responsib", "liab", "remediat", "clean", "compl", "bear the cost", "bears the cost"),
+    "earlier": ("exist", "prior", "earlier", "before "),
+    "nature": ("environment", "contaminat", "spill"),
+    "hazard": ("hazardous", "toxic ", "hazmat"),
+    "indemnify": ("indemni", "harmless"),
+    "access": ("accessibility", "disabilities act", "ada", "barrier-free"),
+    "building": ("premises", "building", "exist", "current"),
+}
+
 
 def any_of(name: str) -> str:
     return f"(?:{'|'.join(WORDS[name])})"
@@ -83,6 +118,11 @@ def together(*names: str) -> str:
     return "|".join(_WITHIN.join(any_of(n) for n in order) for order in permutations(names))
 
 
+def stems(*names: str) -> tuple[tuple[str, ...], ...]:
+    """``needs`` of a rule that asks for a word of each list."""
+    return tuple(STEMS[n] for n in names)
+
+
 def key_has(*parts: str) -> str:
     """The clause's key, its first line, holds one of ``parts``."""
     return rf"^[^\n]*(?:{'|'.join(parts)})"
@@ -92,39 +132,42 @@ def clause_text(key: Column, text: Column) -> Column:
     return F.lower(F.concat(F.coalesce(key, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))))
 
 
-_TRANSFER, _TERM, _RENT, _COVER = key_has("assign", "sublet", "transfer"), key_has("term", "commencement"), key_has("rent", "payment"), key_has("insurance", "liability", "indemnity")
+#: Parts of keys.
+_KEYS = ("assign", "sublet", "transfer"), ("term", "commencement"), ("rent", "payment"), ("insurance", "liability", "indemnity"), ("use",)
+_TRANSFER, _TERM, _RENT, _COVER, _USE = (key_has(*parts) for parts in _KEYS)
+_TRANSFER_KEY, _TERM_KEY, _RENT_KEY, _COVER_KEY, _USE_KEY = _KEYS
 
 #: Risk rules of clauses by contract type; those of "all" hold for every type.
 CLAUSE_RISKS = {
     "all": (
-        Rule("transfer", together("unasked", "transfer"), name="broad_assignment_rights", level="high", gate=_TRANSFER, message="the lease can be passed on without consent"),
-        Rule("transfer", together("barred", "transfer"), name="arbitrary_consent_standard", level="medium", gate=_TRANSFER, unless=together("agree", "fair"), message="a transfer is barred and nothing says how consent is given"),
-        Rule("term", together("chance", "end"), name="unclear_termination_notice", level="high", gate=_TERM, unless=together("notice", "span"), message="the contract can be ended without a period of notice"),
-        Rule("term", together("begin", "open"), name="uncertain_commencement", level="medium", gate=_TERM, message="the beginning is left open"),
-        Rule("rent", any_of("raise"), name="undefined_escalation", level="high", gate=_RENT, unless=any_of("amount"), message="a rise without an amount"),
-        Rule("rent", any_of("index"), name="uncapped_cpi", level="medium", gate=_RENT, unless=any_of("limit"), message="an index without a limit"),
-        Rule("insurance", r"(?s)^[^\n]*\n.{0,199}$", name="incomplete_insurance", level="high", gate=_COVER, message="too short to describe the cover"),
-        Rule("insurance", r"^", name="insurance_without_limits", level="high", gate=_COVER, unless=rf"(?s)\n.*{any_of('cover')}", message="neither cover nor limits are named"),
-        Rule("insurance", any_of("subrogation"), name="no_mutual_subrogation", level="medium", gate=_COVER, unless=together("both", "waive", "subrogation"), message="subrogation is not waived by both"),
-        Rule("use", together("narrowly", "use"), name="restrictive_use", level="medium", gate=key_has("use"), unless=any_of("widely"), message="one use and no other"),
+        Rule("transfer", together("unasked", "transfer"), name="broad_assignment_rights", level="high", gate=_TRANSFER, needs=(_TRANSFER_KEY, *stems("unasked", "transfer")), message="the lease can be passed on without consent"),
+        Rule("transfer", together("barred", "transfer"), name="arbitrary_consent_standard", level="medium", gate=_TRANSFER, unless=together("agree", "fair"), needs=(_TRANSFER_KEY, *stems("barred", "transfer")), message="a transfer is barred and nothing says how consent is given"),
+        Rule("term", together("chance", "end"), name="unclear_termination_notice", level="high", gate=_TERM, unless=together("notice", "span"), needs=(_TERM_KEY, *stems("chance", "end")), message="the contract can be ended without a period of notice"),
+        Rule("term", together("begin", "open"), name="uncertain_commencement", level="medium", gate=_TERM, needs=(_TERM_KEY, *stems("begin", "open")), message="the beginning is left open"),
+        Rule("rent", any_of("raise"), name="undefined_escalation", level="high", gate=_RENT, unless=any_of("amount"), needs=(_RENT_KEY, *stems("raise")), message="a rise without an amount"),
+        Rule("rent", any_of("index"), name="uncapped_cpi", level="medium", gate=_RENT, unless=any_of("limit"), needs=(_RENT_KEY, *stems("index")), message="an index without a limit"),
+        Rule("insurance", r"(?s)^[^\n]*\n.{0,199}$", name="incomplete_insurance", level="high", gate=_COVER, needs=(_COVER_KEY,), message="too short to describe the cover"),
+        Rule("insurance", r"^", name="insurance_without_limits", level="high", gate=_COVER, unless=rf"(?s)\n.*{any_of('cover')}", needs=(_COVER_KEY,), message="neither cover nor limits are named"),
+        Rule("insurance", any_of("subrogation"), name="no_mutual_subrogation", level="medium", gate=_COVER, unless=together("both", "waive", "subrogation"), needs=(_COVER_KEY, *stems("subrogation")), message="subrogation is not waived by both"),
+        Rule("use", together("narrowly", "use"), name="restrictive_use", level="medium", gate=_USE, unless=any_of("widely"), needs=(_USE_KEY, *stems("narrowly", "use")), message="one use and no other"),
     ),
     "retail": (
-        Rule("retail", any_of("cotenancy"), name="no_cotenancy_remedy", level="high", unless=any_of("remedy"), message="co-tenancy without a remedy"),
-        Rule("retail", any_of("percentage rent"), name="undefined_percentage_rent", level="medium", unless=any_of("percentage"), message="percentage rent without a percentage"),
-        Rule("retail", together("must", "centre", "hours"), name="mandatory_mall_hours", level="medium", gate=r"(?:opening|operating|business|shopping cent(?:er|re)|mall)[ _]hours", message="opening hours are set by the centre"),
-        Rule("retail", any_of("shop"), name="no_tenant_exclusive", level="medium", gate=any_of("exclusive"), unless=together("tenant", "exclusive"), message="an exclusive that is not the tenant's"),
+        Rule("retail", any_of("cotenancy"), name="no_cotenancy_remedy", level="high", unless=any_of("remedy"), needs=stems("cotenancy"), message="co-tenancy without a remedy"),
+        Rule("retail", any_of("percentage rent"), name="undefined_percentage_rent", level="medium", unless=any_of("percentage"), needs=stems("percentage rent"), message="percentage rent without a percentage"),
+        Rule("retail", together("must", "centre", "hours"), name="mandatory_mall_hours", level="medium", gate=r"(?:opening|operating|business|shopping cent(?:er|re)|mall)[ _]hours", needs=stems("must", "centre", "hours"), message="opening hours are set by the centre"),
+        Rule("retail", any_of("shop"), name="no_tenant_exclusive", level="medium", gate=any_of("exclusive"), unless=together("tenant", "exclusive"), needs=stems("shop", "exclusive"), message="an exclusive that is not the tenant's"),
     ),
     "office": (
-        Rule("office", any_of("expenses"), name="no_opex_cap", level="medium", unless=any_of("limit"), message="shared costs without a limit"),
-        Rule("office", any_of("expenses"), name="no_audit_rights", level="medium", unless=together("check", "accounts"), message="shared costs that the tenant cannot check"),
-        Rule("office", any_of("area"), name="no_measurement_standard", level="medium", unless=any_of("standard"), message="an area without the way it is measured"),
-        Rule("office", any_of("allowance"), name="undefined_ti_allowance", level="medium", unless=f"{any_of('amount')}|{any_of('per area')}", message="an allowance without an amount"),
+        Rule("office", any_of("expenses"), name="no_opex_cap", level="medium", unless=any_of("limit"), needs=stems("expenses"), message="shared costs without a limit"),
+        Rule("office", any_of("expenses"), name="no_audit_rights", level="medium", unless=together("check", "accounts"), needs=stems("expenses"), message="shared costs that the tenant cannot check"),
+        Rule("office", any_of("area"), name="no_measurement_standard", level="medium", unless=any_of("standard"), needs=stems("area"), message="an area without the way it is measured"),
+        Rule("office", any_of("allowance"), name="undefined_ti_allowance", level="medium", unless=f"{any_of('amount')}|{any_of('per area')}", needs=stems("allowance"), message="an allowance without an amount"),
     ),
     "industrial": (
-        Rule("industrial", together("tenant", "answer", "earlier"), name="tenant_preexisting_env_liability", level="high", gate=any_of("nature"), message="the tenant answers for damage done before"),
-        Rule("industrial", any_of("hazard"), name="no_hazmat_representations", level="high", unless=together("landlord", "disclose"), message="the landlord says nothing about hazards"),
-        Rule("industrial", together("indemnify", "landlord"), name="unlimited_hazmat_indemnity", level="high", gate=any_of("hazard"), unless=together("except", "earlier"), message="an indemnity that covers earlier hazards as well"),
-        Rule("industrial", together("tenant", "answer", "building"), name="tenant_ada_liability", level="medium", gate=any_of("access"), message="the tenant answers for the building's accessibility"),
+        Rule("industrial", together("tenant", "answer", "earlier"), name="tenant_preexisting_env_liability", level="high", gate=any_of("nature"), needs=stems("tenant", "answer", "earlier", "nature"), message="the tenant answers for damage done before"),
+        Rule("industrial", any_of("hazard"), name="no_hazmat_representations", level="high", unless=together("landlord", "disclose"), needs=stems("hazard"), message="the landlord says nothing about hazards"),
+        Rule("industrial", together("indemnify", "landlord"), name="unlimited_hazmat_indemnity", level="high", gate=any_of("hazard"), unless=together("except", "earlier"), needs=stems("indemnify", "landlord", "hazard"), message="an indemnity that covers earlier hazards as well"),
+        Rule("industrial", together("tenant", "answer", "building"), name="tenant_ada_liability", level="medium", gate=any_of("access"), needs=stems("tenant", "answer", "building", "access"), message="the tenant answers for the building's accessibility"),
     ),
 }
 

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` (Java regular expression) votes for ``group`` with ``weight``; the list's order breaks ties."""
+    """``pattern`` (Java regular expression) votes for ``group`` with ``weight``; the list's order breaks ties.
+
+    ``needs`` are lists of words in lower case: any text on which the rule fires holds a word of each list, without regard to case. They are only a help: ``risks.all_risks`` passes texts over by them.
+    """
 
     group: str
     pattern: str
@@ -21,6 +24,7 @@ class Rule:
     unless: str | None = None
     gate: str | None = None
     message: str = ""
+    needs: tuple[tuple[str, ...], ...] = ()
 
 
 class RuleSet:

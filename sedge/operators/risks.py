@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions.rules import RuleSet
+from sedge.functions.words import rules_held
 
 
 def clause_risks(df: DataFrame, rules: RuleSet, *, text: Column, keep: Sequence[str]) -> DataFrame:
@@ -44,15 +45,24 @@ def typed_risks(df: DataFrame, by_type: dict[str, RuleSet], *, kind: str, text:
 
 
 def all_risks(df: DataFrame, rules: RuleSet, by_type: dict[str, RuleSet], *, kind: str, text: Column, keep: Sequence[str]) -> DataFrame:
-    """``clause_risks`` of the rules for every type and ``typed_risks`` of the others, in one pass over the clauses; the text is made once for all rules."""
-    rows = df.select(*keep, F.col(kind).alias("_kind"), text.alias("_x"))
-    hits = rules.hits(F.col("_x"))
-    typed = F.lit(None)
-    for value, own in by_type.items():
-        typed = F.when(F.col("_kind") == value, own.hits(F.col("_x"))).otherwise(typed)
+    """``clause_risks`` of the rules for every type and ``typed_risks`` of the others, in one pass over the clauses: the words that the rules need are looked for at once,
+    and a rule reads the clauses of its type that hold its own."""
+    every = [(None, i, r) for i, r in enumerate(rules.rules)] + [(value, i, r) for value, own in by_type.items() for i, r in enumerate(own.rules)]
+    if not every:
+        return clause_risks(df, rules, text=text, keep=keep)
+    fires = lambda value, r: RuleSet._fires(r, F.col("_x")) if value is None else (F.col("_kind") == value) & RuleSet._fires(r, F.col("_x"))
+
+    def fired(n: Column) -> Column:
+        out = F.when(n == 0, fires(every[0][0], every[0][2]))
+        for k, (value, _, r) in enumerate(every[1:], 1):
+            out = out.when(n == k, fires(value, r))
+        return out
+
+    rows = df.select(*keep, F.col(kind).alias("_kind"), text.alias("_x")).withColumn("_held", rules_held(F.col("_x"), [r.needs for _, _, r in every]))
     # The outer form: for the inner one the optimiser adds a filter on the array, which would try every rule twice.
-    found = rows.select(*keep, F.explode_outer(F.flatten(F.array_compact(F.array(hits, typed)))).alias("_h")).filter("_h IS NOT NULL")
-    return found.select(*keep, F.col("_h.name").alias("rule"), F.col("_h.level").alias("level"), F.col("_h.message").alias("message"), F.col("_h.ordinal").alias("ordinal"))
+    found = rows.select(*keep, F.explode_outer(F.filter("_held", fired)).alias("_n")).filter("_n IS NOT NULL")
+    told = F.get(F.array(*[F.struct(F.lit(r.name or r.pattern).alias("rule"), F.lit(r.level).alias("level"), F.lit(r.message).alias("message"), F.lit(i).alias("ordinal")) for _, i, r in every]), F.col("_n"))
+    return found.select(*keep, told.alias("_h")).select(*keep, "_h.rule", "_h.level", "_h.message", "_h.ordinal")
 
 
 def absence(df: DataFrame, *, doc: str, never: Column, though: Column) -> DataFrame:

@@ -132,8 +132,9 @@ CLAUSES_SQL = f"{TEXTS}, lined AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS lin
 def clauses(spark, sf):
     from sedge.operators import segment
 
-    lined = segment.lines(contracts(spark, sf)).select("doc_id", "line_no", "line")
-    return over(spark, f"WITH {CLAUSES} SELECT * FROM clauses", lined=lined)
+    # A line is put into lower case once for all tests of it.
+    lined = segment.lines(contracts(spark, sf)).select("doc_id", "line_no", "line", F.lower("line").alias("low"))
+    return over(spark, f"WITH {CLAUSES.replace('lower(line)', 'low')} SELECT * FROM clauses", lined=lined)
 
 
 def _rule_sql(kind: str, rule) -> str:
