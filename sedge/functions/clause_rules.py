@@ -84,9 +84,12 @@ STEMS = {
     "open": ("to be agreed", "determined", "fixed", " set", "agreed", "tbd"),
     "raise": ("increas", "escalat", "adjust", "rise", "rising"),
     "index": ("consumer price", "price ind", "cpi", "cost of living"),
+    "limit": ("cap", "ceiling", "maxim", "exceed", "no more than", "at most"),
+    "cover": ("cover", "polic", "limit", "amount", "insured"),
     "subrogation": ("subrogat",),
     "narrowly": ("only", "solely", "exclusively", "for no other purpose"),
     "use": ("use", "using", "purpose", "operat"),
+    "widely": ("similar ", "other ", "related ", "additional ", "ancillary ", "lawful "),
     "cotenancy": ("cotenanc", "co-tenanc", "co_tenancy"),
     "percentage rent": ("percentage rent", "percentage_rent", "rent on "),
     "hours": ("hour",),
@@ -145,11 +148,11 @@ CLAUSE_RISKS = {
         Rule("term", together("chance", "end"), name="unclear_termination_notice", level="high", gate=_TERM, unless=together("notice", "span"), needs=(_TERM_KEY, *stems("chance", "end")), message="the contract can be ended without a period of notice"),
         Rule("term", together("begin", "open"), name="uncertain_commencement", level="medium", gate=_TERM, needs=(_TERM_KEY, *stems("begin", "open")), message="the beginning is left open"),
         Rule("rent", any_of("raise"), name="undefined_escalation", level="high", gate=_RENT, unless=any_of("amount"), needs=(_RENT_KEY, *stems("raise")), message="a rise without an amount"),
-        Rule("rent", any_of("index"), name="uncapped_cpi", level="medium", gate=_RENT, unless=any_of("limit"), needs=(_RENT_KEY, *stems("index")), message="an index without a limit"),
+        Rule("rent", any_of("index"), name="uncapped_cpi", level="medium", gate=_RENT, unless=any_of("limit"), needs=(_RENT_KEY, *stems("index")), spared=stems("limit"), message="an index without a limit"),
         Rule("insurance", r"(?s)^[^\n]*\n.{0,199}$", name="incomplete_insurance", level="high", gate=_COVER, needs=(_COVER_KEY,), message="too short to describe the cover"),
-        Rule("insurance", r"^", name="insurance_without_limits", level="high", gate=_COVER, unless=rf"(?s)\n.*{any_of('cover')}", needs=(_COVER_KEY,), message="neither cover nor limits are named"),
+        Rule("insurance", r"^", name="insurance_without_limits", level="high", gate=_COVER, unless=rf"(?s)\n.*{any_of('cover')}", needs=(_COVER_KEY,), spared=stems("cover"), message="neither cover nor limits are named"),
         Rule("insurance", any_of("subrogation"), name="no_mutual_subrogation", level="medium", gate=_COVER, unless=together("both", "waive", "subrogation"), needs=(_COVER_KEY, *stems("subrogation")), message="subrogation is not waived by both"),
-        Rule("use", together("narrowly", "use"), name="restrictive_use", level="medium", gate=_USE, unless=any_of("widely"), needs=(_USE_KEY, *stems("narrowly", "use")), message="one use and no other"),
+        Rule("use", together("narrowly", "use"), name="restrictive_use", level="medium", gate=_USE, unless=any_of("widely"), needs=(_USE_KEY, *stems("narrowly", "use")), spared=stems("widely"), message="one use and no other"),
     ),
     "retail": (
         Rule("retail", any_of("cotenancy"), name="no_cotenancy_remedy", level="high", unless=any_of("remedy"), needs=stems("cotenancy"), message="co-tenancy without a remedy"),
@@ -158,7 +161,7 @@ CLAUSE_RISKS = {
         Rule("retail", any_of("shop"), name="no_tenant_exclusive", level="medium", gate=any_of("exclusive"), unless=together("tenant", "exclusive"), needs=stems("shop", "exclusive"), message="an exclusive that is not the tenant's"),
     ),
     "office": (
-        Rule("office", any_of("expenses"), name="no_opex_cap", level="medium", unless=any_of("limit"), needs=stems("expenses"), message="shared costs without a limit"),
+        Rule("office", any_of("expenses"), name="no_opex_cap", level="medium", unless=any_of("limit"), needs=stems("expenses"), spared=stems("limit"), message="shared costs without a limit"),
         Rule("office", any_of("expenses"), name="no_audit_rights", level="medium", unless=together("check", "accounts"), needs=stems("expenses"), message="shared costs that the tenant cannot check"),
         Rule("office", any_of("area"), name="no_measurement_standard", level="medium", unless=any_of("standard"), needs=stems("area"), message="an area without the way it is measured"),
         Rule("office", any_of("allowance"), name="undefined_ti_allowance", level="medium", unless=f"{any_of('amount')}|{any_of('per area')}", needs=stems("allowance"), message="an allowance without an amount"),

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 class Rule:
     """``pattern`` (Java regular expression) votes for ``group`` with ``weight``; the list's order breaks ties.
 
-    ``needs`` are lists of words in lower case: any text on which the rule fires holds a word of each list, without regard to case. They are only a help: ``risks.all_risks`` passes texts over by them.
+    ``needs`` are lists of words in lower case: any text on which the rule fires holds a word of each list, without regard to case. ``spared`` are such lists for
+    the texts on which ``unless`` fires. Both are only a help: ``risks.all_risks`` leaves patterns out by them.
     """
 
     group: str
@@ -25,6 +26,7 @@ class Rule:
     gate: str | None = None
     message: str = ""
     needs: tuple[tuple[str, ...], ...] = ()
+    spared: tuple[tuple[str, ...], ...] = ()
 
 
 class RuleSet:
@@ -55,12 +57,13 @@ class RuleSet:
         )
 
     @staticmethod
-    def _fires(rule: Rule, text: Column) -> Column:
+    def _fires(rule: Rule, text: Column, spared: Column | None = None) -> Column:
+        """``spared`` tells where ``unless`` may fire; everywhere if it is not given."""
         fires = text.rlike(rule.pattern)
         if rule.gate:
             fires = text.rlike(rule.gate) & fires
         if rule.unless:
-            fires = fires & ~text.rlike(rule.unless)
+            fires = fires & ~(text.rlike(rule.unless) if spared is None else spared & text.rlike(rule.unless))
         return fires
 
     def score(self, text: Column, group: str) -> Column:

@@ -50,15 +50,21 @@ def all_risks(df: DataFrame, rules: RuleSet, by_type: dict[str, RuleSet], *, kin
     every = [(None, i, r) for i, r in enumerate(rules.rules)] + [(value, i, r) for value, own in by_type.items() for i, r in enumerate(own.rules)]
     if not every:
         return clause_risks(df, rules, text=text, keep=keep)
-    fires = lambda value, r: RuleSet._fires(r, F.col("_x")) if value is None else (F.col("_kind") == value) & RuleSet._fires(r, F.col("_x"))
+    sparing = {k: len(every) + n for n, k in enumerate(k for k, (_, _, r) in enumerate(every) if r.unless and r.spared)}
+
+    def fires(k: int) -> Column:
+        value, _, r = every[k]
+        hit = RuleSet._fires(r, F.col("_x"), F.array_contains("_held", sparing[k]) if k in sparing else None)
+        return hit if value is None else (F.col("_kind") == value) & hit
 
     def fired(n: Column) -> Column:
-        out = F.when(n == 0, fires(every[0][0], every[0][2]))
-        for k, (value, _, r) in enumerate(every[1:], 1):
-            out = out.when(n == k, fires(value, r))
+        out = F.when(n == 0, fires(0))
+        for k in range(1, len(every)):
+            out = out.when(n == k, fires(k))
         return out
 
-    rows = df.select(*keep, F.col(kind).alias("_kind"), text.alias("_x")).withColumn("_held", rules_held(F.col("_x"), [r.needs for _, _, r in every]))
+    needs = [r.needs for _, _, r in every] + [every[k][2].spared for k in sparing]
+    rows = df.select(*keep, F.col(kind).alias("_kind"), text.alias("_x")).withColumn("_held", rules_held(F.col("_x"), needs))
     # The outer form: for the inner one the optimiser adds a filter on the array, which would try every rule twice.
     found = rows.select(*keep, F.explode_outer(F.filter("_held", fired)).alias("_n")).filter("_n IS NOT NULL")
     told = F.get(F.array(*[F.struct(F.lit(r.name or r.pattern).alias("rule"), F.lit(r.level).alias("level"), F.lit(r.message).alias("message"), F.lit(i).alias("ordinal")) for _, i, r in every]), F.col("_n"))
